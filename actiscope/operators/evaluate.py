@@ -189,19 +189,18 @@ def best_epoch(
         "named_struct('best', double('infinity'), 'best_epoch', cast(null as bigint), 'wait', 0, "
         f"'stop', cast(null as bigint), 'mark', double('infinity'), 'flat', 0, 'rate', {rate!r}D)"
     )
-    gain = "(x.val_loss < s.best)"
-    marked = f"(x.val_loss < s.mark * {1 - PLATEAU_THRESHOLD!r}D)"
-    cut = f"(not {marked} and s.flat + 1 > {plateau_patience})"
-    step = (
-        "if(s.stop is not null, s, named_struct("
-        f"'best', if{gain[:-1]}, x.val_loss, s.best), "
-        f"'best_epoch', if{gain[:-1]}, x.epoch, s.best_epoch), "
-        f"'wait', if{gain[:-1]}, 0, s.wait + 1), "
-        f"'stop', if(not {gain} and s.wait + 1 >= {patience}, x.epoch, cast(null as bigint)), "
-        f"'mark', if{marked[:-1]}, x.val_loss, s.mark), "
-        f"'flat', if({marked} or {cut}, 0, s.flat + 1), "
-        f"'rate', if({cut}, s.rate * {factor!r}D, s.rate)))"
-    )
+    gain = "x.val_loss < s.best"
+    marked = f"x.val_loss < s.mark * {1 - PLATEAU_THRESHOLD!r}D"
+    cut = f"not ({marked}) and s.flat + 1 > {plateau_patience}"
+    stop = f"not ({gain}) and s.wait + 1 >= {patience}"
+    step = f"""if(s.stop is not null, s, named_struct(
+        'best', if({gain}, x.val_loss, s.best),
+        'best_epoch', if({gain}, x.epoch, s.best_epoch),
+        'wait', if({gain}, 0, s.wait + 1),
+        'stop', if({stop}, x.epoch, cast(null as bigint)),
+        'mark', if({marked}, x.val_loss, s.mark),
+        'flat', if(({marked}) or ({cut}), 0, s.flat + 1),
+        'rate', if({cut}, s.rate * {factor!r}D, s.rate)))"""
     rows = training_log.select(*by, F.col("epoch").cast("bigint").alias("epoch"), F.col("val_loss").cast("double"))
     return (
         rows.groupBy(*by)
