@@ -52,11 +52,10 @@ def covariance(spark, sf_dir):
 
 @query("pca_fit")
 def pca_fit(spark, sf_dir):
-    """Loadings of the first eight components of the records; signs are arbitrary."""
+    """Loadings of the first eight components of the records."""
     model = features.fit_pca(features.stack_vectors(records(spark, sf_dir)), 8)
-    loadings = model.stages[-1].pc.toArray()
-    rows = [(int(i), int(c), float(abs(x))) for (i, c), x in np.ndenumerate(loadings)]
-    return spark.createDataFrame(rows, "i int, component int, loading double")
+    rows = [(int(c), int(i), float(x)) for (c, i), x in np.ndenumerate(model.components)]
+    return spark.createDataFrame(rows, "component int, i int, loading double")
 
 
 @query(
@@ -67,7 +66,7 @@ def pca_fit(spark, sf_dir):
 def pca_transform(spark, sf_dir):
     """With every component kept, the squared scores add up to the distance from the mean."""
     rows = _features(spark, sf_dir)
-    scores = features.pca_transform(features.fit_pca(rows), rows).select("vec_id", vector_to_array("pca").alias("z"))
+    scores = features.fit_pca(rows).transform(rows).select("vec_id", vector_to_array("pca").alias("z"))
     energy = F.expr(vectors.total("transform(z, x -> x * x)"))
     return scores.select("vec_id", F.round(energy, 6).alias("energy"))
 

@@ -179,7 +179,7 @@ def shape_guard(spark, sf_dir):
 @query(
     "variant_finite_guard",
     f"""with placed as (select (vec_id // 9)::int as g, (vec_id % 9 - 1)::int as l,
-      list_transform(embedding, lambda x: (x::double * 7.5e38::double)::float) as o from embeddings),
+      list_transform(embedding, lambda x: greatest(least(x::double * 1e39::double, 3.3e38::double), -3.3e38::double)::float) as o from embeddings),
     lagged as (select g, l, o, lag(o) over (partition by g order by l) as i from placed),
     states as (select g, l, i, o from lagged where l >= 0),
     {ALL_VARIANTS.split("states as (select g, l, i, o from lagged where l >= 0),", 1)[1]
@@ -193,7 +193,7 @@ def shape_guard(spark, sf_dir):
 )
 def variant_finite_guard(spark, sf_dir):
     """Vectors near the float32 limit, some of whose variants overflow."""
-    big = "transform({v}, x -> cast(x * 7.5e38D as float))"
+    big = "transform({v}, x -> cast(greatest(least(x * 1e39D, 3.3e38D), -3.3e38D) as float))"
     states = layer_states(spark, sf_dir).select(
         *KEYS, *[F.expr(big.format(v=v)).alias(v) for v in ("input_vec", "output_vec")]
     )

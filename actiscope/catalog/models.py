@@ -36,9 +36,9 @@ def _scored(rows, model, name):
     return evaluate.evaluate_splits(held_out, ("classifier", "split"))
 
 
-def _fit(spark, sf_dir, name, fit, **settings):
+def _fit(spark, sf_dir, title, fit, **settings):
     rows = _prepared(spark, sf_dir)
-    return _scored(rows, fit(rows.where("split = 'train'"), **settings), name)
+    return _scored(rows, fit(rows.where("split = 'train'"), **settings), title)
 
 
 @query("fit_logreg")
@@ -80,9 +80,9 @@ EMBEDDINGS = f"""emb as (select vec_id as id, label as y, md5(concat_ws('|', '{S
     k as (select id, y, h from emb),{SPLIT_QUOTAS}"""
 
 NEIGHBORS = f"""with {EMBEDDINGS}, {LONG},
-    s as (select i, avg(x) as mu, stddev_pop(x) as sd from p join split_rows r on p.vec_id = r.id
+    sc as (select i, avg(x) as mu, stddev_pop(x) as sd from p join split_rows r on p.vec_id = r.id
           where split = 'train' group by i),
-    v as (select p.vec_id, list((x - mu) / sd order by p.i) as v from p join s on p.i = s.i group by p.vec_id),
+    v as (select p.vec_id, list((x - mu) / sd order by p.i) as v from p join sc on p.i = sc.i group by p.vec_id),
     near as (select a.id as query_id, b.id as base_id, b.y as label,
                     round(list_sum(list_transform(list_zip(va.v, vb.v), lambda e: (e[1] - e[2]) * (e[1] - e[2]))), 9) as d
              from split_rows a join v va on va.vec_id = a.id

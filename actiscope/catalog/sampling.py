@@ -21,9 +21,9 @@ SPLIT_QUOTAS = """
                  <= nt - sum(f) over () then 1 else 0 end as ct from q),
     b as (select y, n, ct, n - ct as m, tot - nt as rem,
                  ceil((0.15::double / (1::double - 0.15::double)) * (tot - nt))::bigint as nv from a),
-    p as (select y, ct, m, rem, nv, (nv * m) // rem as f, (nv * m) % rem as r from b),
+    d as (select y, ct, m, rem, nv, (nv * m) // rem as f, (nv * m) % rem as r from b),
     z as (select y, ct, f + case when row_number() over (order by r desc, y)
-                 <= nv - sum(f) over () then 1 else 0 end as cv from p),
+                 <= nv - sum(f) over () then 1 else 0 end as cv from d),
     placed_rows as (select k.id, k.y, row_number() over (partition by k.y order by h, id) as rn, ct, cv
                     from k join z on k.y = z.y),
     split_rows as (select id, y, case when rn <= ct then 'test' when rn <= ct + cv then 'val' else 'train' end as split

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from actiscope.functions import keyed, vectors
 from actiscope.schema import PCA_DIM, SEED
+from actiscope.session import stored
 
 
 def stack_vectors(df: DataFrame, vec: str = "hidden_state_vector", out: str = "features") -> DataFrame:
@@ -49,70 +51,112 @@ def fit_scaler(df: DataFrame, inp: str = "features", out: str = "scaled") -> Pip
     return PipelineModel([sample, ElementwiseProduct(scalingVec=weights, inputCol=f"_{out}", outputCol=out)])
 
 
-def fit_pca(df: DataFrame, k: int = PCA_DIM, inp: str = "features", out: str = "pca") -> PipelineModel:
-    """Centre, then project on the first ``k`` components (at most the vector length).
+@dataclass(frozen=True)
+class PcaModel:
+    """Mean, components as rows, and the variance along each of all components."""
 
-    Spark's PCA does not subtract the mean when it projects, so a centring
-    stage goes before it. The fit sums one length-by-length matrix over the
-    rows; rows never leave their tasks.
-    """
-    centre = StandardScaler(inputCol=inp, outputCol=f"_{out}", withMean=True, withStd=False).fit(df)
-    k = min(k, centre.mean.size)
-    components = PCA(k=k, inputCol=f"_{out}", outputCol=out).fit(centre.transform(df))
-    return PipelineModel([centre, components])
+    mean: np.ndarray
+    components: np.ndarray
+    variances: np.ndarray
+    inp: str
+    out: str
 
+    @property
+    def ratios(self) -> np.ndarray:
+        """Share of the total variance of each kept component."""
+        whole = self.variances.sum()
+        kept = self.variances[: len(self.components)]
+        return kept / whole if whole > 0 else np.zeros_like(kept)
 
-def pca_transform(model: Transformer, df: DataFrame, out: str = "pca") -> DataFrame:
-    return model.transform(df).drop(f"_{out}")
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Centre and project, one matrix product per Arrow batch."""
+        mean, turned = self.mean, self.components.T
 
+        def project(v: pa.Array) -> pa.Array:
+            scores = (matrix(v, len(mean)) - mean) @ turned
+            offsets = pa.array(np.arange(0, scores.size + 1, turned.shape[1], dtype=np.int32))
+            return pa.ListArray.from_arrays(offsets, pa.array(scores.ravel()))
 
-def explained_variance(model: PipelineModel) -> float:
-    """Share of the variance the components keep, in per cent."""
-    return 100.0 * float(model.stages[-1].explainedVariance.values.sum())
+        scores = F.arrow_udf(project, T.ArrayType(T.DoubleType()))(vector_to_array(self.inp))
+        return df.withColumn(self.out, array_to_vector(scores))
 
 
-def mean_vector(df: DataFrame, vec: str) -> np.ndarray:
-    vector = array_to_vector(F.col(vec).cast("array<double>"))
-    return df.select(Summarizer.mean(vector)).first()[0].toArray()
+def matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Rows of an Arrow list column that all have ``width`` values."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), width)
 
 
-def covariance(df: DataFrame, vec: str = "hidden_state_vector", tasks: int = 2000) -> DataFrame:
-    """Population covariance as rows (i, j, covariance) with j <= i.
+def fit_pca(df: DataFrame, k: int = PCA_DIM, inp: str = "features", out: str = "pca") -> PcaModel:
+    """First ``k`` components (at most the vector length) of the rows.
+
+    The rows stay in their tasks: the driver gets the covariance matrix, whose
+    size is the vector length squared, and takes its eigenvectors. The largest
+    loading of each component is made positive, so the result is repeatable.
+    """
+    table = comoments(df.select(vector_to_array(inp).alias("_v")), "_v").sort("i").toArrow()
+    sums = np.array([row.values.to_numpy() for row in table["row"]])
+    n = table["n"][0].as_py()
+    offset = sums[:, -1] / n
+    mu, lower = table["shift"].to_numpy() + offset, sums[:, :-1] / n - np.outer(offset, offset)
+    d = len(mu)
+    variances, axes = np.linalg.eigh(lower, UPLO="L")
+    order = np.argsort(-variances, kind="stable")
+    components = axes[:, order[: min(k, d)]].T
+    peaks = np.abs(components).argmax(axis=1)
+    components = components * np.where(components[np.arange(len(components)), peaks] < 0, -1.0, 1.0)[:, None]
+    return PcaModel(mu, components, np.maximum(variances[order], 0.0), inp, out)
+
+
+def explained_variance(model: PcaModel) -> float:
+    """Share of the variance the components keep, in per cent."""
+    return 100.0 * float(model.ratios.sum())
 
-    Each task sums the products of its centred rows into one matrix by matrix
-    multiplication and emits the matrix's rows, which are then added up by row.
-    What is shuffled depends on the vector length and the number of tasks, not
-    on the rows, so the input is first read by at most ``tasks`` tasks.
+
+def comoments(df: DataFrame, vec: str, tasks: int = 2000) -> DataFrame:
+    """Sums of products of the vectors, found in one scan: rows (i, row, shift, n).
+
+    Vectors are taken relative to one of them, whose values are ``shift``; this
+    keeps the sums small. A 1 is appended to each, so the last value of ``row``
+    is the plain sum of position i. Each task adds up the products of its rows
+    by matrix multiplication and emits one matrix, whose rows are then added up
+    over the tasks. What is shuffled depends on the vector length and the
+    number of tasks, not on the rows, so the input is first read by at most
+    ``tasks`` tasks. The result, of the vector length squared, is stored.
     """
-    mu = mean_vector(df, vec)
+    some = df.select(F.col(vec).cast("array<double>").alias("v")).where("v is not null").first()
+    if some is None:
+        raise ValueError("no vectors to sum")
+    shift = np.array(some.v)
+    d = len(shift)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, n, products = len(mu), 0, np.zeros((len(mu), len(mu)))
+        products, n = np.zeros((d, d + 1)), 0
         for batch in batches:
-            lists = batch.column(0).drop_null()
-            if not len(lists):
-                continue
-            rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), d) - mu
-            products += rows.T @ rows
+            rows = matrix(batch.column(0).drop_null(), d) - shift
+            products += rows.T @ np.column_stack((rows, np.ones(len(rows))))
             n += len(rows)
         if n:
-            offsets = pa.array(np.arange(0, d * d + 1, d, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(d, dtype=np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array(products.ravel())),
-                    pa.array(np.full(d, n, dtype=np.int64)),
-                ],
-                names=["i", "row", "n"],
-            )
-
-    partials = df.select(vec).coalesce(tasks).mapInArrow(partial, "i int, row array<double>, n bigint")
-    rows = partials.groupBy("i").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"), F.sum("n").alias("n")
-    )
-    return rows.select("i", "n", F.posexplode(F.expr("slice(row, 1, i + 1)")).alias("j", "value")).select(
-        "i", "j", (F.col("value") / F.col("n")).alias("covariance")
-    )
+            offsets = pa.array(np.arange(d + 1, dtype=np.int32) * (d + 1), pa.int32())
+            columns = {
+                "i": pa.array(np.arange(d, dtype=np.int32)),
+                "row": pa.ListArray.from_arrays(offsets, pa.array(products.ravel())),
+                "shift": pa.array(shift),
+                "n": pa.array(np.full(d, n, dtype=np.int64)),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    partials = df.select(vec).coalesce(tasks).mapInArrow(partial, "i int, row array<double>, shift double, n bigint")
+    added = vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")
+    return stored(partials.groupBy("i").agg(added, F.max("shift").alias("shift"), F.sum("n").alias("n")), "comoments")
+
+
+def covariance(df: DataFrame, vec: str = "hidden_state_vector", tasks: int = 2000) -> DataFrame:
+    """Population covariance as rows (i, j, covariance) with j <= i."""
+    rows = comoments(df, vec, tasks).withColumn("sum_i", F.element_at("row", -1))
+    cells = rows.select("i", "n", "sum_i", F.posexplode(F.expr("slice(row, 1, i + 1)")).alias("j", "value"))
+    sums = rows.select(F.col("i").alias("j"), F.col("sum_i").alias("sum_j"))  # one row per vector position
+    centred = F.col("value") - F.col("sum_i") * F.col("sum_j") / F.col("n")
+    return cells.join(F.broadcast(sums), "j").select("i", "j", (centred / F.col("n")).alias("covariance"))
 
 
 def kernel_bank(count: int, size: int = 7, seed: int = SEED) -> list[list[float]]:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actiscope.operators import evaluate, features, models, profile, sampling
@@ -70,7 +72,8 @@ def fit_and_score(
     """Fit every model on the train rows and append its predictions for the others.
 
     Predictions are written once per model, so metrics, reports and matrices
-    read them instead of scoring again.
+    read them instead of scoring again. Each model has its own folder, so
+    scopes that are fitted at the same time do not share a commit.
     """
     spark = rows.sparkSession
     train, held_out = rows.where("split = 'train'"), rows.where("split != 'train'")
@@ -88,11 +91,9 @@ def fit_and_score(
             "sample_id",
             F.col("label").alias("y_true"),
             F.col("prediction").cast("int").alias("y_pred"),
-        ).write.mode("append").parquet(path)
+        ).write.parquet(f"{path}/fit={track}-{tag}-{order}")
         if models_dir and hasattr(model, "write"):
-            own = spark.read.parquet(path).where(
-                (F.col("tag") == tag) & (F.col("track") == track) & (F.col("classifier") == name)
-            )
+            own = spark.read.parquet(f"{path}/fit={track}-{tag}-{order}")
             score = evaluate.f1_scores(own.where(F.col("split") == select_on), ("tag",)).first()
             if score is not None:
                 stored_tag = f"{tag}_stream" if track == "nn_streaming" else tag
@@ -100,6 +101,14 @@ def fit_and_score(
     return times
 
 
+def at_once(spark: SparkSession, work: Callable, items: list, parallelism: int) -> list:
+    """Run the driver side of several fits in threads, so that the small jobs of
+    one layer fill the slots another leaves idle."""
+    with ThreadPoolExecutor(max(1, min(parallelism, len(items) or 1))) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(work), items)
+        return [row for part in parts for row in part]
+
+
 def run_classification(
     records: DataFrame,
     task: str = "cross-layer",
@@ -117,13 +126,15 @@ def run_classification(
     models_dir: str | None = None,
     results_dir: str | None = None,
     select_on: str = "test",
+    parallelism: int = 4,
 ) -> Results:
     """Fit, score and compare the models of one or both tracks.
 
     ``classical``: optional sample, components of the vectors, classical models,
     then ``sampled_networks`` on the raw vectors of the same rows. ``nn-stream``:
     all rows, raw vectors, ``networks``. Components are fitted on the train rows;
-    ``fit_on="all"`` fits them before the split as well.
+    ``fit_on="all"`` fits them on all rows. ``parallelism`` layers are fitted at
+    the same time; each keeps its rows cached while it is.
     """
     if task not in TASKS:
         raise ValueError(f"unknown task: {task!r}")
@@ -138,33 +149,39 @@ def run_classification(
     times: list[tuple[str, str, str, float]] = []
     keep = ("sample_id", "layer_index", "label", "split", "features")
 
+    def first_track(scope: tuple[str, DataFrame]) -> list[tuple[str, str, str, float]]:
+        tag, rows = scope
+        ready = features.stack_vectors(split_rows(rows, split_by, val_size, test_size, seed)).select(*keep)
+        ready = cached_records(ready)
+        reduced, inp = ready, "features"
+        if pca_dim:
+            base = ready if fit_on == "all" else ready.where("split = 'train'")
+            reduced = cached_records(features.fit_pca(base, pca_dim).transform(ready).drop("features"))
+            inp = "pca"
+        done = fit_and_score(reduced, classical, tag, "classical", inp, path, 1, models_dir, select_on)
+        first = len(classical) + 1
+        done += fit_and_score(ready, sampled_networks, tag, "network", "features", path, first, models_dir, select_on)
+        reduced.unpersist()
+        ready.unpersist()
+        return done
+
+    def second_track(scope: tuple[str, DataFrame]) -> list[tuple[str, str, str, float]]:
+        tag, rows = scope
+        ready = features.stack_vectors(split_rows(rows, split_by, val_size, test_size, seed)).select(*keep)
+        ready = cached_records(ready)
+        done = fit_and_score(ready, networks, tag, "nn_streaming", "features", path, 1, models_dir, select_on)
+        ready.unpersist()
+        return done
+
     if track in ("auto", "classical"):
         rows = sampling.stratified_sample(records, n_samples=sample_size, seed=seed) if sample_size else records
-        for tag, scope in scopes(rows, task):
-            ready = features.stack_vectors(split_rows(scope, split_by, val_size, test_size, seed)).select(*keep)
-            ready = cached_records(ready)
-            inp = "features"
-            reduced = ready
-            if pca_dim:
-                base = ready if fit_on == "all" else ready.where("split = 'train'")
-                reduced = cached_records(features.pca_transform(features.fit_pca(base, pca_dim), ready).drop("features"))
-                inp = "pca"
-            times += fit_and_score(reduced, classical, tag, "classical", inp, path, 1, models_dir, select_on)
-            first = len(classical) + 1
-            times += fit_and_score(ready, sampled_networks, tag, "network", "features", path, first, models_dir, select_on)
-            reduced.unpersist()
-            ready.unpersist()
-
+        times += at_once(spark, first_track, scopes(rows, task), parallelism)
     if track in ("auto", "nn-stream"):
-        for tag, scope in scopes(records, task):
-            ready = features.stack_vectors(split_rows(scope, split_by, val_size, test_size, seed)).select(*keep)
-            ready = cached_records(ready)
-            times += fit_and_score(ready, networks, tag, "nn_streaming", "features", path, 1, models_dir, select_on)
-            ready.unpersist()
+        times += at_once(spark, second_track, scopes(records, task), parallelism)
 
     if not times:
         raise ValueError("no layer has enough rows of every class, or no model was asked for")
-    predictions = spark.read.parquet(path)
+    predictions = spark.read.parquet(path).drop("fit")
     fit_times = spark.createDataFrame(times, "tag string, track string, classifier string, train_time_s double")
     metrics = evaluate.evaluate_splits(predictions, BY).join(F.broadcast(fit_times), ["tag", "track", "classifier"])
     test = predictions.where(F.col("split") == "test")
@@ -183,8 +200,7 @@ def run_classification(
 
 def explain_components(records: DataFrame, k: int = PCA_DIM, vec: str = "hidden_state_vector") -> DataFrame:
     """Explained variance of each component, as rows (component, ratio, percent_so_far)."""
-    model = features.fit_pca(features.stack_vectors(records, vec), k)
-    ratios = model.stages[-1].explainedVariance.toArray()
+    ratios = features.fit_pca(features.stack_vectors(records, vec), k).ratios
     rows = [(i + 1, float(r), float(100 * ratios[: i + 1].sum())) for i, r in enumerate(ratios)]
     return records.sparkSession.createDataFrame(rows, "component int, ratio double, percent_so_far double")
 
