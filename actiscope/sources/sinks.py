@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actiscope.schema import MAX_RECORDS_PER_FILE, RECORD_SCHEMA
+from actiscope.schema import LABELS, MAX_RECORDS_PER_FILE, RECORD_SCHEMA
 
 
 def write_records(
@@ -20,14 +20,17 @@ def write_records(
     """Write the seven columns as Parquet parts of at most ``max_records`` rows.
 
     Appending never overwrites earlier parts, and parts appear when the job
-    commits, so a killed run leaves none behind. ``by_layer`` stores one folder
+    commits, so a killed run leaves none behind. The cap is lowered to a multiple
+    of the number of labels, so that the variants of one layer state, which come
+    one after the other, share a part. ``by_layer`` stores one folder
     per layer for per-layer reads; the rows are then rebalanced first, which
     splits large layers over several tasks.
     """
     rows = records.select(*RECORD_SCHEMA.names)
     if by_layer:
         rows = rows.hint("rebalance", F.col("layer_index"))
-    writer = rows.write.mode(mode).option("maxRecordsPerFile", max_records)
+    cap = max_records - max_records % len(LABELS) or max_records
+    writer = rows.write.mode(mode).option("maxRecordsPerFile", cap)
     if by_layer:
         writer = writer.partitionBy("layer_index")
     writer.parquet(path)

@@ -11,38 +11,44 @@ from pyspark.sql import functions as F
 
 from actiscope.plans.generate import build_records
 from actiscope.schema import LAYER_STATE_SCHEMA, MAX_RECORDS_PER_FILE, SEED
-from actiscope.session import BROADCAST_ROWS, stored
+from actiscope.session import BROADCAST_ROWS, broadcast_if_small, stored
 from actiscope.sources.records import scan_records
 from actiscope.sources.sinks import write_records
 
 
-def pending_states(states: DataFrame, done_ids: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Layer states of instructions that are not done.
+def pending_states(
+    states: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("instruction_id",), max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Layer states whose key is not among the done ones.
 
-    The two id lists are compared first, on ids alone. The wide rows are then
-    filtered by the shorter of the pending and the done list when one of them
-    is small enough to broadcast, and shuffled only when both are long.
+    Keys are compared first, without vectors; the done side is cut to the range
+    of the first key, which skips stored parts outside it. The wide rows are
+    then filtered by the shorter of the two key lists when that is small enough
+    to broadcast, and shuffled only when both are long.
     """
-    key = "instruction_id"
-    ids = states.select(key).distinct()
-    done = stored(done_ids.select(key).distinct(), "done")
-    n_done = done.limit(max_rows + 1).count()
-    if n_done == 0:
+    mine = stored(states.select(*keys).distinct(), "keys")
+    low, high = mine.agg(F.min(keys[0]), F.max(keys[0])).first()
+    if low is None:
         return states
-    if n_done <= max_rows:
-        return states.join(F.broadcast(done), key, "left_anti")
-    pending = stored(ids.join(done, key, "left_anti"), "pending")
+    near = done.where(F.col(keys[0]).between(low, high)).select(*keys)
+    both = stored(near.join(broadcast_if_small(mine, max_rows), list(keys), "left_semi").distinct(), "done")
+    n_both = both.limit(max_rows + 1).count()
+    if n_both == 0:
+        return states
+    if n_both <= max_rows:
+        return states.join(F.broadcast(both), list(keys), "left_anti")
+    pending = stored(mine.join(both, list(keys), "left_anti"), "pending")
     if pending.limit(max_rows + 1).count() <= max_rows:
-        return states.join(F.broadcast(pending), key, "left_semi")
-    return states.join(done, key, "left_anti")
+        return states.join(F.broadcast(pending), list(keys), "left_semi")
+    return states.join(both, list(keys), "left_anti")
 
 
-def sink_ids(spark: SparkSession, sink: str) -> DataFrame:
-    """Instructions the sink holds; an absent or empty sink holds none."""
+def sink_keys(spark: SparkSession, sink: str) -> DataFrame:
+    """Instructions and layers the sink holds; an absent or empty sink holds none."""
     try:
-        return scan_records(spark, sink).select("instruction_id")
+        return scan_records(spark, sink).select("instruction_id", "layer_index")
     except FileNotFoundError:
-        return spark.createDataFrame([], "instruction_id int")
+        return spark.createDataFrame([], "instruction_id int, layer_index int")
 
 
 def resume_generation(
@@ -52,9 +58,10 @@ def resume_generation(
     seed: int = SEED,
     engine: str = "arrow",
     max_records: int = MAX_RECORDS_PER_FILE,
+    keys: tuple[str, ...] = ("instruction_id",),
 ) -> None:
     """Generate and append records of all instructions the sink lacks."""
-    todo = pending_states(states, sink_ids(states.sparkSession, sink))
+    todo = pending_states(states, sink_keys(states.sparkSession, sink), keys)
     write_records(build_records(todo, model_name, seed, engine), sink, max_records)
 
 
@@ -79,14 +86,17 @@ def stream_generation(
 ):
     """Process the layer-state files that arrived since the last call, then stop.
 
-    A file must hold whole instructions. Each micro-batch is the batch plan
-    over its new files. A batch that is retried, or rows delivered again in
-    another file, add nothing: what the sink already holds is left out. No
-    state store is kept, so memory does not grow with the ids seen.
+    Each micro-batch is the batch plan over its new files. A batch that is
+    retried, or layers delivered again in another file, add nothing: what the
+    sink already holds is left out. No state store is kept, so memory does not
+    grow with the ids seen. Layers of one instruction may arrive apart; only
+    those of one micro-batch are dropped together when one of them fails.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        resume_generation(once(batch), sink, model_name, seed, engine, max_records)
+        resume_generation(
+            once(batch), sink, model_name, seed, engine, max_records, ("instruction_id", "layer_index")
+        )
 
     arriving = (
         spark.readStream.schema(LAYER_STATE_SCHEMA)
