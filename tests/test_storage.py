@@ -121,10 +121,16 @@ def test_broadcast_needs_a_small_side(spark):
     assert hinted(broadcast_if_small(df, 10)) and not hinted(broadcast_if_small(df, 9))
 
 
-def test_work_folder_comes_from_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert work_root(spark) == str(tmp_path)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert work_root(spark) != str(tmp_path)
+class FakeSession:
+    """Just what ``work_root`` asks of a session."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})()
+
+
+def test_work_folder_comes_from_the_session():
+    assert work_root(FakeSession("yarn", "hdfs:///shared/work/")) == "hdfs:///shared/work"
+    assert os.path.isdir(work_root(FakeSession("local[2]")))
+    with pytest.raises(RuntimeError):
+        work_root(FakeSession("yarn"))
