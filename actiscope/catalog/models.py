@@ -19,14 +19,23 @@ from actiscope.operators import evaluate, features, models, neighbors, sampling
 from actiscope.plans.classify import chosen, run_classification
 from actiscope.schema import SEED
 from actiscope.session import new_work_dir
-from actiscope.sources.sinks import best_meta, save_best_model
+from actiscope.sources.records import scan_records, training_rows
+from actiscope.sources.sinks import best_meta, save_best_model, write_records
 
 METRICS = ("tag", "track", "classifier", "split", "accuracy", "f1_weighted", "f1_macro", "n_rows")
 
 
+def _records(spark, sf_dir):
+    """Built records, written and scanned like any stored set."""
+    sink = new_work_dir(spark, "records")
+    write_records(records(spark, sf_dir), sink)
+    return scan_records(spark, sink)
+
+
 def _prepared(spark, sf_dir):
-    rows = sampling.stratified_split(records(spark, sf_dir))
-    return features.stack_vectors(rows).select("sample_id", "layer_index", "label", "split", "features").cache()
+    rows = sampling.stratified_split(_records(spark, sf_dir))
+    rows = features.stack_vectors(rows).select("sample_id", "layer_index", "label", "split", "features")
+    return training_rows(rows, rows.count(), 8 * 64)
 
 
 def _scored(rows, model, name):
@@ -94,7 +103,7 @@ NEIGHBORS = f"""with {EMBEDDINGS}, {LONG},
 
 def _neighbor_inputs(spark, sf_dir):
     rows = sampling.stratified_split(load(spark, sf_dir, "embeddings"), "vec_id")
-    rows = features.stack_vectors(rows, "embedding").cache()
+    rows = features.stack_vectors(rows, "embedding").cache()  # split and scaled once for both sides
     train = rows.where("split = 'train'")
     scaled = features.unstack(features.fit_scaler(train).transform(rows), "scaled", "v").select("vec_id", "label", "split", "v")
     return scaled.where("split != 'train'"), scaled.where("split = 'train'")
@@ -169,7 +178,7 @@ def _small(*names):
 @query("fit_cross_layer")
 def fit_cross_layer(spark, sf_dir):
     results = run_classification(
-        records(spark, sf_dir).cache(), track="classical", pca_dim=16, classical=_small("LogisticRegression", "RandomForest"), sampled_networks={}
+        _records(spark, sf_dir), track="classical", pca_dim=16, classical=_small("LogisticRegression", "RandomForest"), sampled_networks={}
     )
     return results.metrics.select(*METRICS)
 
@@ -177,7 +186,7 @@ def fit_cross_layer(spark, sf_dir):
 @query("fit_per_layer")
 def fit_per_layer(spark, sf_dir):
     results = run_classification(
-        records(spark, sf_dir).cache(), task="per-layer", track="classical", pca_dim=8, classical=_small("LogisticRegression"), sampled_networks={}
+        _records(spark, sf_dir), task="per-layer", track="classical", pca_dim=8, classical=_small("LogisticRegression"), sampled_networks={}
     )
     return results.metrics.select(*METRICS)
 
@@ -186,7 +195,7 @@ def fit_per_layer(spark, sf_dir):
 def run_tracks(spark, sf_dir):
     """Both tracks on one set of records, best model per scope."""
     results = run_classification(
-        records(spark, sf_dir).cache(),
+        _records(spark, sf_dir),
         pca_dim=8,
         classical=_small("LogisticRegression", "KNN"),
         networks=models.network_models(["MLP_Tiny"], epochs=20),

@@ -62,13 +62,12 @@ def normals(size: str, key: str) -> str:
 
 
 def _mixed_words(x: np.ndarray) -> np.ndarray:
-    x ^= x >> np.uint64(16)
-    x *= np.uint64(MULTIPLIER_1)
-    x &= np.uint64(MASK)
-    x ^= x >> np.uint64(15)
-    x *= np.uint64(MULTIPLIER_2)
-    x &= np.uint64(MASK)
-    x ^= x >> np.uint64(15)
+    """The same finaliser; uint32 products wrap where the SQL text masks."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(MULTIPLIER_1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(MULTIPLIER_2)
+    x ^= x >> np.uint32(15)
     return x
 
 
@@ -76,12 +75,14 @@ def normals_flat(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Deviates of many keys, laid end to end: ``sizes[r]`` of them for key r."""
     even = sizes + (sizes & 1)
     starts = np.concatenate(([0], np.cumsum(even)))
-    position = np.arange(starts[-1]) - np.repeat(starts[:-1], even)
-    words = (np.repeat(a, even) + position).astype(np.uint64) & np.uint64(MASK)
-    words = _mixed_words(words) ^ np.repeat(b, even).astype(np.uint64)
+    position = np.arange(starts[-1], dtype=np.uint32) - np.repeat(starts[:-1].astype(np.uint32), even)
+    words = np.repeat(a.astype(np.uint32), even) + position
+    words = _mixed_words(words) ^ np.repeat(b.astype(np.uint32), even)
     uniform = (_mixed_words(words) + 0.5) / 4294967296.0
     pairs = uniform.reshape(-1, 2)
     radius = np.sqrt(-2.0 * np.log(pairs[:, 0]))
     angle = TWO_PI * pairs[:, 1]
-    out = np.column_stack((radius * np.cos(angle), radius * np.sin(angle))).ravel()
+    out = np.empty_like(uniform)
+    out[0::2] = radius * np.cos(angle)
+    out[1::2] = radius * np.sin(angle)
     return out if even.sum() == sizes.sum() else out[position < np.repeat(sizes, even)]

@@ -38,13 +38,13 @@ def vector_size(df: DataFrame, vec: str) -> int:
     return len(first[0])
 
 
-def fit_scaler(df: DataFrame, inp: str = "features", out: str = "scaled") -> PipelineModel:
+def fit_scaler(df: DataFrame, inp: str = "features", out: str = "scaled", n: int | None = None) -> PipelineModel:
     """Zero mean and unit population deviation.
 
     Spark's scaler divides by the sample deviation; the factor between the two
-    depends on the row count alone.
+    depends on the row count alone, which may be passed when it is known.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     sample = StandardScaler(inputCol=inp, outputCol=f"_{out}", withMean=True, withStd=True).fit(df)
     factor = float(np.sqrt(n / (n - 1))) if n > 1 else 1.0
     weights = Vectors.dense([factor] * sample.mean.size)
@@ -133,7 +133,8 @@ def comoments(df: DataFrame, vec: str, tasks: int = 2000) -> DataFrame:
         products, n = np.zeros((d, d + 1)), 0
         for batch in batches:
             rows = matrix(batch.column(0).drop_null(), d) - shift
-            products += rows.T @ np.column_stack((rows, np.ones(len(rows))))
+            products[:, :d] += rows.T @ rows
+            products[:, d] += rows.sum(axis=0)
             n += len(rows)
         if n:
             offsets = pa.array(np.arange(d + 1, dtype=np.int32) * (d + 1), pa.int32())

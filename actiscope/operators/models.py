@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -68,13 +69,14 @@ class ModelSpec:
 
 def fit_logreg(train: DataFrame, inp: str = "features", label: str = "label", max_iter: int = MAX_ITERATIONS) -> PipelineModel:
     """Scaled multinomial logistic regression; the penalty is that of C = 1 on summed losses."""
-    scaler = feature_ops.fit_scaler(train, inp, "_std")
+    n = train.count()
+    scaler = feature_ops.fit_scaler(train, inp, "_std", n)
     model = LogisticRegression(
         featuresCol="_std",
         labelCol=label,
         family="multinomial",
         maxIter=max_iter,
-        regParam=1.0 / train.count(),
+        regParam=1.0 / n,
         elasticNetParam=0.0,
         standardization=False,
     ).fit(scaler.transform(train))
@@ -279,6 +281,15 @@ def _features_from(df: DataFrame, inp: str, make: Callable[[DataFrame, str, str]
     return made.withColumn("_made", array_to_vector("_made")).drop("_raw")
 
 
+def _fit_prepared(made: DataFrame, label: str, max_iter: int) -> PipelineModel:
+    """Fit on made features, which are short and kept while the fit reads them."""
+    kept = made.select(label, "_made").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit_logreg(kept, "_made", label, max_iter)
+    finally:
+        kept.unpersist()
+
+
 def fit_conv(
     train: DataFrame, name: str = "CNN_Tiny", inp: str = "features", label: str = "label", max_iter: int = 100, seed: int = SEED
 ) -> FeatureModel:
@@ -289,7 +300,7 @@ def fit_conv(
     def prepare(df: DataFrame) -> DataFrame:
         return _features_from(df, inp, lambda d, v, o: feature_ops.conv_features_arrow(d, bank, v, o, stride))
 
-    return FeatureModel(prepare, fit_logreg(prepare(train), "_made", label, max_iter))
+    return FeatureModel(prepare, _fit_prepared(prepare(train), label, max_iter))
 
 
 def fit_chunks(
@@ -302,7 +313,7 @@ def fit_chunks(
     def prepare(df: DataFrame) -> DataFrame:
         return _features_from(df, inp, lambda d, v, o: feature_ops.chunk_tokens(d, width, v, o))
 
-    return FeatureModel(prepare, fit_logreg(prepare(train), "_made", label, max_iter))
+    return FeatureModel(prepare, _fit_prepared(prepare(train), label, max_iter))
 
 
 def classical_models(**settings) -> dict[str, ModelSpec]:

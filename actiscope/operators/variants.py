@@ -90,7 +90,7 @@ def variant_inputs(
     )
 
 
-_ELEMENTS_AT_ONCE = 1 << 20
+_ELEMENTS_AT_ONCE = 1 << 17
 _COMPUTED = T.StructType([T.StructField(n, T.ArrayType(T.FloatType())) for n in ("int4", "noise", "perturbed")])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from actiscope.operators import evaluate, features, models, profile, sampling
 from actiscope.schema import PCA_DIM, SEED, TEST_SIZE, VAL_SIZE
 from actiscope.session import new_work_dir
-from actiscope.sources.records import cached_records, filter_layer
+from actiscope.sources.records import CACHE_BYTES, filter_layer, training_rows
 from actiscope.sources.sinks import save_best_model, write_report, write_summary
 
 TASKS = ("cross-layer", "per-layer")
@@ -127,6 +127,7 @@ def run_classification(
     results_dir: str | None = None,
     select_on: str = "test",
     parallelism: int = 4,
+    cache_bytes: int = CACHE_BYTES,
 ) -> Results:
     """Fit, score and compare the models of one or both tracks.
 
@@ -134,7 +135,7 @@ def run_classification(
     then ``sampled_networks`` on the raw vectors of the same rows. ``nn-stream``:
     all rows, raw vectors, ``networks``. Components are fitted on the train rows;
     ``fit_on="all"`` fits them on all rows. ``parallelism`` layers are fitted at
-    the same time; each keeps its rows cached while it is.
+    the same time; each keeps its rows cached while it is, up to ``cache_bytes``.
     """
     if task not in TASKS:
         raise ValueError(f"unknown task: {task!r}")
@@ -149,14 +150,20 @@ def run_classification(
     times: list[tuple[str, str, str, float]] = []
     keep = ("sample_id", "layer_index", "label", "split", "features")
 
+    def prepared(rows: DataFrame) -> tuple[DataFrame, int]:
+        n_rows = rows.count()
+        width = features.vector_size(rows, "hidden_state_vector")
+        split = features.stack_vectors(split_rows(rows, split_by, val_size, test_size, seed))
+        return training_rows(split.select(*keep), n_rows, 8 * width, cache_bytes), n_rows
+
     def first_track(scope: tuple[str, DataFrame]) -> list[tuple[str, str, str, float]]:
         tag, rows = scope
-        ready = features.stack_vectors(split_rows(rows, split_by, val_size, test_size, seed)).select(*keep)
-        ready = cached_records(ready)
+        ready, n_rows = prepared(rows)
         reduced, inp = ready, "features"
         if pca_dim:
             base = ready if fit_on == "all" else ready.where("split = 'train'")
-            reduced = cached_records(features.fit_pca(base, pca_dim).transform(ready).drop("features"))
+            reduced = features.fit_pca(base, pca_dim).transform(ready).drop("features")
+            reduced = training_rows(reduced, n_rows, 8 * pca_dim, cache_bytes)
             inp = "pca"
         done = fit_and_score(reduced, classical, tag, "classical", inp, path, 1, models_dir, select_on)
         first = len(classical) + 1
@@ -167,8 +174,7 @@ def run_classification(
 
     def second_track(scope: tuple[str, DataFrame]) -> list[tuple[str, str, str, float]]:
         tag, rows = scope
-        ready = features.stack_vectors(split_rows(rows, split_by, val_size, test_size, seed)).select(*keep)
-        ready = cached_records(ready)
+        ready, _ = prepared(rows)
         done = fit_and_score(ready, networks, tag, "nn_streaming", "features", path, 1, models_dir, select_on)
         ready.unpersist()
         return done

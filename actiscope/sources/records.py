@@ -12,6 +12,8 @@ from actiscope.schema import RECORD_SCHEMA
 from actiscope.session import broadcast_if_small
 
 MAX_FETCH_FILES = 50_000
+PARTITION_BYTES = 128 << 20
+CACHE_BYTES = 1 << 40
 
 
 def scan_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA, locate: bool = False) -> DataFrame:
@@ -72,3 +74,13 @@ def fetch_rows(spark: SparkSession, path: str, addresses: DataFrame, schema: T.S
 def cached_records(df: DataFrame, layer: int | None = None) -> DataFrame:
     """Rows kept on the executors for several fits; what does not fit spills to disk."""
     return (df if layer is None else filter_layer(df, layer)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def training_rows(df: DataFrame, n_rows: int, row_bytes: int, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """Rows made ready for many passes: no more partitions than their size asks
+    for (but one per core), and cached while they fit ``cache_bytes``. Larger
+    sets are read from their source in every pass."""
+    size = n_rows * row_bytes
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
+    df = df.coalesce(parts)
+    return cached_records(df) if size <= cache_bytes else df
