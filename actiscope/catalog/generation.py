@@ -8,7 +8,7 @@ from actiscope.catalog import load, query
 from actiscope.catalog.fixtures import ALL_VARIANTS, MODEL, RECORD_KEYS, STATES, layer_states, positions, records
 from actiscope.functions import vectors
 from actiscope.operators import guards, variants
-from actiscope.plans.generate import assemble_records, drift_summary, run_totals
+from actiscope.plans.generate import assemble_records, build_records, drift_summary, run_totals
 from actiscope.schema import SEED
 from actiscope.sources.layer_states import token_states_from_vectors
 
@@ -164,16 +164,19 @@ def finite_drops(spark, sf_dir):
     return guards.finite_drops(_spoiled(spark, sf_dir))
 
 
+def _cut_inputs(spark, sf_dir):
+    """Layer states where inputs that start with a large value lost their last element."""
+    cut = F.expr("if(input_vec[0] > 0.3F, slice(input_vec, 1, size(input_vec) - 1), input_vec)")
+    return layer_states(spark, sf_dir).withColumn("input_vec", cut)
+
+
 @query(
     "shape_guard",
     f"""with {STATES}, bad as (select distinct g from states where i[1] > 0.3::float)
     select g as instruction_id, l as layer_index, len(o)::int as dim from states where g not in (select g from bad)""",
 )
 def shape_guard(spark, sf_dir):
-    """Inputs that start with a large value lose their last element."""
-    cut = F.expr("if(input_vec[0] > 0.3F, slice(input_vec, 1, size(input_vec) - 1), input_vec)")
-    states = layer_states(spark, sf_dir).withColumn("input_vec", cut)
-    return guards.shape_guard(states).select(*KEYS, F.size("output_vec").alias("dim"))
+    return guards.shape_guard(_cut_inputs(spark, sf_dir)).select(*KEYS, F.size("output_vec").alias("dim"))
 
 
 @query(
@@ -216,12 +219,14 @@ def last_token(spark, sf_dir):
 
 @query(
     "run_totals",
-    f"""with {STATES}, per as (select g, count(*) * 5 as n, max(l) as top from states group by g)
+    f"""with {STATES}, bad as (select distinct g from states where i[1] > 0.3::float),
+    per as (select g, count(*) * 5 as n, max(l) as top from states where g not in (select g from bad) group by g)
     select sum(n)::bigint as n_records, count(*) as n_instructions, (max(top) + 1)::int as n_layers,
-           min(n) as min_records, max(n) as max_records, round(avg(n), 6) as records_per_instruction from per""",
+           min(n) as min_records, max(n) as max_records, round(avg(n), 6) as records_per_instruction,
+           (select count(*) from bad) as n_failed from per""",
 )
 def totals(spark, sf_dir):
-    result = run_totals(records(spark, sf_dir))
+    """Totals of a run in which some instructions failed the shape guard."""
+    states = _cut_inputs(spark, sf_dir)
+    result = run_totals(build_records(states, MODEL), states)
     return result.withColumn("records_per_instruction", F.round("records_per_instruction", 6))
-
-

@@ -65,6 +65,11 @@ def fit_boosted(spark, sf_dir):
     return _fit(spark, sf_dir, "BoostedTrees", models.fit_boosted, rounds=3, depth=4)
 
 
+@query("fit_svm")
+def fit_svm(spark, sf_dir):
+    return _fit(spark, sf_dir, "SVM", models.fit_svm, count=128, max_iter=30)
+
+
 @query("fit_mlp")
 def fit_mlp(spark, sf_dir):
     return _fit(spark, sf_dir, "MLP_Tiny", models.fit_mlp, name="MLP_Tiny", epochs=30)

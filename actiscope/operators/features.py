@@ -207,3 +207,25 @@ def conv_features_arrow(
 def chunk_tokens(df: DataFrame, width: int, vec: str = "hidden_state_vector", out: str = "pooled") -> DataFrame:
     """View each vector as tokens of ``width`` values and average them."""
     return df.withColumn(out, F.expr(vectors.chunk_mean(vec, width)))
+
+
+def fourier_features(df: DataFrame, count: int, width: float, vec: str, out: str = "fourier", seed: int = SEED) -> DataFrame:
+    """Random Fourier features of a Gaussian kernel exp(-width * distance ** 2).
+
+    ``vec`` is an array column; the directions are a function of the seed and
+    the vector length, so every task makes the same ones.
+    """
+
+    def lift(v: pa.Array) -> pa.Array:
+        if not len(v):
+            return pa.array([], pa.list_(pa.float64()))
+        rows = matrix(v, len(v[0]))
+        a = np.arange(count, dtype=np.int64) + seed
+        sizes = np.full(count, rows.shape[1] + 1)
+        directions = keyed.normals_flat(a, a * 7919 & keyed.MASK, sizes).reshape(count, -1)
+        phase = np.pi * directions[:, -1] * 16  # wide against one turn, so close to uniform on the circle
+        lifted = np.sqrt(2.0 / count) * np.cos(rows @ (np.sqrt(2 * width) * directions[:, :-1].T) + phase)
+        offsets = pa.array(np.arange(0, lifted.size + 1, count, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(lifted.ravel()))
+
+    return df.withColumn(out, F.arrow_udf(lift, T.ArrayType(T.DoubleType()))(F.col(vec)))

@@ -16,12 +16,14 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
+    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,6 +116,16 @@ def fit_boosted(
     return OneVsRest(classifier=trees, featuresCol=inp, labelCol=label, parallelism=parallelism).fit(train)
 
 
+class FeatureModel:
+    """A feature transform of the raw vectors followed by a fitted model."""
+
+    def __init__(self, prepare: Callable[[DataFrame], DataFrame], model):
+        self.prepare, self.model = prepare, model
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.prepare(df))
+
+
 class NeighborModel:
     """Scaled k-nearest-neighbour vote over a fitted base."""
 
@@ -137,6 +149,38 @@ def fit_knn(
     return NeighborModel(feature_ops.fit_scaler(train, inp, "_std"), train, inp, label, id_col, k)
 
 
+def fit_svm(
+    train: DataFrame,
+    inp: str = "features",
+    label: str = "label",
+    count: int = 512,
+    max_iter: int = 100,
+    width: float | None = None,
+    seed: int = SEED,
+) -> FeatureModel:
+    """Gaussian-kernel support vectors, one against the rest, on random Fourier features.
+
+    The kernel width defaults to 1 / (length * variance of all values), the
+    penalty to that of C = 1.
+    """
+    n, d = train.count(), feature_ops.vector_size(train, inp)
+    if width is None:
+        values = train.select(Summarizer.metrics("mean", "variance").summary(F.col(inp)).alias("s")).first().s
+        means, spread = values.mean.toArray(), values.variance.toArray() * (n - 1) / n
+        width = 1.0 / (d * (spread.mean() + means.var()))
+
+    def prepare(df: DataFrame) -> DataFrame:
+        return _features_from(df, inp, lambda x, v, o: feature_ops.fourier_features(x, count, width, v, o, seed))
+
+    kept = prepare(train).select(label, "_made").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        margin = LinearSVC(featuresCol="_made", labelCol=label, maxIter=max_iter, regParam=1.0 / n, standardization=False)
+        model = OneVsRest(classifier=margin, featuresCol="_made", labelCol=label, parallelism=4).fit(kept)
+    finally:
+        kept.unpersist()
+    return FeatureModel(prepare, model)
+
+
 def network_layers(name: str, n_inputs: int, n_classes: int) -> list[int]:
     if name not in MLP_WIDTHS:
         raise ValueError(f"unknown network: {name!r}")
@@ -265,16 +309,6 @@ def batch_predict(df: DataFrame, scorer, vec: str = "hidden_state_vector", out:
     return scored.withColumn(out, best.cast("int")).drop("_scores")
 
 
-class FeatureModel:
-    """A feature transform of the raw vectors followed by a fitted model."""
-
-    def __init__(self, prepare: Callable[[DataFrame], DataFrame], model):
-        self.prepare, self.model = prepare, model
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.prepare(df))
-
-
 def _features_from(df: DataFrame, inp: str, make: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
     raw = df.withColumn("_raw", vector_to_array(inp))
     made = make(raw, "_raw", "_made")
@@ -320,8 +354,11 @@ def classical_models(**settings) -> dict[str, ModelSpec]:
     """Models of the first track, in training order.
 
     ``settings`` maps a model name to keyword arguments of its fit function.
+    The kernel model is only made when ``settings`` names it.
     """
     fits = {"LogisticRegression": fit_logreg, "RandomForest": fit_forest, "KNN": fit_knn, "BoostedTrees": fit_boosted}
+    if "SVM" in settings:
+        fits["SVM"] = fit_svm
     return {name: ModelSpec(name, "classical", fit, settings.get(name, {})) for name, fit in fits.items()}
 
 

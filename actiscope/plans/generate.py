@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from actiscope.functions import text, vectors
 from actiscope.operators import guards, variants
-from actiscope.schema import LABEL_NAMES, RECORD_SCHEMA, SEED
+from actiscope.schema import RECORD_SCHEMA, SEED
 
 
 def failing_instructions(states: DataFrame, seed: int = SEED) -> DataFrame:
@@ -55,26 +55,25 @@ def drift_summary(states: DataFrame, seed: int = SEED, engine: str = "arrow") ->
     )
 
 
-def run_totals(records: DataFrame) -> DataFrame:
-    """Records, instructions, layers and records per instruction in a sink."""
-    per_instruction = records.groupBy("instruction_id").agg(
+def run_totals(records: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """Records, instructions, layers and records per instruction in a sink.
+
+    Given the layer states it was made from, also the instructions that left no
+    record. Only ids are read, and counted per instruction before they are joined.
+    """
+    counted = records.groupBy("instruction_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("layer_index").alias("top_layer")
     )
-    return per_instruction.agg(
-        F.sum("n").alias("n_records"),
-        F.count(F.lit(1)).alias("n_instructions"),
+    if states is not None:
+        counted = states.select("instruction_id").distinct().join(counted, "instruction_id", "full_outer")
+    totals = [
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"),
+        F.count("n").alias("n_instructions"),
         (F.max("top_layer") + 1).alias("n_layers"),
         F.min("n").alias("min_records"),
         F.max("n").alias("max_records"),
         F.avg("n").alias("records_per_instruction"),
-    )
-
-
-__all__ = [
-    "LABEL_NAMES",
-    "assemble_records",
-    "build_records",
-    "drift_summary",
-    "failing_instructions",
-    "run_totals",
-]
+    ]
+    if states is not None:
+        totals.append(F.count_if(F.col("n").isNull()).alias("n_failed"))
+    return counted.agg(*totals)

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 import check
 
-SLOW = {"fit_boosted", "fit_conv", "fit_early_stop", "fit_forest", "fit_mlp", "fit_per_layer", "run_tracks", "fit_cross_layer"}
+SLOW = {"fit_boosted", "fit_conv", "fit_early_stop", "fit_forest", "fit_mlp", "fit_per_layer", "run_tracks", "fit_cross_layer", "fit_svm"}
 
 
 @pytest.fixture(scope="module")

@@ -26,6 +26,7 @@ SMALL = {
     "LogisticRegression": {"max_iter": 30},
     "RandomForest": {"trees": 10, "depth": 6},
     "BoostedTrees": {"rounds": 3, "depth": 3},
+    "SVM": {"count": 64, "max_iter": 20},
 }
 
 
@@ -40,14 +41,14 @@ def test_both_tracks_beat_chance(spark, records, tmp_path):
         results_dir=str(tmp_path / "results"),
     )
     metrics = {(r.track, r.classifier, r.split): r for r in results.metrics.collect()}
-    assert {c for _, c, _ in metrics} == {"LogisticRegression", "RandomForest", "KNN", "BoostedTrees", "MLP_Tiny", "CNN_Tiny", "Attention_Small"}
+    assert {c for _, c, _ in metrics} == {"LogisticRegression", "RandomForest", "KNN", "BoostedTrees", "SVM", "MLP_Tiny", "CNN_Tiny", "Attention_Small"}
     for (_, name, _), r in metrics.items():
         assert r.accuracy > (0.2 if name == "CNN_Tiny" else 0.5), name
         assert r.train_time_s > 0
     best = results.best.first()
     assert best.tag == "cross_layer" and best.f1_weighted == max(r.f1_weighted for r in metrics.values() if r.split == "test")
-    assert spark.read.option("header", True).csv(str(tmp_path / "results" / "summary_cross-layer")).count() == 14
-    assert results.report.where("row = 'accuracy'").count() == 7
+    assert spark.read.option("header", True).csv(str(tmp_path / "results" / "summary_cross-layer")).count() == 16
+    assert results.report.where("row = 'accuracy'").count() == 8
 
 
 def test_small_layers_are_left_out(records):
