@@ -203,7 +203,7 @@ def run_tracks(spark, sf_dir):
         _records(spark, sf_dir),
         pca_dim=8,
         classical=_small("LogisticRegression", "KNN"),
-        networks=models.network_models(["MLP_Tiny"], epochs=20),
+        networks=models.network_models(["MLP_Tiny"], epochs=5),
         sampled_networks={},
         results_dir=new_work_dir(spark, "results"),
     )

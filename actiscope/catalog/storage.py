@@ -11,8 +11,17 @@ from actiscope.catalog.generation import RECORD_SUMS, record_sums
 from actiscope.functions import vectors
 from actiscope.operators import evaluate
 from actiscope.plans.generate import build_records
+from actiscope.schema import SEED
 from actiscope.session import new_work_dir
-from actiscope.sources.records import cached_records, fetch_rows, filter_layer, row_locator, scan_labels, scan_records
+from actiscope.sources.records import (
+    cached_records,
+    fetch_rows,
+    filter_layer,
+    row_locator,
+    sample_records,
+    scan_labels,
+    scan_records,
+)
 from actiscope.sources.sinks import write_records, write_report, write_summary
 from actiscope.streaming.incremental import pending_states, resume_generation, stream_generation
 
@@ -58,6 +67,23 @@ def cached(spark, sf_dir):
     return rows.groupBy("layer_index", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(norm), 6).alias("mean_norm"))
 
 
+@query(
+    "sample_records",
+    f"""with {ALL_VARIANTS},
+    k as (select printf('%05d_L%03d_T%d', g, l, t) as id, t as y, round(sum(v::double), 5) + 0 as total
+          from variants group by g, l, t),
+    c as (select y, count(*) as n from k group by y), s as (select sum(n) as tot from c),
+    r as (select *, row_number() over (partition by y order by md5(concat_ws('|', '{SEED}', id)), id) as rn from k)
+    select id as sample_id, r.y as label, total from r join c on r.y = c.y cross join s
+    where tot <= 700 or rn <= round_even(700::double / tot * n, 0)""",
+)
+def sampled(spark, sf_dir):
+    """Seven hundred records drawn by address, then fetched."""
+    rows = sample_records(spark, _written(spark, sf_dir), 700)
+    total = F.round(F.expr(vectors.total("hidden_state_vector")), 5) + F.lit(0.0)
+    return rows.select("sample_id", "label", total.alias("total"))
+
+
 @query("filter_layer", f"with {RECORD_KEYS} select id as sample_id, t as label from keys where l = 5")
 def one_layer(spark, sf_dir):
     return filter_layer(scan_records(spark, _written(spark, sf_dir)), 5).select("sample_id", "label")

@@ -24,7 +24,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,7 @@ class ModelSpec:
     family: str  # "classical" or "network"
     fit: Callable
     settings: dict = field(default_factory=dict)
+    uses_val: bool = False  # the fit also takes the validation rows, as ``val``
 
 
 def fit_logreg(train: DataFrame, inp: str = "features", label: str = "label", max_iter: int = MAX_ITERATIONS) -> PipelineModel:
@@ -116,8 +117,25 @@ def fit_boosted(
     return OneVsRest(classifier=trees, featuresCol=inp, labelCol=label, parallelism=parallelism).fit(train)
 
 
+class Saver:
+    """Gives models made of several parts the writer calls of Spark's own models."""
+
+    def __init__(self, save: Callable[[str, str], None], mode: str = "error"):
+        self._save, self._mode = save, mode
+
+    def overwrite(self) -> Saver:
+        return Saver(self._save, "overwrite")
+
+    def save(self, path: str) -> None:
+        self._save(path, self._mode)
+
+
 class FeatureModel:
-    """A feature transform of the raw vectors followed by a fitted model."""
+    """A feature transform of the raw vectors followed by a fitted model.
+
+    Saving keeps the fitted model; the transform follows from the model's name,
+    its settings and the seed.
+    """
 
     def __init__(self, prepare: Callable[[DataFrame], DataFrame], model):
         self.prepare, self.model = prepare, model
@@ -125,6 +143,9 @@ class FeatureModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.prepare(df))
 
+    def write(self):
+        return self.model.write()
+
 
 class NeighborModel:
     """Scaled k-nearest-neighbour vote over a fitted base."""
@@ -142,6 +163,20 @@ class NeighborModel:
         scored = votes.select(F.col("query_id").alias(self.id_col), F.col("y_pred").cast("double").alias("prediction"))
         return df.join(scored, self.id_col)
 
+    def write(self) -> Saver:
+        def save(path: str, mode: str) -> None:
+            writer = self.scaler.write()
+            (writer.overwrite() if mode == "overwrite" else writer).save(f"{path}/scaler")
+            self.base.select(self.id_col, self.label, self.inp).write.mode(mode).parquet(f"{path}/base")
+
+        return Saver(save)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, k: int = NEIGHBORS) -> NeighborModel:
+        base = spark.read.parquet(f"{path}/base")
+        id_col, label, inp = base.columns
+        return cls(PipelineModel.load(f"{path}/scaler"), base, inp, label, id_col, k)
+
 
 def fit_knn(
     train: DataFrame, inp: str = "features", label: str = "label", id_col: str = "sample_id", k: int = NEIGHBORS
@@ -251,10 +286,12 @@ def fit_early_stop(
     seed: int = SEED,
     block_size: int = BATCH_SIZE,
     n_classes: int | None = None,
+    solver: str = "gd",
 ):
-    """Train in epochs of full gradient steps, each started from the last weights.
+    """Train in epochs of a few solver steps, each started from the last weights.
 
-    Returns the model of the best epoch and the log as rows of
+    ``gd`` takes gradient steps of the current rate, ``l-bfgs`` finds its own
+    step length. Returns the model of the best epoch and the log as rows of
     (epoch, val_loss, rate). Pass cached frames: every epoch reads both.
     """
     if n_classes is None:
@@ -267,7 +304,7 @@ def fit_early_stop(
             featuresCol=inp,
             labelCol=label,
             layers=layers,
-            solver="gd",
+            solver=solver,
             stepSize=rule.rate,
             maxIter=steps_per_epoch,
             tol=0.0,
@@ -288,6 +325,22 @@ def fit_early_stop(
     return best, log
 
 
+def fit_network(
+    train: DataFrame,
+    name: str = "MLP_Tiny",
+    inp: str = "features",
+    label: str = "label",
+    val: DataFrame | None = None,
+    steps_per_epoch: int = 5,
+    **settings,
+):
+    """A feed-forward network, stopped early when there are validation rows."""
+    if val is None or val.isEmpty():
+        settings.pop("patience", None)
+        return fit_mlp(train, name, inp, label, **settings)
+    return fit_early_stop(train, val, name, inp, label, steps_per_epoch=steps_per_epoch, solver="l-bfgs", **settings)[0]
+
+
 def linear_scorer(weights: np.ndarray, bias: np.ndarray, batch_size: int = 4096):
     """Class scores of an externally trained linear model, in batches."""
 
@@ -366,7 +419,7 @@ def network_models(names: Sequence[str] | None = None, **settings) -> dict[str,
     """Networks in training order, all or the named ones, with shared settings."""
     specs = {}
     for name in MLP_WIDTHS:
-        specs[name] = ModelSpec(name, "network", fit_mlp, {"name": name, **settings})
+        specs[name] = ModelSpec(name, "network", fit_network, {"name": name, **settings}, uses_val=True)
     for name in CONV_STAGES:
         specs[name] = ModelSpec(name, "network", fit_conv, {"name": name})
     specs["Attention_Small"] = ModelSpec("Attention_Small", "network", fit_chunks)

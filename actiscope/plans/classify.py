@@ -80,7 +80,8 @@ def fit_and_score(
     times = []
     for order, (name, spec) in enumerate(specs.items(), first_order):
         started = time.perf_counter()
-        model = spec.fit(train, inp=inp, **spec.settings)
+        extra = {"val": rows.where("split = 'val'")} if spec.uses_val else {}
+        model = spec.fit(train, inp=inp, **spec.settings, **extra)
         times.append((tag, track, name, time.perf_counter() - started))
         model.transform(held_out).select(
             F.lit(tag).alias("tag"),
@@ -92,7 +93,7 @@ def fit_and_score(
             F.col("label").alias("y_true"),
             F.col("prediction").cast("int").alias("y_pred"),
         ).write.parquet(f"{path}/fit={track}-{tag}-{order}")
-        if models_dir and hasattr(model, "write"):
+        if models_dir:
             own = spark.read.parquet(f"{path}/fit={track}-{tag}-{order}")
             score = evaluate.f1_scores(own.where(F.col("split") == select_on), ("tag",)).first()
             if score is not None:

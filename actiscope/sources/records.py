@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actiscope.schema import RECORD_SCHEMA
-from actiscope.session import broadcast_if_small
+from actiscope.operators.sampling import stratified_sample
+from actiscope.schema import RECORD_SCHEMA, SAMPLE_SIZE, SEED
+from actiscope.session import broadcast_if_small, stored
 
-MAX_FETCH_FILES = 50_000
+MAX_FETCH_FILES = 100_000
 PARTITION_BYTES = 128 << 20
 CACHE_BYTES = 1 << 40
 
@@ -63,7 +66,7 @@ def fetch_rows(spark: SparkSession, path: str, addresses: DataFrame, schema: T.S
     """
     files = [r[0] for r in addresses.select("file_path").distinct().limit(MAX_FETCH_FILES + 1).collect()]
     if 0 < len(files) <= MAX_FETCH_FILES:
-        rows = spark.read.schema(schema).parquet(*files)
+        rows = spark.read.schema(schema).option("basePath", path).parquet(*map(unquote, files))
         rows = rows.select(*schema.names, F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     else:
         rows = scan_records(spark, path, schema, locate=True)
@@ -71,6 +74,18 @@ def fetch_rows(spark: SparkSession, path: str, addresses: DataFrame, schema: T.S
     return rows.join(wanted, ["file_path", "row_index"], "left_semi").select(*schema.names)
 
 
+def sample_records(
+    spark: SparkSession, path: str, n_samples: int = SAMPLE_SIZE, seed: int = SEED, schema: T.StructType = RECORD_SCHEMA
+) -> DataFrame:
+    """A stratified sample of stored records that reads few vectors.
+
+    The sample is drawn on ids and labels with their addresses; only the parts
+    that hold a drawn row are then read in full.
+    """
+    drawn = stratified_sample(row_locator(spark, path, schema=schema), "sample_id", "label", n_samples, seed)
+    return fetch_rows(spark, path, stored(drawn.select("file_path", "row_index"), "drawn"), schema)
+
+
 def cached_records(df: DataFrame, layer: int | None = None) -> DataFrame:
     """Rows kept on the executors for several fits; what does not fit spills to disk."""
     return (df if layer is None else filter_layer(df, layer)).persist(StorageLevel.MEMORY_AND_DISK)

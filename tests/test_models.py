@@ -35,7 +35,7 @@ def test_both_tracks_beat_chance(spark, records, tmp_path):
         records,
         pca_dim=6,
         classical=models.classical_models(**SMALL),
-        networks=models.network_models(["MLP_Tiny", "CNN_Tiny", "Attention_Small"]),
+        networks=models.network_models(["MLP_Tiny", "CNN_Tiny", "Attention_Small"], epochs=8),
         sampled_networks={},
         models_dir=str(tmp_path / "models"),
         results_dir=str(tmp_path / "results"),
@@ -87,3 +87,13 @@ def test_lowest_class_wins_a_tie(spark):
 def test_weights_of_networks():
     assert models.n_weights(models.network_layers("MLP_2L", 64, 5)) == 65 * 512 + 513 * 128 + 129 * 5
     assert list(models.network_models())[:7] == list(models.MLP_WIDTHS)
+
+
+def test_saved_neighbor_model_scores_alike(spark, records, tmp_path):
+    rows = features.stack_vectors(records).select("sample_id", "label", "features", "instruction_id").cache()
+    model, asked = models.fit_knn(rows.where("instruction_id < 30")), rows.where("instruction_id >= 30")
+    model.write().overwrite().save(str(tmp_path / "knn"))
+    back = models.NeighborModel.load(spark, str(tmp_path / "knn"))
+    assert sorted(r[0:2] for r in model.transform(asked).select("sample_id", "prediction").collect()) == sorted(
+        r[0:2] for r in back.transform(asked).select("sample_id", "prediction").collect()
+    )

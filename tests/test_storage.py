@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from actiscope.operators import sampling
 from actiscope.plans.generate import build_records
 from actiscope.schema import LAYER_STATE_SCHEMA
 from actiscope.session import broadcast_if_small, work_root
@@ -53,12 +54,22 @@ def test_by_layer_folders(spark, tmp_path):
     assert back.count() == 60 and back.where("layer_index = 2").count() == 20
 
 
-def test_fetch_by_address(spark, tmp_path):
+@pytest.mark.parametrize("by_layer", [False, True])
+def test_fetch_by_address(spark, tmp_path, by_layer):
+    sink = str(tmp_path / "a sink")
+    sinks.write_records(build_records(some_states(spark, range(10))), sink, 15, by_layer=by_layer)
+    wanted = records.row_locator(spark, sink).where("label = 2")
+    got = records.fetch_rows(spark, sink, wanted).collect()
+    assert len(got) == 20 and {r.label for r in got} == {2} and {r.layer_index for r in got} == {0, 1}
+    assert all(r.sample_id == f"{r.instruction_id:05d}_L{r.layer_index:03d}_T2" for r in got)
+
+
+def test_sample_by_address(spark, tmp_path):
     sink = str(tmp_path / "sink")
-    sinks.write_records(build_records(some_states(spark, range(10))), sink, 15)
-    where = records.row_locator(spark, sink).where("label = 2")
-    got = records.fetch_rows(spark, sink, where)
-    assert got.count() == 20 and {r.label for r in got.collect()} == {2}
+    sinks.write_records(build_records(some_states(spark, range(20))), sink, 15)
+    drawn = sorted(r.sample_id for r in records.sample_records(spark, sink, 50).collect())
+    whole = sampling.stratified_sample(records.scan_records(spark, sink), n_samples=50)
+    assert len(drawn) == 50 and drawn == sorted(r.sample_id for r in whole.collect())
 
 
 def test_resume_finds_any_missing_instruction(spark, tmp_path):
