@@ -11,7 +11,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,11 +93,12 @@ def fit_pca(df: DataFrame, k: int = PCA_DIM, inp: str = "features", out: str = "
     loading of each component is made positive, so the result is repeatable.
     """
     table = comoments(df.select(vector_to_array(inp).alias("_v")), "_v").sort("i").toArrow()
-    sums = np.array([row.values.to_numpy() for row in table["row"]])
-    n = table["n"][0].as_py()
-    offset = sums[:, -1] / n
-    mu, lower = table["shift"].to_numpy() + offset, sums[:, :-1] / n - np.outer(offset, offset)
-    d = len(mu)
+    n, d = table["n"][0].as_py(), table.num_rows
+    lower, offset = np.zeros((d, d)), np.zeros(d)
+    for i, row in enumerate(table["row"]):
+        values = row.values.to_numpy() / n
+        lower[i, : i + 1], offset[i] = values[:-1], values[-1]
+    mu, lower = table["shift"].to_numpy() + offset, lower - np.outer(offset, offset)
     variances, axes = np.linalg.eigh(lower, UPLO="L")
     order = np.argsort(-variances, kind="stable")
     components = axes[:, order[: min(k, d)]].T
@@ -112,17 +112,19 @@ def explained_variance(model: PcaModel) -> float:
     return 100.0 * float(model.ratios.sum())
 
 
-def comoments(df: DataFrame, vec: str, tasks: int = 2000) -> DataFrame:
+def comoments(df: DataFrame, vec: str, tasks: int | None = None) -> DataFrame:
     """Sums of products of the vectors, found in one scan: rows (i, row, shift, n).
 
     Vectors are taken relative to one of them, whose values are ``shift``; this
-    keeps the sums small. A 1 is appended to each, so the last value of ``row``
-    is the plain sum of position i. Each task adds up the products of its rows
-    by matrix multiplication and emits one matrix, whose rows are then added up
-    over the tasks. What is shuffled depends on the vector length and the
-    number of tasks, not on the rows, so the input is first read by at most
-    ``tasks`` tasks. The result, of the vector length squared, is stored.
+    keeps the sums small. ``row`` holds the products of position i with
+    positions 0 to i, then the plain sum of position i. Each task adds up the
+    products of its rows by matrix multiplication and emits one such triangle;
+    the triangles are then added up row by row. What is shuffled depends on the
+    vector length and the number of tasks, not on the rows, so the input is
+    read by no more tasks than there are cores (at most 2000 unless ``tasks``
+    says otherwise). The result, of half the vector length squared, is stored.
     """
+    tasks = tasks or min(df.sparkSession.sparkContext.defaultParallelism, 2000)
     some = df.select(F.col(vec).cast("array<double>").alias("v")).where("v is not null").first()
     if some is None:
         raise ValueError("no vectors to sum")
@@ -130,28 +132,50 @@ def comoments(df: DataFrame, vec: str, tasks: int = 2000) -> DataFrame:
     d = len(shift)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        products, n = np.zeros((d, d + 1)), 0
+        products, sums, n = np.zeros((d, d)), np.zeros(d), 0
         for batch in batches:
             rows = matrix(batch.column(0).drop_null(), d) - shift
-            products[:, :d] += rows.T @ rows
-            products[:, d] += rows.sum(axis=0)
+            products += rows.T @ rows
+            sums += rows.sum(axis=0)
             n += len(rows)
         if n:
-            offsets = pa.array(np.arange(d + 1, dtype=np.int32) * (d + 1), pa.int32())
+            triangle = np.tril(np.ones((d, d + 1), dtype=bool), 1)  # one place more per row, for the sum
+            values = np.column_stack((products, sums))
+            values[np.arange(d), np.arange(d) + 1] = sums
+            offsets = np.concatenate(([0], np.cumsum(np.arange(d) + 2))).astype(np.int32)
             columns = {
                 "i": pa.array(np.arange(d, dtype=np.int32)),
-                "row": pa.ListArray.from_arrays(offsets, pa.array(products.ravel())),
+                "row": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[triangle])),
                 "shift": pa.array(shift),
                 "n": pa.array(np.full(d, n, dtype=np.int64)),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    partials = df.select(vec).coalesce(tasks).mapInArrow(partial, "i int, row array<double>, shift double, n bigint")
-    added = vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")
-    return stored(partials.groupBy("i").agg(added, F.max("shift").alias("shift"), F.sum("n").alias("n")), "comoments")
-
-
-def covariance(df: DataFrame, vec: str = "hidden_state_vector", tasks: int = 2000) -> DataFrame:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum of the rows of each i; a task holds its share of one triangle."""
+        found: dict[int, list] = {}
+        for batch in batches:
+            ids, shifts, counts = (batch.column(c).to_numpy() for c in ("i", "shift", "n"))
+            for at, row in enumerate(batch.column("row")):
+                kept = found.setdefault(int(ids[at]), [0.0, shifts[at], 0])
+                kept[0] = kept[0] + row.values.to_numpy()
+                kept[2] += counts[at]
+        for i, (row, base, n) in found.items():
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "i": pa.array([i], pa.int32()),
+                    "row": pa.array([row], pa.list_(pa.float64())),
+                    "shift": pa.array([base], pa.float64()),
+                    "n": pa.array([n], pa.int64()),
+                }
+            )
+
+    kind = "i int, row array<double>, shift double, n bigint"
+    partials = df.select(vec).coalesce(tasks).mapInArrow(partial, kind)
+    return stored(partials.repartition("i").mapInArrow(added, kind), "comoments")
+
+
+def covariance(df: DataFrame, vec: str = "hidden_state_vector", tasks: int | None = None) -> DataFrame:
     """Population covariance as rows (i, j, covariance) with j <= i."""
     rows = comoments(df, vec, tasks).withColumn("sum_i", F.element_at("row", -1))
     cells = rows.select("i", "n", "sum_i", F.posexplode(F.expr("slice(row, 1, i + 1)")).alias("j", "value"))
