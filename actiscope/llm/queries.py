@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from actiscope.llm import fingerprints, packing, quality
+from actiscope.llm import fingerprints, mixing, packing, quality, sharding, urls
 from actiscope.llm.common import load, query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,21 @@ def op2(spark, sf_dir):
     )
 
 
+@query("op3_extendible_shards", sharding.ORACLE)
+def op3(spark, sf_dir):
+    return sharding.shards(load(spark, sf_dir, "documents"))
+
+
 @query("op4_best_two_fit")
 def op4(spark, sf_dir):
     return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op5_poisson_mix", mixing.ORACLE)
+def op5(spark, sf_dir):
+    return mixing.mix(load(spark, sf_dir, "documents"))
+
+
+@query("op7_host_trust", urls.oracle())
+def op7(spark, sf_dir):
+    return urls.judge(load(spark, sf_dir, "pages"))
