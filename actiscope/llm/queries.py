@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from actiscope.llm import fingerprints, mixing, packing, quality, sharding, urls
+from actiscope.llm import fingerprints, mixing, packing, quality, sharding, substrings, urls
 from actiscope.llm.common import load, query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,3 +43,9 @@ def op5(spark, sf_dir):
 @query("op7_host_trust", urls.oracle())
 def op7(spark, sf_dir):
     return urls.judge(load(spark, sf_dir, "pages"))
+
+
+@query("op10_super_kmers")
+def op10(spark, sf_dir):
+    cut = substrings.without_repeats(load(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
