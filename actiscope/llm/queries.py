@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from actiscope.llm import fingerprints, mixing, packing, quality, sharding, substrings, urls
+from actiscope.llm import ann, fingerprints, mixing, packing, quality, sharding, substrings, urls
 from actiscope.llm.common import load, query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,12 @@ def op7(spark, sf_dir):
     return urls.judge(load(spark, sf_dir, "pages"))
 
 
+@query("op8_one_bit_codes")
+def op8(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 @query("op10_super_kmers")
 def op10(spark, sf_dir):
     cut = substrings.without_repeats(load(spark, sf_dir, "documents"))
