@@ -7,6 +7,7 @@ on its own, which costs at most one part-filled sequence per group.
 
 from __future__ import annotations
 
+import array
 import os
 import re
 import zlib
@@ -24,7 +25,7 @@ from actiscope.session import stored
 MAX_TOKENS = 2048
 GROUP_PIECES = 16_384
 """Pieces packed together; a few hundred KB in a task."""
-CACHED_CHARS = 4_000_000
+CACHED_CHARS = 6_000_000
 """Characters of words whose ids a worker keeps between texts."""
 
 
@@ -49,19 +50,19 @@ class WordCache:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array.array("I", e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.chars > CACHED_CHARS:
             self.words.clear()
             self.chars = 0
         parts = [[t] if self.inside_run.search(t) else t.split(" ") for t in texts]
-        known = self.words
-        new = list({w for p in parts for w in p[1:] if w not in known})
+        known, tails = self.words, [p[1:] for p in parts]
+        new = list(set().union(*tails) - known.keys())
         self.chars += sum(map(len, new))
         known.update(zip(new, self._encode([" " + w for w in new])))
         heads = self._encode([p[0] for p in parts])
-        return [head + b"".join(map(known.__getitem__, p[1:])) for head, p in zip(heads, parts)]
+        return [head + b"".join(map(known.__getitem__, p)) for head, p in zip(heads, tails)]
 
 
 _caches: dict[str, WordCache] = {}
