@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from actiscope.llm import ann, fingerprints, mixing, packing, quality, sharding, substrings, urls
+from actiscope.llm import ann, fingerprints, lm, mixing, packing, quality, sharding, substrings, urls
 from actiscope.llm.common import load, query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,6 +51,11 @@ def op8(spark, sf_dir):
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+@query("op9_gated_lm")
+def op9(spark, sf_dir):
+    return lm.log_likelihood(load(spark, sf_dir, "documents"), quality.fold() == 1)
+
+
 @query("op10_super_kmers")
 def op10(spark, sf_dir):
     cut = substrings.without_repeats(load(spark, sf_dir, "documents"))
