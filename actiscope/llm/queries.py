@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from actiscope.llm import ann, fingerprints, lm, mixing, packing, quality, sharding, substrings, urls
+from actiscope.llm import ann, fingerprints, lm, mixing, packing, quality, sharding, similar, substrings, urls
 from actiscope.llm.common import load, query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +40,11 @@ def op5(spark, sf_dir):
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+@query("op6_signature_trees")
+def op6(spark, sf_dir):
+    return similar.classes_of(load(spark, sf_dir, "documents"), similar.Rule(4, 85)).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op7_host_trust", urls.oracle())
 def op7(spark, sf_dir):
     return urls.judge(load(spark, sf_dir, "pages"))
