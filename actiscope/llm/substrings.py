@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actiscope.llm.common import shuffle_partitions, slices
-from actiscope.session import stored
 
 WINDOW = 20
 GRAM = 4
 SLICE_CHARS = 6_000_000
 """Characters of text whose windows a task holds at once."""
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 LOWEST = -(1 << 63)
 SPANS = "doc bigint, key bigint, starts binary"
+SENT = f"bucket int, settled boolean, {SPANS}"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -155,32 +155,52 @@ def pack_super_kmers(w: Words, doc_ids: np.ndarray, keys: np.ndarray, window: in
     head = np.flatnonzero(stands & ~joined)
     group = np.cumsum(stands & ~joined) - 1
     length = np.bincount(group[stands], minlength=len(head)) + window - 1
-    blobs = []
+    blobs, rank = [], np.zeros(len(w.words), np.int64)
     order = np.argsort(bucket[head], kind="stable")
     edge = np.flatnonzero(np.append(True, np.diff(bucket[head][order]) != 0)) if len(order) else []
     for i, j in zip(edge, np.append(edge[1:], len(order))) if len(order) else ():
         rows = order[i:j]
         begin, size = places[head[rows]], length[rows]
         take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-        used, content = np.unique(w.ids[take], return_inverse=True)
-        header = np.column_stack((doc_ids[doc[head[rows]]], keys[doc[head[rows]]], start[head[rows]], size)).astype("<i8")
-        text = b" ".join([w.words[k] for k in used.tolist()])
-        raw = struct.pack("<qqq", len(rows), len(content), len(text)) + header.tobytes() + content.astype("<u4").tobytes() + text
+        content = w.ids[take]
+        count = np.bincount(content, minlength=len(w.words))
+        used = np.flatnonzero(count)
+        used = used[np.argsort(-count[used], kind="stable")]  # small numbers for frequent words
+        rank[used] = np.arange(len(used))
+        owner, which = np.unique(doc[head[rows]], return_inverse=True)
+        parts = [doc_ids[owner], keys[owner], which, start[head[rows]], size, rank[content]]
+        raw = b"".join(map(planes, parts)) + b" ".join([w.words[k] for k in used.tolist()])
         blobs.append((int(bucket[head[rows[0]]]), zstandard.ZstdCompressor(level=1).compress(raw)))
     return settled, blobs
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then their next, as far as they differ from zero."""
+    data = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)
+    width = max([i + 1 for i in range(8) if data[:, i].any()], default=0)
+    return struct.pack("<qq", len(data), width) + data[:, :width].T.tobytes()
+
+
+def unpack_planes(raw: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, width = struct.unpack_from("<qq", raw, at)
+    data = np.zeros((n, 8), np.uint8)
+    data[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n).T
+    return data.view("<i8").ravel(), at + 16 + n * width
+
+
 def unpack_super_kmers(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """All super-k-mers of a bucket: rows (doc, key, start, words), their words as numbers, and the words."""
     number: dict[bytes, int] = {}
     headers, contents = [], []
     for blob in blobs:
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        n, m, _ = struct.unpack_from("<qqq", raw)
-        headers.append(np.frombuffer(raw, "<i8", 4 * n, 24).reshape(n, 4))
-        ids = np.frombuffer(raw, "<u4", m, 24 + 32 * n)
-        own = np.array([number.setdefault(x, len(number)) for x in raw[24 + 32 * n + 4 * m :].split(b" ")], np.int32)
-        contents.append(own[ids])
+        raw, at, parts = zstandard.ZstdDecompressor().decompress(blob), 0, []
+        for _ in range(6):
+            part, at = unpack_planes(raw, at)
+            parts.append(part)
+        doc, key, which, start, size, content = parts
+        headers.append(np.column_stack((doc[which], key[which], start, size)))
+        own = np.array([number.setdefault(x, len(number)) for x in raw[at:].split(b" ")], np.int32)
+        contents.append(own[content])
     return np.concatenate(headers), np.concatenate(contents), list(number)
 
 
@@ -219,33 +239,35 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
             w = Words([words_of(r[2]) for r in part])
             doc_ids, keys = (np.array([r[i] for r in part], np.int64) for i in (0, 1))
             settled, blobs = pack_super_kmers(w, doc_ids, keys, window, gram, buckets)
-            rows = [(None, d, k, s) for d, k, s in settled] + [(b, None, None, blob) for b, blob in blobs]
+            rows = [(int(d) % buckets, True, d, k, runs) for d, k, runs in settled] + [(b, False, None, None, blob) for b, blob in blobs]
             if rows:
-                columns = zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["bucket", "doc", "key", "starts"])
+                yield _batch(rows, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), ["bucket", "settled", "doc", "key", "starts"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bucket = [], None
-
-        def done():
-            found = settle_bucket(held, window)
-            if found:
-                columns = zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["doc", "key", "starts"])
-
+        held, now = [], None
+        spans = (pa.int64(), pa.int64(), pa.binary()), ["doc", "key", "starts"]
         for b in batches:
-            for number, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if held and number != bucket:
-                    yield from done()
+            done = []
+            for bucket, settled, doc, key, data in zip(*(c.to_pylist() for c in b.columns)):
+                if settled:
+                    done.append((doc, key, data))
+                    continue
+                if held and bucket != now:
+                    done += settle_bucket(held, window)
                     held = []
-                bucket = number
-                held.append(blob)
-        if held:
-            yield from done()
-
-    sent = stored(rows.mapInArrow(cut, f"bucket int, {SPANS}"), "superkmers")
-    packed = sent.where("bucket is not null").select("bucket", "starts").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return sent.where("bucket is null").drop("bucket").union(packed.mapInArrow(settle, SPANS))
+                now = bucket
+                held.append(data)
+            if done:
+                yield _batch(done, *spans)
+        if held and (done := settle_bucket(held, window)):
+            yield _batch(done, *spans)
+
+    sent = rows.mapInArrow(cut, SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(settle, SPANS)
+
+
+def _batch(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
 def covered(n: int, starts: list[bytes], window: int) -> np.ndarray:
