@@ -1,7 +1,7 @@
 """Near-duplicate classes by an exact Jaccard join of word shingles with signature trees.
 
-Equal sets are one node. Two sets above the threshold share one of their few smallest
-shingle hashes (their prefixes), so sets meet under shared prefix hashes. Under each hash a
+Equal sets are one node. Two sets above the threshold share several of their few smallest
+shingle hashes (their prefixes), so sets with enough shared prefix hashes meet under them. Under each hash a
 tree of OR-combined bitmaps and size ranges is traversed against itself, and pairs of nodes that cannot
 overlap enough, or lie in one component already, are skipped. First every set is compared
 under its smallest shared hash only; then only hashes whose sets are still in
@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 from actiscope.llm.common import shuffle_partitions, slices
 from actiscope.llm.graph import components
-from actiscope.llm.substrings import Words, run_hashes
+from actiscope.llm.substrings import Words, planes, run_hashes, unpack_planes
 from actiscope.session import broadcast_if_small, stored
 
 SLICE_CHARS = 6_000_000
@@ -41,8 +41,13 @@ class Rule:
     shingle: int = 5
     percent: int = 80
 
-    def prefix(self, n: np.ndarray | int):
-        return n - -(-n * self.percent // 100) + 1
+    def least_shared(self, n):
+        """Prefix hashes that two linked sets share, if the smaller has n shingles."""
+        return 1 + (n - -(-n * self.percent // 100)) // 4
+
+    def prefix(self, n: int) -> int:
+        """Smallest hashes of a set of n that are looked at: those beyond the least intersection, and as many as must be shared."""
+        return n - -(-n * self.percent // 100) + self.least_shared(n)
 
     def linked(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
@@ -58,7 +63,7 @@ class Rule:
 
 def shingle_sets(texts: list[str], rule: Rule) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles: all its words for a text of fewer than one shingle's, none without words."""
-    w = Words([t.translate(LOWER).encode().split() for t in texts])
+    w = Words([t.encode().lower().split() for t in texts])
     h = w.hashes[w.ids]
     runs = run_hashes(h, rule.shingle) if len(h) >= rule.shingle else np.empty(0, np.uint64)
     out = []
@@ -72,9 +77,6 @@ def shingle_sets(texts: list[str], rule: Rule) -> list[np.ndarray]:
     return out
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def signature(values: np.ndarray) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(values.tobytes())
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
@@ -115,17 +117,28 @@ def shared_hashes(docs: DataFrame, rule: Rule, buckets: int, parts: int) -> Data
         if not sets:
             return []
         prefix = [x[: rule.prefix(len(x))] for _, x in sets]
-        size = [len(p) for p in prefix]
-        hashes = np.concatenate(prefix)
-        table = np.column_stack((hashes.view(np.int64), np.repeat(np.array([s for s, _ in sets], np.int64), size, axis=0)))
+        owner = np.repeat(np.arange(len(sets)), [len(p) for p in prefix])
+        hashes, names = np.concatenate(prefix), np.array([s for s, _ in sets], np.int64)
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-        return [(int(bucket[order[i]]), table[order[i:j]].tobytes()) for i, j in zip(edge, np.append(edge[1:], len(order)))]
+        out = []
+        for i, j in zip(edge, np.append(edge[1:], len(order))):
+            used, which = np.unique(owner[order[i:j]], return_inverse=True)
+            parts = names[used, 0], names[used, 1], which, hashes[order[i:j]].view(np.int64)
+            out.append((int(bucket[order[i]]), b"".join(map(planes, parts))))
+        return out
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held):
-            table = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in held])
+            tables = []
+            for raw in held:
+                at, parts = 0, []
+                for _ in range(4):
+                    part, at = unpack_planes(raw, at)
+                    parts.append(part)
+                tables.append(np.column_stack((parts[3], parts[0][parts[2]], parts[1][parts[2]])))
+            table = np.concatenate(tables)
             table = table[np.lexsort((table[:, 2], table[:, 1], table[:, 0]))]
             new = np.append(True, (table[1:] != table[:-1]).any(axis=1))
             table = table[new]
@@ -310,8 +323,9 @@ def classes_of(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     # Equal sets are one node, named by its first row.
     nodes = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.first("n").alias("n")), "nodes")
-    shared = shared_hashes(content, rule, 4 * parts, parts)
-    keys = stored(shared.join(nodes, ["s1", "s2"]).select("hash", "node", "n"), "keys")
+    keys = stored(shared_hashes(content, rule, parts, parts).join(nodes, ["s1", "s2"]).select("hash", "node", "n"), "keys")
+    for _ in range(2):  # the second time without hashes that only dropped sets shared
+        keys = stored(_enough_shared(keys, rule), "keys")
     alive = keys.select("node").distinct()
     ids = stored(rows.join(alive.withColumnRenamed("node", "row"), "row", "left_semi").select("id").distinct(), "ids")
     some = content.join(broadcast_if_small(ids.withColumnRenamed("id", "wanted")), F.col("id").cast("long").eqNullSafe(F.col("wanted")), "left_semi")
@@ -328,6 +342,18 @@ def classes_of(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     return joined.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _enough_shared(keys: DataFrame, rule: Rule) -> DataFrame:
+    """Keys of the sets that share enough prefix hashes to link with a set of any size, the smallest possible
+    one above all, and of these the hashes still shared."""
+    p = rule.percent
+    smaller = f"((n * {p} + 99) div 100)"
+    per_set = F.expr(f"count(1) >= 1 + ({smaller} - ({smaller} * {p} + 99) div 100) div 4")
+    enough = keys.groupBy("node", "n").agg(per_set.alias("enough")).where("enough").select("node")
+    left = keys.join(enough, "node", "left_semi")
+    still = left.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("hash")
+    return left.join(still, "hash", "left_semi")
+
+
 def _first_links(keys: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> DataFrame:
     """Links among the sets that have the same smallest shared hash, in cells of bounded size."""
     own = keys.groupBy("node").agg(F.min("hash").alias("hash"))
