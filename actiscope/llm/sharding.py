@@ -72,8 +72,8 @@ def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text: st
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id") -> None:
-    """Write the documents with one folder ``shard=...`` per shard; ids are unique here."""
-    placed = shards(docs, limit, id_col).select(F.col("doc_id").alias(id_col), "shard")
+    """Write the documents with one folder ``shard=b...`` per shard, the bits after a letter; ids are unique here."""
+    placed = shards(docs, limit, id_col).select(F.col("doc_id").alias(id_col), F.concat(F.lit("b"), "shard").alias("shard"))
     docs.join(placed, id_col).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
