@@ -21,7 +21,8 @@ from actiscope.session import stored
 
 
 def stack_vectors(df: DataFrame, vec: str = "hidden_state_vector", out: str = "features") -> DataFrame:
-    """Array column as an ML vector; each row stays a row."""
+    """Array column as an ML vector; rows with a null vector are left out."""
+    df = df.where(F.col(vec).isNotNull())
     return df.withColumn(out, array_to_vector(F.col(vec).cast("array<double>")))
 
 
@@ -121,10 +122,11 @@ def comoments(df: DataFrame, vec: str, tasks: int | None = None) -> DataFrame:
     products of its rows by matrix multiplication and emits one such triangle;
     the triangles are then added up row by row. What is shuffled depends on the
     vector length and the number of tasks, not on the rows, so the input is
-    read by no more tasks than there are cores (at most 2000 unless ``tasks``
-    says otherwise). The result, of half the vector length squared, is stored.
+    read by as many tasks as there are cores unless ``tasks`` says otherwise.
+    The result, of half the vector length squared, is stored. Null vectors add
+    nothing.
     """
-    tasks = tasks or min(df.sparkSession.sparkContext.defaultParallelism, 2000)
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
     some = df.select(F.col(vec).cast("array<double>").alias("v")).where("v is not null").first()
     if some is None:
         raise ValueError("no vectors to sum")

@@ -393,9 +393,10 @@ def fit_conv(
 def fit_chunks(
     train: DataFrame, inp: str = "features", label: str = "label", max_iter: int = 100, width: int = TOKEN_WIDTH
 ) -> FeatureModel:
-    """Mean of the vector's tokens, then logistic regression; short vectors are one token."""
+    """Mean of the vector's tokens, then logistic regression; a length that tokens don't fill is an error."""
     size = feature_ops.vector_size(train, inp)
-    width = width if size % width == 0 else size
+    if size % width:
+        raise ValueError(f"vectors of {size} values are no whole number of tokens of {width}")
 
     def prepare(df: DataFrame) -> DataFrame:
         return _features_from(df, inp, lambda d, v, o: feature_ops.chunk_tokens(d, width, v, o))

@@ -1,11 +1,9 @@
 """Exact nearest neighbours by blocks.
 
-Base rows are grouped around pivots. The triangle inequality tells which groups
-can hold one of a query's k nearest rows; a query visits those and no others,
-and none is left out. Groups are cut into blocks of bounded size on both sides,
-so a group that holds a third of all rows becomes many tasks. A block returns
-at most k rows per query, found by matrix multiplication; pairs are never
-written out.
+Queries and base rows are dealt by hash into blocks whose bytes are bounded, and every
+block of queries meets every block of base rows once. A pair of blocks returns at
+most k rows per query, found by matrix multiplication; pairs of rows are never written
+out. The work is that of brute force: bound it by the base, whose rows are labelled.
 """
 
 from __future__ import annotations
@@ -18,15 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actiscope.functions.keyed import row_hash
-from actiscope.schema import SEED
-
 DIGITS = 9
 """Squared distances are compared after rounding to this many places; ties go
 to the smaller base id."""
 
-BLOCK_ROWS = 20_000
-MAX_PIVOTS = 512
+BLOCK_BYTES = 32 << 20
+"""Bytes of vectors in a block of either side."""
+PRODUCT_CELLS = 4_000_000
+"""Distances held at once."""
 
 
 def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -34,41 +31,42 @@ def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
         lists = lists.combine_chunks()
     if not len(lists):
         return np.zeros((0, 0))
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of all pairs; the expansion can be off by rounding."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
 
 
-def _nearest_in_block(k: int, rows_at_once: int = 256):
+def _nearest_in_block(k: int):
     def search(queries: pa.Table, base: pa.Table) -> pa.Table:
         q, b = _matrix(queries["vec"]), _matrix(base["vec"])
-        take_q, take_b, found = [], [], []
+        take_q, take_b, found = ([np.zeros(0, kind)] for kind in (np.int64, np.int64, np.float64))
         if len(q) and len(b):
-            ids = base["id"].combine_chunks()
-            order = np.asarray(pa.compute.rank(ids, tiebreaker="first").to_numpy())
-            slack = 4 * 10.0**-DIGITS + 1e-12 * ((q * q).sum(1).max() + (b * b).sum(1).max())
-            for at in range(0, len(q), rows_at_once):
-                rough = _squared(q[at : at + rows_at_once], b)
+            place = np.asarray(pa.compute.rank(base["id"].combine_chunks(), tiebreaker="first").to_numpy())
+            q_sums, b_sums = (q * q).sum(1), (b * b).sum(1)
+            # The expansion of the square can be off by rounding; what is within the slack is computed exactly.
+            slack = 4 * 10.0**-DIGITS + 1e-12 * (q_sums.max() + b_sums.max())
+            step = max(1, PRODUCT_CELLS // len(b))
+            for at in range(0, len(q), step):
+                part = q[at : at + step]
+                rough = q_sums[at : at + step, None] + b_sums[None, :] - 2 * part @ b.T
                 last = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-                for r in range(len(rough)):
-                    near = np.flatnonzero(rough[r] <= last[r] + slack)
-                    exact = ((b[near] - q[at + r]) ** 2).sum(1).round(DIGITS)
-                    best = np.lexsort((order[near], exact))[:k]
-                    take_q.append(np.full(len(best), at + r))
-                    take_b.append(near[best])
-                    found.append(exact[best])
-        pick_q = np.concatenate(take_q) if take_q else np.zeros(0, dtype=np.int64)
-        pick_b = np.concatenate(take_b) if take_b else np.zeros(0, dtype=np.int64)
-        distance = np.concatenate(found) if found else np.zeros(0)
+                row, near = np.nonzero(rough <= last[:, None] + slack)
+                exact = np.empty(len(row))
+                for cut in range(0, len(row), step * 16):
+                    rows = slice(cut, cut + step * 16)
+                    exact[rows] = ((b[near[rows]] - part[row[rows]]) ** 2).sum(1).round(DIGITS)
+                order = np.lexsort((place[near], exact, row))
+                row, near, exact = row[order], near[order], exact[order]
+                first = np.searchsorted(row, np.arange(len(part)))
+                keep = np.arange(len(row)) - first[row] < k
+                take_q.append(row[keep] + at)
+                take_b.append(near[keep])
+                found.append(exact[keep])
+        pick_q, pick_b = pa.array(np.concatenate(take_q)), pa.array(np.concatenate(take_b))
         return pa.table(
             {
-                "query_id": queries["id"].take(pa.array(pick_q)),
-                "base_id": base["id"].take(pa.array(pick_b)),
-                "label": base["label"].take(pa.array(pick_b)),
-                "distance2": pa.array(distance),
+                "query_id": queries["id"].take(pick_q),
+                "base_id": base["id"].take(pick_b),
+                "label": base["label"].take(pick_b),
+                "distance2": pa.array(np.concatenate(found)),
             }
         )
 
@@ -82,86 +80,28 @@ def nearest_neighbors(
     id_col: str = "sample_id",
     vec: str = "hidden_state_vector",
     label: str = "label",
-    seed: int = SEED,
-    pivots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The k nearest base rows of each query: query_id, base_id, label, distance2, rank."""
-    array = F.col(vec).cast("array<double>").alias("vec")
-    q = queries.select(F.col(id_col).alias("id"), array)
-    b = base.select(F.col(id_col).alias("id"), F.col(label).alias("label"), array)
+    """The k nearest base rows of each query: query_id, base_id, label, distance2, rank.
 
-    n_base = b.count()
-    if not n_base:
+    Rows with a null vector take no part. A base row travels once per block of queries and a query once
+    per block of base rows.
+    """
+    array = F.col(vec).cast("array<double>").alias("vec")
+    q = queries.select(F.col(id_col).alias("id"), array).where("vec is not null")
+    b = base.select(F.col(id_col).alias("id"), F.col(label).alias("label"), array).where("vec is not null")
+    sizes = [df.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first() for df in (q, b)]
+    if not sizes[1][0]:
         raise ValueError("no base rows")
-    if pivots is None:
-        pivots = math.ceil(math.sqrt(n_base) / 4) if n_base > block_rows else 1
-    pivots = min(pivots, MAX_PIVOTS, n_base)
-    centres = np.array([r.vec for r in b.orderBy(row_hash(seed, "id"), "id").limit(pivots).select("vec").collect()])
-
-    def place(v: pa.Array) -> pa.Array:
-        gaps = np.sqrt(_squared(_matrix(v), centres)) if len(v) else np.zeros((0, 1))
-        cell = gaps.argmin(axis=1)
-        return pa.StructArray.from_arrays(
-            [pa.array(cell.astype(np.int32)), pa.array(gaps[np.arange(len(cell)), cell])], names=["cell", "gap"]
-        )
-
-    placed = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
-    b = b.withColumn("_at", F.arrow_udf(place, placed)("vec")).select("id", "label", "vec", "_at.cell", "_at.gap")
-    cells = b.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()
-    cell_ids = np.array([c.cell for c in cells])
-    sizes = np.array([c.n for c in cells])
-    radii = np.array([c.radius for c in cells])
-    hubs = centres[cell_ids]
-
-    def visit(v: pa.Array) -> pa.Array:
-        """Cells that may hold one of the k nearest rows."""
-        if not len(v):
-            return pa.array([], pa.list_(pa.int32()))
-        points = _matrix(v)
-        gaps = np.sqrt(_squared(points, hubs))
-        # all rows of a cell lie within gap + radius, so the bound holds k rows once the sizes add up to k
-        reach = gaps + radii
-        order = reach.argsort(axis=1)
-        enough = (sizes[order].cumsum(axis=1) >= min(k, n_base)).argmax(axis=1)
-        bound = reach[np.arange(len(reach)), order[np.arange(len(reach)), enough]]
-        if len(centres) >= k:  # pivots are base rows themselves
-            bound = np.minimum(bound, np.sqrt(np.partition(_squared(points, centres), k - 1, axis=1)[:, k - 1]))
-        needed = gaps - radii <= bound[:, None] * (1 + 1e-9) + 1e-6
-        offsets = np.concatenate(([0], needed.sum(axis=1).cumsum())).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell_ids[np.nonzero(needed)[1]].astype(np.int32)))
-
-    q = q.withColumn("cell", F.explode(F.arrow_udf(visit, T.ArrayType(T.IntegerType()))("vec")))
-    visits = {r.cell: r.n for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    parts = T.StructType(
-        [T.StructField("cell", T.IntegerType()), T.StructField("blocks", T.IntegerType()), T.StructField("chunks", T.IntegerType())]
-    )
-    plan = [
-        (int(c), math.ceil(int(n) / block_rows), math.ceil(visits[int(c)] / block_rows))
-        for c, n in zip(cell_ids, sizes)
-        if int(c) in visits
-    ]
-    plan = F.broadcast(base.sparkSession.createDataFrame(plan, parts))  # one row per pivot
-
-    # A block meets every chunk of its cell's queries, so each side is repeated once per part of the other.
+    rows = max(1, block_bytes // (8 * max(1, sizes[1][1])))
+    chunks, blocks = (max(1, math.ceil(n / rows)) for n, _ in sizes)
     own = F.xxhash64("id")
-    b = b.join(plan, "cell").select(
-        "id",
-        "label",
-        "vec",
-        "cell",
-        F.pmod(own, F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-    )
-    q = q.join(plan, "cell").select(
-        "id",
-        "vec",
-        "cell",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(own, F.col("chunks")).cast("int").alias("chunk"),
-    )
-    key = ["cell", "block", "chunk"]
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    q = q.select("id", "vec", F.pmod(own, F.lit(chunks)).cast("int").alias("chunk")).withColumn("block", every(blocks))
+    b = b.select("id", "label", "vec", F.pmod(own, F.lit(blocks)).cast("int").alias("block")).withColumn("chunk", every(chunks))
     out = T.StructType(
         [
             T.StructField("query_id", queries.schema[id_col].dataType),
@@ -170,7 +110,7 @@ def nearest_neighbors(
             T.StructField("distance2", T.DoubleType()),
         ]
     )
-    candidates = q.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_nearest_in_block(k), out)
+    candidates = q.groupBy("block", "chunk").cogroup(b.groupBy("block", "chunk")).applyInArrow(_nearest_in_block(k), out)
     ranked = Window.partitionBy("query_id").orderBy("distance2", "base_id")
     return candidates.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 

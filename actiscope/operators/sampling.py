@@ -21,18 +21,17 @@ from pyspark.sql import types as T
 
 from actiscope.functions.keyed import row_hash
 from actiscope.schema import SAMPLE_SIZE, SEED, TEST_SIZE, VAL_SIZE
-from actiscope.session import stored
+from actiscope.session import broadcast_if_small, stored
 
 MAX_CLASSES = 10_000
 ROWS_PER_PREFIX = 50_000
-MAX_PREFIX_DIGITS = 5
 
 
-def class_counts(df: DataFrame, label: str) -> dict[Any, int]:
-    """Rows per class, on the driver; more than ``MAX_CLASSES`` classes is an error."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values and is no class column")
+def class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict[Any, int]:
+    """Rows per class, on the driver; more than ``max_classes`` classes is an error."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"{label} has more than {max_classes} values and is no class column")
     if any(r[0] is None for r in rows):
         raise ValueError(f"{label} holds nulls")
     return {r[0]: r[1] for r in sorted(rows)}
@@ -40,7 +39,7 @@ def class_counts(df: DataFrame, label: str) -> dict[Any, int]:
 
 def _prefix_digits(n_rows: int) -> int:
     """Hex digits that leave about ``ROWS_PER_PREFIX`` rows under one prefix."""
-    return max(1, min(MAX_PREFIX_DIGITS, math.ceil(math.log(max(1.0, n_rows / ROWS_PER_PREFIX), 16))))
+    return max(1, math.ceil(math.log(max(1.0, n_rows / ROWS_PER_PREFIX), 16)))
 
 
 def hash_cuts(df: DataFrame, id_col: str, label: str, ranks: Mapping[Any, list[int]], n_rows: int, seed: int) -> DataFrame:
@@ -161,25 +160,28 @@ def group_split(df: DataFrame, group: str = "instruction_id", test_size: float =
 def shuffle_rows(df: DataFrame, id_col: str = "sample_id", seed: int = SEED) -> DataFrame:
     """Add ``shuffle_rank``, the 1-based place of each row in a seeded random order.
 
-    Rows move once, to the task of their hash prefix; the rank is the place
-    within the prefix plus the rows under smaller prefixes.
+    Only ids move to the task of their hash prefix; the rank is the place within
+    the prefix plus the rows under smaller prefixes, and joins the rows by id. Ids are
+    unique and not null. A list of ranks counted to be short is broadcast, so that rows
+    and their vectors stay where they are.
     """
     digits = _prefix_digits(df.count())
     digest = row_hash(seed, id_col)
-    prefix = F.substring(digest, 1, digits)
+    ids = df.select(F.col(id_col).alias("_id"), digest.alias("_h"), F.substring(digest, 1, digits).alias("_prefix"))
     before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        df.groupBy(prefix.alias("_prefix"))
+        ids.groupBy("_prefix")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    within = F.row_number().over(Window.partitionBy("_prefix").orderBy("_h", id_col))
-    return (
-        df.withColumns({"_h": digest, "_prefix": prefix})
-        .withColumn("_within", within)
-        .join(F.broadcast(starts), "_prefix")  # at most 16 ** MAX_PREFIX_DIGITS rows
-        .select(*df.columns, (F.col("_start") + F.col("_within")).alias("shuffle_rank"))
+    within = F.row_number().over(Window.partitionBy("_prefix").orderBy("_h", "_id"))
+    ranked = (
+        ids.withColumn("_within", within)
+        .join(broadcast_if_small(stored(starts, "starts")), "_prefix")  # one row per ROWS_PER_PREFIX rows
+        .select("_id", (F.col("_start") + F.col("_within")).alias("shuffle_rank"))
     )
+    ranks = broadcast_if_small(stored(ranked, "ranks"))
+    return df.join(ranks, df[id_col] == ranks["_id"]).select(*df.columns, "shuffle_rank")
 
 
 def split_sizes(df: DataFrame, label: str = "label", split: str = "split") -> DataFrame:

@@ -21,16 +21,17 @@ def frames(spark, q, b, labels):
     return queries, base
 
 
-@pytest.mark.parametrize("pivots,block_rows", [(1, 20_000), (12, 20_000), (12, 25), (60, 7)])
-def test_equals_brute_force(spark, pivots, block_rows):
-    rng = np.random.default_rng(pivots + block_rows)
+@pytest.mark.parametrize("block_bytes,cells", [(1 << 20, 4_000_000), (25 * 32, 4_000_000), (7 * 32, 50)])
+def test_equals_brute_force(spark, monkeypatch, block_bytes, cells):
+    monkeypatch.setattr(neighbors, "PRODUCT_CELLS", cells)
+    rng = np.random.default_rng(block_bytes)
     centres = rng.normal(size=(6, 4)) * 5
     b = (centres[rng.integers(0, 6, 400)] + rng.normal(size=(400, 4))).round(2)
     b[100:240] = b[0]  # a third of the rows are copies
     q = np.vstack(((centres[rng.integers(0, 6, 60)] + rng.normal(size=(60, 4))).round(2), b[:3]))
     labels = rng.integers(0, 3, 400)
     queries, base = frames(spark, q, b, labels)
-    near = neighbors.nearest_neighbors(queries, base, 5, "id", "v", "y", pivots=pivots, block_rows=block_rows)
+    near = neighbors.nearest_neighbors(queries, base, 5, "id", "v", "y", block_bytes=block_bytes)
     got = {}
     for r in sorted(near.collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r.base_id, r.distance2, r.label))
