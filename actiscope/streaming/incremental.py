@@ -1,20 +1,25 @@
 """Restartable generation: in batches, and as a stream of arriving files.
 
-Progress is what the sink holds. Any instruction missing there is processed,
+Progress is what the sink holds. Any layer that lacks a label there is processed,
 including ones that failed before, and no separate state can disagree with it.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actiscope.plans.generate import build_records
-from actiscope.schema import LAYER_STATE_SCHEMA, MAX_RECORDS_PER_FILE, SEED
+from actiscope.operators.guards import drop_groups
+from actiscope.plans.generate import build_records, failing_instructions
+from actiscope.schema import LABELS, LAYER_STATE_SCHEMA, MAX_RECORDS_PER_FILE, RECORD_SCHEMA, SEED
 from actiscope.session import BROADCAST_ROWS, broadcast_if_small, stored
 from actiscope.sources.records import scan_records
 from actiscope.sources.sinks import write_records
 
+LAYER = ("instruction_id", "layer_index")
+ROW = (*LAYER, "label")
+
 
 def pending_states(
     states: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("instruction_id",), max_rows: int = BROADCAST_ROWS
@@ -43,12 +48,28 @@ def pending_states(
     return states.join(both, list(keys), "left_anti")
 
 
-def sink_keys(spark: SparkSession, sink: str) -> DataFrame:
-    """Instructions and layers the sink holds; an absent or empty sink holds none."""
+def sink_rows(spark: SparkSession, sink: str) -> DataFrame:
+    """Instructions, layers and labels the sink holds; an absent or empty sink holds none."""
     try:
-        return scan_records(spark, sink).select("instruction_id", "layer_index")
+        return scan_records(spark, sink).select(*ROW)
     except FileNotFoundError:
-        return spark.createDataFrame([], "instruction_id int, layer_index int")
+        return spark.createDataFrame([], "instruction_id int, layer_index int, label int")
+
+
+def lacking(states: DataFrame, sink: str, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Layer states whose layer lacks a label in the sink, and the rows that exist of them.
+
+    With ``whole`` all layers of such an instruction come back, so that a bad one among
+    them is seen. Only ids of the sink are read.
+    """
+    spark = states.sparkSession
+    rows = sink_rows(spark, sink)
+    held = rows.groupBy(*LAYER).agg(F.count_distinct("label").alias("n")).where(F.col("n") == len(LABELS))
+    todo = stored(pending_states(states.select(*LAYER), held, LAYER).distinct(), "todo")
+    key = LAYER[:1] if whole else LAYER
+    some = stored(todo.select(*key).distinct(), "some") if whole else todo
+    near = broadcast_if_small(some)
+    return states.join(near, list(key), "left_semi"), rows.join(near, list(key), "left_semi")
 
 
 def resume_generation(
@@ -58,19 +79,50 @@ def resume_generation(
     seed: int = SEED,
     engine: str = "arrow",
     max_records: int = MAX_RECORDS_PER_FILE,
-    keys: tuple[str, ...] = ("instruction_id",),
+    whole: bool = True,
 ) -> None:
-    """Generate and append records of all instructions the sink lacks."""
-    todo = pending_states(states, sink_keys(states.sparkSession, sink), keys)
-    write_records(build_records(todo, model_name, seed, engine), sink, max_records)
+    """Generate and append the records the sink lacks, down to a single label of a layer.
+
+    An instruction with a bad layer adds nothing, and a layer that isn't finite is
+    looked at again in every run.
+    """
+    todo, there = lacking(states, sink, whole)
+    there = stored(there.distinct(), "there")
+    records = build_records(todo, model_name, seed, engine)
+    if not there.isEmpty():
+        records = records.join(broadcast_if_small(there), list(ROW), "left_anti")
+    write_records(records, sink, max_records)
 
 
 def once(states: DataFrame) -> DataFrame:
-    """One row per (instruction, layer). Keys are checked first, on ids alone;
-    the vectors are shuffled only when some key is doubled."""
-    keys = ["instruction_id", "layer_index"]
-    doubled = states.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return states if doubled.isEmpty() else states.dropDuplicates(keys)
+    """One row per (instruction, layer), of several the one with the smallest vectors.
+
+    Keys are checked first, on ids alone; vectors are shuffled only when some key is doubled.
+    """
+    doubled = states.groupBy(*LAYER).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if doubled.isEmpty():
+        return states
+    return states.groupBy(*LAYER).agg(F.min(F.struct("input_vec", "output_vec")).alias("v")).select(*LAYER, "v.*")
+
+
+def failed_folder(sink: str) -> str:
+    return f"{sink.rstrip('/')}_failed"
+
+
+def failed_instructions(spark: SparkSession, sink: str) -> DataFrame:
+    """Instructions that a stream found a bad layer of."""
+    try:
+        return spark.read.schema("instruction_id int").parquet(failed_folder(sink)).distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "instruction_id int")
+
+
+def streamed_records(spark: SparkSession, sink: str) -> DataFrame:
+    """What a stream has built: the records of its sink but for failed instructions, whose other layers may have come earlier."""
+    failed = broadcast_if_small(stored(failed_instructions(spark, sink), "failed"))
+    return scan_records(spark, sink).join(failed, "instruction_id", "left_anti").select(*RECORD_SCHEMA.names)
 
 
 def stream_generation(
@@ -89,14 +141,18 @@ def stream_generation(
     Each micro-batch is the batch plan over its new files. A batch that is
     retried, or layers delivered again in another file, add nothing: what the
     sink already holds is left out. No state store is kept, so memory does not
-    grow with the ids seen. Layers of one instruction may arrive apart; only
-    those of one micro-batch are dropped together when one of them fails.
+    grow with the ids seen. Layers of one instruction may arrive apart, in any files: one
+    with a bad layer is listed in the failed folder, and ``streamed_records`` leaves all of it out,
+    as a batch run does.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        resume_generation(
-            once(batch), sink, model_name, seed, engine, max_records, ("instruction_id", "layer_index")
-        )
+        states = once(batch)
+        bad = stored(failing_instructions(states, seed).distinct(), "bad")
+        if not bad.isEmpty():
+            bad.write.mode("append").parquet(failed_folder(sink))
+        good = drop_groups(states, failed_instructions(spark, sink), "instruction_id")
+        resume_generation(good, sink, model_name, seed, engine, max_records, whole=False)
 
     arriving = (
         spark.readStream.schema(LAYER_STATE_SCHEMA)

@@ -83,6 +83,34 @@ def test_resume_finds_any_missing_instruction(spark, tmp_path):
     assert records.scan_records(spark, sink).count() == 100
 
 
+def test_resume_adds_missing_layers_and_labels(spark, tmp_path):
+    sink, everything = str(tmp_path / "sink"), some_states(spark, range(4), 3)
+    part = build_records(everything).where("not (instruction_id = 0 and layer_index = 1) and not (instruction_id = 2 and layer_index = 0 and label = 3)")
+    sinks.write_records(part.where("instruction_id < 3"), sink)
+    incremental.resume_generation(everything, sink)
+    got = sorted(map(str, records.scan_records(spark, sink).collect()))
+    assert got == sorted(map(str, build_records(everything).collect()))
+
+
+def test_stream_gives_the_batch_result_however_files_arrive(spark, tmp_path):
+    states = some_states(spark, range(6), 3).selectExpr(
+        "instruction_id", "layer_index", "input_vec", "if(instruction_id = 2 and layer_index = 1, array(float(1)), output_vec) as output_vec"
+    )
+    want = sorted(map(str, build_records(states).collect()))
+    for n, order in enumerate(([0, 1, 2], [1, 2, 0], [2, 0, 1])):
+        source, sink, state = (str(tmp_path / f"{d}{n}") for d in ("in", "out", "state"))
+        for layer in order:
+            states.where(f"layer_index = {layer}").write.mode("append").parquet(source)
+            incremental.stream_generation(spark, source, sink, state)
+        assert sorted(map(str, incremental.streamed_records(spark, sink).collect())) == want
+
+
+def test_copies_of_a_key_are_chosen_by_rule(spark):
+    rows = [(1, 0, [2.0], [1.0]), (1, 0, [1.0], [9.0]), (1, 1, [0.0], [0.0])]
+    got = incremental.once(spark.createDataFrame(rows, LAYER_STATE_SCHEMA).repartition(3)).collect()
+    assert sorted((r.layer_index, r.input_vec) for r in got) == [(0, [1.0]), (1, [0.0])]
+
+
 @pytest.mark.parametrize("max_rows", [0, 4, 100])
 def test_pending_by_either_list(spark, max_rows):
     everything = some_states(spark, range(10), 1)
