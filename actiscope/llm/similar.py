@@ -4,8 +4,10 @@ Equal sets are one node. Two sets above the threshold share several of their few
 shingle hashes (their prefixes), so sets with enough shared prefix hashes meet under them. Under each hash a
 tree of OR-combined bitmaps and size ranges is traversed against itself, and pairs of nodes that cannot
 overlap enough, or lie in one component already, are skipped. First every set is compared
-under its smallest shared hash only; then only hashes whose sets are still in
-different components are looked at, by bitmaps, and what these leave is verified on the sets.
+under its smallest shared hash only, then under its largest one whose sets are still in different
+components; the hashes that remain open after that are looked at by bitmaps, and what these leave
+is verified on the sets. Of a set's shared hashes the most frequent ones need not be looked at: as
+many as two linked sets share, less one.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ class Rule:
 
     def least_shared(self, n):
         """Prefix hashes that two linked sets share, if the smaller has n shingles."""
-        return 1 + (n - -(-n * self.percent // 100)) // 4
+        return 1 + (n - -(-n * self.percent // 100)) // 2
 
     def prefix(self, n: int) -> int:
         """Smallest hashes of a set of n that are looked at: those beyond the least intersection, and as many as must be shared."""
@@ -271,13 +273,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def linked_sets(nodes: np.ndarray, sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """Links that connect what a group's links connect: along the order of sizes first, then by the tree."""
+def linked_sets(nodes: np.ndarray, sets: list[np.ndarray], label: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Links that connect what a group's links connect and its labels don't: along the order of sizes first, then by the tree."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), nodes[i]))
-    sets, nodes = [sets[i] for i in order], nodes[order]
+    sets, nodes, label = [sets[i] for i in order], nodes[order], label[order]
     sizes = np.array([len(s) for s in sets], np.int64)
     out: list[tuple[int, int]] = []
-    tree = Tree(sizes, [bitmap(s) for s in sets], np.arange(len(sets)))
+    tree = Tree(sizes, [bitmap(s) for s in sets], label)
 
     def check(a: int, b: int) -> None:
         if tree.root(a) != tree.root(b) and rule.linked(overlap(sets[a], sets[b]), len(sets[a]), len(sets[b])):
@@ -331,9 +333,14 @@ def classes_of(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     some = content.join(broadcast_if_small(ids.withColumnRenamed("id", "wanted")), F.col("id").cast("long").eqNullSafe(F.col("wanted")), "left_semi")
     sets = sets_of(some, rule, "s1 bigint, s2 bigint, content binary", lambda _, sets, signs: [(*s, x.tobytes()) for s, x in {s: x for s, x in zip(signs, sets) if len(x)}.items()])
     sets = stored(sets.join(nodes.join(alive, "node", "left_semi"), ["s1", "s2"]).groupBy("node").agg(F.first("content").alias("content")), "sets")
-    first = _first_links(keys, sets, rule, parts)
-    later = _later_links(keys, sets, first, rule, parts)
-    found = components(first.union(later)).withColumnRenamed("node", "member")
+    own = keys.groupBy("node").agg(F.min("hash").alias("hash")).select("hash", F.lit(0).alias("kind"), "node", F.col("node").alias("component"))
+    links = _hash_links(own, sets, rule, parts, "first")
+    few = stored(_rarest(keys, rule), "few")
+    spread = _open_groups(few, links, rule)
+    own = spread.groupBy("node", "component").agg(F.max(F.struct("hash", "kind")).alias("at")).select("at.hash", "at.kind", "node", "component")
+    links = links.union(_hash_links(own, sets, rule, parts, "second"))
+    links = links.union(_later_links(_open_groups(few, links, rule), sets, rule, parts))
+    found = components(links).withColumnRenamed("node", "member")
     placed = nodes.join(found, nodes["node"] == found["member"], "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = stored(placed.join(least, "component").select("s1", "s2", "component_id"), "classes")
@@ -342,43 +349,56 @@ def classes_of(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     return joined.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _enough_shared(keys: DataFrame, rule: Rule) -> DataFrame:
-    """Keys of the sets that share enough prefix hashes to link with a set of any size, the smallest possible
-    one above all, and of these the hashes still shared."""
+def _must_share(rule: Rule) -> str:
+    """Prefix hashes that a set of ``n`` shares with whatever it links with: as many as the smallest such set asks for."""
     p = rule.percent
     smaller = f"((n * {p} + 99) div 100)"
-    per_set = F.expr(f"count(1) >= 1 + ({smaller} - ({smaller} * {p} + 99) div 100) div 4")
+    return f"(1 + ({smaller} - ({smaller} * {p} + 99) div 100) div 2)"
+
+
+def _enough_shared(keys: DataFrame, rule: Rule) -> DataFrame:
+    """Keys of the sets that share enough prefix hashes, and of these the hashes still shared."""
+    per_set = F.expr(f"count(1) >= {_must_share(rule)}")
     enough = keys.groupBy("node", "n").agg(per_set.alias("enough")).where("enough").select("node")
     left = keys.join(enough, "node", "left_semi")
     still = left.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("hash")
     return left.join(still, "hash", "left_semi")
 
 
-def _first_links(keys: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """Links among the sets that have the same smallest shared hash, in cells of bounded size."""
-    own = keys.groupBy("node").agg(F.min("hash").alias("hash"))
-    sizes = own.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    cells = own.join(sizes, "hash").withColumn("cell", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP_SETS)))
-    grouped = cells.join(sets, "node").select("hash", "cell", "node", "content").repartition(parts, "hash", "cell").sortWithinPartitions("hash", "cell")
+def _rarest(keys: DataFrame, rule: Rule) -> DataFrame:
+    """Keys without the most frequent hashes of each set. Two linked sets share at least as many as each may
+    lose and one more; the rarest of these has the others before it in both, so neither loses it."""
+    frequency = keys.groupBy("hash").agg(F.count(F.lit(1)).alias("members"))
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("members"), "hash"))
+    return keys.join(frequency, "hash").withColumn("place", place).where(F.col("place") >= F.expr(_must_share(rule))).select("hash", "node", "n")
+
+
+def _hash_links(own: DataFrame, sets: DataFrame, rule: Rule, parts: int, name: str) -> DataFrame:
+    """Links among the sets under one (hash, kind) each, in cells of bounded size that differ from pass to pass."""
+    sizes = own.groupBy("hash", "kind").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    cell = F.pmod(F.xxhash64("node", F.lit(name)), F.ceil(F.col("members") / GROUP_SETS))
+    cells = own.join(sizes, ["hash", "kind"]).withColumn("cell", cell)
+    key = ("hash", "kind", "cell")
+    grouped = cells.join(sets, "node").select(*key, "node", "component", "content").repartition(parts, *key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, members in _groups(_rows(batches), 2):
-            if len(members) > 1:
-                links = linked_sets(np.array([m[0] for m in members]), [np.frombuffer(m[1], np.uint64) for m in members], rule)
+        for _, members in _groups(_rows(batches), len(key)):
+            if len({m[1] for m in members}) > 1:
+                nodes, label = (np.array([m[i] for m in members]) for i in (0, 1))
+                links = linked_sets(nodes, [np.frombuffer(m[2], np.uint64) for m in members], label, rule)
                 if links:
                     yield _batch(links, "a bigint, b bigint")
 
-    return stored(grouped.mapInArrow(run, "a bigint, b bigint"), "first")
+    return stored(grouped.mapInArrow(run, "a bigint, b bigint"), name)
 
 
-def _later_links(keys: DataFrame, sets: DataFrame, first: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """The remaining links: under each hash between sets of different components, by bitmaps, then verified."""
-    found = components(first).withColumnRenamed("node", "member")
-    of = keys.select("node", "n").distinct()
-    of = stored(of.join(found, of["node"] == found["member"], "left").select("node", "n", F.coalesce("component", "node").alias("component")), "components")
+def _open_groups(keys: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:
+    """``hash, kind, node, component, n, blocks``: the sets under each hash and size class that links so far leave in several components."""
+    found = components(links).withColumnRenamed("node", "member")
+    placed = stored(keys.join(found, keys["node"] == found["member"], "left").select("hash", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
     kind = rule.size_class(F.col("n"))
     # A set belongs to its size class and visits the next one.
-    spread = keys.select("hash", "node").join(of, "node").select("hash", "node", "component", F.explode(F.array(kind, kind + 1)).alias("kind"), kind.alias("home"))
+    spread = placed.select("hash", "node", "n", "component", F.explode(F.array(kind, kind + 1)).alias("kind"), kind.alias("home"))
     group = spread.groupBy("hash", "kind").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"), F.max("home").alias("home"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"),
@@ -388,9 +408,14 @@ def _later_links(keys: DataFrame, sets: DataFrame, first: DataFrame, rule: Rule,
     once = F.row_number().over(W.partitionBy("kind", "members", "mark").orderBy("hash"))
     group = group.withColumn("once", once).where("once = 1").select("hash", "kind", F.ceil(F.col("members") / GROUP_SETS).alias("blocks"))
     rows = spread.join(broadcast_if_small(stored(group, "groups")), ["hash", "kind"])
+    return stored(rows.select("hash", "kind", "node", "component", "n", "blocks"), "open")
+
+
+def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> DataFrame:
+    """The remaining links: under each hash between sets of different components, by bitmaps, then verified."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("hash", "kind", "x", "y", "node", "component")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -398,7 +423,7 @@ def _later_links(keys: DataFrame, sets: DataFrame, first: DataFrame, rule: Rule,
             yield _batch([(n, len(x), bitmap(x).tobytes()) for n, x in zip(b.column(0).to_pylist(), values)], "node bigint, n bigint, bits binary")
 
     maps = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "content").mapInArrow(bits, "node bigint, n bigint, bits binary")
-    grouped = rows.select("hash", "kind", "x", "y", "node", "component").join(maps, "node")
+    grouped = rows.join(maps, "node")
     grouped = grouped.select("hash", "kind", "x", "y", "node", "component", "n", "bits").repartition(parts, "hash", "kind", "x", "y").sortWithinPartitions("hash", "kind", "x", "y", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
