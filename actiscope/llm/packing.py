@@ -25,7 +25,7 @@ from actiscope.session import stored
 MAX_TOKENS = 2048
 GROUP_PIECES = 16_384
 """Pieces packed together; a few hundred KB in a task."""
-CACHED_CHARS = 6_000_000
+CACHED_CHARS = 12_000_000
 """Characters of words whose ids a worker keeps between texts."""
 
 
