@@ -10,8 +10,8 @@ a third of all documents hold reaches its bucket once per slice.
 
 from __future__ import annotations
 
-import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +30,10 @@ GRAM = 4
 SLICE_CHARS = 6_000_000
 """Characters of text whose windows a task holds at once."""
 BUCKETS_PER_PARTITION = 2
+COMMON = 65_536
+"""Words that packed strings name by number; others are spelled. This is about size, not about results."""
+COMMON_SHARE = 64
+"""One in so many documents, by hash of the text, gives the counts that choose them."""
 LOWEST = -(1 << 63)
 SPANS = "doc bigint, key bigint, starts binary"
 SENT = f"bucket int, settled boolean, {SPANS}"
@@ -49,7 +53,7 @@ class Words:
         self.words = list(number)
         self.lengths = np.array([len(d) for d in docs], np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
-        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        self.hashes = word_hashes(self.words)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -136,7 +140,20 @@ def _runs(marks: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[tup
         yield int(owner[i]), pairs[i:j].tobytes()
 
 
-def pack_super_kmers(w: Words, doc_ids: np.ndarray, keys: np.ndarray, window: int, gram: int, buckets: int):
+def common_words(docs: DataFrame, text: str = "text") -> list[bytes]:
+    """At most COMMON frequent words of a share of the documents, the most frequent first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter(w for b in batches for t in b.column(0).to_pylist() for w in words_of(t))
+        if counts:
+            yield _batch(list(counts.items()), (pa.binary(), pa.int64()), ["word", "n"])
+
+    some = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.pmod(F.xxhash64("t"), F.lit(COMMON_SHARE)) == 0))
+    counts = some.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+
+
+def pack_super_kmers(w: Words, doc_ids: np.ndarray, keys: np.ndarray, window: int, gram: int, buckets: int, common: dict[bytes, int]):
     """Settle repeats inside the slice and pack the windows that must travel.
 
     Returns the marked starts per document, and (bucket, blob) pairs.
@@ -155,7 +172,8 @@ def pack_super_kmers(w: Words, doc_ids: np.ndarray, keys: np.ndarray, window: in
     head = np.flatnonzero(stands & ~joined)
     group = np.cumsum(stands & ~joined) - 1
     length = np.bincount(group[stands], minlength=len(head)) + window - 1
-    blobs, rank = [], np.zeros(len(w.words), np.int64)
+    code = np.fromiter((common.get(x, -1) for x in w.words), np.int64, len(w.words))
+    blobs = []
     order = np.argsort(bucket[head], kind="stable")
     edge = np.flatnonzero(np.append(True, np.diff(bucket[head][order]) != 0)) if len(order) else []
     for i, j in zip(edge, np.append(edge[1:], len(order))) if len(order) else ():
@@ -163,14 +181,13 @@ def pack_super_kmers(w: Words, doc_ids: np.ndarray, keys: np.ndarray, window: in
         begin, size = places[head[rows]], length[rows]
         take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
         content = w.ids[take]
-        count = np.bincount(content, minlength=len(w.words))
-        used = np.flatnonzero(count)
-        used = used[np.argsort(-count[used], kind="stable")]  # small numbers for frequent words
-        rank[used] = np.arange(len(used))
+        coded = code[content]
+        rare, place = np.unique(content[coded < 0], return_inverse=True)
+        coded[coded < 0] = len(common) + place
         owner, which = np.unique(doc[head[rows]], return_inverse=True)
-        parts = [doc_ids[owner], keys[owner], which, start[head[rows]], size, rank[content]]
-        raw = b"".join(map(planes, parts)) + b" ".join([w.words[k] for k in used.tolist()])
-        blobs.append((int(bucket[head[rows[0]]]), zstandard.ZstdCompressor(level=1).compress(raw)))
+        parts = [doc_ids[owner], keys[owner], which, start[head[rows]], size, coded]
+        raw = b"".join(map(planes, parts)) + b" ".join([w.words[k] for k in rare.tolist()])
+        blobs.append((int(bucket[head[rows[0]]]), zstandard.ZstdCompressor(level=3).compress(raw)))
     return settled, blobs
 
 
@@ -188,8 +205,8 @@ def unpack_planes(raw: bytes, at: int) -> tuple[np.ndarray, int]:
     return data.view("<i8").ravel(), at + 16 + n * width
 
 
-def unpack_super_kmers(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """All super-k-mers of a bucket: rows (doc, key, start, words), their words as numbers, and the words."""
+def unpack_super_kmers(blobs: list[bytes], n_common: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All super-k-mers of a bucket: rows (doc, key, start, words), their words as numbers, and the spelled words, numbered after the common ones."""
     number: dict[bytes, int] = {}
     headers, contents = [], []
     for blob in blobs:
@@ -199,18 +216,24 @@ def unpack_super_kmers(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list
             parts.append(part)
         doc, key, which, start, size, content = parts
         headers.append(np.column_stack((doc[which], key[which], start, size)))
-        own = np.array([number.setdefault(x, len(number)) for x in raw[at:].split(b" ")], np.int32)
-        contents.append(own[content])
+        own = np.array([n_common + number.setdefault(x, len(number)) for x in raw[at:].split(b" ") if x], np.int32)
+        content, spelled = content.astype(np.int32), content >= n_common
+        content[spelled] = own[content[spelled] - n_common]
+        contents.append(content)
     return np.concatenate(headers), np.concatenate(contents), list(number)
 
 
-def settle_bucket(blobs: list[bytes], window: int) -> list[tuple[int, int, bytes]]:
-    """Windows of a bucket that start earlier elsewhere, as runs of starts per document."""
-    headers, ids, words = unpack_super_kmers(blobs)
-    places, row = window_starts(headers[:, 3], np.cumsum(headers[:, 3]) - headers[:, 3], window)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
+
+
+def settle_bucket(blobs: list[bytes], window: int, common: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Windows of a bucket that start earlier elsewhere, as runs of starts per document; ``common`` are the hashes of the common words."""
+    headers, ids, words = unpack_super_kmers(blobs, len(common))
     first = np.cumsum(headers[:, 3]) - headers[:, 3]
+    places, row = window_starts(headers[:, 3], first, window)
     start = headers[row, 2] + places - first[row]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
+    hashes = np.concatenate((common, word_hashes(words)))
     earlier, _ = repeated(ids, places, (headers[row, 0], start), window, run_hashes(hashes[ids], window)[places])
     # One document has one (doc, key); number the pairs that are marked.
     row, start = row[earlier], start[earlier]
@@ -230,7 +253,11 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     buckets = parts * BUCKETS_PER_PARTITION
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    shared = spark.sparkContext.broadcast(common_words(docs, text))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = {x: i for i, x in enumerate(shared.value)}
+
         def read():
             for b in batches:
                 yield from zip(*(b.column(i).to_pylist() for i in range(3)))
@@ -238,13 +265,13 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
         for part in slices(read(), lambda r: len(r[2]), SLICE_CHARS):
             w = Words([words_of(r[2]) for r in part])
             doc_ids, keys = (np.array([r[i] for r in part], np.int64) for i in (0, 1))
-            settled, blobs = pack_super_kmers(w, doc_ids, keys, window, gram, buckets)
+            settled, blobs = pack_super_kmers(w, doc_ids, keys, window, gram, buckets, common)
             rows = [(int(d) % buckets, True, d, k, runs) for d, k, runs in settled] + [(b, False, None, None, blob) for b, blob in blobs]
             if rows:
                 yield _batch(rows, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), ["bucket", "settled", "doc", "key", "starts"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held, now, common = [], None, word_hashes(shared.value)
         spans = (pa.int64(), pa.int64(), pa.binary()), ["doc", "key", "starts"]
         for b in batches:
             done = []
@@ -253,13 +280,13 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
                     done.append((doc, key, data))
                     continue
                 if held and bucket != now:
-                    done += settle_bucket(held, window)
+                    done += settle_bucket(held, window, common)
                     held = []
                 now = bucket
                 held.append(data)
             if done:
                 yield _batch(done, *spans)
-        if held and (done := settle_bucket(held, window)):
+        if held and (done := settle_bucket(held, window, common)):
             yield _batch(done, *spans)
 
     sent = rows.mapInArrow(cut, SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")

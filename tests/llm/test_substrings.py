@@ -32,7 +32,10 @@ def test_dense_repeats(make_docs, window, gram):
     assert found(make_docs(rows), window=window, gram=gram) == brute(rows, window)
 
 
-def test_slices_and_buckets(make_docs, monkeypatch):
+@pytest.mark.parametrize("share", [1, 10**9])
+def test_slices_and_buckets(make_docs, monkeypatch, share):
+    """With all repeated words as common ones, and with none."""
+    monkeypatch.setattr(S, "COMMON_SHARE", share)
     monkeypatch.setattr(S, "SLICE_CHARS", 300)
     draw = random.Random(2)
     passage = " ".join(f"p{i}" for i in range(55))
