@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from actiscope.llm.common import shuffle_partitions
 from actiscope.session import stored
 
 BITS = 512
@@ -24,6 +23,8 @@ ERROR = 2.5
 """Standard deviations that the error bound covers."""
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 1_024
+CELL_ROWS = 65_536
+"""Codes that one task meets a block of queries with; the more, the fewer candidates they leave."""
 HELD = 2_000_000
 """Candidates that a task holds before it thins them by the bounds found so far."""
 SEED = 7
@@ -89,14 +90,13 @@ def code_blocks(base: DataFrame, centre: np.ndarray, turn: np.ndarray) -> DataFr
     return base.select("class", "v").mapInArrow(run, "ids binary, bits binary, length binary, fit binary")
 
 
-def candidates(blocks: DataFrame, queries: DataFrame, n_queries: int, k: int, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
+def candidates(blocks: DataFrame, n_codes: int, queries: DataFrame, n_queries: int, k: int, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
     """``query, class, least, most``: pairs that the bounds leave, over query blocks against all code blocks.
 
     A task keeps, per query, the k smallest upper bounds so far and drops what lies beyond them.
     """
-    parts = shuffle_partitions(queries.sparkSession)
     groups = max(1, -(-n_queries // QUERY_ROWS))
-    spread = max(1, -(-parts // groups))
+    spread = max(1, -(-n_codes // CELL_ROWS))
     ask = queries.withColumn("q", F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int")).groupBy("q").agg(F.collect_list("class").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_vectors"))
     ask = ask.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     side = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -158,7 +158,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec).cast("array<float>").alias("v")).join(found.select("v", "class"), "v").select("query_id", "class")
     asked = stored(asked, "asked")
     ask = stored(found.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v"), "queries")
-    near = stored(candidates(code_blocks(found, centre, turn), ask, ask.count(), k + 1, centre, turn), "candidates")
+    near = stored(candidates(code_blocks(found, centre, turn), found.count(), ask, ask.count(), k + 1, centre, turn), "candidates")
     place = F.row_number().over(W.partitionBy("query").orderBy("most"))
     limit = near.select("query", "most").withColumn("place", place).where(F.col("place") <= k + 1).groupBy("query").agg(F.max("most").alias("limit"), F.count(F.lit(1)).alias("n"))
     left = near.join(limit, "query").where((F.col("n") <= k) | (F.col("least") <= F.col("limit"))).select("query", "class")
