@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from actiscope.catalog import load, query
-from actiscope.catalog.fixtures import positions, records
+from actiscope.catalog.fixtures import positions
 from actiscope.functions import vectors
 from actiscope.operators import features
 from actiscope.plans.classify import explain_components
@@ -50,12 +49,31 @@ def covariance(spark, sf_dir):
     return cells.withColumn("covariance", F.round("covariance", 9) + F.lit(0.0))
 
 
-@query("pca_fit")
+@query(
+    "pca_fit",
+    f"""with {LONG} select a.i, b.i as j, round(covar_pop(a.x, b.x), 6) + 0 as covariance
+    from p a join p b on a.vec_id = b.vec_id and b.i <= a.i group by a.i, b.i""",
+)
 def pca_fit(spark, sf_dir):
-    """Loadings of the first eight components of the records."""
-    model = features.fit_pca(features.stack_vectors(records(spark, sf_dir)), 8)
-    rows = [(int(c), int(i), float(x)) for (c, i), x in np.ndenumerate(model.components)]
-    return spark.createDataFrame(rows, "component int, i int, loading double")
+    """All components with their variances, put together again: the covariance."""
+    model = features.fit_pca(_features(spark, sf_dir), 1 << 16)
+    whole = (model.components.T * model.variances) @ model.components
+    rows = [(i, j, round(float(whole[i, j]), 6) + 0.0) for i in range(len(whole)) for j in range(i + 1)]
+    return spark.createDataFrame(rows, "i int, j int, covariance double")
+
+
+@query(
+    "pca_uncorrelated",
+    f"with {LONG}, d as (select distinct i from p) select a.i, b.i as j, 0.0::double as covariance, true as ordered from d a join d b on b.i < a.i",
+)
+def pca_uncorrelated(spark, sf_dir):
+    """Scores on different components are uncorrelated, and earlier ones vary no less."""
+    rows = _features(spark, sf_dir)
+    scores = features.fit_pca(rows).transform(rows).select(vector_to_array("pca").alias("z"))
+    cells = features.covariance(scores, "z")
+    own = cells.where("i = j").select(F.col("i").alias("k"), F.col("covariance").alias("variance"))
+    pairs = cells.where("j < i").join(F.broadcast(own.toDF("i", "vi")), "i").join(F.broadcast(own.toDF("j", "vj")), "j")
+    return pairs.select("i", "j", (F.round("covariance", 9) + F.lit(0.0)).alias("covariance"), (F.col("vj") >= F.col("vi")).alias("ordered"))
 
 
 @query(
@@ -71,9 +89,18 @@ def pca_transform(spark, sf_dir):
     return scores.select("vec_id", F.round(energy, 6).alias("energy"))
 
 
-@query("explained_variance")
+@query(
+    "explained_variance",
+    f"""with {LONG}, v as (select i, var_pop(x) as v from p group by i)
+    select count(*)::int as n_components, 100.0::double as percent, round(sum(v), 9) as total from v""",
+)
 def explained_variance(spark, sf_dir):
-    return explain_components(records(spark, sf_dir), 8)
+    """All components explain everything, and what they explain adds up to the variance of all values."""
+    rows = load(spark, sf_dir, "embeddings")
+    shares = explain_components(rows, 1 << 16, "embedding").orderBy("component").collect()
+    total = float(features.fit_pca(features.stack_vectors(rows, "embedding"), 1).variances.sum())
+    row = (len(shares), round(shares[-1].percent_so_far, 6), round(total, 9))
+    return spark.createDataFrame([row], "n_components int, percent double, total double")
 
 
 def _conv_sql(k: int) -> str:

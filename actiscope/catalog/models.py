@@ -1,28 +1,31 @@
-"""Models fitted and scored on the built records.
+"""Models fitted and scored on the built records, and on vectors whose class is plain to see.
 
-Trees and networks are grown smaller here than their defaults, so that one
-query takes seconds; the defaults are arguments of the fit functions.
+Fits run at their default settings but for those a docstring names. The class of a plain
+vector is told by the signs of its first two values, which stand for half of its values, so every
+model must find it for every row it hasn't seen; that is what the SQL asks.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from actiscope.catalog import load, query
 from actiscope.catalog.features import LONG
-from actiscope.catalog.fixtures import records
+from actiscope.catalog.fixtures import RECORD_KEYS, records
 from actiscope.catalog.sampling import SPLIT_QUOTAS
-from actiscope.operators import evaluate, features, models, neighbors, sampling
+from actiscope.operators import features, models, neighbors, sampling
 from actiscope.plans.classify import chosen, run_classification
 from actiscope.schema import SEED
 from actiscope.session import new_work_dir
 from actiscope.sources.records import scan_records, training_rows
-from actiscope.sources.sinks import best_meta, save_best_model, write_records
+from actiscope.sources.sinks import load_best_model, save_best_model, write_records
 
-METRICS = ("tag", "track", "classifier", "split", "accuracy", "f1_weighted", "f1_macro", "n_rows")
+COUNTED = ("tag", "track", "classifier", "split", "n_rows")
+LAYERS = 8
 
 
 def _records(spark, sf_dir):
@@ -32,62 +35,86 @@ def _records(spark, sf_dir):
     return scan_records(spark, sink)
 
 
-def _prepared(spark, sf_dir):
-    rows = sampling.stratified_split(_records(spark, sf_dir))
-    rows = features.stack_vectors(rows).select("sample_id", "layer_index", "label", "split", "features")
-    return training_rows(rows, rows.count(), 8 * 64)
+def _plain(spark, sf_dir):
+    """Vectors with the class their first two signs tell: seven tenths to train on, one to validate, two to test."""
+    rows = load(spark, sf_dir, "embeddings")
+    sign = lambda i: F.when(F.get("embedding", i % 2) > 0, 3.0).otherwise(-3.0)
+    moved = F.transform("embedding", lambda x, i: F.when(i < 32, sign(i)).otherwise(x))
+    label = (F.col("embedding")[0] > 0).cast("int") + 2 * (F.col("embedding")[1] > 0).cast("int")
+    split = F.expr("case when vec_id % 10 > 2 then 'train' when vec_id % 10 = 2 then 'val' else 'test' end")
+    rows = rows.select(F.col("vec_id").alias("sample_id"), label.alias("label"), split.alias("split"), moved.alias("v"))
+    return training_rows(features.stack_vectors(rows, "v").drop("v"), rows.count(), 8 * 64)
 
 
-def _scored(rows, model, name):
-    held_out = model.transform(rows.where("split != 'train'")).select(
-        F.lit(name).alias("classifier"), "split", F.col("label").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")
-    )
-    return evaluate.evaluate_splits(held_out, ("classifier", "split"))
+PLAIN = """select vec_id, (embedding[1] > 0)::int + 2 * (embedding[2] > 0)::int as y_pred
+    from embeddings where vec_id % 10 <= 2"""
+
+
+def _named(names):
+    return f"select * from ({PLAIN}) cross join (select unnest({names!r}) as classifier)"
+
+
+def _found(rows, model):
+    scored = model.transform(rows.where("split != 'train'"))
+    return scored.select(F.col("sample_id").alias("vec_id"), F.col("prediction").cast("int").alias("y_pred"))
 
 
-def _fit(spark, sf_dir, title, fit, **settings):
-    rows = _prepared(spark, sf_dir)
-    return _scored(rows, fit(rows.where("split = 'train'"), **settings), title)
+def _fit(spark, sf_dir, fit, **settings):
+    rows = _plain(spark, sf_dir)
+    return _found(rows, fit(rows.where("split = 'train'"), **settings))
 
 
-@query("fit_logreg")
+def _fit_each(spark, sf_dir, fit, names):
+    rows = _plain(spark, sf_dir)
+    train = rows.where("split = 'train'")
+    parts = [_found(rows, fit(train, name=n)).withColumn("classifier", F.lit(n)) for n in names]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+@query("fit_logreg", PLAIN)
 def fit_logreg(spark, sf_dir):
-    return _fit(spark, sf_dir, "LogisticRegression", models.fit_logreg, max_iter=100)
+    return _fit(spark, sf_dir, models.fit_logreg)
 
 
-@query("fit_forest")
+@query("fit_forest", PLAIN)
 def fit_forest(spark, sf_dir):
-    return _fit(spark, sf_dir, "RandomForest", models.fit_forest, trees=20, depth=10)
+    return _fit(spark, sf_dir, models.fit_forest)
 
 
-@query("fit_boosted")
+@query("fit_boosted", PLAIN)
 def fit_boosted(spark, sf_dir):
-    return _fit(spark, sf_dir, "BoostedTrees", models.fit_boosted, rounds=3, depth=4)
+    """Ten rounds of the 200, whose trees Spark grows one job after the other."""
+    return _fit(spark, sf_dir, models.fit_boosted, rounds=10)
 
 
-@query("fit_svm")
+@query("fit_svm", PLAIN)
 def fit_svm(spark, sf_dir):
-    return _fit(spark, sf_dir, "SVM", models.fit_svm, count=128, max_iter=30)
+    return _fit(spark, sf_dir, models.fit_svm)
+
 
+SMALLER = ["MLP_Tiny", "MLP_Small", "MLP_2L"]
 
-@query("fit_mlp")
+
+@query("fit_mlp", _named(SMALLER))
 def fit_mlp(spark, sf_dir):
-    return _fit(spark, sf_dir, "MLP_Tiny", models.fit_mlp, name="MLP_Tiny", epochs=30)
+    """Three of the seven widths; the others have ten to a hundred times the weights of these."""
+    return _fit_each(spark, sf_dir, models.fit_mlp, SMALLER)
 
 
-@query("fit_conv")
+@query("fit_conv", _named(list(models.CONV_STAGES)))
 def fit_conv(spark, sf_dir):
-    return _fit(spark, sf_dir, "CNN_Tiny", models.fit_conv, name="CNN_Tiny", max_iter=50)
+    return _fit_each(spark, sf_dir, models.fit_conv, list(models.CONV_STAGES))
 
 
-@query("fit_early_stop")
+@query("fit_early_stop", PLAIN)
 def fit_early_stop(spark, sf_dir):
-    """Training log of a network, with the epoch the rule settles on."""
-    rows = _prepared(spark, sf_dir)
+    """The best epoch of a network under the default stop rule."""
+    rows = _plain(spark, sf_dir)
     train, val = (rows.where(F.col("split") == s) for s in ("train", "val"))
-    _, log = models.fit_early_stop(train, val, "MLP_Tiny", epochs=6, steps_per_epoch=2, rate=0.5)
-    table = spark.createDataFrame(log, "epoch int, val_loss double, rate double").withColumn("classifier", F.lit("MLP_Tiny"))
-    return table.join(evaluate.best_epoch(table, rate=0.5), "classifier")
+    return _found(rows, models.fit_early_stop(train, val, "MLP_Tiny", steps_per_epoch=5, solver="l-bfgs")[0])
 
 
 EMBEDDINGS = f"""emb as (select vec_id as id, label as y, md5(concat_ws('|', '{SEED}', vec_id)) as h from embeddings),
@@ -150,74 +177,84 @@ def batch_predict(spark, sf_dir):
     return models.batch_predict(rows, scorer, "embedding").select("vec_id", "prediction")
 
 
-@query(
-    "model_registry",
-    "with s as (select max(len(embedding)) as d, max(label) + 1 as k from embeddings), "
-    + "w as (select * from (values "
-    + ", ".join(
-        f"({i}, '{name}', {w[0]}, {w[-1]}, {sum((a + 1) * b for a, b in zip(w, w[1:]))})"
-        for i, (name, w) in enumerate(models.MLP_WIDTHS.items(), 1)
-    )
-    + """) v(train_order, classifier, first_width, last_width, inner_weights))
-    select train_order, classifier, d::int as n_inputs, k::int as n_classes,
-           ((d + 1) * first_width + inner_weights + (last_width + 1) * k)::bigint as n_weights from w cross join s""",
-)
+def _registry():
+    return [*models.classical_models(SVM={}).values(), *models.network_models().values()]
+
+
+def _registry_sql():
+    rows = []
+    for i, spec in enumerate(_registry(), 1):
+        w = models.MLP_WIDTHS.get(spec.name)
+        inner = "null" if w is None else f"(d + 1) * {w[0]} + {sum((a + 1) * b for a, b in zip(w, w[1:]))} + ({w[-1]} + 1) * k"
+        rows.append(f"select {i} as train_order, '{spec.name}' as classifier, '{spec.family}' as family, ({inner})::bigint as n_weights from s")
+    return "with s as (select max(len(embedding)) as d, max(label) + 1 as k from embeddings) " + " union all ".join(rows)
+
+
+@query("model_registry", _registry_sql())
 def model_registry(spark, sf_dir):
-    """Sizes the feed-forward networks take for the vectors and classes of the data."""
-    rows = load(spark, sf_dir, "embeddings")
-    d, k = rows.agg(F.max(F.size("embedding")), F.max("label") + 1).first()
-    sizes = [
-        (order, name, d, k, models.n_weights(models.network_layers(name, d, k)))
-        for order, name in enumerate(models.MLP_WIDTHS, 1)
+    """Every model in training order, with the weights that networks take for the vectors and classes of the data."""
+    d, k = load(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")), F.max("label") + 1).first()
+    rows = [
+        (i, s.name, s.family, models.n_weights(models.network_layers(s.name, d, k)) if s.name in models.MLP_WIDTHS else None)
+        for i, s in enumerate(_registry(), 1)
     ]
-    return spark.createDataFrame(
-        sizes, "train_order int, classifier string, n_inputs int, n_classes int, n_weights bigint"
-    )
+    return spark.createDataFrame(rows, "train_order int, classifier string, family string, n_weights bigint")
+
+
+def _scored_rows(tag: str, track: str, names: list[str], where: str = "true") -> str:
+    """Rows that each model of a scope is scored on."""
+    return f"""(with {RECORD_KEYS}, k as (select id, t as y, md5(concat_ws('|', '{SEED}', id)) as h from keys where {where}),{SPLIT_QUOTAS}
+    select '{tag}' as tag, '{track}' as track, classifier, split, count(*) as n_rows
+    from split_rows cross join (select unnest({names!r}) as classifier) where split <> 'train' group by all)"""
 
 
-def _small(*names):
-    settings = {"LogisticRegression": {"max_iter": 50}, "RandomForest": {"trees": 5, "depth": 5}}
-    return chosen(names, models.classical_models(**settings))
+CLASSICAL = ["LogisticRegression", "RandomForest", "KNN"]
 
 
-@query("fit_cross_layer")
+@query("fit_cross_layer", f"select * from {_scored_rows('cross_layer', 'classical', CLASSICAL)}")
 def fit_cross_layer(spark, sf_dir):
-    results = run_classification(
-        _records(spark, sf_dir), track="classical", pca_dim=16, classical=_small("LogisticRegression", "RandomForest"), sampled_networks={}
-    )
-    return results.metrics.select(*METRICS)
+    """All classical models but the boosted trees, over all layers."""
+    classical = chosen(CLASSICAL, models.classical_models())
+    results = run_classification(_records(spark, sf_dir), track="classical", classical=classical, sampled_networks={})
+    return results.metrics.select(*COUNTED)
 
 
-@query("fit_per_layer")
+@query("fit_per_layer", " union all ".join(_scored_rows(f"layer_{i}", "classical", CLASSICAL[:1], f"l = {i}") for i in range(LAYERS)))
 def fit_per_layer(spark, sf_dir):
-    results = run_classification(
-        _records(spark, sf_dir), task="per-layer", track="classical", pca_dim=8, classical=_small("LogisticRegression"), sampled_networks={}
-    )
-    return results.metrics.select(*METRICS)
+    """One classical model for each layer."""
+    classical = chosen(CLASSICAL[:1], models.classical_models())
+    results = run_classification(_records(spark, sf_dir), task="per-layer", track="classical", classical=classical, sampled_networks={})
+    return results.metrics.select(*COUNTED)
 
 
-@query("run_tracks")
+STREAMED = ["MLP_Tiny", "CNN_Tiny"]
+
+
+@query(
+    "run_tracks",
+    f"{_scored_rows('cross_layer', 'classical', CLASSICAL[:2])} union all {_scored_rows('cross_layer_stream', 'nn_streaming', STREAMED)}",
+)
 def run_tracks(spark, sf_dir):
-    """Both tracks on one set of records, best model per scope."""
+    """Both tracks on one set of records, two models each, the better ones kept."""
     results = run_classification(
         _records(spark, sf_dir),
-        pca_dim=8,
-        classical=_small("LogisticRegression", "KNN"),
-        networks=models.network_models(["MLP_Tiny"], epochs=5),
+        classical=chosen(CLASSICAL[:2], models.classical_models()),
+        networks=models.network_models(STREAMED),
         sampled_networks={},
+        models_dir=new_work_dir(spark, "models"),
         results_dir=new_work_dir(spark, "results"),
     )
-    return results.metrics.select(*METRICS)
+    return results.metrics.select(*COUNTED)
 
 
-@query("save_best_model")
+@query("save_best_model", f"select *, 'long' as classifier from ({PLAIN})")
 def save_best(spark, sf_dir):
-    """Two fits, one metadata row: the better model is the one kept."""
-    rows, folder = _prepared(spark, sf_dir), new_work_dir(spark, "models")
-    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    for name, rounds in (("short", 1), ("long", 50)):
-        model = models.fit_logreg(train, max_iter=rounds)
-        f1 = _scored(test, model, name).first().f1_weighted
-        save_best_model(spark, model, name, "cross_layer", f1, False, folder)
-    meta = best_meta(spark, "cross_layer", folder)
-    return spark.createDataFrame([(meta["classifier"], meta["tag"], meta["f1_weighted"], meta["is_nn"])], "classifier string, tag string, f1_weighted double, is_nn boolean")
+    """A bad fit, a good one and a bad one again; the one that was kept is read back, with its components, and scores."""
+    rows, folder = _plain(spark, sf_dir), new_work_dir(spark, "models")
+    turn = features.fit_pca(rows.where("split = 'train'"), 16)
+    turned = turn.transform(rows)
+    for name, rounds, f1 in (("short", 1, 0.4), ("long", 1000, 1.0), ("later", 1, 0.5)):
+        model = models.fit_logreg(turned.where("split = 'train'"), "pca", max_iter=rounds)
+        save_best_model(spark, model, name, "cross_layer", f1, False, folder, turn)
+    kept = load_best_model(spark, "cross_layer", folder)
+    return _found(rows, kept).withColumn("classifier", F.lit(kept.meta["classifier"]))

@@ -41,7 +41,8 @@ def population_std(v: str) -> str:
 def is_finite(v: str) -> str:
     """True when every element is a number; NaN, either infinity, a null element
     or a null array make it false."""
-    return f"coalesce(forall({v}, fin_x -> not isnan(fin_x) and abs(fin_x) < double('infinity')), false)"
+    top = f"array_max({v}) < double('infinity') and array_min({v}) > -double('infinity')"  # NaN is the largest of all
+    return f"coalesce(size(array_compact({v})) = size({v}) and (size({v}) = 0 or ({top})), false)"
 
 
 def same_shape(a: str, b: str) -> str:

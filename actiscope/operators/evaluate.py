@@ -7,7 +7,7 @@ the rows; the counting itself is pre-aggregated in every task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,6 +141,21 @@ def classification_report(predictions: DataFrame, by: Sequence[str] = GROUP, y_t
     return grouped.select(*by, F.inline(F.concat("_lines", summaries)))
 
 
+def _name(names: Mapping[int, str], c: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for k, v in names.items() for x in (str(k), v)))
+    return F.coalesce(F.try_element_at(table, c.cast("string")), c.cast("string"))
+
+
+def named_rows(report: DataFrame, names: Mapping[int, str]) -> DataFrame:
+    """The report with class names for ids; rows of a class without a name, and summaries, stay."""
+    return report.withColumn("row", _name(names, F.col("row")))
+
+
+def named_classes(matrix: DataFrame, names: Mapping[int, str]) -> DataFrame:
+    """The matrix with ``true_name`` and ``pred_name`` next to the ids."""
+    return matrix.withColumns({"true_name": _name(names, F.col("y_true")), "pred_name": _name(names, F.col("y_pred"))})
+
+
 def log_loss(
     predictions: DataFrame, by: Sequence[str] = GROUP, y_true: str = "y_true", probability: str = "probability"
 ) -> DataFrame:

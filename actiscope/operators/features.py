@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +81,19 @@ class PcaModel:
         return df.withColumn(self.out, array_to_vector(scores))
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        row = (self.mean.tolist(), self.components.tolist(), self.variances.tolist(), self.inp, self.out)
+        spark.createDataFrame([row], PCA_SCHEMA).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PcaModel:
+        row = spark.read.schema(PCA_SCHEMA).parquet(path).first()
+        return cls(*(np.array(x) for x in row[:3]), row.inp, row.out)
+
+
+PCA_SCHEMA = "mean array<double>, components array<array<double>>, variances array<double>, inp string, out string"
+
+
 def matrix(lists: pa.Array, width: int) -> np.ndarray:
     """Rows of an Arrow list column that all have ``width`` values."""
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), width)

@@ -7,8 +7,9 @@ training order, which breaks ties in model selection.
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,7 +48,6 @@ MLP_WIDTHS = {
 CONV_STAGES = {
     "CNN_Tiny": (32, 7, 2),
     "CNN_Small": (64, 7, 2),
-    "CNN_Medium": (64, 7, 2),
     "CNN_Deep": (64, 7, 1),
     "CNN_Wide": (128, 15, 2),
 }
@@ -64,7 +64,7 @@ MAX_ITERATIONS = 1000
 @dataclass(frozen=True)
 class ModelSpec:
     name: str
-    family: str  # "classical" or "network"
+    family: str  # "classical", "network", or "features" for a fixed transform with logistic regression
     fit: Callable
     settings: dict = field(default_factory=dict)
     uses_val: bool = False  # the fit also takes the validation rows, as ``val``
@@ -130,21 +130,37 @@ class Saver:
         self._save(path, self._mode)
 
 
-class FeatureModel:
-    """A feature transform of the raw vectors followed by a fitted model.
+def prepared(df: DataFrame, spec: Mapping) -> DataFrame:
+    """``df`` with the made features that a spec (kind, inp and the settings of that kind) describes."""
+    makers = {
+        "fourier": lambda x, v, o: feature_ops.fourier_features(x, spec["count"], spec["width"], v, o, spec["seed"]),
+        "conv": lambda x, v, o: feature_ops.conv_features_arrow(x, feature_ops.kernel_bank(spec["count"], spec["size"], spec["seed"]), v, o, spec["stride"]),
+        "tokens": lambda x, v, o: feature_ops.chunk_tokens(x, spec["width"], v, o),
+    }
+    return _features_from(df, spec["inp"], makers[spec["kind"]])
 
-    Saving keeps the fitted model; the transform follows from the model's name,
-    its settings and the seed.
-    """
 
-    def __init__(self, prepare: Callable[[DataFrame], DataFrame], model):
-        self.prepare, self.model = prepare, model
+class FeatureModel:
+    """A feature transform of the raw vectors, told by a spec, followed by a fitted model."""
+
+    def __init__(self, spec: Mapping, model):
+        self.spec, self.model = dict(spec), model
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.prepare(df))
+        return self.model.transform(prepared(df, self.spec))
+
+    def write(self) -> Saver:
+        def save(path: str, mode: str) -> None:
+            writer = PipelineModel([self.model]).write()
+            (writer.overwrite() if mode == "overwrite" else writer).save(f"{path}/model")
+            row = SparkSession.active().range(1).select(F.lit(json.dumps(self.spec)).alias("value"))
+            row.write.mode(mode).text(f"{path}/spec")
 
-    def write(self):
-        return self.model.write()
+        return Saver(save)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureModel:
+        return cls(json.loads(spark.read.text(f"{path}/spec").first()[0]), PipelineModel.load(f"{path}/model"))
 
 
 class NeighborModel:
@@ -204,16 +220,14 @@ def fit_svm(
         means, spread = values.mean.toArray(), values.variance.toArray() * (n - 1) / n
         width = 1.0 / (d * (spread.mean() + means.var()))
 
-    def prepare(df: DataFrame) -> DataFrame:
-        return _features_from(df, inp, lambda x, v, o: feature_ops.fourier_features(x, count, width, v, o, seed))
-
-    kept = prepare(train).select(label, "_made").persist(StorageLevel.MEMORY_AND_DISK)
+    spec = {"kind": "fourier", "inp": inp, "count": count, "width": width, "seed": seed}
+    kept = prepared(train, spec).select(label, "_made").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         margin = LinearSVC(featuresCol="_made", labelCol=label, maxIter=max_iter, regParam=1.0 / n, standardization=False)
         model = OneVsRest(classifier=margin, featuresCol="_made", labelCol=label, parallelism=4).fit(kept)
     finally:
         kept.unpersist()
-    return FeatureModel(prepare, model)
+    return FeatureModel(spec, model)
 
 
 def network_layers(name: str, n_inputs: int, n_classes: int) -> list[int]:
@@ -290,9 +304,10 @@ def fit_early_stop(
 ):
     """Train in epochs of a few solver steps, each started from the last weights.
 
-    ``gd`` takes gradient steps of the current rate, ``l-bfgs`` finds its own
-    step length. Returns the model of the best epoch and the log as rows of
-    (epoch, val_loss, rate). Pass cached frames: every epoch reads both.
+    ``gd`` takes gradient steps of the current rate; ``l-bfgs`` finds its own
+    step length, so that only the stop rule acts. Returns the model of the best epoch
+    and the log as rows of (epoch, train_loss, val_loss, rate). Pass cached frames:
+    every epoch reads both.
     """
     if n_classes is None:
         n_classes = int(train.agg(F.max(label)).first()[0]) + 1
@@ -316,7 +331,7 @@ def fit_early_stop(
         model = trainer.fit(train)
         weights = model.weights
         loss = validation_loss(model, val, label)
-        log.append((epoch, loss, rule.rate))
+        log.append((epoch, validation_loss(model, train, label), loss, rule.rate))
         improved, stop = rule.update(loss)
         if improved:
             best = model
@@ -332,13 +347,22 @@ def fit_network(
     label: str = "label",
     val: DataFrame | None = None,
     steps_per_epoch: int = 5,
+    rate: float | None = None,
+    patience: int = STOP_PATIENCE,
     **settings,
 ):
-    """A feed-forward network, stopped early when there are validation rows."""
+    """A feed-forward network, stopped early when there are validation rows.
+
+    With a ``rate`` it takes gradient steps of that rate, cut on a plateau; without, l-bfgs steps. The
+    model's ``training_log`` holds the rows of ``fit_early_stop``. Without validation rows neither
+    rate nor patience acts.
+    """
     if val is None or val.isEmpty():
-        settings.pop("patience", None)
         return fit_mlp(train, name, inp, label, **settings)
-    return fit_early_stop(train, val, name, inp, label, steps_per_epoch=steps_per_epoch, solver="l-bfgs", **settings)[0]
+    how = {"solver": "l-bfgs"} if rate is None else {"solver": "gd", "rate": rate}
+    best, log = fit_early_stop(train, val, name, inp, label, steps_per_epoch=steps_per_epoch, patience=patience, **how, **settings)
+    best.training_log = log
+    return best
 
 
 def linear_scorer(weights: np.ndarray, bias: np.ndarray, batch_size: int = 4096):
@@ -382,12 +406,8 @@ def fit_conv(
 ) -> FeatureModel:
     """Fixed random kernels shaped like the network's first stage, then logistic regression."""
     count, size, stride = CONV_STAGES[name]
-    bank = feature_ops.kernel_bank(count, size, seed)
-
-    def prepare(df: DataFrame) -> DataFrame:
-        return _features_from(df, inp, lambda d, v, o: feature_ops.conv_features_arrow(d, bank, v, o, stride))
-
-    return FeatureModel(prepare, _fit_prepared(prepare(train), label, max_iter))
+    spec = {"kind": "conv", "inp": inp, "count": count, "size": size, "stride": stride, "seed": seed}
+    return FeatureModel(spec, _fit_prepared(prepared(train, spec), label, max_iter))
 
 
 def fit_chunks(
@@ -398,10 +418,8 @@ def fit_chunks(
     if size % width:
         raise ValueError(f"vectors of {size} values are no whole number of tokens of {width}")
 
-    def prepare(df: DataFrame) -> DataFrame:
-        return _features_from(df, inp, lambda d, v, o: feature_ops.chunk_tokens(d, width, v, o))
-
-    return FeatureModel(prepare, _fit_prepared(prepare(train), label, max_iter))
+    spec = {"kind": "tokens", "inp": inp, "width": width}
+    return FeatureModel(spec, _fit_prepared(prepared(train, spec), label, max_iter))
 
 
 def classical_models(**settings) -> dict[str, ModelSpec]:
@@ -416,14 +434,20 @@ def classical_models(**settings) -> dict[str, ModelSpec]:
     return {name: ModelSpec(name, "classical", fit, settings.get(name, {})) for name, fit in fits.items()}
 
 
-def network_models(names: Sequence[str] | None = None, **settings) -> dict[str, ModelSpec]:
-    """Networks in training order, all or the named ones, with shared settings."""
+def network_models(names: Sequence[str] | None = None, token_width: int = TOKEN_WIDTH, **settings) -> dict[str, ModelSpec]:
+    """Networks in training order, all or the named ones, with shared settings.
+
+    The convolutional and attention models are logistic regressions on a fixed transform; of the settings
+    ``epochs`` (as iterations) and ``seed`` reach them, the others have no meaning there.
+    """
+    steps = {"max_iter": settings["epochs"]} if "epochs" in settings else {}
+    seeded = {"seed": settings["seed"]} if "seed" in settings else {}
     specs = {}
     for name in MLP_WIDTHS:
         specs[name] = ModelSpec(name, "network", fit_network, {"name": name, **settings}, uses_val=True)
     for name in CONV_STAGES:
-        specs[name] = ModelSpec(name, "network", fit_conv, {"name": name})
-    specs["Attention_Small"] = ModelSpec("Attention_Small", "network", fit_chunks)
+        specs[name] = ModelSpec(name, "features", fit_conv, {"name": name, **steps, **seeded})
+    specs["Attention_Small"] = ModelSpec("Attention_Small", "features", fit_chunks, {"width": token_width, **steps})
     if names is None:
         return specs
     unknown = [n for n in names if n not in specs]

@@ -5,14 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actiscope.operators import evaluate, features, models, profile, sampling
-from actiscope.schema import PCA_DIM, SEED, TEST_SIZE, VAL_SIZE
+from actiscope.schema import LABELS, PCA_DIM, SEED, TEST_SIZE, VAL_SIZE
 from actiscope.session import new_work_dir
 from actiscope.sources.records import CACHE_BYTES, filter_layer, training_rows
 from actiscope.sources.sinks import save_best_model, write_report, write_summary
@@ -24,13 +24,31 @@ BY = ("tag", "track", "classifier", "train_order", "split")
 
 @dataclass
 class Results:
-    """Stored predictions, and the tables that follow from them."""
+    """Stored predictions, and the tables that follow from them.
+
+    ``log`` has the epochs of the networks (tag, track, classifier, epoch, train_loss, val_loss, rate),
+    ``explained`` the share of variance each scope's components keep, ``sizes`` the rows of each scope,
+    split and label.
+    """
 
     predictions: DataFrame
     metrics: DataFrame
     best: DataFrame
     report: DataFrame
     confusion: DataFrame
+    log: DataFrame
+    explained: DataFrame
+    sizes: DataFrame
+
+
+@dataclass
+class Notes:
+    """What fits leave on the driver: a few rows per scope and model."""
+
+    times: list[tuple] = field(default_factory=list)
+    log: list[tuple] = field(default_factory=list)
+    explained: list[tuple] = field(default_factory=list)
+    sizes: list[tuple] = field(default_factory=list)
 
 
 def scopes(records: DataFrame, task: str) -> list[tuple[str, DataFrame]]:
@@ -65,24 +83,28 @@ def fit_and_score(
     track: str,
     inp: str,
     path: str,
+    notes: Notes,
     first_order: int = 1,
     models_dir: str | None = None,
     select_on: str = "test",
-) -> list[tuple[str, str, str, float]]:
+    components: features.PcaModel | None = None,
+) -> None:
     """Fit every model on the train rows and append its predictions for the others.
 
     Predictions are written once per model, so metrics, reports and matrices
     read them instead of scoring again. Each model has its own folder, so
-    scopes that are fitted at the same time do not share a commit.
+    scopes that are fitted at the same time do not share a commit. A model that is kept is saved
+    with the ``components`` its input was turned by.
     """
     spark = rows.sparkSession
     train, held_out = rows.where("split = 'train'"), rows.where("split != 'train'")
-    times = []
     for order, (name, spec) in enumerate(specs.items(), first_order):
         started = time.perf_counter()
         extra = {"val": rows.where("split = 'val'")} if spec.uses_val else {}
         model = spec.fit(train, inp=inp, **spec.settings, **extra)
-        times.append((tag, track, name, time.perf_counter() - started))
+        notes.times.append((tag, track, name, time.perf_counter() - started))
+        notes.log += [(tag, track, name, *line) for line in getattr(model, "training_log", ())]
+        folder = f"{path}/fit={track}-{tag}-{order}"
         model.transform(held_out).select(
             F.lit(tag).alias("tag"),
             F.lit(track).alias("track"),
@@ -92,22 +114,18 @@ def fit_and_score(
             "sample_id",
             F.col("label").alias("y_true"),
             F.col("prediction").cast("int").alias("y_pred"),
-        ).write.parquet(f"{path}/fit={track}-{tag}-{order}")
+        ).write.parquet(folder)
         if models_dir:
-            own = spark.read.parquet(f"{path}/fit={track}-{tag}-{order}")
-            score = evaluate.f1_scores(own.where(F.col("split") == select_on), ("tag",)).first()
+            score = evaluate.f1_scores(spark.read.parquet(folder).where(F.col("split") == select_on), ("tag",)).first()
             if score is not None:
-                stored_tag = f"{tag}_stream" if track == "nn_streaming" else tag
-                save_best_model(spark, model, name, stored_tag, score.f1_weighted, spec.family == "network", models_dir)
-    return times
+                save_best_model(spark, model, name, tag, score.f1_weighted, spec.family == "network", models_dir, components)
 
 
-def at_once(spark: SparkSession, work: Callable, items: list, parallelism: int) -> list:
+def at_once(spark: SparkSession, work: Callable, items: list, parallelism: int) -> None:
     """Run the driver side of several fits in threads, so that the small jobs of
     one layer fill the slots another leaves idle."""
     with ThreadPoolExecutor(max(1, min(parallelism, len(items) or 1))) as pool:
-        parts = pool.map(inheritable_thread_target(spark)(work), items)
-        return [row for part in parts for row in part]
+        list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
 def run_classification(
@@ -136,7 +154,9 @@ def run_classification(
     then ``sampled_networks`` on the raw vectors of the same rows. ``nn-stream``:
     all rows, raw vectors, ``networks``. Components are fitted on the train rows;
     ``fit_on="all"`` fits them on all rows. ``parallelism`` layers are fitted at
-    the same time; each keeps its rows cached while it is, up to ``cache_bytes``.
+    the same time; each keeps its rows cached while it is, up to ``cache_bytes``. Scopes of the
+    second track have ``_stream`` after their tag, in every table and in the saved models, so that the best
+    model of a tag is chosen among those that were trained in one order.
     """
     if task not in TASKS:
         raise ValueError(f"unknown task: {task!r}")
@@ -148,56 +168,64 @@ def run_classification(
 
     spark = records.sparkSession
     path = new_work_dir(spark, "predictions")
-    times: list[tuple[str, str, str, float]] = []
+    notes = Notes()
     keep = ("sample_id", "layer_index", "label", "split", "features")
 
-    def prepared(rows: DataFrame) -> tuple[DataFrame, int]:
+    def prepared(tag: str, rows: DataFrame) -> tuple[DataFrame, int]:
         n_rows = rows.count()
         width = features.vector_size(rows, "hidden_state_vector")
         split = features.stack_vectors(split_rows(rows, split_by, val_size, test_size, seed))
-        return training_rows(split.select(*keep), n_rows, 8 * width, cache_bytes), n_rows
+        ready = training_rows(split.select(*keep), n_rows, 8 * width, cache_bytes)
+        notes.sizes += [(tag, r.split, r.label, r.n) for r in sampling.split_sizes(ready).collect()]
+        return ready, n_rows
 
-    def first_track(scope: tuple[str, DataFrame]) -> list[tuple[str, str, str, float]]:
-        tag, rows = scope
-        ready, n_rows = prepared(rows)
-        reduced, inp = ready, "features"
-        if pca_dim:
-            base = ready if fit_on == "all" else ready.where("split = 'train'")
-            reduced = features.fit_pca(base, pca_dim).transform(ready).drop("features")
-            reduced = training_rows(reduced, n_rows, 8 * pca_dim, cache_bytes)
-            inp = "pca"
-        done = fit_and_score(reduced, classical, tag, "classical", inp, path, 1, models_dir, select_on)
-        first = len(classical) + 1
-        done += fit_and_score(ready, sampled_networks, tag, "network", "features", path, first, models_dir, select_on)
-        reduced.unpersist()
-        ready.unpersist()
-        return done
-
-    def second_track(scope: tuple[str, DataFrame]) -> list[tuple[str, str, str, float]]:
+    def first_track(scope: tuple[str, DataFrame]) -> None:
         tag, rows = scope
-        ready, _ = prepared(rows)
-        done = fit_and_score(ready, networks, tag, "nn_streaming", "features", path, 1, models_dir, select_on)
-        ready.unpersist()
-        return done
+        ready, n_rows = prepared(tag, rows)
+        reduced, inp, turn = ready, "features", None
+        try:
+            if pca_dim:
+                base = ready if fit_on == "all" else ready.where("split = 'train'")
+                turn = features.fit_pca(base, pca_dim)
+                notes.explained.append((tag, len(turn.components), features.explained_variance(turn)))
+                reduced = training_rows(turn.transform(ready).drop("features"), n_rows, 8 * pca_dim, cache_bytes)
+                inp = "pca"
+            fit_and_score(reduced, classical, tag, "classical", inp, path, notes, 1, models_dir, select_on, turn)
+            first = len(classical) + 1
+            fit_and_score(ready, sampled_networks, tag, "network", "features", path, notes, first, models_dir, select_on)
+        finally:
+            reduced.unpersist()
+            ready.unpersist()
+
+    def second_track(scope: tuple[str, DataFrame]) -> None:
+        tag, rows = f"{scope[0]}_stream", scope[1]
+        ready, _ = prepared(tag, rows)
+        try:
+            fit_and_score(ready, networks, tag, "nn_streaming", "features", path, notes, 1, models_dir, select_on)
+        finally:
+            ready.unpersist()
 
     if track in ("auto", "classical"):
         rows = sampling.stratified_sample(records, n_samples=sample_size, seed=seed) if sample_size else records
-        times += at_once(spark, first_track, scopes(rows, task), parallelism)
+        at_once(spark, first_track, scopes(rows, task), parallelism)
     if track in ("auto", "nn-stream"):
-        times += at_once(spark, second_track, scopes(records, task), parallelism)
+        at_once(spark, second_track, scopes(records, task), parallelism)
 
-    if not times:
+    if not notes.times:
         raise ValueError("no layer has enough rows of every class, or no model was asked for")
     predictions = spark.read.parquet(path).drop("fit")
-    fit_times = spark.createDataFrame(times, "tag string, track string, classifier string, train_time_s double")
+    fit_times = spark.createDataFrame(notes.times, "tag string, track string, classifier string, train_time_s double")
     metrics = evaluate.evaluate_splits(predictions, BY).join(F.broadcast(fit_times), ["tag", "track", "classifier"])
     test = predictions.where(F.col("split") == "test")
     results = Results(
         predictions,
         metrics,
         evaluate.best_model(metrics, select_on),
-        evaluate.classification_report(test, BY),
-        evaluate.confusion_matrix(predictions, BY),
+        evaluate.named_rows(evaluate.classification_report(test, BY), LABELS),
+        evaluate.named_classes(evaluate.confusion_matrix(predictions, BY), LABELS),
+        spark.createDataFrame(notes.log, "tag string, track string, classifier string, epoch int, train_loss double, val_loss double, rate double"),
+        spark.createDataFrame(notes.explained, "tag string, n_components int, percent double"),
+        spark.createDataFrame(notes.sizes, "tag string, split string, label int, n bigint"),
     )
     if results_dir:
         write_summary(metrics.orderBy("tag", "track", "train_order", "split"), results_dir, task)

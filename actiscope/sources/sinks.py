@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actiscope.operators.features import PcaModel
+from actiscope.operators.models import FeatureModel, NeighborModel
 from actiscope.schema import LABELS, MAX_RECORDS_PER_FILE, RECORD_SCHEMA
 
 
@@ -61,33 +64,55 @@ def _best_meta(spark: SparkSession, folder: str) -> dict | None:
     return json.loads(rows[0][0]) if rows else None
 
 
-def save_best_model(spark: SparkSession, model, name: str, tag: str, f1: float, is_nn: bool, models_dir: str) -> bool:
+# The names under which the kept model is described.
+META = ("classifier", "tag", "f1_weighted", "model_file", "is_nn")
+
+
+def save_best_model(spark: SparkSession, model, name: str, tag: str, f1: float, is_nn: bool, models_dir: str, components=None) -> bool:
     """Save a model and its metadata when its F1 beats the one kept for the tag.
 
-    The metadata is written last, and names the model folder, so a run that
+    ``components`` are those its input is turned by, if any, and are saved next to it. The
+    metadata is written last, and names the model folder, so a run that
     dies in between leaves the earlier model in force.
     """
     folder = f"{models_dir.rstrip('/')}/{tag}"
     kept = _best_meta(spark, folder)
     if kept is not None and kept["f1_weighted"] >= f1:
         return False
-    model_file = f"best_model_{name}_{(kept or {}).get('version', 0) + 1}"
-    model.write().overwrite().save(f"{folder}/{model_file}")
-    row = spark.range(1).select(
-        F.to_json(
-            F.struct(
-                F.lit(name).alias("classifier"),
-                F.lit(tag).alias("tag"),
-                F.lit(float(f1)).alias("f1_weighted"),
-                F.lit(model_file).alias("model_file"),
-                F.lit(bool(is_nn)).alias("is_nn"),
-                F.lit((kept or {}).get("version", 0) + 1).alias("version"),
-            )
-        ).alias("value")
-    )
+    version = (kept or {}).get("version", 0) + 1
+    model_file = f"best_model_{name}_{version}"
+    kind = type(model).__name__ if isinstance(model, (FeatureModel, NeighborModel)) else "PipelineModel"
+    saved = PipelineModel([model]) if kind == "PipelineModel" else model
+    saved.write().overwrite().save(f"{folder}/{model_file}/model")
+    if components is not None:
+        components.save(spark, f"{folder}/{model_file}/components")
+    meta = dict(zip(META, (name, tag, float(f1), model_file, bool(is_nn)))) | {"version": version, "kind": kind, "components": components is not None}
+    row = spark.range(1).select(F.lit(json.dumps(meta)).alias("value"))
     row.write.mode("overwrite").text(f"{folder}/best_meta")
     return True
 
 
+class BestModel:
+    """A kept model with the components its input is turned by: ``transform`` scores rows of (features)."""
+
+    def __init__(self, meta: dict, model, components=None):
+        self.meta, self.model, self.components = meta, model, components
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.components.transform(df) if self.components else df)
+
+
+def load_best_model(spark: SparkSession, tag: str, models_dir: str) -> BestModel:
+    """The model kept for a tag, ready to score new records."""
+    folder = f"{models_dir.rstrip('/')}/{tag}"
+    meta = _best_meta(spark, folder)
+    if meta is None:
+        raise FileNotFoundError(f"no model is kept for {tag} in {models_dir}")
+    path = f"{folder}/{meta['model_file']}"
+    loaders = {"FeatureModel": FeatureModel.load, "NeighborModel": NeighborModel.load}
+    model = loaders[meta["kind"]](spark, f"{path}/model") if meta["kind"] in loaders else PipelineModel.load(f"{path}/model")
+    return BestModel(meta, model, PcaModel.load(spark, f"{path}/components") if meta["components"] else None)
+
+
 def best_meta(spark: SparkSession, tag: str, models_dir: str) -> dict | None:
     return _best_meta(spark, f"{models_dir.rstrip('/')}/{tag}")

@@ -5,15 +5,12 @@ import pytest
 import __spark_entry__ as entry
 import check
 
-SLOW = {"fit_boosted", "fit_conv", "fit_early_stop", "fit_forest", "fit_mlp", "fit_per_layer", "run_tracks", "fit_cross_layer", "fit_svm"}
-
-
 @pytest.fixture(scope="module")
 def db(sf_dir):
     return check.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry.catalog.QUERIES))
 def test_query(spark, db, sf_dir, name):
     assert check.compare(spark, db, name, sf_dir) == ""
 
