@@ -28,7 +28,7 @@ from actiscope.llm.graph import components
 from actiscope.llm.substrings import Words, planes, run_hashes, unpack_planes
 from actiscope.session import broadcast_if_small, stored
 
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 2_000_000
 GROUP_SETS = 4_096
 """Sets of a group that one task compares; larger groups are dealt to cells."""
 FANOUT = 4
@@ -84,9 +84,15 @@ def signature(values: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
+ROWS_AT_ONCE = 256
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as tuples, made a few at a time, since a row can hold a long text or set."""
     for b in batches:
-        yield from zip(*(b.column(i).to_pylist() for i in range(b.num_columns)))
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            part = b.slice(at, ROWS_AT_ONCE)
+            yield from zip(*(part.column(i).to_pylist() for i in range(b.num_columns)))
 
 
 def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
@@ -418,9 +424,8 @@ def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Da
     rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("hash", "kind", "x", "y", "node", "component")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            yield _batch([(n, len(x), bitmap(x).tobytes()) for n, x in zip(b.column(0).to_pylist(), values)], "node bigint, n bigint, bits binary")
+        for part in slices(_rows(batches), lambda r: len(r[1]), 8_000_000):
+            yield _batch([(n, len(x) // 8, bitmap(np.frombuffer(x, np.uint64)).tobytes()) for n, x in part], "node bigint, n bigint, bits binary")
 
     maps = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "content").mapInArrow(bits, "node bigint, n bigint, bits binary")
     grouped = rows.join(maps, "node")
@@ -438,12 +443,9 @@ def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Da
     both = pairs.join(sets.withColumnsRenamed({"node": "b", "content": "content_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "content": "content_a"}), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            links = []
-            for a, c, x, y in zip(*(b.column(n).to_pylist() for n in ("a", "b", "content_a", "content_b"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if rule.linked(overlap(x, y), len(x), len(y)):
-                    links.append((a, c))
+        for part in slices(_rows(batches), lambda r: len(r[2]) + len(r[3]), 8_000_000):
+            read = [(a, b, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for a, b, x, y in part]
+            links = [(a, b) for a, b, x, y in read if rule.linked(overlap(x, y), len(x), len(y))]
             if links:
                 yield _batch(links, "a bigint, b bigint")
 
