@@ -3,14 +3,15 @@
 Counts of all words come from a shuffle with partial sums. The most frequent words are
 learned: each has a class (runs of the frequency list of about equal weight), and the network
 gives the class and the word within it. All others, down to unseen words, fall into classes by their
-first two bytes, within which a word has its smoothed share. Training spreads over tasks whose
-weights are averaged; scoring carries the state through each whole document.
+first two bytes, within which a word has its smoothed share. Training goes over every document, in rounds
+of tasks whose weights are averaged; scoring carries the state through each whole document.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actiscope.llm.common import slices
-from actiscope.session import stored
+from actiscope.session import new_work_dir, stored
 
 FREQUENT = 200_000
 """Words whose counts every task holds; the rest are looked up by a join."""
@@ -33,10 +34,10 @@ HIDDEN = 16
 WINDOW = 16
 LANES = 32
 SCORE_LANES = 256
-TRAIN_SHARE = 16
-"""One in so many documents, by hash, trains the network; their number grows with the input."""
 TRAIN_TOKENS = 500_000
 """Tokens a training task gets, about."""
+LEAST_ROUNDS = 4
+"""Rounds of training at least; with the input, rounds and tasks of a round grow alike."""
 RATE = 0.004
 COUNTED_WORDS = 1_000_000
 """Distinct words a counting task holds before it hands them on."""
@@ -357,20 +358,51 @@ class Reader:
         return target, at, rare
 
 
-def fit(docs: DataFrame, v: Vocabulary, text: str = "text", chosen: Column | None = None) -> Network:
-    """Train on the ``chosen`` documents: tasks of about equal size start from one network and their
-    weights are averaged by tokens, thirty-two at a time, until one network is left."""
+def _dealt(docs: DataFrame, shared, text: str, rounds: int) -> DataFrame:
+    """``round, n, targets`` of every document, written once; a task deals its documents to the rounds in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        read, at = Reader(shared.value), TaskContext.get().partitionId()
+        for b in batches:
+            for texts in slices(b.column(0).to_pylist(), lambda t: len(t or "") + 8, SLICE_CHARS):
+                found = [read.targets(t)[0] for t in texts]
+                turn = (at + np.arange(len(found))) % rounds
+                at += len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(turn, pa.int32()), pa.array([len(f) for f in found], pa.int64()), pa.array([f.astype(np.uint16).tobytes() for f in found], pa.binary())],
+                    names=["round", "n", "targets"],
+                )
+
+    spark, path = docs.sparkSession, new_work_dir(docs.sparkSession, "targets")
+    schema = "n bigint, targets binary, round int"
+    docs.select(text).mapInArrow(run, "round int, n bigint, targets binary").write.partitionBy("round").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def fit(docs: DataFrame, v: Vocabulary, text: str = "text") -> Network:
+    """Train on every document, each in one of several rounds.
+
+    In a round, tasks of about equal size start from one network, and their weights are averaged by tokens,
+    thirty-two at a time, until one network is left; the next round starts from it. Without documents the start comes back.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)
-    rows = docs.where(chosen) if chosen is not None else docs
-    tasks = max(1, round(v.tokens / TRAIN_SHARE / TRAIN_TOKENS))
+    rows = _dealt(docs, shared, text, max(LEAST_ROUNDS, math.isqrt(v.tokens // TRAIN_TOKENS)))
+    net = Network.initial(v)
+    for r in rows.groupBy("round").agg(F.sum("n").alias("n")).orderBy("round").collect():
+        net = _round(rows.where(F.col("round") == r["round"]), net, shared, max(1, round(r.n / TRAIN_TOKENS)))
+    return net
+
+
+def _round(rows: DataFrame, start: Network, shared, tasks: int) -> Network:
+    given = rows.sparkSession.sparkContext.broadcast(start)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        read = Reader(v)
-        docs = [read.targets(t)[0] for b in batches for t in b.column(0).to_pylist()]
+        docs = [np.frombuffer(t, np.uint16).astype(np.int64) for b in batches for t in b.column(0).to_pylist()]
         if docs:
-            net, _ = train(Network.initial(v), v, docs)
+            net, _ = train(given.value, shared.value, docs)
             yield _weights(net.flat().astype(np.float32), sum(map(len, docs)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,13 +414,13 @@ def fit(docs: DataFrame, v: Vocabulary, text: str = "text", chosen: Column | Non
         if tokens:
             yield _weights((total / tokens).astype(np.float32), tokens)
 
-    nets = rows.select(text).repartition(tasks).mapInArrow(learn, "weights binary, n bigint")
+    nets = rows.select("targets").repartition(tasks).mapInArrow(learn, "weights binary, n bigint")
     while tasks > 1:
         tasks = -(-tasks // 32)
         nets = nets.repartition(tasks).mapInArrow(merge, "weights binary, n bigint")
-    start = Network.initial(v)
-    found = nets.collect()  # one row at most
-    return Network.from_flat(np.frombuffer(found[0].weights, np.float32), start) if found else start
+    found = nets.collect()  # one row
+    given.unpersist()
+    return Network.from_flat(np.frombuffer(found[0].weights, np.float32), start)
 
 
 def _weights(flat: np.ndarray, n: int) -> pa.RecordBatch:
@@ -406,7 +438,7 @@ def log_likelihood(docs: DataFrame, held_out: Column, id_col: str = "doc_id", te
     seen = rows.where("not held_out")
     counts = stored(word_counts(seen), "counts")
     v = build_vocabulary(counts, seen.count())
-    net = fit(seen, v, chosen=F.pmod(F.xxhash64("doc_id", "text"), F.lit(TRAIN_SHARE)) == 0)
+    net = fit(seen, v)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((v, net))
     schema = f"row bigint, doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<binary>"

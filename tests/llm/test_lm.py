@@ -114,3 +114,21 @@ def test_query_on_table(spark, sf_dir, monkeypatch, frequent):
     found = op9(spark, sf_dir).collect()
     check([tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()], found)
     assert sum(r.score for r in found if r.held_out) > sum(r.base_score for r in found if r.held_out)
+
+
+@pytest.mark.parametrize("task_tokens", [500_000, 40])
+def test_every_training_document_teaches(make_docs, monkeypatch, task_tokens):
+    """A word's input weights move only when a document with it is trained on; here each document has its own words."""
+    monkeypatch.setattr(lm, "TRAIN_TOKENS", task_tokens)
+    seen, fit = {}, lm.fit
+
+    def kept(docs, v, *args, **settings):
+        seen["v"], seen["net"] = v, fit(docs, v, *args, **settings)
+        return seen["net"]
+
+    monkeypatch.setattr(lm, "fit", kept)
+    docs = make_docs([(i, f"own{i} other{i} " * 10) for i in range(30)])
+    assert lm.log_likelihood(docs, F.col("doc_id") >= 25).count() == 30
+    v, moved = seen["v"], np.abs(seen["net"].embed - lm.Network.initial(seen["v"]).embed).max(axis=1)
+    at = {w: v.target[i] for i, w in enumerate(v.words)}
+    assert len(at) == 50 and all(moved[at[f"own{i}".encode()]] > 0 for i in range(25))
