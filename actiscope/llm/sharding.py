@@ -55,7 +55,7 @@ def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text: st
     beyond the limit keeps a larger shard, its own. Texts are not moved. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = stored(rows, "sizes").withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     both = [_bits(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), _bits(F.col("row").cast("string"))]
     bits = F.concat(*(F.lpad(F.conv(b.cast("string"), 10, 2), BITS, "0") for b in both))
     rows = rows.withColumn("bits", bits)

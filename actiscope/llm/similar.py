@@ -327,8 +327,9 @@ def classes_of(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     parts = shuffle_partitions(spark)
     content = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = "id bigint, n bigint, s1 bigint, s2 bigint"
-    rows = stored(sets_of(content.withColumn("id", F.col("id").cast("long")), rule, named, lambda ids, sets, signs: [(i, len(x), *s) for i, x, s in zip(ids, sets, signs)]), "rows")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = sets_of(content.withColumn("id", F.col("id").cast("long")), rule, named, lambda ids, sets, signs: [(i, len(x), *s) for i, x, s in zip(ids, sets, signs)])
+    # Numbered before they are written: numbers made while reading would follow the file splits of each read.
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     # Equal sets are one node, named by its first row.
     nodes = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.first("n").alias("n")), "nodes")
     keys = stored(shared_hashes(content, rule, parts, parts).join(nodes, ["s1", "s2"]).select("hash", "node", "n"), "keys")

@@ -112,3 +112,14 @@ def test_query_on_table(spark, sf_dir):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op6(spark, sf_dir).collect()), key=repr) == brute(rows, 4, 85)
+
+
+def test_row_numbers_are_written(make_docs, monkeypatch):
+    from actiscope.llm import sharding
+
+    written, plain = {}, similar.stored
+    for module in (similar, sharding):
+        monkeypatch.setattr(module, "stored", lambda df, purpose: written.setdefault(purpose, df.columns) and plain(df, purpose))
+    docs = make_docs([(1, "a b c d e f"), (2, "a b c d e f")])
+    assert similar.classes_of(docs).count() == sharding.shards(docs).count() == 2
+    assert "row" in written["rows"] and "row" in written["sizes"]
