@@ -14,8 +14,13 @@ RULES = (
 )
 DAMPING = 0.85
 ROUNDS = 10
+"""Rounds after which ``trust`` and ``distrust`` are reported; verdicts wait until scores settle."""
+SETTLED = 1e-6
+"""Share of each score that five rounds may still change once scores count as settled."""
+TOLERANCE = 1e-9
+"""Share of their sum by which distrust must exceed trust, so that the order of sums doesn't decide."""
 DIGITS = 12
-"""Decimals to which trust and distrust are compared, so that the order of sums doesn't decide."""
+"""Decimals of the reported trust and distrust."""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -58,23 +63,32 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return edges.join(out, "src").select("src", "dst", "weight", (F.col("weight") / F.col("total")).alias("share"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank: ``kind, host, score`` after some rounds.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Personalised PageRank: ``kind, host, score`` after some rounds, and once settled.
 
     ``seeds`` is (kind, host, score) and ``edges`` (kind, src, dst, share); both kinds spread in the same
-    joins. Every fifth round is written to the work folder, which cuts the lineage.
+    joins. Every fifth round is written to the work folder, which cuts the lineage. Scores are settled when five
+    rounds reach no new host and change each score by a small share of itself, however small it is.
     """
     edges, seeds = stored(edges, "shares"), stored(seeds, "seeds")
     again = seeds.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-    scores = seeds
-    for n in range(1, rounds + 1):
+    scores = before = seeds
+    n, early = 0, None
+    while True:
+        n += 1
         sent = edges.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score")
         )
         scores = sent.union(again).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if n % 5 == 0:
+        if n == rounds or n % 5 == 0:
             scores = stored(scores, "scores")
-    return scores
+        if n == rounds:
+            early = scores
+        if n % 5 == 0:
+            moved = scores.join(before.withColumnRenamed("score", "was"), ["kind", "host"], "left")
+            if n >= rounds and moved.where(f"was is null or abs(score - was) > {SETTLED} * score").isEmpty():
+                return early, scores
+            before = scores
 
 
 def reversed_shares(edges: DataFrame) -> DataFrame:
@@ -87,8 +101,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: st
 
     Pages that a rule decides are the seeds: trust starts at hosts in proportion to their
     allowed pages and follows links, distrust at their blocked pages and goes against links. A page
-    without a rule is blocked when its host's distrust exceeds its trust; a host that neither
-    reaches is allowed. Null or odd urls have an empty host, null html no links; repeated
+    without a rule is blocked when its host's settled distrust exceeds its trust, at full precision; a host that neither
+    reaches is allowed. The two columns show the scores after ten rounds, rounded. Null or odd urls have an empty host, null html no links; repeated
     rows are judged alike. The page side of the last join is keyed by host, and adaptive execution splits hot hosts.
     """
     read = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.coalesce(F.col(html), F.lit("")).alias("html"))
@@ -100,14 +114,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: st
     total = {r.kind: r.n for r in kinds.groupBy("kind").agg(F.sum("score").alias("n")).collect()}
     share = F.col("score") / F.when(F.col("kind") == "allow", F.lit(total.get("allow", 1.0))).otherwise(F.lit(total.get("block", 1.0)))
     both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "share").union(reversed_shares(edges).select(F.lit("block"), "src", "dst", "share"))
-    scores = propagate(both, kinds.withColumn("score", share))
-    hosts = scores.groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "allow", F.col("score")).otherwise(0.0)).alias("trust"),
-        F.sum(F.when(F.col("kind") == "block", F.col("score")).otherwise(0.0)).alias("distrust"),
-    )
+    early, settled = propagate(both, kinds.withColumn("score", share))
+    score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
+    hosts = early.groupBy("host").agg(score("allow").alias("trust"), score("block").alias("distrust"))
+    final = settled.groupBy("host").agg(score("allow").alias("for"), score("block").alias("against"))
+    blocked = final.select("host", (F.col("against") - F.col("for") > TOLERANCE * (F.col("against") + F.col("for"))).alias("blocked"))
     trust, distrust = (F.round(F.coalesce(c, F.lit(0.0)), DIGITS) for c in ("trust", "distrust"))
-    judged = ruled.select("page_id", "host", "path", "rule", "said").join(hosts, "host", "left")
-    spread = F.when(F.round(distrust - trust, DIGITS) > 0, "block").otherwise("allow")
+    judged = ruled.select("page_id", "host", "path", "rule", "said").join(blocked.join(hosts, "host", "left"), "host", "left")
+    spread = F.when(F.col("blocked"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", spread).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 

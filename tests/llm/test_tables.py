@@ -107,3 +107,14 @@ def test_trust_follows_links_and_distrust_goes_against_them(spark):
         (4, "http://good.org/", ""), (5, "http://far.org/", a("promoter.org")), (6, "http://alone.org/", ""), (7, "http://blog.promoter.org/", "<a href='/in'>x</a>"),
     ])
     assert {i: v[3] for i, v in got.items()} == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow", 7: "block"}
+
+
+def test_small_distrust_far_from_its_seed_blocks(spark):
+    """Fourteen links away, where a score is about 1e-16."""
+    a = lambda h: f'<a href="http://{h}/">x</a>'
+    rows = [(1, "http://bad.net/fr/", ""), (2, "http://good.com/", "")]
+    for level in range(1, 15):
+        to = f"far{level - 1}.org" if level > 1 else "bad.net"
+        rows += [(100 * level + i, f"http://far{level}.org/" if i == 0 else f"http://side{level}x{i}.org/", a(to)) for i in range(12)]
+    got = judged(spark, rows)
+    assert {got[100 * level][3] for level in range(1, 15)} == {"block"}
