@@ -315,21 +315,24 @@ def _groups(rows: Iterator[tuple], width: int) -> Iterator[tuple[tuple, list[tup
         yield now, held
 
 
-def classes_of(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``row, doc_id, n_shingles, component_id`` for every row of ``docs``.
+def classes_of(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """``row, doc_id, n_shingles, component_id, component`` for every row of ``docs``.
 
     Two documents link when their shingle sets reach the rule's Jaccard similarity; a component's id is the
-    smallest id that links reach. Null and empty texts have no shingles and link with nothing. Rows
-    that repeat an id are documents of their own; a null id is never the smallest unless all are null.
-    Other columns are not read.
+    smallest id that links reach, and ``component`` its smallest row number, which no other component has. Null and
+    empty texts have no shingles, no ``component`` and link with nothing. Rows that repeat an id are documents of their own;
+    a null id is never the smallest unless all are null. ``row`` names a column of written row numbers; without
+    it, rows are numbered here. Other columns are not read.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     content = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    named = "id bigint, n bigint, s1 bigint, s2 bigint"
-    rows = sets_of(content.withColumn("id", F.col("id").cast("long")), rule, named, lambda ids, sets, signs: [(i, len(x), *s) for i, x, s in zip(ids, sets, signs)])
     # Numbered before they are written: numbers made while reading would follow the file splits of each read.
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    numbered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), number.alias("row"))
+    named = "row bigint, id bigint, n bigint, s1 bigint, s2 bigint"
+    both = numbered.select(F.struct("row", "id").alias("id"), "text")
+    rows = stored(sets_of(both, rule, named, lambda ids, sets, signs: [(i["row"], i["id"], len(x), *s) for i, x, s in zip(ids, sets, signs)]), "rows")
     # Equal sets are one node, named by its first row.
     nodes = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.first("n").alias("n")), "nodes")
     keys = stored(shared_hashes(content, rule, parts, parts).join(nodes, ["s1", "s2"]).select("hash", "node", "n"), "keys")
@@ -350,10 +353,10 @@ def classes_of(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     found = components(links).withColumnRenamed("node", "member")
     placed = nodes.join(found, nodes["node"] == found["member"], "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = stored(placed.join(least, "component").select("s1", "s2", "component_id"), "classes")
+    by_set = stored(placed.join(least, "component").select("s1", "s2", "component_id", "component"), "classes")
     joined = rows.join(broadcast_if_small(by_set), ["s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return joined.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    least_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return joined.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), least_id.alias("component_id"), "component")
 
 
 def _must_share(rule: Rule) -> str:
@@ -454,10 +457,15 @@ def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Da
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id") -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest id stays, with its columns.
+    """The documents without near copies: of each component one row stays, with its columns.
 
-    Documents without words all stay.
+    It is a row with the smallest id, any one of several; a null id comes last. Rows are told apart by a number written
+    with them, not by their ids. Documents without words all stay.
     """
-    found = classes_of(docs, rule, id_col)
-    drop = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(broadcast_if_small(stored(drop, "copies")), F.col(id_col).cast("long") == F.col("dropped"), "left_anti")
+    row = "one_of_each_row"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = stored(classes_of(numbered, rule, id_col, row=row).where("n_shingles > 0").select("row", "doc_id", "component"), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = found.groupBy("component").agg(first.alias("first")).select("first.row")
+    drop = found.join(kept, "row", "left_anti").select(F.col("row").alias(row))
+    return numbered.join(broadcast_if_small(stored(drop, "copies")), row, "left_anti").select(*docs.columns)

@@ -123,3 +123,10 @@ def test_row_numbers_are_written(make_docs, monkeypatch):
     docs = make_docs([(1, "a b c d e f"), (2, "a b c d e f")])
     assert similar.classes_of(docs).count() == sharding.shards(docs).count() == 2
     assert "row" in written["rows"] and "row" in written["sizes"]
+
+
+def test_one_row_of_each_component_stays(make_docs):
+    t, u, v, w = (" ".join(f"{c}{i}" for i in range(12)) for c in "tuvw")
+    docs = make_docs([(3, t), (5, t), (5, u), (1, v), (1, v), (None, v), (None, w), (None, w), (9, None), (9, None)])
+    kept = sorted(((r.doc_id, r.text) for r in similar.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(3, t), (5, u), (1, v), (None, w), (9, None), (9, None)], key=repr)
