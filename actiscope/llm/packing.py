@@ -25,8 +25,35 @@ from actiscope.session import stored
 MAX_TOKENS = 2048
 GROUP_PIECES = 16_384
 """Pieces packed together; a few hundred KB in a task."""
-CACHED_CHARS = 12_000_000
-"""Characters of words whose ids a worker keeps between texts."""
+CACHED_CHARS = 8_000_000
+"""Characters of words, and of pre-tokens, whose ids a worker keeps between texts."""
+# Byte-level pre-tokens of a word without spaces inside, and the characters for which
+# these classes are the same in every Unicode version.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN_WORD = re.compile(f"[\\t\\n\\r!-~{LETTERS[6:]}]*")
+PRE_TOKENS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
+
+
+def byte_names() -> dict[int, str]:
+    """The character by which a byte-level vocabulary names each byte: its own where it can be seen, else one from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Ids(dict):
+    """Token ids by text, as little-endian 32-bit bytes, made at the first look and kept up to a number of characters."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.chars = make, most, 0
+
+    def __missing__(self, text: str) -> bytes:
+        self.chars += len(text)
+        if self.chars > self.most:
+            self.clear()
+            self.chars = len(text)
+        ids = self[text] = self.make(text)
+        return ids
 
 
 class WordCache:
@@ -34,7 +61,9 @@ class WordCache:
 
     Byte-level pre-tokenization never joins a space to what stands before it, and
     joins it to what follows unless that is white space. A text can so be cut before
-    every space that has no white space on both sides, and the parts encoded alone.
+    every space that has no white space on both sides, and the parts encoded alone. A new
+    word of common letters is put together from its pre-tokens, which are kept as well. Texts
+    that hold the string of an added token are encoded whole.
     """
 
     inside_run = re.compile(r"\s \s|  ")
@@ -44,25 +73,34 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.chars = 0
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([*added, self.inside_run.pattern]))
+        self.names = byte_names()
+        self.pre_tokens, self.words = Ids(self._pre_token, CACHED_CHARS), Ids(self._word, CACHED_CHARS)
+
+    def _pre_token(self, text: str) -> bytes:
+        named = text.encode().decode("latin-1").translate(self.names)
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
+
+    def _part(self, text: str) -> bytes:
+        if PLAIN_WORD.fullmatch(text, text.startswith(" ")):
+            return b"".join(map(self.pre_tokens.__getitem__, PRE_TOKENS.findall(text)))
+        return self._text(text)
+
+    def _word(self, word: str) -> bytes:
+        return self._part(" " + word)
+
+    def _text(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array.array("I", e.ids).tobytes() for e in found]
+    def encode_one(self, text: str) -> bytes:
+        if self.whole.search(text):
+            return self._text(text)
+        head, *rest = text.split(" ")
+        return self._part(head) + b"".join(map(self.words.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.chars > CACHED_CHARS:
-            self.words.clear()
-            self.chars = 0
-        parts = [[t] if self.inside_run.search(t) else t.split(" ") for t in texts]
-        known, tails = self.words, [p[1:] for p in parts]
-        new = list(set().union(*tails) - known.keys())
-        self.chars += sum(map(len, new))
-        known.update(zip(new, self._encode([" " + w for w in new])))
-        heads = self._encode([p[0] for p in parts])
-        return [head + b"".join(map(known.__getitem__, p)) for head, p in zip(heads, tails)]
+        return [self.encode_one(t) for t in texts]
 
 
 _caches: dict[str, WordCache] = {}

@@ -7,18 +7,16 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from actiscope.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER = Tokenizer.from_file(PATH)
 
 
 def ids_of(text):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
 @given(st.lists(st.integers(1, 50), max_size=80))
@@ -53,11 +51,18 @@ def test_close_to_the_bound_and_to_the_best():
         assert packing.best_two_fit(few, 12)[0].max() + 1 <= best + 1
 
 
-@pytest.mark.parametrize("text", ["", "a  b", "a \n b", "x\n y", "x \ny", " lead", "trail ", "\n\n b", "it's  'll 12 34a", "<|endoftext|> x", "\x1c \x1c a", "a    b", "🙂 é 漢 字"])
+@pytest.mark.parametrize("text", ["", "a  b", "a \n b", "x\n y", "x \ny", " lead", "trail ", "\n\n b", "it's  'll 12 34a", "<|endoftext|> x", "a b<|endoftext|>c", "<|endof text|>", "Éa×b ıſ 1²½٣ l'l", "\x1c \x1c a", "a    b", "🙂 é 漢 字"])
 def test_words_encoded_alone_give_the_ids_of_the_text(text):
     assert np.frombuffer(packing.WordCache(PATH).encode([text])[0], "<u4").tolist() == ids_of(text)
 
 
+@given(st.lists(st.text(st.sampled_from("aZé 'ß×÷ɏɐ\n\t\r\x1c\x85\xa0\u20091²½٣.,!?—漢ı"), max_size=30), max_size=20))
+@settings(max_examples=40, deadline=None)
+def test_odd_words_give_the_ids_of_the_text(texts):
+    cache = packing.encoder(PATH)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in cache.encode(texts)] == [ids_of(t) for t in texts]
+
+
 def test_cache_is_emptied_when_full(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_CHARS", 5)
     cache = packing.WordCache(PATH)
