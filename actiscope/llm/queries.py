@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from actiscope.llm import ann, fingerprints, lm, mixing, packing, quality, sharding, similar, substrings, urls
+from actiscope.llm import ann, fingerprints, infill, lm, mixing, online, packing, quality, sharding, similar, substrings, urls
 from actiscope.llm.common import load, query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,3 +65,15 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     cut = substrings.without_repeats(load(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op12_sum_of_squares")
+def op12(spark, sf_dir):
+    return online.pack_online(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op13_unit_captures", infill.ORACLE)
+def op13(spark, sf_dir):
+    made = infill.fill_in_middle(load(spark, sf_dir, "documents"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
