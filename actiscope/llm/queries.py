@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from actiscope.llm import ann, fingerprints, infill, lm, mixing, online, packing, quality, sharding, similar, substrings, urls
+from actiscope.llm import ann, fingerprints, infill, lm, mixing, online, packing, quality, repair, sharding, similar, substrings, urls
 from actiscope.llm.common import load, query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,6 +67,12 @@ def op10(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op11_hirschberg_repair")
+def op11(spark, sf_dir):
+    conversations = load(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damage(conversations), conversations)
+
+
 @query("op12_sum_of_squares")
 def op12(spark, sf_dir):
     return online.pack_online(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
