@@ -17,10 +17,10 @@ from actiscope.catalog import load, query
 from actiscope.catalog.features import LONG
 from actiscope.catalog.fixtures import RECORD_KEYS, records
 from actiscope.catalog.sampling import SPLIT_QUOTAS
-from actiscope.operators import features, models, neighbors, sampling
+from actiscope.operators import features, hashing, models, neighbors, sampling
 from actiscope.plans.classify import chosen, run_classification
 from actiscope.schema import SEED
-from actiscope.session import new_work_dir
+from actiscope.session import new_work_dir, stored
 from actiscope.sources.records import scan_records, training_rows
 from actiscope.sources.sinks import load_best_model, save_best_model, write_records
 
@@ -86,8 +86,7 @@ def fit_forest(spark, sf_dir):
 
 @query("fit_boosted", PLAIN)
 def fit_boosted(spark, sf_dir):
-    """Ten rounds of the 200, whose trees Spark grows one job after the other."""
-    return _fit(spark, sf_dir, models.fit_boosted, rounds=10)
+    return _fit(spark, sf_dir, models.fit_boosted)
 
 
 @query("fit_svm", PLAIN)
@@ -148,6 +147,29 @@ def nearest_neighbors(spark, sf_dir):
     return near.withColumn("distance2", F.round("distance2", 6))
 
 
+@query("hashed_neighbors", f"{NEIGHBORS} select * from top")
+def hashed_neighbors(spark, sf_dir):
+    """Through a hash table of which every bucket is looked into, so that the result must be the exact one; buckets hold 64 rows."""
+    queries, base = _neighbor_inputs(spark, sf_dir)
+    tables = hashing.fit_tables(base, 5, 0.95, "vec_id", "v", bucket_rows=64)
+    near = hashing.hashed_neighbors(queries, base, tables.first(1, 1 << tables.bits, None), 5, "vec_id", "v", "label")
+    return near.withColumn("distance2", F.round("distance2", 6))
+
+
+@query(
+    "neighbor_recall",
+    f"{NEIGHBORS} select count(*) as n_exact, true as enough from top",
+)
+def neighbor_recall(spark, sf_dir):
+    """Whether tables fitted for a recall of 0.95 find nine tenths of the exact neighbours."""
+    queries, base = _neighbor_inputs(spark, sf_dir)
+    exact = stored(neighbors.nearest_neighbors(queries, base, 5, "vec_id", "v", "label"), "exact")
+    found = hashing.hashed_neighbors(queries, base, hashing.fit_tables(base, 5, 0.95, "vec_id", "v", bucket_rows=256), 5, "vec_id", "v", "label")
+    hit = found.select("query_id", "base_id", F.lit(1).alias("hit"))
+    pairs = exact.select("query_id", "base_id").join(hit, ["query_id", "base_id"], "left")
+    return pairs.agg(F.count(F.lit(1)).alias("n_exact"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 @query(
     "knn_classify",
     f"""{NEIGHBORS}, votes as (select query_id, label, count(*) as n from top group by 1, 2)

@@ -16,7 +16,6 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -30,8 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actiscope.operators import features as feature_ops
-from actiscope.operators import neighbors
+from actiscope.operators import hashing, neighbors
+from actiscope.operators.boosting import fit_boosted
 from actiscope.operators.evaluate import MIN_PROBABILITY, PLATEAU_THRESHOLD
+from actiscope.operators.saving import Saver
 from actiscope.schema import BATCH_SIZE, EPOCHS, LEARNING_RATE, PLATEAU_FACTOR, PLATEAU_PATIENCE, SEED, STOP_PATIENCE
 
 # Hidden layer widths of the feed-forward networks.
@@ -55,8 +56,6 @@ CONV_STAGES = {
 TOKEN_WIDTH = 512
 # Tree and neighbour settings.
 TREES = 200
-BOOSTING_ROUNDS = 200
-BOOSTING_RATE = 0.1
 NEIGHBORS = 5
 MAX_ITERATIONS = 1000
 
@@ -100,36 +99,6 @@ def fit_forest(
     ).fit(train)
 
 
-def fit_boosted(
-    train: DataFrame,
-    inp: str = "features",
-    label: str = "label",
-    rounds: int = BOOSTING_ROUNDS,
-    depth: int = 6,
-    rate: float = BOOSTING_RATE,
-    seed: int = SEED,
-    parallelism: int = 4,
-):
-    """Boosted trees, one against the rest; depth 6 allows about the leaves asked for."""
-    trees = GBTClassifier(
-        featuresCol=inp, labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, maxMemoryInMB=1024
-    )
-    return OneVsRest(classifier=trees, featuresCol=inp, labelCol=label, parallelism=parallelism).fit(train)
-
-
-class Saver:
-    """Gives models made of several parts the writer calls of Spark's own models."""
-
-    def __init__(self, save: Callable[[str, str], None], mode: str = "error"):
-        self._save, self._mode = save, mode
-
-    def overwrite(self) -> Saver:
-        return Saver(self._save, "overwrite")
-
-    def save(self, path: str) -> None:
-        self._save(path, self._mode)
-
-
 def prepared(df: DataFrame, spec: Mapping) -> DataFrame:
     """``df`` with the made features that a spec (kind, inp and the settings of that kind) describes."""
     makers = {
@@ -164,7 +133,7 @@ class FeatureModel:
 
 
 class NeighborModel:
-    """Scaled k-nearest-neighbour vote over a fitted base."""
+    """Scaled k-nearest-neighbour vote over a fitted base: exact up to ``hashing.EXACT_ROWS`` base rows, through hash tables beyond."""
 
     def __init__(self, scaler, base: DataFrame, inp: str, label: str, id_col: str, k: int):
         self.scaler, self.base, self.inp, self.label, self.id_col, self.k = scaler, base, inp, label, id_col, k
@@ -173,9 +142,8 @@ class NeighborModel:
         return self.scaler.transform(df).select(self.id_col, *columns, vector_to_array("_std").alias("_vec"))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        votes = neighbors.knn_classify(
-            self._rows(df), self._rows(self.base, self.label), self.k, id_col=self.id_col, vec="_vec", label=self.label
-        )
+        near = hashing.find_neighbors(self._rows(df), self._rows(self.base, self.label), self.k, id_col=self.id_col, vec="_vec", label=self.label)
+        votes = neighbors.vote(near)
         scored = votes.select(F.col("query_id").alias(self.id_col), F.col("y_pred").cast("double").alias("prediction"))
         return df.join(scored, self.id_col)
 

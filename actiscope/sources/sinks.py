@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actiscope.operators.boosting import BoostedModel
 from actiscope.operators.features import PcaModel
 from actiscope.operators.models import FeatureModel, NeighborModel
 from actiscope.schema import LABELS, MAX_RECORDS_PER_FILE, RECORD_SCHEMA
@@ -53,17 +54,20 @@ def write_report(report: DataFrame, matrix: DataFrame, path: str, mode: str = "o
 
 
 def _best_meta(spark: SparkSession, folder: str) -> dict | None:
+    """The highest version among the complete ones; each is a folder of its own that is never written twice."""
     from pyspark.errors import AnalysisException
 
     try:
-        rows = spark.read.text(f"{folder}/best_meta").collect()
+        rows = spark.read.text(f"{folder}/best_meta_*").collect()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return json.loads(rows[0][0]) if rows else None
+    return max((json.loads(r[0]) for r in rows), key=lambda meta: meta["version"], default=None)
 
 
+LOADERS = {kind.__name__: kind.load for kind in (BoostedModel, FeatureModel, NeighborModel)}
+
 # The names under which the kept model is described.
 META = ("classifier", "tag", "f1_weighted", "model_file", "is_nn")
 
@@ -72,8 +76,8 @@ def save_best_model(spark: SparkSession, model, name: str, tag: str, f1: float,
     """Save a model and its metadata when its F1 beats the one kept for the tag.
 
     ``components`` are those its input is turned by, if any, and are saved next to it. The
-    metadata is written last, and names the model folder, so a run that
-    dies in between leaves the earlier model in force.
+    metadata is written last, under a new name, and names the model folder, so a run that
+    dies in between leaves the earlier model in force. A folder that such a run left is written over.
     """
     folder = f"{models_dir.rstrip('/')}/{tag}"
     kept = _best_meta(spark, folder)
@@ -81,14 +85,14 @@ def save_best_model(spark: SparkSession, model, name: str, tag: str, f1: float,
         return False
     version = (kept or {}).get("version", 0) + 1
     model_file = f"best_model_{name}_{version}"
-    kind = type(model).__name__ if isinstance(model, (FeatureModel, NeighborModel)) else "PipelineModel"
+    kind = type(model).__name__ if type(model).__name__ in LOADERS else "PipelineModel"
     saved = PipelineModel([model]) if kind == "PipelineModel" else model
     saved.write().overwrite().save(f"{folder}/{model_file}/model")
     if components is not None:
         components.save(spark, f"{folder}/{model_file}/components")
     meta = dict(zip(META, (name, tag, float(f1), model_file, bool(is_nn)))) | {"version": version, "kind": kind, "components": components is not None}
     row = spark.range(1).select(F.lit(json.dumps(meta)).alias("value"))
-    row.write.mode("overwrite").text(f"{folder}/best_meta")
+    row.write.mode("overwrite").text(f"{folder}/best_meta_{version}")
     return True
 
 
@@ -109,8 +113,7 @@ def load_best_model(spark: SparkSession, tag: str, models_dir: str) -> BestModel
     if meta is None:
         raise FileNotFoundError(f"no model is kept for {tag} in {models_dir}")
     path = f"{folder}/{meta['model_file']}"
-    loaders = {"FeatureModel": FeatureModel.load, "NeighborModel": NeighborModel.load}
-    model = loaders[meta["kind"]](spark, f"{path}/model") if meta["kind"] in loaders else PipelineModel.load(f"{path}/model")
+    model = LOADERS.get(meta["kind"], lambda _, at: PipelineModel.load(at))(spark, f"{path}/model")
     return BestModel(meta, model, PcaModel.load(spark, f"{path}/components") if meta["components"] else None)
 
 
