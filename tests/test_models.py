@@ -26,7 +26,7 @@ def records(spark):
 SMALL = {
     "LogisticRegression": {"max_iter": 30},
     "RandomForest": {"trees": 10, "depth": 6},
-    "BoostedTrees": {"rounds": 3, "depth": 3},
+    "BoostedTrees": {"rounds": 5, "leaves": 8},
     "SVM": {"count": 64, "max_iter": 20},
 }
 
