@@ -8,7 +8,6 @@ training order, which breaks ties in model selection.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -29,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actiscope.operators import features as feature_ops
-from actiscope.operators import hashing, neighbors
+from actiscope.operators import hashing, minibatch, neighbors
 from actiscope.operators.boosting import fit_boosted
-from actiscope.operators.evaluate import MIN_PROBABILITY, PLATEAU_THRESHOLD
+from actiscope.operators.evaluate import MIN_PROBABILITY
 from actiscope.operators.saving import Saver
-from actiscope.schema import BATCH_SIZE, EPOCHS, LEARNING_RATE, PLATEAU_FACTOR, PLATEAU_PATIENCE, SEED, STOP_PATIENCE
+from actiscope.operators.stopping import StopRule
+from actiscope.schema import BATCH_SIZE, EPOCHS, LEARNING_RATE, SEED, STOP_PATIENCE
 
 # Hidden layer widths of the feed-forward networks.
 MLP_WIDTHS = {
@@ -229,32 +229,6 @@ def validation_loss(model, df: DataFrame, label: str = "label") -> float:
     return float(model.transform(df).agg(F.avg(loss)).first()[0])
 
 
-@dataclass
-class StopRule:
-    """Early stopping with a rate that is cut on a plateau, one call per epoch."""
-
-    rate: float = LEARNING_RATE
-    patience: int = STOP_PATIENCE
-    plateau_patience: int = PLATEAU_PATIENCE
-    factor: float = PLATEAU_FACTOR
-    best: float = math.inf
-    mark: float = math.inf
-    wait: int = 0
-    flat: int = 0
-
-    def update(self, loss: float) -> tuple[bool, bool]:
-        """Whether the epoch is the best so far, and whether to stop."""
-        if loss < self.mark * (1 - PLATEAU_THRESHOLD):
-            self.mark, self.flat = loss, 0
-        else:
-            self.flat += 1
-            if self.flat > self.plateau_patience:
-                self.rate, self.flat = self.rate * self.factor, 0
-        improved = loss < self.best
-        self.best, self.wait = (loss, 0) if improved else (self.best, self.wait + 1)
-        return improved, self.wait >= self.patience
-
-
 def fit_early_stop(
     train: DataFrame,
     val: DataFrame,
@@ -333,6 +307,13 @@ def fit_network(
     return best
 
 
+def fit_widths(train: DataFrame, name: str = "MLP_Tiny", inp: str = "features", label: str = "label", val: DataFrame | None = None, **settings) -> minibatch.NetworkModel:
+    """A feed-forward network by name, trained in shuffled batches and stopped early when there are validation rows."""
+    if name not in MLP_WIDTHS:
+        raise ValueError(f"unknown network: {name!r}")
+    return minibatch.fit_network(train, MLP_WIDTHS[name], inp, label, val, **settings)
+
+
 def linear_scorer(weights: np.ndarray, bias: np.ndarray, batch_size: int = 4096):
     """Class scores of an externally trained linear model, in batches."""
 
@@ -412,7 +393,7 @@ def network_models(names: Sequence[str] | None = None, token_width: int = TOKEN_
     seeded = {"seed": settings["seed"]} if "seed" in settings else {}
     specs = {}
     for name in MLP_WIDTHS:
-        specs[name] = ModelSpec(name, "network", fit_network, {"name": name, **settings}, uses_val=True)
+        specs[name] = ModelSpec(name, "network", fit_widths, {"name": name, **settings}, uses_val=True)
     for name in CONV_STAGES:
         specs[name] = ModelSpec(name, "features", fit_conv, {"name": name, **steps, **seeded})
     specs["Attention_Small"] = ModelSpec("Attention_Small", "features", fit_chunks, {"width": token_width, **steps})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from actiscope.operators.boosting import BoostedModel
 from actiscope.operators.features import PcaModel
 from actiscope.operators.layered import LinearModel
+from actiscope.operators.minibatch import NetworkModel
 from actiscope.operators.models import FeatureModel, NeighborModel
 from actiscope.schema import LABELS, MAX_RECORDS_PER_FILE, RECORD_SCHEMA
 
@@ -67,7 +68,7 @@ def _best_meta(spark: SparkSession, folder: str) -> dict | None:
     return max((json.loads(r[0]) for r in rows), key=lambda meta: meta["version"], default=None)
 
 
-LOADERS = {kind.__name__: kind.load for kind in (BoostedModel, FeatureModel, LinearModel, NeighborModel)}
+LOADERS = {kind.__name__: kind.load for kind in (BoostedModel, FeatureModel, LinearModel, NeighborModel, NetworkModel)}
 
 # The names under which the kept model is described.
 META = ("classifier", "tag", "f1_weighted", "model_file", "is_nn")
