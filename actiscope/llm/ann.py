@@ -2,8 +2,9 @@
 
 A vector, less the mean of all, is turned by a random rotation into more dimensions and
 kept as one bit for each, with its length and a correction. Inner products estimated from the bits
-come with an error bound; only vectors whose smallest possible distance can still be among
-the nearest have their distance computed in full. Equal vectors are searched once.
+come with an error bound. The vectors lie beside their codes: a task takes them up in order of their smallest
+possible distance, computes distances in full, and stops where no vector left can be among the nearest. Codes
+and bounds decide which vectors are looked at; distances are those of the vectors as given. Equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from actiscope.session import stored
 BITS = 512
 ERROR = 2.5
 """Standard deviations that the error bound covers."""
+ROUNDING = 1e-5
+"""Share of the squared lengths by which a bound may be off from single precision."""
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 1_024
 CELL_ROWS = 65_536
-"""Codes that one task meets a block of queries with; the more, the fewer candidates they leave."""
-HELD = 2_000_000
-"""Candidates that a task holds before it thins them by the bounds found so far."""
+"""Codes that one task meets a block of queries with."""
+LOOK = 64
+"""Vectors of a block whose distance to a query is computed between two looks at the bounds."""
 SEED = 7
 
 
@@ -35,26 +38,36 @@ def rotation(dim: int, bits: int = BITS, seed: int = SEED) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(max(bits, dim), dim)))[0].astype(np.float32)
 
 
+def directions(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of what is left of the centre, and its direction; a length beyond all numbers has none."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rest = vectors - centre
+        length = np.linalg.norm(rest, axis=1)
+        known = np.isfinite(length) & (length > 0)
+        return length, np.where(known[:, None], rest / np.where(known, length, 1)[:, None], 0).astype(np.float32)
+
+
 def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed bits, length of what is left of the centre, and the code's inner product with its own direction."""
-    rest = vectors - centre
-    length = np.linalg.norm(rest, axis=1)
-    turned = rest @ turn.T
-    own = np.abs(turned).sum(axis=1) / np.sqrt(len(turn))
-    fit = np.where(length > 0, own / np.where(length > 0, length, 1), 1)
-    return np.packbits(turned > 0, axis=1), length.astype(np.float32), fit.astype(np.float32)
+    length, way = directions(vectors, centre)
+    turned = way @ turn.T
+    own = np.abs(turned).sum(axis=1, dtype=np.float64) / np.sqrt(len(turn))
+    return np.packbits(turned > 0, axis=1), length, np.where(own > 0, own, 1)
 
 
 def bounds(queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, bits: np.ndarray, length: np.ndarray, fit: np.ndarray, error: float = ERROR) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest likely squared distance of every query (rows) and code (columns)."""
     d = len(turn)
-    rest = queries - centre
-    q_length = np.linalg.norm(rest, axis=1)[:, None]
+    q_length, way = directions(queries, centre)
+    q_length = q_length[:, None]
     signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
-    product = (rest @ turn.T) @ signs.T / np.sqrt(d) / fit * length
-    slack = error * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / np.sqrt(d - 1) * length * q_length
-    middle = length * length + q_length * q_length - 2 * product
-    return middle - 2 * slack, middle + 2 * slack
+    with np.errstate(over="ignore", invalid="ignore"):
+        product = ((way @ turn.T) @ signs.T).astype(np.float64) / np.sqrt(d) / fit * length * q_length
+        slack = error * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / np.sqrt(d - 1) * length * q_length
+        whole = length * length + q_length * q_length
+        low, high = whole * (1 - ROUNDING) - 2 * (product + slack), whole * (1 + ROUNDING) - 2 * (product - slack)
+    known = np.isfinite(low)
+    return np.where(known, low, -np.inf), np.where(known, high, np.inf)
 
 
 def usable(vectors: DataFrame, vec: str) -> DataFrame:
@@ -68,106 +81,120 @@ def usable(vectors: DataFrame, vec: str) -> DataFrame:
 def classes(rows: DataFrame, most: int) -> DataFrame:
     """Distinct vectors: ``class`` (their smallest id), ``v`` and up to ``most`` smallest ids.
 
-    No more of them can be among the nearest of anything. Ranks are cut before and after the
+    No more of them can be among the nearest of anything. Equal rows count once. Ranks are cut before and after the
     shuffle, so a vector that a third of all rows share sends ``most`` ids a task.
     """
     place = F.row_number().over(W.partitionBy("v").orderBy("id"))
-    few = rows.withColumn("place", place).where(F.col("place") <= most)
+    few = rows.distinct().withColumn("place", place).where(F.col("place") <= most)
     return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("class"), "v", "ids")
 
 
 def code_blocks(base: DataFrame, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
-    """Codes of ``base`` (class, v) in blocks of bounded size, built where the rows are."""
+    """Codes of ``base`` (class, v) beside their vectors, in blocks of bounded size, built where the rows are."""
+    names = ["ids", "bits", "length", "fit", "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
                 vectors = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                data = [part.column(0).to_numpy().astype("<i8"), *encode(vectors, centre, turn)]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in data], names=["ids", "bits", "length", "fit"])
+                data = [part.column(0).to_numpy().astype("<i8"), *encode(vectors, centre, turn), vectors]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in data], names=names)
 
-    return base.select("class", "v").mapInArrow(run, "ids binary, bits binary, length binary, fit binary")
+    return base.select("class", "v").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
-def candidates(blocks: DataFrame, n_codes: int, queries: DataFrame, n_queries: int, k: int, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
-    """``query, class, least, most``: pairs that the bounds leave, over query blocks against all code blocks.
+def distances(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Euclidean distances, with the squares added up from the first component to the last."""
+    with np.errstate(over="ignore"):
+        return np.sqrt(np.cumsum((others - one) ** 2, axis=1)[:, -1])
 
-    A task keeps, per query, the k smallest upper bounds so far and drops what lies beyond them.
-    """
+
+class Nearest:
+    """The ``most`` nearest classes of every query of a block so far, ties to the smaller class."""
+
+    def __init__(self, queries: np.ndarray, most: int):
+        self.queries, self.most = queries, most
+        self.found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
+
+    def limit(self, i: int) -> float:
+        score, _ = self.found[i]
+        return float(score[-1]) if len(score) == self.most else np.inf
+
+    def look(self, low: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Take up vectors in order of their lower bounds (query, vector) until those of a query lie beyond its farthest."""
+        for i, query in enumerate(self.queries):
+            with np.errstate(over="ignore"):
+                left = np.flatnonzero(low[i] <= np.square(self.limit(i)))
+                left = left[np.argsort(low[i, left], kind="stable")]
+                for at in range(0, len(left), LOOK):
+                    if low[i, left[at]] > np.square(self.limit(i)):
+                        break
+                    some = left[at : at + LOOK]
+                    score = np.concatenate((self.found[i][0], distances(query, vectors[some])))
+                    names = np.concatenate((self.found[i][1], ids[some]))
+                    order = np.lexsort((names, score))[: self.most]
+                    self.found[i] = score[order], names[order]
+
+
+def nearest_classes(blocks: DataFrame, n_codes: int, queries: DataFrame, n_queries: int, most: int, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """``query, class, score``: per query block and cell of codes, the ``most`` nearest classes of each query."""
     groups = max(1, -(-n_queries // QUERY_ROWS))
     spread = max(1, -(-n_codes // CELL_ROWS))
     ask = queries.withColumn("q", F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int")).groupBy("q").agg(F.collect_list("class").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_vectors"))
     ask = ask.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     side = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    both = side.join(ask, ["q", "salt"]).select("q", "q_ids", "q_vectors", "ids", "bits", "length", "fit")
+    both = side.join(ask, ["q", "salt"]).select("q", "q_ids", "q_vectors", "ids", "bits", "length", "fit", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, held, size = None, None, [], 0
-
-        def thinned():
-            limit = best[:, -1]
-            return [tuple(x[keep] for x in part) for part in held for keep in [part[2] <= limit[part[0]]]]
+        now, near = None, None
 
-        def done():
-            for row, ids, low, high in thinned():
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (now[row], ids, low.astype(np.float64), high.astype(np.float64))], names=["query", "class", "least", "most"])
+        def done() -> pa.RecordBatch:
+            counts = [len(score) for score, _ in near.found]
+            columns = np.repeat(now, counts), np.concatenate([c for _, c in near.found]), np.concatenate([s for s, _ in near.found])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "class", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                cell = {name: batch.column(name)[i] for name in ("q_ids", "q_vectors", "ids", "bits", "length", "fit")}
+                cell = {name: batch.column(name)[i] for name in batch.schema.names}
                 q_ids = cell["q_ids"].values.to_numpy()
                 if now is None or len(now) != len(q_ids) or (now != q_ids).any():
                     if now is not None:
-                        yield from done()
-                    now, best, held, size = q_ids, np.full((len(q_ids), k), np.inf, np.float32), [], 0
-                vectors = cell["q_vectors"].values.to_numpy().reshape(len(q_ids), -1)
+                        yield done()
+                    now = q_ids
+                    near = Nearest(cell["q_vectors"].values.to_numpy().reshape(len(q_ids), -1), most)
                 ids = np.frombuffer(cell["ids"].as_py(), "<i8")
                 bits = np.frombuffer(cell["bits"].as_py(), np.uint8).reshape(len(ids), -1)
-                length, fit = (np.frombuffer(cell[c].as_py(), np.float32) for c in ("length", "fit"))
-                low, high = bounds(vectors, centre, turn, bits, length, fit)
-                best = np.sort(np.concatenate((best, np.partition(high, min(k, len(ids)) - 1, axis=1)[:, :k]), axis=1), axis=1)[:, :k]
-                row, column = np.nonzero(low <= best[:, -1:])
-                held.append((row, ids[column], low[row, column], high[row, column]))
-                size += len(row)
-                if size > HELD:
-                    held = thinned()
-                    size = sum(len(h[0]) for h in held)
+                length, fit, raw = (np.frombuffer(cell[c].as_py()) for c in ("length", "fit", "raw"))
+                near.look(bounds(near.queries, centre, turn, bits, length, fit)[0], ids, raw.reshape(len(ids), -1))
         if now is not None:
-            yield from done()
+            yield done()
 
-    return both.sortWithinPartitions("q").mapInArrow(run, "query bigint, class bigint, least double, most double")
+    return both.sortWithinPartitions("q").mapInArrow(run, "query bigint, class bigint, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", bits: int = BITS) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k rows nearest to each query by Euclidean distance, itself left out.
+    """``query_id, rank, vec_id, score``: the k rows nearest to each query by Euclidean distance in double precision, itself left out.
 
     Ties go to the smaller id. ``queries`` are rows of ``vectors``. Vectors that are null, zero, of another length
-    than the commonest, or hold nulls or numbers that aren't finite take no part; other
-    columns are not read. Ids are unique. An empty table gives no rows.
+    than the commonest (no distance is defined between lengths), or hold nulls or numbers that aren't finite take no part; other
+    columns are not read. Equal rows count once; an id with several vectors is listed once, at its nearest, and asks with
+    each of them, so its list may be shorter. An empty table gives no rows.
     """
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v")).where("id is not null"), "v")
-    found = stored(classes(rows, k + 1), "classes")
+    take = lambda df, name: df.select(F.col(id_col).cast("long").alias(name), F.col(vec).cast("array<double>").alias("v"))
+    found = stored(classes(usable(take(vectors, "id").where("id is not null"), "v"), k + 1), "classes")
     means = found.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).orderBy("i").collect()  # one row per dimension
     if not means:
         return vectors.sparkSession.createDataFrame([], schema)
-    centre = np.array([m.x for m in means], np.float32)
+    centre = np.array([m.x if np.isfinite(m.x) else 0.0 for m in means])
     turn = rotation(len(centre), bits)
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec).cast("array<float>").alias("v")).join(found.select("v", "class"), "v").select("query_id", "class")
-    asked = stored(asked, "asked")
+    asked = stored(take(queries, "query_id").join(found.select("v", "class"), "v").select("query_id", "class").distinct(), "asked")
     ask = stored(found.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v"), "queries")
-    near = stored(candidates(code_blocks(found, centre, turn), found.count(), ask, ask.count(), k + 1, centre, turn), "candidates")
-    place = F.row_number().over(W.partitionBy("query").orderBy("most"))
-    limit = near.select("query", "most").withColumn("place", place).where(F.col("place") <= k + 1).groupBy("query").agg(F.max("most").alias("limit"), F.count(F.lit(1)).alias("n"))
-    left = near.join(limit, "query").where((F.col("n") <= k) | (F.col("least") <= F.col("limit"))).select("query", "class")
-    pairs = left.join(ask.select(F.col("class").alias("query"), F.col("v").alias("q")), "query").join(found, "class")
-    squares = F.zip_with("q", "v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    exact = pairs.select("query", F.explode("ids").alias("vec_id"), F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"))
-    closest = W.partitionBy("query").orderBy("score", "vec_id")
-    top = exact.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= k + 1)
-    lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
-    each = asked.join(lists, F.col("class") == F.col("query"))
-    own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return each.select("query_id", F.posexplode(own).alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    near = nearest_classes(code_blocks(found, centre, turn), found.count(), ask, ask.count(), k + 1, centre, turn)
+    closest = F.row_number().over(W.partitionBy("query").orderBy("score", "class"))
+    top = near.withColumn("place", closest).where(F.col("place") <= k + 1).drop("place")
+    listed = top.join(found.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
+    pairs = asked.join(listed, F.col("class") == F.col("query")).where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -40,6 +40,29 @@ def test_odd_vectors_and_ties(spark):
         assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in want[q]], abs=1e-12)
 
 
+def test_distances_are_those_of_doubles(spark):
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=6)
+    rows = [(0, base), (1, base + [3e-9, 0, 0, 0, 0, 0]), (2, base + [1e-9, 0, 0, 0, 0, 0]), (3, [1e60, 1, 1, 1, 1, 1]), (5, [1e60, 2, 1, 1, 1, 1])]
+    rows += [(i, draw.normal(size=6)) for i in range(6, 40)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id in (0, 3)"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    for q in (0, 3):
+        x = np.array(dict(rows)[q], float)
+        want = sorted((float(np.sqrt(np.cumsum((x - np.array(v, float)) ** 2)[-1])), i) for i, v in rows if i != q)[:5]
+        assert got[q] == want
+    assert [i for _, i in got[0][:2]] == [2, 1] and got[0][0][0] > 0 and got[3][0] == (1.0, 5)
+
+
+def test_equal_rows_and_repeated_ids(spark):
+    rows = [(0, [1.0, 1.0])] * 3 + [(1, [2.0, 1.0])] * 2 + [(2, [5.0, 1.0]), (2, [1.5, 1.0]), (3, [9.0, 1.0])]
+    got = found(table(spark, rows), 4, 2)
+    assert got[0] == [(0.5, 2), (1.0, 1), (8.0, 3)]
+    assert got[2] == [(0.5, 0), (0.5, 1), (4.0, 3)]
+
+
 def test_few_and_no_vectors(spark):
     rows = [(0, [1.0, 2.0]), (5, [3.0, 2.0]), (7, [1.0, 2.0])]
     assert {q: [i for _, i in x] for q, x in found(table(spark, rows), 10, 5).items()} == {0: [7, 5], 5: [0, 7]}
