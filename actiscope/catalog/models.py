@@ -1,4 +1,4 @@
-"""Models fitted and scored on the built records, and on vectors whose class is plain to see.
+"""Models fitted and scored on vectors whose class is plain to see.
 
 Fits run at their default settings but for those a docstring names. The class of a plain
 vector is told by the signs of its first two values, which stand for half of its values, so every
@@ -7,32 +7,25 @@ model must find it for every row it hasn't seen; that is what the SQL asks.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import functions as F
+from functools import reduce
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from actiscope.catalog import load, query
 from actiscope.catalog.features import LONG
-from actiscope.catalog.fixtures import RECORD_KEYS, records
 from actiscope.catalog.sampling import SPLIT_QUOTAS
 from actiscope.operators import features, hashing, models, neighbors, sampling
-from actiscope.plans.classify import chosen, run_classification
-from actiscope.schema import SEED
+from actiscope.plans.classify import run_classification
+from actiscope.schema import RECORD_SCHEMA, SEED
 from actiscope.session import new_work_dir, stored
 from actiscope.sources.records import scan_records, training_rows
 from actiscope.sources.sinks import load_best_model, save_best_model, write_records
 
-COUNTED = ("tag", "track", "classifier", "split", "n_rows")
-LAYERS = 8
-
-
-def _records(spark, sf_dir):
-    """Built records, written and scanned like any stored set."""
-    sink = new_work_dir(spark, "records")
-    write_records(records(spark, sf_dir), sink)
-    return scan_records(spark, sink)
+LAYERS = 2
 
 
 def _plain(spark, sf_dir):
@@ -67,11 +60,7 @@ def _fit(spark, sf_dir, fit, **settings):
 def _fit_each(spark, sf_dir, fit, names):
     rows = _plain(spark, sf_dir)
     train = rows.where("split = 'train'")
-    parts = [_found(rows, fit(train, name=n)).withColumn("classifier", F.lit(n)) for n in names]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return reduce(DataFrame.union, [_found(rows, fit(train, name=n)).withColumn("classifier", F.lit(n)) for n in names])
 
 
 @query("fit_logreg", PLAIN)
@@ -94,13 +83,13 @@ def fit_svm(spark, sf_dir):
     return _fit(spark, sf_dir, models.fit_svm)
 
 
-SMALLER = ["MLP_Tiny", "MLP_Small", "MLP_2L"]
-
-
-@query("fit_mlp", _named(SMALLER))
+@query("fit_mlp", _named(list(models.MLP_WIDTHS)))
 def fit_mlp(spark, sf_dir):
-    """Three of the seven widths; the others have ten to a hundred times the weights of these."""
-    return _fit_each(spark, sf_dir, models.fit_mlp, SMALLER)
+    """All seven widths, with validation rows for the stop rule."""
+    rows = _plain(spark, sf_dir)
+    train, val = (rows.where(F.col("split") == s) for s in ("train", "val"))
+    parts = [_found(rows, models.fit_widths(train, name, val=val)).withColumn("classifier", F.lit(name)) for name in models.MLP_WIDTHS]
+    return reduce(DataFrame.union, parts)
 
 
 @query("fit_conv", _named(list(models.CONV_STAGES)))
@@ -223,50 +212,64 @@ def model_registry(spark, sf_dir):
     return spark.createDataFrame(rows, "train_order int, classifier string, family string, n_weights bigint")
 
 
+def _plain_records(spark, sf_dir):
+    """Records of plain vectors in two layers, written and scanned like any stored set."""
+    rows = _plain(spark, sf_dir).select("sample_id", "label", vector_to_array("features").cast("array<float>").alias("hidden_state_vector"))
+    made = rows.select(
+        F.col("sample_id").cast("string").alias("sample_id"), F.lit("m").alias("model_name"), F.col("sample_id").cast("int").alias("instruction_id"),
+        (F.col("sample_id") % LAYERS).cast("int").alias("layer_index"), "label", F.lit("").alias("label_name"), "hidden_state_vector",
+    )
+    sink = new_work_dir(spark, "plain")
+    write_records(made.select([F.col(f.name).cast(f.dataType) for f in RECORD_SCHEMA]), sink, by_layer=True)
+    return scan_records(spark, sink)
+
+
 def _scored_rows(tag: str, track: str, names: list[str], where: str = "true") -> str:
-    """Rows that each model of a scope is scored on."""
-    return f"""(with {RECORD_KEYS}, k as (select id, t as y, md5(concat_ws('|', '{SEED}', id)) as h from keys where {where}),{SPLIT_QUOTAS}
-    select '{tag}' as tag, '{track}' as track, classifier, split, count(*) as n_rows
+    """What each model of a scope must reach on plain vectors: every row of validation and test found."""
+    return f"""(with k as (select vec_id as id, (embedding[1] > 0)::int + 2 * (embedding[2] > 0)::int as y, md5(concat_ws('|', '{SEED}', vec_id)) as h
+        from embeddings where {where}),{SPLIT_QUOTAS}
+    select '{tag}' as tag, '{track}' as track, classifier, split, count(*) as n_rows, 1.0::double as accuracy, 1.0::double as f1_weighted, 1.0::double as f1_macro
     from split_rows cross join (select unnest({names!r}) as classifier) where split <> 'train' group by all)"""
 
 
-CLASSICAL = ["LogisticRegression", "RandomForest", "KNN"]
+CLASSICAL = list(models.classical_models())
+TOKENS = 32
+
+
+def _scores(metrics):
+    rounded = [F.round(c, 9).alias(c) for c in ("accuracy", "f1_weighted", "f1_macro")]
+    return metrics.select("tag", "track", "classifier", "split", "n_rows", *rounded)
 
 
 @query("fit_cross_layer", f"select * from {_scored_rows('cross_layer', 'classical', CLASSICAL)}")
 def fit_cross_layer(spark, sf_dir):
-    """All classical models but the boosted trees, over all layers."""
-    classical = chosen(CLASSICAL, models.classical_models())
-    results = run_classification(_records(spark, sf_dir), track="classical", classical=classical, sampled_networks={})
-    return results.metrics.select(*COUNTED)
+    """All classical models over all layers."""
+    return _scores(run_classification(_plain_records(spark, sf_dir), track="classical", sampled_networks={}).metrics)
 
 
-@query("fit_per_layer", " union all ".join(_scored_rows(f"layer_{i}", "classical", CLASSICAL[:1], f"l = {i}") for i in range(LAYERS)))
+@query("fit_per_layer", " union all ".join(_scored_rows(f"layer_{i}", "classical", CLASSICAL, f"vec_id % {LAYERS} = {i}") for i in range(LAYERS)))
 def fit_per_layer(spark, sf_dir):
-    """One classical model for each layer."""
-    classical = chosen(CLASSICAL[:1], models.classical_models())
-    results = run_classification(_records(spark, sf_dir), task="per-layer", track="classical", classical=classical, sampled_networks={})
-    return results.metrics.select(*COUNTED)
+    """All classical models for each layer; layers share the passes of their components and regressions."""
+    return _scores(run_classification(_plain_records(spark, sf_dir), task="per-layer", track="classical", sampled_networks={}).metrics)
 
 
-STREAMED = ["MLP_Tiny", "CNN_Tiny"]
+STREAMED = list(models.network_models())
 
 
 @query(
     "run_tracks",
-    f"{_scored_rows('cross_layer', 'classical', CLASSICAL[:2])} union all {_scored_rows('cross_layer_stream', 'nn_streaming', STREAMED)}",
+    f"{_scored_rows('cross_layer', 'classical', CLASSICAL)} union all {_scored_rows('cross_layer_stream', 'nn_streaming', STREAMED)}",
 )
 def run_tracks(spark, sf_dir):
-    """Both tracks on one set of records, two models each, the better ones kept."""
+    """Both tracks on one set of records, all classical models and all networks, the best ones kept. Tokens are of 32 values."""
     results = run_classification(
-        _records(spark, sf_dir),
-        classical=chosen(CLASSICAL[:2], models.classical_models()),
-        networks=models.network_models(STREAMED),
+        _plain_records(spark, sf_dir),
+        networks=models.network_models(token_width=TOKENS),
         sampled_networks={},
         models_dir=new_work_dir(spark, "models"),
         results_dir=new_work_dir(spark, "results"),
     )
-    return results.metrics.select(*COUNTED)
+    return _scores(results.metrics)
 
 
 @query("save_best_model", f"select *, 'long' as classifier from ({PLAIN})")

@@ -118,7 +118,14 @@ def fit_pca(df: DataFrame, k: int = PCA_DIM, inp: str = "features", out: str = "
     components = axes[:, order[: min(k, d)]].T
     peaks = np.abs(components).argmax(axis=1)
     components = components * np.where(components[np.arange(len(components)), peaks] < 0, -1.0, 1.0)[:, None]
-    return PcaModel(mu, components, np.maximum(variances[order], 0.0), inp, out)
+    variances = np.maximum(variances[order], 0.0)
+    return PcaModel(mu, without_empty(components, variances), variances, inp, out)
+
+
+def without_empty(components: np.ndarray, variances: np.ndarray) -> np.ndarray:
+    """Components, zero where there is no variance but that of rounding, which a scaler would otherwise blow up."""
+    kept = variances[: len(components)] > 1e-12 * max(variances[0], 0.0)
+    return components * kept[:, None]
 
 
 def explained_variance(model: PcaModel) -> float:

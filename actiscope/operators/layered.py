@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from actiscope.operators.features import PcaModel
+from actiscope.operators.features import PcaModel, without_empty
 from actiscope.operators.saving import Saver
 from actiscope.schema import PCA_DIM, SEED
 
@@ -159,7 +159,7 @@ def fit_pca_layers(
             components *= np.where(components[np.arange(kept), peaks] < 0, -1.0, 1.0)[:, None]
             found = np.maximum(variances[order], 0.0)
             rest = max(0.0, float(moments[one][2].sum()) - float(found.sum()))
-            models[one] = PcaModel(means[one], components, np.append(found, rest), inp, out)
+            models[one] = PcaModel(means[one], without_empty(components, found), np.append(found, rest), inp, out)
     return LayeredPca(models, layer or "layer_index", inp, out)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actiscope.operators import features as feature_ops
-from actiscope.operators import hashing, minibatch, neighbors
+from actiscope.operators import hashing, layered, minibatch, neighbors
 from actiscope.operators.boosting import fit_boosted
 from actiscope.operators.evaluate import MIN_PROBABILITY
 from actiscope.operators.saving import Saver
@@ -67,6 +67,7 @@ class ModelSpec:
     fit: Callable
     settings: dict = field(default_factory=dict)
     uses_val: bool = False  # the fit also takes the validation rows, as ``val``
+    fit_layers: Callable | None = None  # fits one model per layer in common passes
 
 
 def fit_logreg(train: DataFrame, inp: str = "features", label: str = "label", max_iter: int = MAX_ITERATIONS) -> PipelineModel:
@@ -380,7 +381,8 @@ def classical_models(**settings) -> dict[str, ModelSpec]:
     fits = {"LogisticRegression": fit_logreg, "RandomForest": fit_forest, "KNN": fit_knn, "BoostedTrees": fit_boosted}
     if "SVM" in settings:
         fits["SVM"] = fit_svm
-    return {name: ModelSpec(name, "classical", fit, settings.get(name, {})) for name, fit in fits.items()}
+    together = {"LogisticRegression": layered.fit_logreg_layers}
+    return {name: ModelSpec(name, "classical", fit, settings.get(name, {}), fit_layers=together.get(name)) for name, fit in fits.items()}
 
 
 def network_models(names: Sequence[str] | None = None, token_width: int = TOKEN_WIDTH, **settings) -> dict[str, ModelSpec]:

@@ -133,12 +133,41 @@ def stratified_split(
     val_size: float = VAL_SIZE,
     test_size: float = TEST_SIZE,
     seed: int = SEED,
+    within: str | None = None,
 ) -> DataFrame:
-    """Add ``split`` (train, val or test), each with the class shares of the whole."""
+    """Add ``split`` (train, val or test), each with the class shares of the whole.
+
+    With ``within``, each of its values is split on its own, all in the same passes.
+    """
+    if within is not None:
+        # Classes of all values at once: one class per value and label.
+        named = df.withColumn("_class", F.concat_ws("|", F.col(within).cast("string"), F.col(label).cast("string")))
+        ranks, total = {}, 0
+        for part in _counts_within(df, within, label).values():
+            total += sum(n for _, n in part.values())
+            quotas = split_quotas({y: n for y, (_, n) in part.items()}, val_size, test_size)
+            ranks |= {part[y][0]: [test, test + val] for y, (test, val) in quotas.items()}
+        return _marked(named, hash_cuts(named, id_col, "_class", ranks, total, seed), id_col, "_class", seed).select(*df.columns, "split")
     counts = class_counts(df, label)
     quotas = split_quotas(counts, val_size, test_size)
     ranks = {y: [test, test + val] for y, (test, val) in quotas.items()}
-    cuts = hash_cuts(df, id_col, label, ranks, sum(counts.values()), seed)
+    return _marked(df, hash_cuts(df, id_col, label, ranks, sum(counts.values()), seed), id_col, label, seed)
+
+
+def _counts_within(df: DataFrame, within: str, label: str, most: int = MAX_CLASSES) -> dict[Any, dict[Any, tuple[str, int]]]:
+    """Per value of ``within`` its classes, each with its joint name and rows."""
+    rows = df.groupBy(within, label).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{within} and {label} have more than {most} values")
+    if any(r[0] is None or r[1] is None for r in rows):
+        raise ValueError(f"{within} or {label} holds nulls")
+    found: dict[Any, dict] = {}
+    for value, y, n in sorted(rows):
+        found.setdefault(value, {})[y] = (f"{value}|{y}", n)
+    return found
+
+
+def _marked(df: DataFrame, cuts: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
     split = (
         F.when(_at_or_below(F.col("cuts")[0], id_col), "test")
         .when(_at_or_below(F.col("cuts")[1], id_col), "val")

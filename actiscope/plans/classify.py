@@ -8,10 +8,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actiscope.operators import evaluate, features, models, profile, sampling
+from actiscope.operators import evaluate, features, layered, models, profile, sampling
 from actiscope.schema import LABELS, PCA_DIM, SEED, TEST_SIZE, VAL_SIZE
 from actiscope.session import new_work_dir
 from actiscope.sources.records import CACHE_BYTES, filter_layer, training_rows
@@ -62,10 +62,10 @@ def scopes(records: DataFrame, task: str) -> list[tuple[str, DataFrame]]:
     raise ValueError(f"unknown task: {task!r}")
 
 
-def split_rows(rows: DataFrame, split_by: str, val_size: float, test_size: float, seed: int) -> DataFrame:
-    """Split by row within each label, or by instruction so that near copies stay together."""
+def split_rows(rows: DataFrame, split_by: str, val_size: float, test_size: float, seed: int, within: str | None = None) -> DataFrame:
+    """Split by row within each label (and each value of ``within``), or by instruction so that near copies stay together."""
     if split_by == "row":
-        return sampling.stratified_split(rows, val_size=val_size, test_size=test_size, seed=seed)
+        return sampling.stratified_split(rows, val_size=val_size, test_size=test_size, seed=seed, within=within)
     if split_by != "instruction":
         raise ValueError(f"unknown split: {split_by!r}")
     outer = sampling.group_split(rows, test_size=test_size, seed=seed)
@@ -84,7 +84,7 @@ def fit_and_score(
     inp: str,
     path: str,
     notes: Notes,
-    first_order: int = 1,
+    orders: Mapping[str, int],
     models_dir: str | None = None,
     select_on: str = "test",
     components: features.PcaModel | None = None,
@@ -98,29 +98,64 @@ def fit_and_score(
     """
     spark = rows.sparkSession
     train, held_out = rows.where("split = 'train'"), rows.where("split != 'train'")
-    for order, (name, spec) in enumerate(specs.items(), first_order):
+    for name, spec in specs.items():
+        order = orders[name]
         started = time.perf_counter()
         extra = {"val": rows.where("split = 'val'")} if spec.uses_val else {}
         model = spec.fit(train, inp=inp, **spec.settings, **extra)
         notes.times.append((tag, track, name, time.perf_counter() - started))
         notes.log += [(tag, track, name, *line) for line in getattr(model, "training_log", ())]
         folder = f"{path}/fit={track}-{tag}-{order}"
-        model.transform(held_out).select(
-            F.lit(tag).alias("tag"),
-            F.lit(track).alias("track"),
-            F.lit(name).alias("classifier"),
-            F.lit(order).alias("train_order"),
-            "split",
-            "sample_id",
-            F.col("label").alias("y_true"),
-            F.col("prediction").cast("int").alias("y_pred"),
-        ).write.parquet(folder)
+        predicted(model.transform(held_out), F.lit(tag), track, name, order).write.parquet(folder)
         if models_dir:
             score = evaluate.f1_scores(spark.read.parquet(folder).where(F.col("split") == select_on), ("tag",)).first()
             if score is not None:
                 save_best_model(spark, model, name, tag, score.f1_weighted, spec.family == "network", models_dir, components)
 
 
+def predicted(scored: DataFrame, tag: Column, track: str, name: str, order: int) -> DataFrame:
+    """Predictions as they are stored."""
+    return scored.select(
+        tag.alias("tag"),
+        F.lit(track).alias("track"),
+        F.lit(name).alias("classifier"),
+        F.lit(order).alias("train_order"),
+        "split",
+        "sample_id",
+        F.col("label").alias("y_true"),
+        F.col("prediction").cast("int").alias("y_pred"),
+    )
+
+
+def fit_layers_and_score(
+    rows: DataFrame,
+    specs: Mapping[str, models.ModelSpec],
+    layers: Sequence[int],
+    inp: str,
+    path: str,
+    notes: Notes,
+    orders: Mapping[str, int],
+    models_dir: str | None,
+    select_on: str,
+    components: layered.LayeredPca | None,
+) -> None:
+    """``fit_and_score`` for models that are fitted for all layers in common passes; the time of a fit is shared out evenly."""
+    spark = rows.sparkSession
+    for name, spec in specs.items():
+        started = time.perf_counter()
+        model = spec.fit_layers(rows.where("split = 'train'"), inp=inp, **spec.settings)
+        share = (time.perf_counter() - started) / len(layers)
+        notes.times += [(f"layer_{k}", "classical", name, share) for k in layers]
+        folder = f"{path}/fit=classical-layers-{orders[name]}"
+        tag = F.concat(F.lit("layer_"), F.col("layer_index").cast("string"))
+        predicted(model.transform(rows.where("split != 'train'")), tag, "classical", name, orders[name]).write.parquet(folder)
+        if models_dir:
+            scores = evaluate.f1_scores(spark.read.parquet(folder).where(F.col("split") == select_on), ("tag",))
+            for r in sorted(scores.collect()):  # one row per layer
+                k = int(r.tag.removeprefix("layer_"))
+                save_best_model(spark, model.models[k], name, r.tag, r.f1_weighted, False, models_dir, components and components.models[k])
+
+
 def at_once(spark: SparkSession, work: Callable, items: list, parallelism: int) -> None:
     """Run the driver side of several fits in threads, so that the small jobs of
     one layer fill the slots another leaves idle."""
@@ -153,8 +188,9 @@ def run_classification(
     ``classical``: optional sample, components of the vectors, classical models,
     then ``sampled_networks`` on the raw vectors of the same rows. ``nn-stream``:
     all rows, raw vectors, ``networks``. Components are fitted on the train rows;
-    ``fit_on="all"`` fits them on all rows. ``parallelism`` layers are fitted at
-    the same time; each keeps its rows cached while it is, up to ``cache_bytes``. Scopes of the
+    ``fit_on="all"`` fits them on all rows. Per layer, rows of all layers are split, turned and cached together, up to
+    ``cache_bytes``; models that can be are fitted for all layers in common passes, of the others ``parallelism`` layers at
+    the same time. The second track keeps one layer's rows cached while it is fitted. Scopes of the
     second track have ``_stream`` after their tag, in every table and in the saved models, so that the best
     model of a tag is chosen among those that were trained in one order.
     """
@@ -179,6 +215,8 @@ def run_classification(
         notes.sizes += [(tag, r.split, r.label, r.n) for r in sampling.split_sizes(ready).collect()]
         return ready, n_rows
 
+    orders = {name: i for i, name in enumerate([*classical, *sampled_networks], 1)}
+
     def first_track(scope: tuple[str, DataFrame]) -> None:
         tag, rows = scope
         ready, n_rows = prepared(tag, rows)
@@ -190,9 +228,41 @@ def run_classification(
                 notes.explained.append((tag, len(turn.components), features.explained_variance(turn)))
                 reduced = training_rows(turn.transform(ready).drop("features"), n_rows, 8 * pca_dim, cache_bytes)
                 inp = "pca"
-            fit_and_score(reduced, classical, tag, "classical", inp, path, notes, 1, models_dir, select_on, turn)
-            first = len(classical) + 1
-            fit_and_score(ready, sampled_networks, tag, "network", "features", path, notes, first, models_dir, select_on)
+            fit_and_score(reduced, classical, tag, "classical", inp, path, notes, orders, models_dir, select_on, turn)
+            fit_and_score(ready, sampled_networks, tag, "network", "features", path, notes, orders, models_dir, select_on)
+        finally:
+            reduced.unpersist()
+            ready.unpersist()
+
+    def layers_together(records: DataFrame) -> None:
+        """All layers split, turned and kept in common passes; models that can be are fitted so too, the others layer by layer."""
+        layers = sorted(r.layer_index for r in profile.eligible_layers(records).select("layer_index").collect())
+        if not layers:
+            return
+        rows = records.where(F.col("layer_index").isin(layers))
+        n_rows, width = rows.count(), features.vector_size(rows, "hidden_state_vector")
+        split = features.stack_vectors(split_rows(rows, split_by, val_size, test_size, seed, "layer_index"))
+        ready = training_rows(split.select(*keep), n_rows, 8 * width, cache_bytes)
+        reduced, inp, turn = ready, "features", None
+        try:
+            counts = ready.groupBy("layer_index", "split", "label").agg(F.count(F.lit(1)).alias("n")).collect()
+            notes.sizes += [(f"layer_{r.layer_index}", r.split, r.label, r.n) for r in counts]
+            if pca_dim:
+                turn = layered.fit_pca_layers(ready if fit_on == "all" else ready.where("split = 'train'"), pca_dim)
+                notes.explained += [(f"layer_{k}", len(m.components), features.explained_variance(m)) for k, m in turn.models.items()]
+                reduced = training_rows(turn.transform(ready).drop("features"), n_rows, 8 * pca_dim, cache_bytes)
+                inp = "pca"
+            together = {name: s for name, s in classical.items() if s.fit_layers}
+            alone = {name: s for name, s in classical.items() if not s.fit_layers}
+            fit_layers_and_score(reduced, together, layers, inp, path, notes, orders, models_dir, select_on, turn)
+
+            def one(k: int) -> None:
+                own = turn and turn.models[k]
+                fit_and_score(filter_layer(reduced, k), alone, f"layer_{k}", "classical", inp, path, notes, orders, models_dir, select_on, own)
+                fit_and_score(filter_layer(ready, k), sampled_networks, f"layer_{k}", "network", "features", path, notes, orders, models_dir, select_on)
+
+            if alone or sampled_networks:
+                at_once(spark, one, layers, parallelism)
         finally:
             reduced.unpersist()
             ready.unpersist()
@@ -201,13 +271,17 @@ def run_classification(
         tag, rows = f"{scope[0]}_stream", scope[1]
         ready, _ = prepared(tag, rows)
         try:
-            fit_and_score(ready, networks, tag, "nn_streaming", "features", path, notes, 1, models_dir, select_on)
+            names = {name: i for i, name in enumerate(networks, 1)}
+            fit_and_score(ready, networks, tag, "nn_streaming", "features", path, notes, names, models_dir, select_on)
         finally:
             ready.unpersist()
 
     if track in ("auto", "classical"):
         rows = sampling.stratified_sample(records, n_samples=sample_size, seed=seed) if sample_size else records
-        at_once(spark, first_track, scopes(rows, task), parallelism)
+        if task == "per-layer":
+            layers_together(rows)
+        else:
+            first_track(scopes(rows, task)[0])
     if track in ("auto", "nn-stream"):
         at_once(spark, second_track, scopes(records, task), parallelism)
 
