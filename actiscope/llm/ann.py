@@ -79,29 +79,30 @@ def usable(vectors: DataFrame, vec: str) -> DataFrame:
 
 
 def classes(rows: DataFrame, most: int) -> DataFrame:
-    """Distinct vectors: ``class`` (their smallest id), ``v`` and up to ``most`` smallest ids.
+    """Distinct vectors: a number ``class``, ``v``, up to ``most`` smallest ``ids`` and of those the ``least``. To be stored before use.
 
     No more of them can be among the nearest of anything. Equal rows count once. Ranks are cut before and after the
     shuffle, so a vector that a third of all rows share sends ``most`` ids a task.
     """
     place = F.row_number().over(W.partitionBy("v").orderBy("id"))
     few = rows.distinct().withColumn("place", place).where(F.col("place") <= most)
-    return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("class"), "v", "ids")
+    lists = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return lists.select(F.monotonically_increasing_id().alias("class"), F.col("ids")[0].alias("least"), "v", "ids")
 
 
 def code_blocks(base: DataFrame, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
-    """Codes of ``base`` (class, v) beside their vectors, in blocks of bounded size, built where the rows are."""
-    names = ["ids", "bits", "length", "fit", "raw"]
+    """Codes of ``base`` (class, least, v) beside their vectors, in blocks of bounded size, built where the rows are."""
+    names = ["ids", "least", "bits", "length", "fit", "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
-                vectors = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                data = [part.column(0).to_numpy().astype("<i8"), *encode(vectors, centre, turn), vectors]
+                vectors = part.column(2).flatten().to_numpy().reshape(part.num_rows, -1)
+                data = [*(part.column(i).to_numpy().astype("<i8") for i in range(2)), *encode(vectors, centre, turn), vectors]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in data], names=names)
 
-    return base.select("class", "v").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+    return base.select("class", "least", "v").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
 def distances(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -111,17 +112,17 @@ def distances(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 class Nearest:
-    """The ``most`` nearest classes of every query of a block so far, ties to the smaller class."""
+    """The ``most`` nearest classes of every query of a block so far as (score, least id, class), ties to the smaller id."""
 
     def __init__(self, queries: np.ndarray, most: int):
         self.queries, self.most = queries, most
-        self.found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
+        self.found = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
 
     def limit(self, i: int) -> float:
-        score, _ = self.found[i]
+        score = self.found[i][0]
         return float(score[-1]) if len(score) == self.most else np.inf
 
-    def look(self, low: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def look(self, low: np.ndarray, least: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Take up vectors in order of their lower bounds (query, vector) until those of a query lie beyond its farthest."""
         for i, query in enumerate(self.queries):
             with np.errstate(over="ignore"):
@@ -131,28 +132,28 @@ class Nearest:
                     if low[i, left[at]] > np.square(self.limit(i)):
                         break
                     some = left[at : at + LOOK]
-                    score = np.concatenate((self.found[i][0], distances(query, vectors[some])))
-                    names = np.concatenate((self.found[i][1], ids[some]))
-                    order = np.lexsort((names, score))[: self.most]
-                    self.found[i] = score[order], names[order]
+                    new = distances(query, vectors[some]), least[some], ids[some]
+                    joined = [np.concatenate(pair) for pair in zip(self.found[i], new)]
+                    order = np.lexsort((joined[1], joined[0]))[: self.most]
+                    self.found[i] = tuple(x[order] for x in joined)
 
 
 def nearest_classes(blocks: DataFrame, n_codes: int, queries: DataFrame, n_queries: int, most: int, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
-    """``query, class, score``: per query block and cell of codes, the ``most`` nearest classes of each query."""
+    """``query, class, least, score``: per query block and cell of codes, the ``most`` nearest classes of each query."""
     groups = max(1, -(-n_queries // QUERY_ROWS))
     spread = max(1, -(-n_codes // CELL_ROWS))
     ask = queries.withColumn("q", F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int")).groupBy("q").agg(F.collect_list("class").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_vectors"))
     ask = ask.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     side = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    both = side.join(ask, ["q", "salt"]).select("q", "q_ids", "q_vectors", "ids", "bits", "length", "fit", "raw")
+    both = side.join(ask, ["q", "salt"]).select("q", "q_ids", "q_vectors", "ids", "least", "bits", "length", "fit", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, near = None, None
 
         def done() -> pa.RecordBatch:
-            counts = [len(score) for score, _ in near.found]
-            columns = np.repeat(now, counts), np.concatenate([c for _, c in near.found]), np.concatenate([s for s, _ in near.found])
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "class", "score"])
+            score, least, ids = (np.concatenate([f[i] for f in near.found]) for i in range(3))
+            columns = np.repeat(now, [len(f[0]) for f in near.found]), ids, least, score
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "class", "least", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -163,14 +164,14 @@ def nearest_classes(blocks: DataFrame, n_codes: int, queries: DataFrame, n_queri
                         yield done()
                     now = q_ids
                     near = Nearest(cell["q_vectors"].values.to_numpy().reshape(len(q_ids), -1), most)
-                ids = np.frombuffer(cell["ids"].as_py(), "<i8")
+                ids, least = (np.frombuffer(cell[c].as_py(), "<i8") for c in ("ids", "least"))
                 bits = np.frombuffer(cell["bits"].as_py(), np.uint8).reshape(len(ids), -1)
                 length, fit, raw = (np.frombuffer(cell[c].as_py()) for c in ("length", "fit", "raw"))
-                near.look(bounds(near.queries, centre, turn, bits, length, fit)[0], ids, raw.reshape(len(ids), -1))
+                near.look(bounds(near.queries, centre, turn, bits, length, fit)[0], least, ids, raw.reshape(len(ids), -1))
         if now is not None:
             yield done()
 
-    return both.sortWithinPartitions("q").mapInArrow(run, "query bigint, class bigint, score double")
+    return both.sortWithinPartitions("q").mapInArrow(run, "query bigint, class bigint, least bigint, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", bits: int = BITS) -> DataFrame:
@@ -192,7 +193,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     asked = stored(take(queries, "query_id").join(found.select("v", "class"), "v").select("query_id", "class").distinct(), "asked")
     ask = stored(found.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v"), "queries")
     near = nearest_classes(code_blocks(found, centre, turn), found.count(), ask, ask.count(), k + 1, centre, turn)
-    closest = F.row_number().over(W.partitionBy("query").orderBy("score", "class"))
+    closest = F.row_number().over(W.partitionBy("query").orderBy("score", "least"))
     top = near.withColumn("place", closest).where(F.col("place") <= k + 1).drop("place")
     listed = top.join(found.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     pairs = asked.join(listed, F.col("class") == F.col("query")).where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -306,17 +306,22 @@ def window_gradient(net: Network, v: Vocabulary, h: np.ndarray, x: np.ndarray, t
     d_all = np.zeros_like(all_h)
     d_all[real] = dh_out
     dh = np.zeros_like(h)
+    into = np.empty((*x.shape, 3 * HIDDEN), np.float32)
     for t in range(len(x) - 1, -1, -1):
         dh = dh + d_all[t]
-        before, z, r, new, own, inputs = saved[t]
+        before, z, r, new, own, _ = saved[t]
         d_new = dh * (1 - z) * (1 - new * new)
         d_z = dh * (before - new) * z * (1 - z)
         d_r = d_new * own * r * (1 - r)
-        given = np.concatenate((d_z, d_r, d_new), axis=1)
+        into[t] = np.concatenate((d_z, d_r, d_new), axis=1)
         inner = np.concatenate((d_z, d_r, d_new * r), axis=1)
-        np.add.at(d_embed, inputs, given)
         d_recur += before.T @ inner
         dh = (dh * z + inner @ net.recur.T) * ~begins[t][:, None]
+    # Gradients of one input row lie together after sorting and are added up as runs.
+    order = np.argsort(x, axis=None, kind="stable")
+    rows = x.ravel()[order]
+    edge = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    d_embed[rows[edge]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], edge)
     return grads, h, loss / n
 
 
