@@ -31,17 +31,20 @@ LEARNED = 2_048
 CLASSES = 32
 REST_CLASSES = 32
 HIDDEN = 16
-WINDOW = 16
-LANES = 32
+WINDOW = 32
+LANES = 512
 SCORE_LANES = 256
-TRAIN_TOKENS = 500_000
+TRAIN_TOKENS = 4_000_000
 """Tokens a training task gets, about."""
 LEAST_ROUNDS = 4
 """Rounds of training at least; with the input, rounds and tasks of a round grow alike."""
-RATE = 0.004
+RATE = 0.03
 COUNTED_WORDS = 1_000_000
 """Distinct words a counting task holds before it hands them on."""
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 12_000_000
+"""Characters of documents that are scored together; the more, the fuller the lanes."""
+DEALT_CHARS = 2_000_000
+"""Characters of documents that go to one round of training together."""
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -364,17 +367,18 @@ class Reader:
 
 
 def _dealt(docs: DataFrame, shared, text: str, rounds: int) -> DataFrame:
-    """``round, n, targets`` of every document, written once; a task deals its documents to the rounds in turn."""
+    """``round, n, targets`` of every document, written once; a task deals runs of its documents to the rounds in turn, so that
+    it writes no more files than it has runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         read, at = Reader(shared.value), TaskContext.get().partitionId()
         for b in batches:
-            for texts in slices(b.column(0).to_pylist(), lambda t: len(t or "") + 8, SLICE_CHARS):
+            for texts in slices(b.column(0).to_pylist(), lambda t: len(t or "") + 8, DEALT_CHARS):
                 found = [read.targets(t)[0] for t in texts]
-                turn = (at + np.arange(len(found))) % rounds
-                at += len(found)
+                turn = np.full(len(found), at % rounds)
+                at += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(turn, pa.int32()), pa.array([len(f) for f in found], pa.int64()), pa.array([f.astype(np.uint16).tobytes() for f in found], pa.binary())],
                     names=["round", "n", "targets"],
