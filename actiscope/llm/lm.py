@@ -32,13 +32,16 @@ CLASSES = 32
 REST_CLASSES = 32
 HIDDEN = 16
 WINDOW = 32
-LANES = 512
+LEAST_LANES, MOST_LANES = 16, 512
+STEPS = 256
+"""Updates a training task should take: a small one reads in fewer lanes, and with smaller steps."""
 SCORE_LANES = 256
 TRAIN_TOKENS = 4_000_000
 """Tokens a training task gets, about."""
 LEAST_ROUNDS = 4
 """Rounds of training at least; with the input, rounds and tasks of a round grow alike."""
 RATE = 0.03
+"""Step length with the most lanes; with fewer it falls as their root."""
 COUNTED_WORDS = 1_000_000
 """Distinct words a counting task holds before it hands them on."""
 SLICE_CHARS = 12_000_000
@@ -328,16 +331,18 @@ def window_gradient(net: Network, v: Vocabulary, h: np.ndarray, x: np.ndarray, t
     return grads, h, loss / n
 
 
-def train(net: Network, v: Vocabulary, docs: list[np.ndarray], rate: float = RATE) -> tuple[Network, list[float]]:
+def train(net: Network, v: Vocabulary, docs: list[np.ndarray], rate: float | None = None) -> tuple[Network, list[float]]:
     """One pass of truncated backpropagation through time with Adam, the state carried from window to window."""
+    lanes = min(MOST_LANES, max(LEAST_LANES, sum(map(len, docs)) // (WINDOW * STEPS)))
+    rate = RATE * math.sqrt(lanes / MOST_LANES) if rate is None else rate
     net = Network(*(p.copy() for p in net.parts()))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
-    h, log = np.zeros((min(LANES, len(docs)), HIDDEN), np.float32), []
-    for n, (x, target, begins, place) in enumerate(windows(v, docs, LANES, WINDOW), 1):
+    h, log = np.zeros((min(lanes, len(docs)), HIDDEN), np.float32), []
+    for n, (x, target, begins, place) in enumerate(windows(v, docs, lanes, WINDOW), 1):
         grads, h, loss = window_gradient(net, v, h[: x.shape[1]], x, target, begins, place >= 0)
         log.append(loss)
         # Windows with few lanes left count by their tokens.
-        share = rate * min(1.0, float((place >= 0).sum()) / (LANES * WINDOW))
+        share = rate * min(1.0, float((place >= 0).sum()) / (lanes * WINDOW))
         for part, g, (m, s) in zip(net.parts(), grads, moments):
             m *= 0.9
             m += 0.1 * g
