@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,19 @@ def slices(texts: Iterable, size: Callable = len, most: int = 1_000_000) -> Iter
             held, total = [], 0
     if held:
         yield held
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores until no column in ``taken`` has it in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def release_memory() -> None:
+    """Give freed memory of a worker back to the system, where its C library can: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -154,7 +154,7 @@ def in_order_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return (
         rows.withColumn("to", places("rank"))
         .select(F.posexplode("to").alias("tail", "bucket"), "rank", "id", "text")
-        .repartition(n, "bucket")
+        .repartitionById(n, "bucket")  # one bucket a task, where a hash would put several into some
         .sortWithinPartitions("bucket", "tail", "rank", "text")
     )
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actiscope.llm.common import shuffle_partitions, unit_hash
+from actiscope.llm.common import free_name, shuffle_partitions, unit_hash
 from actiscope.session import broadcast_if_small, stored
 
 SEED = "mix-1"
 POWER = 0.5
 """A source's default weight is its number of documents to this power."""
+BROADCAST_SOURCES = 50_000
+"""Sources whose distributions, of 184 doubles at most, are broadcast: 74 MB."""
 PART_MEAN = 64.0
 """A larger mean is a sum of equal parts up to this one, each with a draw of its own."""
 
@@ -71,23 +73,38 @@ def copies(parts: Column, at_most: Column, key: Column, seed: str) -> Column:
 def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", id_col: str = "doc_id", seed: str = SEED, **rates) -> DataFrame:
     """Every document as often as its draw says, in random order, with ``copy`` and ``shuffle_key``.
 
-    Columns of these two names are replaced. Rows that share an id share their draw; a null
-    id counts as the empty text. Rates are joined by broadcast when counted to be few sources, else by
+    Columns of these two names are replaced. Every row has a draw of its own: by its id, and where the id is null or
+    other rows have it too, by the row's number in its task as well. Rates are joined by broadcast when counted to be few sources, else by
     a shuffle that adaptive execution splits at hot sources. An empty table gives no rows.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    table = broadcast_if_small(stored(poisson_table(target_rates(docs, weights, source, **rates)), "poisson"))
-    table = table.select(F.col("source").alias("_mix_source"), F.col("parts").alias("_mix_parts"), F.col("at_most").alias("_mix_at_most"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.join(table, F.col(source).eqNullSafe(F.col("_mix_source"))).select(
-        *names, copies(F.col("_mix_parts"), F.col("_mix_at_most"), key, seed).alias("_mix_copies")
-    )
-    rows = drawn.where("_mix_copies > 0").select(*names, F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)).alias("copy"))
-    rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "copy", key)))
+    fresh = lambda name: free_name(name, names)
+    of, parts, at_most, own, times = map(fresh, ("_mix_source", "_mix_parts", "_mix_at_most", "_mix_key", "_mix_copies"))
+    table = broadcast_if_small(stored(poisson_table(target_rates(docs, weights, source, **rates)), "poisson"), BROADCAST_SOURCES)
+    table = table.select(F.col("source").alias(of), F.col("parts").alias(parts), F.col("at_most").alias(at_most))
+    keyed = _with_keys(docs.select(*names), id_col, own)
+    drawn = keyed.join(table, F.col(source).eqNullSafe(F.col(of))).select(*names, own, copies(F.col(parts), F.col(at_most), F.col(own), seed).alias(times))
+    rows = drawn.where(F.col(times) > 0).select(*names, own, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("copy"))
+    rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "copy", own))).drop(own)
     return rows.repartition(shuffle_partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def _with_keys(docs: DataFrame, id_col: str, own: str) -> DataFrame:
+    """``docs`` with the text that each row's draw is made from. Only ids are read to find those that several rows have."""
+    mark = free_name("_mix_repeated", docs.columns)
+    name = F.col(id_col).cast("string")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(name.alias(mark)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = stored(again, "repeated")
+    number = F.concat_ws("|", F.coalesce(name, F.lit("")), F.monotonically_increasing_id().cast("string"))
+    numbered = docs.withColumn(own, F.when(F.col(id_col).isNull(), number).otherwise(name))
+    if again.isEmpty():
+        return numbered
+    row = free_name("_mix_row", docs.columns)
+    both = docs.withColumn(row, number).join(broadcast_if_small(again), name == F.col(mark), "left")
+    return both.withColumn(own, F.when(F.col(mark).isNotNull() | F.col(id_col).isNull(), F.col(row)).otherwise(name)).drop(mark, row)
+
+
 ORACLE = f"""with n as (select source, count(*) as n, sqrt(count(*)) as w from documents group by 1),
 r as (select source, (select sum(n) from n) * w / (select sum(w) from n) / n as rate from n),
 p as (select source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) over (partition by source order by k) as at_most

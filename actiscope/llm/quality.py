@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actiscope.llm.common import slices
+from actiscope.llm.common import release_memory, slices
 
 WIDTH = 6
 FILTERS = 16
@@ -230,7 +230,10 @@ def with_quality(docs: DataFrame, net: ByteConvNet, text: str = "text", out: str
         pairs = model.pairs()
         for texts in batches:
             data = [(t or "").encode() for t in texts]
-            yield pd.Series(np.concatenate([score(model, pairs, s) for s in slices(data)] or [np.empty(0)]))
+            found = np.concatenate([score(model, pairs, s) for s in slices(data)] or [np.empty(0)])
+            del data
+            release_memory()
+            yield pd.Series(found)
 
     return docs.withColumn(out, of(F.col(text)))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from actiscope.llm.common import shuffle_partitions, slices
+from actiscope.llm.common import release_memory, shuffle_partitions, slices
 from actiscope.llm.graph import components
 from actiscope.llm.substrings import Words, planes, run_hashes, unpack_planes
 from actiscope.session import broadcast_if_small, stored
@@ -110,6 +110,8 @@ def sets_of(docs: DataFrame, rule: Rule, columns: str, emit) -> DataFrame:
             found = emit([r[0] for r in part], sets, [signature(s) for s in sets])
             if found:
                 yield _batch(found, columns)
+            del found, sets
+            release_memory()
 
     return docs.mapInArrow(run, columns)
 

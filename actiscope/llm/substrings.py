@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actiscope.llm.common import shuffle_partitions, slices
+from actiscope.llm.common import free_name, release_memory, shuffle_partitions, slices
 
 WINDOW = 20
 GRAM = 4
@@ -269,6 +269,8 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
             rows = [(int(d) % buckets, True, d, k, runs) for d, k, runs in settled] + [(b, False, None, None, blob) for b, blob in blobs]
             if rows:
                 yield _batch(rows, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), ["bucket", "settled", "doc", "key", "starts"])
+            del w, settled, blobs, rows
+            release_memory()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, common = [], None, word_hashes(shared.value)
@@ -316,9 +318,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     starts = repeated_starts(docs, window, gram, id_col, text)
-    marks = starts.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list("starts").alias("_starts"))
-    keyed = docs.select(*names).withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "_key": F.xxhash64(text)})
-    joined = keyed.join(marks, ["_doc", "_key"], "left")
+    doc, key, begun, made = (free_name(n, names) for n in ("_doc", "_key", "_starts", "_kept"))
+    # Copies of a row mark the same starts, which are kept once.
+    marks = starts.groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(F.collect_set("starts").alias(begun))
+    keyed = docs.select(*names).withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), key: F.xxhash64(text)})
+    joined = keyed.join(marks, [doc, key], "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def kept(texts: pd.Series, marked: pd.Series) -> pd.DataFrame:
@@ -330,7 +334,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
             out.append((len(words), len(words) - len(stay), b" ".join(stay).decode()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
 
-    return joined.withColumn("_kept", kept(F.col(text), F.col("_starts"))).select(*names, "_kept.*")
+    return joined.withColumn(made, kept(F.col(text), F.col(begun))).select(*names, f"{made}.*")
 
 
 def cut_repeats(docs: DataFrame, **settings) -> DataFrame:

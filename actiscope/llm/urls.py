@@ -17,6 +17,8 @@ ROUNDS = 10
 """Rounds after which ``trust`` and ``distrust`` are reported; verdicts wait until scores settle."""
 SETTLED = 1e-6
 """Share of each score that five rounds may still change once scores count as settled."""
+MOST_ROUNDS = 200
+"""Rounds at most: what is still to be spread is then 1e-14 of what was given out, less than the rounding of sums."""
 TOLERANCE = 1e-9
 """Share of their sum by which distrust must exceed trust, so that the order of sums doesn't decide."""
 DIGITS = 12
@@ -51,7 +53,8 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     pages. Every host of three labels or more is tied to the domain above it, both ways with weight 1.
     """
     links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(LINK)), lambda h: F.translate(h, UPPER, LOWER)))).alias("dst"))
-    links = links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    # Written, so that the pages are searched once.
+    links = stored(links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")), "links")
     hosts = links.select(F.col("src").alias("host")).union(links.select("dst")).union(pages.select("host")).distinct()
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -68,7 +71,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
     ``seeds`` is (kind, host, score) and ``edges`` (kind, src, dst, share); both kinds spread in the same
     joins. Every fifth round is written to the work folder, which cuts the lineage. Scores are settled when five
-    rounds reach no new host and change each score by a small share of itself, however small it is.
+    rounds reach no new host and change each score by a small share of itself, however small it is, or when
+    ``MOST_ROUNDS`` have left nothing to spread.
     """
     edges, seeds = stored(edges, "shares"), stored(seeds, "seeds")
     again = seeds.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
@@ -86,7 +90,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             early = scores
         if n % 5 == 0:
             moved = scores.join(before.withColumnRenamed("score", "was"), ["kind", "host"], "left")
-            if n >= rounds and moved.where(f"was is null or abs(score - was) > {SETTLED} * score").isEmpty():
+            if n >= MOST_ROUNDS or n >= rounds and moved.where(f"was is null or abs(score - was) > {SETTLED} * score").isEmpty():
                 return early, scores
             before = scores
 

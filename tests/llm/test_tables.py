@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import check
 from actiscope.llm import common, mixing, sharding, urls
@@ -24,9 +25,10 @@ def test_mixing_odd_documents(odd_docs, no_docs):
     assert sorted(out.columns) == sorted({*odd_docs.columns, "copy", "shuffle_key"})
     rows = out.collect()
     for doc, n in Counter((r.doc_id, r.text) for r in rows).items():
-        copies = sorted(r.copy for r in rows if (r.doc_id, r.text) == doc)
-        times = 2 if doc[0] == 10 else 1
-        assert copies == sorted(list(range(n // times)) * times)
+        # Two rows share id 10; each has a draw of its own, and its copies are numbered from 0.
+        copies = Counter(r.copy for r in rows if (r.doc_id, r.text) == doc)
+        assert sorted(copies) == list(range(len(copies))) and copies[0] <= (2 if doc[0] == 10 else 1)
+        assert all(copies[i] >= copies[i + 1] for i in range(len(copies) - 1)) and copies.total() == n
     assert mixing.mix(no_docs).count() == 0
 
 
@@ -40,6 +42,17 @@ def test_mixing_reaches_its_weights(spark):
     assert {r.source for r in only.collect()} == {"b"}
 
 
+def test_rows_without_ids_of_their_own_are_drawn_apart(spark):
+    rows = [(None, "s", i) for i in range(2000)] + [(3, "s", i) for i in range(2000)] + [(10 + i, "s", i) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, _mix_key int").repartition(4)
+    out = mixing.mix(docs).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    for own in (lambda i: i is None, lambda i: i == 3, lambda i: i is not None and i >= 10):
+        mine = [r for r in out if own(r.doc_id)]
+        assert len(mine) == pytest.approx(2000, rel=0.1)
+        assert len({r.p for r in mine}) > 2
+    assert mixing.mix(docs).columns == ["doc_id", "source", "_mix_key", "copy", "shuffle_key"]
+
+
 def test_large_means_are_sums_of_draws(spark):
     docs = spark.createDataFrame([(i, "s") for i in range(40)], "doc_id long, source string")
     counts = Counter(r.doc_id for r in mixing.mix(docs, total=40 * 900).select("doc_id").collect())
