@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from actiscope.catalog import load, query
 from actiscope.catalog.fixtures import ALL_VARIANTS, MODEL, RECORD_KEYS, STATES, layer_states, positions, records
 from actiscope.functions import vectors
-from actiscope.operators import guards, variants
-from actiscope.plans.generate import assemble_records, build_records, drift_summary, run_totals
+from actiscope.operators import guards, variant_table, variants
+from actiscope.plans.generate import assemble_records, build_records, drift_summary, run_totals, write_counted
 from actiscope.schema import SEED
+from actiscope.session import new_work_dir
 from actiscope.sources.layer_states import token_states_from_vectors
 
 KEYS = ("instruction_id", "layer_index")
@@ -84,6 +85,15 @@ def expand_variants_columns(spark, sf_dir):
     return positions(expanded, "vector", *KEYS, "label", "label_name", digits=6)
 
 
+@query("expand_variants_table", EXPANDED)
+def expand_variants_table(spark, sf_dir):
+    """The same by a table function in SQL."""
+    variant_table.register(spark)
+    layer_states(spark, sf_dir).createOrReplaceTempView("states_to_expand")
+    expanded = spark.sql("select * from expand_variants(table(select instruction_id, layer_index, input_vec, output_vec from states_to_expand))")
+    return positions(expanded, "vector", *KEYS, "label", "label_name", digits=6)
+
+
 RECORD_SUMS = f"""with {ALL_VARIANTS},
     sums as (select g, l, t, count(*) as dim, sum(v::double) as total, max(abs(v))::double as top
              from variants group by g, l, t)
@@ -155,15 +165,21 @@ def finite_guard(spark, sf_dir):
     return guards.finite_guard(_spoiled(spark, sf_dir)).select(*KEYS)
 
 
-@query(
-    "finite_drops",
-    f"""with {SPOILED} select l as layer_index, count(*) as n_rows, count(*) filter (bi) as n_bad_input,
-    count(*) filter (not bi and bo) as n_bad_output from bad group by l""",
-)
+DROPS = f"""with {SPOILED} select l as layer_index, count(*) as n_rows, count(*) filter (bi) as n_bad_input,
+    count(*) filter (not bi and bo) as n_bad_output from bad group by l"""
+
+
+@query("finite_drops", DROPS)
 def finite_drops(spark, sf_dir):
     return guards.finite_drops(_spoiled(spark, sf_dir))
 
 
+@query("write_counted", DROPS)
+def counted_while_written(spark, sf_dir):
+    """The same counts, taken by the job that builds and writes the records."""
+    return write_counted(_spoiled(spark, sf_dir), new_work_dir(spark, "records"), 8, MODEL).drops(spark)
+
+
 def _cut_inputs(spark, sf_dir):
     """Layer states where inputs that start with a large value lost their last element."""
     cut = F.expr("if(input_vec[0] > 0.3F, slice(input_vec, 1, size(input_vec) - 1), input_vec)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from actiscope.catalog import load, query
@@ -13,6 +15,7 @@ from actiscope.operators import evaluate
 from actiscope.plans.generate import build_records
 from actiscope.schema import SEED
 from actiscope.session import new_work_dir
+from actiscope.sources import tables
 from actiscope.sources.records import (
     cached_records,
     fetch_rows,
@@ -126,6 +129,18 @@ def resumed(spark, sf_dir):
     return record_sums(scan_records(spark, sink))
 
 
+@query("resume_table", RECORD_SUMS)
+def resumed_table(spark, sf_dir):
+    """The same in a bucketed table, whose side of the joins isn't shuffled."""
+    states, table = layer_states(spark, sf_dir), f"records_{uuid.uuid4().hex}"
+    folder = new_work_dir(spark, "table")
+    first = build_records(states.where("instruction_id % 3 = 0"), MODEL)
+    tables.write_table(first.where("layer_index != 5 and not (layer_index = 3 and label = 2)"), table, 8, path=folder)
+    for _ in range(2):
+        tables.resume_table(states, table, 8, MODEL)
+    return record_sums(tables.scan_table(spark, table))
+
+
 @query("resume_stream", f"select * from ({RECORD_SUMS}) where instruction_id % 5 <> 2")
 def streamed(spark, sf_dir):
     """Files that split every instruction, of which some have a bad layer in the later file; a second delivery adds nothing."""

@@ -19,6 +19,8 @@ from actiscope.sources.sinks import save_best_model, write_report, write_summary
 
 TASKS = ("cross-layer", "per-layer")
 TRACKS = ("auto", "classical", "nn-stream")
+EXACT_WIDTH = 1024
+"""Vector length up to which components come from the whole covariance, of 8 MB then; beyond, from a sketch."""
 BY = ("tag", "track", "classifier", "train_order", "split")
 
 
@@ -224,7 +226,8 @@ def run_classification(
         try:
             if pca_dim:
                 base = ready if fit_on == "all" else ready.where("split = 'train'")
-                turn = features.fit_pca(base, pca_dim)
+                exact = features.vector_size(rows, "hidden_state_vector") <= EXACT_WIDTH
+                turn = features.fit_pca(base, pca_dim) if exact else layered.fit_pca_sketch(base, pca_dim)
                 notes.explained.append((tag, len(turn.components), features.explained_variance(turn)))
                 reduced = training_rows(turn.transform(ready).drop("features"), n_rows, 8 * pca_dim, cache_bytes)
                 inp = "pca"

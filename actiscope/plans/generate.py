@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from actiscope.functions import text, vectors
 from actiscope.operators import guards, variants
 from actiscope.schema import RECORD_SCHEMA, SEED
+from actiscope.sources.sinks import write_records
 
 
 def failing_instructions(states: DataFrame, seed: int = SEED) -> DataFrame:
@@ -43,6 +46,39 @@ def build_records(
     return assemble_records(expanded, model_name)
 
 
+@dataclass(frozen=True)
+class RunCounts:
+    """What a run wrote and left out, as counted by the job that wrote it."""
+
+    n_records: int
+    per_layer: list[tuple[int, int, int, int]]
+
+    def drops(self, spark: SparkSession) -> DataFrame:
+        """Rows seen and dropped per layer, as ``finite_drops`` has them."""
+        return spark.createDataFrame(self.per_layer, "layer_index int, n_rows bigint, n_bad_input bigint, n_bad_output bigint")
+
+
+def write_counted(states: DataFrame, sink: str, n_layers: int, model_name: str = "model", seed: int = SEED, engine: str = "arrow", **write) -> RunCounts:
+    """Build and write the records of ``states``, and count as the rows pass: no second scan of states or sink.
+
+    Rows of each of the layers 0 to ``n_layers`` - 1 are counted before anything is left out, records as they are written.
+    """
+    seen, made = Observation("states"), Observation("records")
+    bad_in, bad_out = (~F.expr(vectors.is_finite(c)) for c in ("input_vec", "output_vec"))
+    metrics = []
+    for k in range(n_layers):
+        here = F.col("layer_index") == k
+        for name, what in (("rows", here), ("in", here & bad_in), ("out", here & ~bad_in & bad_out)):
+            metrics.append(F.count_if(what).alias(f"{name}_{k}"))
+    offenders = failing_instructions(states, seed)
+    whole = guards.drop_groups(states.observe(seen, *metrics), offenders, "instruction_id")
+    expanded = variants.expand(guards.finite_guard(whole), seed, engine)
+    write_records(assemble_records(expanded, model_name).observe(made, F.count(F.lit(1)).alias("n")), sink, **write)
+    counted = seen.get
+    layers = [(k, *(counted[f"{name}_{k}"] for name in ("rows", "in", "out"))) for k in range(n_layers)]
+    return RunCounts(made.get["n"], [row for row in layers if row[1]])
+
+
 def drift_summary(states: DataFrame, seed: int = SEED, engine: str = "arrow") -> DataFrame:
     """Per layer and label: variants made and their mean distance to the honest output."""
     whole = guards.drop_groups(states, failing_instructions(states, seed), "instruction_id")

@@ -1,7 +1,7 @@
 """Restartable generation: in batches, and as a stream of arriving files.
 
-Progress is what the sink holds. Any layer that lacks a label there is processed,
-including ones that failed before, and no separate state can disagree with it.
+In batches, progress is what the sink holds: any layer that lacks a label there is processed,
+including ones that failed before. A stream knows by keyed state which layers have come.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from actiscope.operators.guards import drop_groups
 from actiscope.plans.generate import build_records, failing_instructions
 from actiscope.schema import LABELS, LAYER_STATE_SCHEMA, MAX_RECORDS_PER_FILE, RECORD_SCHEMA, SEED
 from actiscope.session import BROADCAST_ROWS, broadcast_if_small, stored
-from actiscope.sources.records import scan_records
+from actiscope.sources.records import fetch_rows, scan_records
 from actiscope.sources.sinks import write_records
 
 LAYER = ("instruction_id", "layer_index")
@@ -125,6 +125,20 @@ def streamed_records(spark: SparkSession, sink: str) -> DataFrame:
     return scan_records(spark, sink).join(failed, "instruction_id", "left_anti").select(*RECORD_SCHEMA.names)
 
 
+def _foreign(spark: SparkSession, sink: str, checkpoint: str) -> DataFrame | None:
+    """Rows the sink held before the stream's first start: looked up then, and kept next to its checkpoint."""
+    folder = f"{checkpoint.rstrip('/')}_held_before"
+    schema = "instruction_id int, layer_index int, label int"
+    try:
+        held = spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        sink_rows(spark, sink).distinct().write.parquet(folder)
+        held = spark.read.schema(schema).parquet(folder)
+    return None if held.isEmpty() else held
+
+
 def stream_generation(
     spark: SparkSession,
     source: str,
@@ -135,33 +149,49 @@ def stream_generation(
     engine: str = "arrow",
     files_per_batch: int = 1000,
     max_records: int = MAX_RECORDS_PER_FILE,
+    remember: str | None = None,
 ):
     """Process the layer-state files that arrived since the last call, then stop.
 
-    Each micro-batch is the batch plan over its new files. A batch that is
-    retried, or layers delivered again in another file, add nothing: what the
-    sink already holds is left out. No state store is kept, so memory does not
-    grow with the ids seen. Layers of one instruction may arrive apart, in any files: one
+    The stream carries ids and addresses of rows. Which layers have come before is keyed state, so a layer that is delivered
+    again, in any file, adds nothing; ``remember`` (such as "30 days" of file times) bounds that state, without it nothing is
+    forgotten. The vectors of new layers are then fetched by address and never shuffled. The sink is read once
+    per start, for its first batch, which may be a repetition of one that died while it wrote; rows that were there before
+    the first start are kept as a list of ids. Layers of one instruction may arrive apart, in any files: one
     with a bad layer is listed in the failed folder, and ``streamed_records`` leaves all of it out,
     as a batch run does.
     """
+    foreign, seen = _foreign(spark, sink, checkpoint), set()
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        states = once(batch)
+        new = stored(batch.select("file_path", "row_index"), "new")
+        if new.isEmpty():
+            return
+        states = fetch_rows(spark, source, new, LAYER_STATE_SCHEMA)
         bad = stored(failing_instructions(states, seed).distinct(), "bad")
         if not bad.isEmpty():
             bad.write.mode("append").parquet(failed_folder(sink))
         good = drop_groups(states, failed_instructions(spark, sink), "instruction_id")
-        resume_generation(good, sink, model_name, seed, engine, max_records, whole=False)
+        if not seen:
+            resume_generation(good, sink, model_name, seed, engine, max_records, whole=False)
+        else:
+            made = build_records(good, model_name, seed, engine)
+            write_records(made if foreign is None else made.join(broadcast_if_small(foreign), list(ROW), "left_anti"), sink, max_records)
+        seen.add(batch_id)
 
     arriving = (
         spark.readStream.schema(LAYER_STATE_SCHEMA)
         .option("pathGlobFilter", "*.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(source)
+        .select(*LAYER, "_metadata.file_path", "_metadata.row_index", F.col("_metadata.file_modification_time").alias("arrived"))
     )
+    if remember is None:
+        once_each = arriving.dropDuplicates(list(LAYER))
+    else:
+        once_each = arriving.withWatermark("arrived", remember).dropDuplicatesWithinWatermark(list(LAYER))
     query = (
-        arriving.writeStream.foreachBatch(process)
+        once_each.writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

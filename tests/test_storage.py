@@ -3,11 +3,14 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from actiscope.operators import sampling
-from actiscope.plans.generate import build_records
+from actiscope.operators.guards import finite_drops
+from actiscope.plans.generate import build_records, write_counted
 from actiscope.schema import LAYER_STATE_SCHEMA
 from actiscope.session import broadcast_if_small, work_root
-from actiscope.sources import instructions, records, sinks
+from actiscope.sources import instructions, records, sinks, tables
 from actiscope.streaming import incremental
 
 
@@ -132,6 +135,83 @@ def test_stream_restarts_and_redelivery(spark, tmp_path):
     assert got.count() == 90 and got.select("sample_id").distinct().count() == 90
 
 
+def test_the_sink_is_read_once_per_start(spark, tmp_path, monkeypatch):
+    """Three batches of one file each; what a batch run wrote before the stream, in part, is not written again."""
+    source, sink, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    reads, sink_rows = [], incremental.sink_rows
+    monkeypatch.setattr(incremental, "sink_rows", lambda *a: reads.append(1) or sink_rows(*a))
+    before = build_records(some_states(spark, [1, 7])).where("not (instruction_id = 7 and label > 2)")
+    sinks.write_records(before, sink)
+    for ids in ([0, 1], [2, 3], [7, 8]):
+        some_states(spark, ids).coalesce(1).write.mode("append").parquet(source)
+    query = incremental.stream_generation(spark, source, sink, state, files_per_batch=1)
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 3 and len(reads) == 2
+    want = build_records(some_states(spark, [0, 1, 2, 3, 7, 8])).collect()
+    assert sorted(map(str, records.scan_records(spark, sink).collect())) == sorted(map(str, want))
+
+
+def test_bounded_memory_of_a_stream(spark, tmp_path):
+    source, sink, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    for ids in ([0, 1], [1, 2], [0, 2, 3]):
+        some_states(spark, ids).coalesce(1).write.mode("append").parquet(source)
+        incremental.stream_generation(spark, source, sink, state, remember="10 days")
+    assert sorted(map(str, records.scan_records(spark, sink).collect())) == sorted(map(str, build_records(some_states(spark, range(4))).collect()))
+
+
+def parents(df, mark):
+    """Lines of the plan from the one that holds ``mark`` up to the join above it."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if mark in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    found, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            found.append(line)
+            if "Join" in line:
+                break
+    return found
+
+
+@pytest.fixture
+def table(spark):
+    yield "bucketed_records_test"
+    spark.sql("drop table if exists bucketed_records_test")
+
+
+def test_bucketed_records_are_joined_where_they_lie(spark, table):
+    states = some_states(spark, range(12), 3)
+    tables.write_table(build_records(states.where("instruction_id < 5")), table, 4)
+    for df in (tables.pending_in_table(states, table), tables.score_table(build_records(states).select("instruction_id", "sample_id"), table)):
+        above = parents(df, "Bucketed: true")
+        assert "Join" in above[-1] and not any("Exchange" in line for line in above)
+    todo = tables.pending_in_table(states, table)
+    assert sorted({r.instruction_id for r in todo.collect()}) == list(range(5, 12))
+    tables.resume_table(states, table, 4)
+    tables.resume_table(states, table, 4)
+    assert sorted(map(str, tables.scan_table(spark, table).collect())) == sorted(map(str, build_records(states).collect()))
+    scored = tables.scan_table(spark, table).select("sample_id", "instruction_id", (F.lit(4) - F.col("label")).alias("y_pred"))
+    joined = tables.score_table(scored, table)
+    assert joined.where("label + y_pred != 4").isEmpty() and joined.count() == 180
+
+
+def test_a_missing_table_lacks_everything(spark, table):
+    states = some_states(spark, range(3))
+    assert tables.pending_in_table(states, table).count() == 6
+    tables.resume_table(states, table, 2)
+    assert tables.scan_table(spark, table).count() == 30
+
+
+def test_counts_come_from_the_job_that_writes(spark, tmp_path):
+    bad = some_states(spark, range(6), 3).selectExpr(
+        "instruction_id", "layer_index", "if(instruction_id = 1 and layer_index = 2, array(float('nan')), input_vec) as input_vec",
+        "if(instruction_id = 1 and layer_index = 2, array(float(1)), if(instruction_id = 3, array(float('inf'), float(1), float(2)), output_vec)) as output_vec",
+    )
+    run = write_counted(bad, str(tmp_path / "sink"), 3)
+    assert run.n_records == records.scan_records(spark, str(tmp_path / "sink")).count() == 5 * (18 - 3 - 1)
+    assert sorted(map(tuple, run.drops(spark).collect())) == sorted(map(tuple, finite_drops(bad).collect()))
+
+
 def test_best_model_is_replaced_only_when_better(spark, tmp_path):
     from pyspark.ml.feature import SQLTransformer
 
