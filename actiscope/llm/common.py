@@ -51,6 +51,17 @@ def slices(texts: Iterable, size: Callable = len, most: int = 1_000_000) -> Iter
         yield held
 
 
+ROWS_AT_ONCE = 256
+
+
+def rows_of(batches: Iterable[pa.RecordBatch], columns: int | None = None) -> Iterator[tuple]:
+    """Rows as tuples, made a few at a time, since a row can hold a long text, a set or packed windows."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            part = b.slice(at, ROWS_AT_ONCE)
+            yield from zip(*(part.column(i).to_pylist() for i in range(columns or b.num_columns)))
+
+
 def free_name(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores until no column in ``taken`` has it in any case."""
     lower = {c.lower() for c in taken}

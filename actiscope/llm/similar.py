@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from actiscope.llm.common import release_memory, shuffle_partitions, slices
+from actiscope.llm.common import release_memory, rows_of, shuffle_partitions, slices
 from actiscope.llm.graph import components
 from actiscope.llm.substrings import Words, planes, run_hashes, unpack_planes
 from actiscope.session import broadcast_if_small, stored
@@ -84,17 +84,6 @@ def signature(values: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-ROWS_AT_ONCE = 256
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows as tuples, made a few at a time, since a row can hold a long text or set."""
-    for b in batches:
-        for at in range(0, b.num_rows, ROWS_AT_ONCE):
-            part = b.slice(at, ROWS_AT_ONCE)
-            yield from zip(*(part.column(i).to_pylist() for i in range(b.num_columns)))
-
-
 def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     named = [part.split() for part in names.split(", ")]
@@ -105,7 +94,7 @@ def sets_of(docs: DataFrame, rule: Rule, columns: str, emit) -> DataFrame:
     """Run ``emit`` over (id, set, signature) of slices of documents; ``docs`` is (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(_rows(batches), lambda r: len(r[1]), SLICE_CHARS):
+        for part in slices(rows_of(batches), lambda r: len(r[1]), SLICE_CHARS):
             sets = shingle_sets([r[1] for r in part], rule)
             found = emit([r[0] for r in part], sets, [signature(s) for s in sets])
             if found:
@@ -158,7 +147,7 @@ def shared_hashes(docs: DataFrame, rule: Rule, buckets: int, parts: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(3)], names=["hash", "s1", "s2"])
 
         held, now = [], None
-        for bucket, blob in _rows(batches):
+        for bucket, blob in rows_of(batches):
             if held and bucket != now:
                 yield from done(held)
                 held = []
@@ -394,7 +383,7 @@ def _hash_links(own: DataFrame, sets: DataFrame, rule: Rule, parts: int, name: s
     grouped = cells.join(sets, "node").select(*key, "node", "component", "content").repartition(parts, *key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, members in _groups(_rows(batches), len(key)):
+        for _, members in _groups(rows_of(batches), len(key)):
             if len({m[1] for m in members}) > 1:
                 nodes, label = (np.array([m[i] for m in members]) for i in (0, 1))
                 links = linked_sets(nodes, [np.frombuffer(m[2], np.uint64) for m in members], label, rule)
@@ -430,7 +419,7 @@ def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Da
     rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("hash", "kind", "x", "y", "node", "component")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(_rows(batches), lambda r: len(r[1]), 8_000_000):
+        for part in slices(rows_of(batches), lambda r: len(r[1]), 8_000_000):
             yield _batch([(n, len(x) // 8, bitmap(np.frombuffer(x, np.uint64)).tobytes()) for n, x in part], "node bigint, n bigint, bits binary")
 
     maps = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "content").mapInArrow(bits, "node bigint, n bigint, bits binary")
@@ -438,7 +427,7 @@ def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Da
     grouped = grouped.select("hash", "kind", "x", "y", "node", "component", "n", "bits").repartition(parts, "hash", "kind", "x", "y").sortWithinPartitions("hash", "kind", "x", "y", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, members in _groups(_rows(batches), 4):
+        for _, members in _groups(rows_of(batches), 4):
             if len({m[1] for m in members}) > 1:
                 nodes = np.array([m[0] for m in members])
                 tree = Tree(np.array([m[2] for m in members], np.int64), [np.frombuffer(m[3], np.uint64) for m in members], np.array([m[1] for m in members]))
@@ -449,7 +438,7 @@ def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Da
     both = pairs.join(sets.withColumnsRenamed({"node": "b", "content": "content_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "content": "content_a"}), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(_rows(batches), lambda r: len(r[2]) + len(r[3]), 8_000_000):
+        for part in slices(rows_of(batches), lambda r: len(r[2]) + len(r[3]), 8_000_000):
             read = [(a, b, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for a, b, x, y in part]
             links = [(a, b) for a, b, x, y in read if rule.linked(overlap(x, y), len(x), len(y))]
             if links:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actiscope.llm.common import free_name, release_memory, shuffle_partitions, slices
+from actiscope.llm.common import free_name, release_memory, rows_of, shuffle_partitions, slices
 
 WINDOW = 20
 GRAM = 4
@@ -39,6 +39,10 @@ SPANS = "doc bigint, key bigint, starts binary"
 SENT = f"bucket int, settled boolean, {SPANS}"
 
 
+HANDED_BYTES = 8 << 20
+"""Bytes of marked starts that a task hands on together."""
+
+
 def words_of(text: str) -> list[bytes]:
     """Runs of bytes other than space and the five ASCII control spaces."""
     return text.encode().split()
@@ -258,11 +262,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = {x: i for i, x in enumerate(shared.value)}
 
-        def read():
-            for b in batches:
-                yield from zip(*(b.column(i).to_pylist() for i in range(3)))
-
-        for part in slices(read(), lambda r: len(r[2]), SLICE_CHARS):
+        for part in slices(rows_of(batches), lambda r: len(r[2]), SLICE_CHARS):
             w = Words([words_of(r[2]) for r in part])
             doc_ids, keys = (np.array([r[i] for r in part], np.int64) for i in (0, 1))
             settled, blobs = pack_super_kmers(w, doc_ids, keys, window, gram, buckets, common)
@@ -275,19 +275,23 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, common = [], None, word_hashes(shared.value)
         spans = (pa.int64(), pa.int64(), pa.binary()), ["doc", "key", "starts"]
-        for b in batches:
-            done = []
-            for bucket, settled, doc, key, data in zip(*(c.to_pylist() for c in b.columns)):
-                if settled:
-                    done.append((doc, key, data))
-                    continue
+        done, size = [], 0
+        for bucket, settled, doc, key, data in rows_of(batches):
+            if settled:
+                done.append((doc, key, data))
+                size += len(data)
+            else:
                 if held and bucket != now:
                     done += settle_bucket(held, window, common)
-                    held = []
+                    size, held = HANDED_BYTES, []
                 now = bucket
                 held.append(data)
-            if done:
+            if size >= HANDED_BYTES and done:
                 yield _batch(done, *spans)
+                done, size = [], 0
+                release_memory()
+        if done:
+            yield _batch(done, *spans)
         if held and (done := settle_bucket(held, window, common)):
             yield _batch(done, *spans)
 
