@@ -88,15 +88,22 @@ def chances(scores: np.ndarray) -> np.ndarray:
 
 
 def bin_edges(rows: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
-    """Up to ``bins - 1`` rising upper edges per column, between sampled values and with about as many of them in each bin."""
+    """Up to ``bins - 1`` rising edges per column, each halfway between two sampled values.
+
+    Sorted values are cut into runs of equal number and every run gives the middle of its widest gap, so that bins
+    hold about as many values and a gap between groups of values is never inside one.
+    """
     edges = []
     for column in rows.T:
-        values = np.unique(column[np.isfinite(column)])
-        if len(values) > bins:
-            values = np.unique(np.quantile(column[np.isfinite(column)], np.arange(1, bins) / bins, method="lower"))
-            edges.append(values[: bins - 1])
-        else:
-            edges.append((values[:-1] + values[1:]) / 2)
+        held = np.sort(column[np.isfinite(column)])
+        distinct = np.unique(held)
+        if len(distinct) <= bins:
+            edges.append((distinct[:-1] + distinct[1:]) / 2)
+            continue
+        gaps = np.diff(held)
+        starts = np.linspace(0, len(gaps), bins).astype(np.int64)[:-1]
+        widest = [a + int(gaps[a:b].argmax()) for a, b in zip(starts, np.append(starts[1:], len(gaps)))]
+        edges.append(np.array([(held[i] + held[i + 1]) / 2 for i in widest if gaps[i] > 0]))
     return edges
 
 

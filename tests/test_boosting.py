@@ -70,6 +70,18 @@ def test_against_trying_every_cut(rows):
     assert max(t.feature.count(-1) for trees in model.rounds for t in trees) == 6
 
 
+def test_edges_lie_in_the_widest_gaps():
+    draw = np.random.default_rng(3)
+    groups = np.concatenate([draw.normal(size=n) * 0.01 + at for n, at in ((301, 0.0), (77, 5.0), (650, 9.0))])
+    (edges,) = boosting.bin_edges(groups[:, None], 16)
+    assert len(edges) == 15 and (np.diff(edges) > 0).all()
+    assert sum(1 < e < 4.5 for e in edges) == 1 and sum(5.5 < e < 8.5 for e in edges) == 1
+    counts = np.bincount(boosting.binned(groups[:, None], [edges])[:, 0])
+    assert counts.max() <= 2 * -(-len(groups) // 15) and counts.sum() == len(groups)
+    (few,) = boosting.bin_edges(np.array([[1.0], [2.0], [2.0], [4.0], [np.inf]]), 16)
+    assert few.tolist() == [1.5, 3.0]
+
+
 def test_tasks_and_passes_change_nothing(rows, monkeypatch):
     df, x, _ = rows
     one = boosting.fit_boosted(df, rounds=12, leaves=8, tasks=1)
