@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actiscope.llm.common import release_memory, slices
+from actiscope.llm.common import release_memory, slices, trimmed
 
 WIDTH = 6
 FILTERS = 16
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         net = train(texts, np.array(marks, np.float32))
         yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in net.parts()], pa.binary())], names=["part"])
 
-    found = [np.frombuffer(r.part, np.float32).copy() for r in rows.select("text", "label").mapInArrow(learn, "part binary").collect()]
+    found = [np.frombuffer(r.part, np.float32).copy() for r in rows.select("text", "label").mapInArrow(trimmed(learn), "part binary").collect()]
     if not found:  # no rows, so no task
         return train([], np.empty(0))
     blank = ByteConvNet.initial().parts()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from actiscope.llm.common import release_memory, rows_of, shuffle_partitions, slices
+from actiscope.llm.common import release_memory, rows_of, shuffle_partitions, slices, trimmed
 from actiscope.llm.graph import components
 from actiscope.llm.substrings import Words, planes, run_hashes, unpack_planes
 from actiscope.session import broadcast_if_small, stored
@@ -102,7 +102,7 @@ def sets_of(docs: DataFrame, rule: Rule, columns: str, emit) -> DataFrame:
             del found, sets
             release_memory()
 
-    return docs.mapInArrow(run, columns)
+    return docs.mapInArrow(trimmed(run), columns)
 
 
 def shared_hashes(docs: DataFrame, rule: Rule, buckets: int, parts: int) -> DataFrame:
@@ -157,7 +157,7 @@ def shared_hashes(docs: DataFrame, rule: Rule, buckets: int, parts: int) -> Data
             yield from done(held)
 
     sent = sets_of(docs, rule, "bucket int, blob binary", emit)
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(keep, "hash bigint, s1 bigint, s2 bigint")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(keep), "hash bigint, s1 bigint, s2 bigint")
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -390,7 +390,7 @@ def _hash_links(own: DataFrame, sets: DataFrame, rule: Rule, parts: int, name: s
                 if links:
                     yield _batch(links, "a bigint, b bigint")
 
-    return stored(grouped.mapInArrow(run, "a bigint, b bigint"), name)
+    return stored(grouped.mapInArrow(trimmed(run), "a bigint, b bigint"), name)
 
 
 def _open_groups(keys: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:
@@ -422,7 +422,7 @@ def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Da
         for part in slices(rows_of(batches), lambda r: len(r[1]), 8_000_000):
             yield _batch([(n, len(x) // 8, bitmap(np.frombuffer(x, np.uint64)).tobytes()) for n, x in part], "node bigint, n bigint, bits binary")
 
-    maps = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "content").mapInArrow(bits, "node bigint, n bigint, bits binary")
+    maps = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "content").mapInArrow(trimmed(bits), "node bigint, n bigint, bits binary")
     grouped = rows.join(maps, "node")
     grouped = grouped.select("hash", "kind", "x", "y", "node", "component", "n", "bits").repartition(parts, "hash", "kind", "x", "y").sortWithinPartitions("hash", "kind", "x", "y", "n", "node")
 
@@ -434,7 +434,7 @@ def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Da
                 for a, b in tree.pairs(rule):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[a], nodes[b])), pa.array(np.maximum(nodes[a], nodes[b]))], names=["a", "b"])
 
-    pairs = stored(grouped.mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")
+    pairs = stored(grouped.mapInArrow(trimmed(run), "a bigint, b bigint").distinct(), "pairs")
     both = pairs.join(sets.withColumnsRenamed({"node": "b", "content": "content_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "content": "content_a"}), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,7 +444,7 @@ def _later_links(rows: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Da
             if links:
                 yield _batch(links, "a bigint, b bigint")
 
-    return stored(both.select("a", "b", "content_a", "content_b").mapInArrow(verify, "a bigint, b bigint"), "later")
+    return stored(both.select("a", "b", "content_a", "content_b").mapInArrow(trimmed(verify), "a bigint, b bigint"), "later")
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id") -> DataFrame:

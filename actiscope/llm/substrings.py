@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actiscope.llm.common import free_name, release_memory, rows_of, shuffle_partitions, slices
+from actiscope.llm.common import free_name, release_memory, rows_of, shuffle_partitions, slices, trimmed
 
 WINDOW = 20
 GRAM = 4
@@ -295,8 +295,8 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
         if held and (done := settle_bucket(held, window, common)):
             yield _batch(done, *spans)
 
-    sent = rows.mapInArrow(cut, SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(settle, SPANS)
+    sent = rows.mapInArrow(trimmed(cut), SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(trimmed(settle), SPANS)
 
 
 def _batch(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
