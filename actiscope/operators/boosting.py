@@ -11,7 +11,7 @@ stored bins and the trees.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -213,9 +213,28 @@ def best_cut(sums: np.ndarray, min_rows: int = MIN_ROWS, min_hessian: float = MI
     return f, b, float(gain[f, b]), *map(float, whole[f, 0]), *map(float, left[f, b])
 
 
+def add_sums(sums: np.ndarray, bins: np.ndarray, labels: np.ndarray, scores: np.ndarray, trees: list[Tree], nodes: list[tuple[int, int]]) -> None:
+    """Add what some rows give to ``sums`` (node, feature and bin, 3): their gradients, second derivatives and numbers in the leaves asked for."""
+    d, k = bins.shape[1], scores.shape[1]
+    p = chances(scores)
+    for c in range(k):
+        wanted = {n: i for i, (at, n) in enumerate(nodes) if at == c}
+        if not wanted:
+            continue
+        place = np.full(len(trees[c].feature), -1)
+        place[list(wanted)] = list(wanted.values())
+        of = place[trees[c].leaves_of(bins)]
+        at = np.flatnonzero(of >= 0)
+        g, h = p[at, c] - (labels[at] == c), k / (k - 1) * p[at, c] * (1 - p[at, c])
+        for i in np.unique(of[at]):
+            mine = np.flatnonzero(of[at] == i)
+            cells = (bins[at[mine]] + np.arange(d) * BINS).ravel()
+            for j, weight in enumerate((g[mine], h[mine], None)):
+                sums[i, :, j] += np.bincount(cells, None if weight is None else np.repeat(weight, d), minlength=d * BINS)
+
+
 def _cuts(scored: DataFrame, d: int, k: int, new_rounds: list[list[Tree]], trees: list[Tree], nodes: list[tuple[int, int]], tasks: int, limits: tuple) -> list:
     """The best cut of each (class, node), one row per group of features that has one."""
-    by_class = {c: {n: i for i, (at, n) in enumerate(nodes) if at == c} for c in range(k)}
     out = T.StructType.fromDDL(SPLIT)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -225,22 +244,7 @@ def _cuts(scored: DataFrame, d: int, k: int, new_rounds: list[list[Tree]], trees
                 bins = np.frombuffer(one["bins"], np.uint8).reshape(-1, d)
                 labels = np.frombuffer(one["labels"], "<i4")
                 scores = scores_of(bins, new_rounds, np.frombuffer(one["scores"]).reshape(-1, k).copy())
-                p = chances(scores)
-                for c, wanted in by_class.items():
-                    if not wanted:
-                        continue
-                    place = np.full(len(trees[c].feature), -1)
-                    place[list(wanted)] = list(wanted.values())
-                    of = place[trees[c].leaves_of(bins)]
-                    at = np.flatnonzero(of >= 0)
-                    if not len(at):
-                        continue
-                    g, h = p[at, c] - (labels[at] == c), k / (k - 1) * p[at, c] * (1 - p[at, c])
-                    for i in np.unique(of[at]):
-                        mine = np.flatnonzero(of[at] == i)
-                        cells = (bins[at[mine]] + np.arange(d) * BINS).ravel()
-                        for j, weight in enumerate((g[mine], h[mine], None)):
-                            sums[i, :, j] += np.bincount(cells, None if weight is None else np.repeat(weight, d), minlength=d * BINS)
+                add_sums(sums, bins, labels, scores, trees, nodes)
         yield sums.reshape(len(nodes), d, BINS, 3)
 
     def best(key: int, group: int, sums: np.ndarray) -> list:
@@ -251,10 +255,6 @@ def _cuts(scored: DataFrame, d: int, k: int, new_rounds: list[list[Tree]], trees
         kinds = [pa.int32()] * 3 + [pa.float64()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(kinds), kinds)], names=out.names)
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sums in add(batches):
-            yield records([r for key in range(len(nodes)) for g in range(0, d, GROUP) for r in best(key, g // GROUP, sums[key, g : g + GROUP])])
-
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sums in add(batches):
             for key in range(len(nodes)):
@@ -269,8 +269,6 @@ def _cuts(scored: DataFrame, d: int, k: int, new_rounds: list[list[Tree]], trees
                 found[mine] = found[mine] + new if mine in found else new
         yield records([r for (key, group), sums in sorted(found.items()) for r in best(key, group, sums.reshape(-1, BINS, 3))])
 
-    if tasks == 1:
-        return scored.mapInArrow(alone, out).collect()
     parts = scored.mapInArrow(partial, "key int, group int, sums binary")
     return parts.repartition(min(tasks, len(nodes) * -(-d // GROUP)), "key", "group").mapInArrow(merge, out).collect()
 
@@ -309,6 +307,50 @@ class Growth:
         return self.tree
 
 
+def grow_trees(k: int, n: int, leaves: int, rate: float, limits: tuple[int, float], at_once: int, cuts_of: Callable[[list[Tree], list], list]) -> list[Tree]:
+    """One tree per class. ``cuts_of`` gives, for unfinished trees and some of their leaves, rows of (place of the leaf, cut)."""
+    growing = [Growth(0.0, np.inf, n) for _ in range(k)]
+    while open_nodes := [(c, node) for c, g in enumerate(growing) for node in g.open(leaves, *limits)]:
+        for at in range(0, len(open_nodes), at_once):
+            nodes = open_nodes[at : at + at_once]
+            for key, *cut in cuts_of([g.tree for g in growing], nodes):
+                c, node = nodes[key]
+                held = growing[c].cuts.get(node)
+                if held is None or (cut[2], -cut[0]) > (held[2], -held[0]):
+                    growing[c].cuts[node] = tuple(cut)
+        for g in growing:
+            g.grow(leaves)
+    return [g.finish(rate) for g in growing]
+
+
+def _grown_in_task(blocks: DataFrame, d: int, start: np.ndarray, n: int, rounds: int, leaves: int, rate: float, limits: tuple[int, float], at_once: int) -> list[list[Tree]]:
+    """All rounds inside the one task that holds all rows, by the same steps."""
+    k = len(start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.frombuffer(one["bins"], np.uint8).reshape(-1, d), np.frombuffer(one["labels"], "<i4")) for b in batches for one in b.to_pylist()]
+        if not held:
+            return
+        bins, labels = (np.concatenate(x) for x in zip(*held))
+        scores = np.tile(start, (len(bins), 1))
+
+        def cuts_of(trees: list[Tree], nodes: list) -> list:
+            sums = np.zeros((len(nodes), d * BINS, 3))
+            add_sums(sums, bins, labels, scores, trees, nodes)
+            found = ((key, best_cut(one.reshape(d, BINS, 3), *limits)) for key, one in enumerate(sums))
+            return [(key, *cut) for key, cut in found if cut]
+
+        for r in range(rounds):
+            trees = grow_trees(k, n, leaves, rate, limits, at_once, cuts_of)
+            if all(len(t.feature) == 1 for t in trees):
+                return
+            scores_of(bins, [trees], scores)
+            yield pa.RecordBatch.from_pydict({"round": pa.array([r], pa.int32()), "trees": [json.dumps([vars(t) for t in trees])]})
+
+    rows = blocks.mapInArrow(run, "round int, trees string").collect()
+    return [[Tree(**t) for t in json.loads(r.trees)] for r in sorted(rows)]
+
+
 def fit_boosted(
     train: DataFrame,
     inp: str = "features",
@@ -324,7 +366,8 @@ def fit_boosted(
 ) -> BoostedModel:
     """Multiclass boosted trees; labels are 0, 1, ... and rows with a null vector or label take no part.
 
-    Fitting ends early when no tree of a round finds a cut. Each pass reads the rows once for all classes.
+    Fitting ends early when no tree of a round finds a cut. Each pass reads the rows once for all classes; where the bins of all rows
+    are few enough for one task (``PARTITION_BYTES``), that task grows the trees itself.
     """
     if not 1 < bins <= BINS:
         raise ValueError(f"bins must be from 2 to {BINS}")
@@ -342,6 +385,9 @@ def fit_boosted(
     tasks = tasks or max(1, min(-(-n * d // PARTITION_BYTES), 10 * train.sparkSession.sparkContext.defaultParallelism))
     blocks = stored(_blocks(rows.repartition(tasks), edges), "bins").coalesce(tasks)
     at_once = max(1, SUM_BYTES // (d * BINS * 24))
+    limits = (min_rows, min_hessian)
+    if tasks == 1:
+        return BoostedModel(edges, start, _grown_in_task(blocks, d, start, n, rounds, leaves, rate, limits, at_once), inp)
     done: list[list[Tree]] = []
     scored, kept = None, 0
     try:
@@ -350,18 +396,7 @@ def fit_boosted(
                 if scored is not None:
                     scored.unpersist()
                 scored, kept = _scored(blocks, d, start, list(done)).persist(StorageLevel.MEMORY_AND_DISK), len(done)
-            growing = [Growth(0.0, np.inf, n) for _ in range(k)]
-            while open_nodes := [(c, node) for c, g in enumerate(growing) for node in g.open(leaves, min_rows, min_hessian)]:
-                for at in range(0, len(open_nodes), at_once):
-                    nodes = open_nodes[at : at + at_once]
-                    for r in _cuts(scored, d, k, done[kept:], [g.tree for g in growing], nodes, tasks, (min_rows, min_hessian)):
-                        c, node = nodes[r.key]
-                        held = growing[c].cuts.get(node)
-                        if held is None or (r.gain, -r.feature) > (held[2], -held[0]):
-                            growing[c].cuts[node] = tuple(r)[1:]
-                for g in growing:
-                    g.grow(leaves)
-            trees = [g.finish(rate) for g in growing]
+            trees = grow_trees(k, n, leaves, rate, limits, at_once, lambda trees, nodes: _cuts(scored, d, k, done[kept:], trees, nodes, tasks, limits))
             if all(len(t.feature) == 1 for t in trees):
                 break
             done.append(trees)
