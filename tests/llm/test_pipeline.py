@@ -1,5 +1,6 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
 import corpus_pipeline
 import __spark_entry__ as entry
 from actiscope.session import stored
@@ -30,3 +31,23 @@ def test_stages_on_their_own_input(spark, sf_dir):
 def test_run_is_registered(spark, sf_dir):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs, empty):
+    """Nulls, empty, long and repeated texts, repeated rows, a null id and clashing columns, each stage on its own."""
+    docs = no_docs if empty else odd_docs
+    given = Counter((r.doc_id, r.text) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        if name in ("quality classifier", "n-gram jaccard join"):
+            assert not Counter((r.doc_id, r.text) for r in rows) - given, name
+        if name == "n-gram jaccard join":
+            same = [r for r in rows if r.text and r.text.startswith("the same text")]
+            assert len(same) == (not empty) and sum(not (r.text or "").strip() for r in rows) == 3 * (not empty)
+        if name == "substring dedup":
+            assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert pieces.count() >= sum(given.values()) or empty
