@@ -41,7 +41,12 @@ GROUP = 256
 """Features whose sums travel together."""
 KEPT_ROUNDS = 10
 """Rounds after which the scores of the rows are brought up to date."""
-PARTITION_BYTES = 32 << 20
+ROW_BYTES = 16
+"""What a row takes to pass besides its bins, in bins."""
+GROWN_BYTES = 2 << 20
+"""Bytes of bins up to which one task grows all trees: its time is that of all rounds."""
+PARTITION_BYTES = 4 << 20
+"""Bytes of bins that a task passes over otherwise."""
 
 
 @dataclass
@@ -156,30 +161,53 @@ class BoostedModel:
         return cls(edges, np.array(start.start), rounds, start.inp)
 
 
-def _blocks(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """Rows (v, y) as blocks of bins and labels."""
+def _distinct(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """Rows (v, y) as distinct (bins, y) and their number ``n``: equal ones have equal gradients in every round."""
     d = len(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+                ends = np.arange(0, values.size + 1, d, dtype=np.int32)
+                bins = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(binned(values, edges))])
+                yield pa.RecordBatch.from_arrays([bins, batch.column(1)], names=["bins", "y"])
+
+    return rows.mapInArrow(run, "bins binary, y int").groupBy("bins", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+BLOCK = "bins binary, labels binary, counts binary"
+
+
+def _blocks(distinct: DataFrame, d: int) -> DataFrame:
+    """Distinct rows (bins, y, n) as blocks of bins, labels and numbers."""
     most = max(1, BLOCK_BYTES // d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, labels, n = [], [], 0
+        held, n = [], 0
 
         def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"bins": [np.concatenate(bins).tobytes()], "labels": [np.concatenate(labels).astype("<i4").tobytes()]})
+            bins, labels, counts = zip(*held)
+            return pa.RecordBatch.from_pydict(
+                {"bins": [b"".join(bins)], "labels": [np.concatenate(labels).astype("<i4").tobytes()], "counts": [np.concatenate(counts).astype("<i8").tobytes()]}
+            )
 
         for batch in batches:
             if batch.num_rows:
-                values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
-                bins.append(binned(values, edges))
-                labels.append(batch.column(1).to_numpy())
+                held.append((b"".join(batch.column(0).to_pylist()), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
                 n += batch.num_rows
             if n >= most:
                 yield block()
-                bins, labels, n = [], [], 0
+                held, n = [], 0
         if n:
             yield block()
 
-    return rows.mapInArrow(run, "bins binary, labels binary")
+    return distinct.mapInArrow(run, BLOCK)
+
+
+def _held(one: dict, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, labels and numbers of a block."""
+    return np.frombuffer(one["bins"], np.uint8).reshape(-1, d), np.frombuffer(one["labels"], "<i4"), np.frombuffer(one["counts"], "<i8")
 
 
 def _scored(blocks: DataFrame, d: int, start: np.ndarray, rounds: list[list[Tree]]) -> DataFrame:
@@ -192,7 +220,7 @@ def _scored(blocks: DataFrame, d: int, start: np.ndarray, rounds: list[list[Tree
                 scores = scores_of(bins, rounds, np.tile(start, (len(bins), 1)))
                 yield pa.RecordBatch.from_pydict({**{k: [v] for k, v in one.items()}, "scores": [scores.tobytes()]})
 
-    return blocks.mapInArrow(run, "bins binary, labels binary, scores binary")
+    return blocks.mapInArrow(run, f"{BLOCK}, scores binary")
 
 
 SPLIT = "key int, feature int, bin int, gain double, g double, h double, n double, left_g double, left_h double, left_n double"
@@ -213,8 +241,8 @@ def best_cut(sums: np.ndarray, min_rows: int = MIN_ROWS, min_hessian: float = MI
     return f, b, float(gain[f, b]), *map(float, whole[f, 0]), *map(float, left[f, b])
 
 
-def add_sums(sums: np.ndarray, bins: np.ndarray, labels: np.ndarray, scores: np.ndarray, trees: list[Tree], nodes: list[tuple[int, int]]) -> None:
-    """Add what some rows give to ``sums`` (node, feature and bin, 3): their gradients, second derivatives and numbers in the leaves asked for."""
+def add_sums(sums: np.ndarray, bins: np.ndarray, labels: np.ndarray, counts: np.ndarray, scores: np.ndarray, trees: list[Tree], nodes: list[tuple[int, int]]) -> None:
+    """Add what some distinct rows give to ``sums`` (node, feature and bin, 3): their gradients, second derivatives and numbers in the leaves asked for."""
     d, k = bins.shape[1], scores.shape[1]
     p = chances(scores)
     for c in range(k):
@@ -225,12 +253,12 @@ def add_sums(sums: np.ndarray, bins: np.ndarray, labels: np.ndarray, scores: np.
         place[list(wanted)] = list(wanted.values())
         of = place[trees[c].leaves_of(bins)]
         at = np.flatnonzero(of >= 0)
-        g, h = p[at, c] - (labels[at] == c), k / (k - 1) * p[at, c] * (1 - p[at, c])
+        g, h = counts[at] * (p[at, c] - (labels[at] == c)), counts[at] * (k / (k - 1) * p[at, c] * (1 - p[at, c]))
         for i in np.unique(of[at]):
             mine = np.flatnonzero(of[at] == i)
             cells = (bins[at[mine]] + np.arange(d) * BINS).ravel()
-            for j, weight in enumerate((g[mine], h[mine], None)):
-                sums[i, :, j] += np.bincount(cells, None if weight is None else np.repeat(weight, d), minlength=d * BINS)
+            for j, weight in enumerate((g[mine], h[mine], counts[at[mine]])):
+                sums[i, :, j] += np.bincount(cells, np.repeat(weight, d), minlength=d * BINS)
 
 
 def _cuts(scored: DataFrame, d: int, k: int, new_rounds: list[list[Tree]], trees: list[Tree], nodes: list[tuple[int, int]], tasks: int, limits: tuple) -> list:
@@ -241,10 +269,9 @@ def _cuts(scored: DataFrame, d: int, k: int, new_rounds: list[list[Tree]], trees
         sums = np.zeros((len(nodes), d * BINS, 3))
         for batch in batches:
             for one in batch.to_pylist():
-                bins = np.frombuffer(one["bins"], np.uint8).reshape(-1, d)
-                labels = np.frombuffer(one["labels"], "<i4")
+                bins, labels, counts = _held(one, d)
                 scores = scores_of(bins, new_rounds, np.frombuffer(one["scores"]).reshape(-1, k).copy())
-                add_sums(sums, bins, labels, scores, trees, nodes)
+                add_sums(sums, bins, labels, counts, scores, trees, nodes)
         yield sums.reshape(len(nodes), d, BINS, 3)
 
     def best(key: int, group: int, sums: np.ndarray) -> list:
@@ -328,15 +355,15 @@ def _grown_in_task(blocks: DataFrame, d: int, start: np.ndarray, n: int, rounds:
     k = len(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.frombuffer(one["bins"], np.uint8).reshape(-1, d), np.frombuffer(one["labels"], "<i4")) for b in batches for one in b.to_pylist()]
+        held = [_held(one, d) for b in batches for one in b.to_pylist()]
         if not held:
             return
-        bins, labels = (np.concatenate(x) for x in zip(*held))
+        bins, labels, counts = (np.concatenate(x) for x in zip(*held))
         scores = np.tile(start, (len(bins), 1))
 
         def cuts_of(trees: list[Tree], nodes: list) -> list:
             sums = np.zeros((len(nodes), d * BINS, 3))
-            add_sums(sums, bins, labels, scores, trees, nodes)
+            add_sums(sums, bins, labels, counts, scores, trees, nodes)
             found = ((key, best_cut(one.reshape(d, BINS, 3), *limits)) for key, one in enumerate(sums))
             return [(key, *cut) for key, cut in found if cut]
 
@@ -366,8 +393,8 @@ def fit_boosted(
 ) -> BoostedModel:
     """Multiclass boosted trees; labels are 0, 1, ... and rows with a null vector or label take no part.
 
-    Fitting ends early when no tree of a round finds a cut. Each pass reads the rows once for all classes; where the bins of all rows
-    are few enough for one task (``PARTITION_BYTES``), that task grows the trees itself.
+    Fitting ends early when no tree of a round finds a cut. Rows with the same bins and label are held once with their number. Each pass
+    reads them once for all classes; where they are few enough for one task (``GROWN_BYTES``), that task grows the trees itself.
     """
     if not 1 < bins <= BINS:
         raise ValueError(f"bins must be from 2 to {BINS}")
@@ -382,8 +409,12 @@ def fit_boosted(
     most = max(1, EDGE_BYTES // (8 * d))
     picked = rows.select("v") if n <= most else rows.select("v").orderBy(F.xxhash64("v", F.lit(seed))).limit(most)
     edges = bin_edges(np.array([r.v for r in picked.toLocalIterator()]), bins)
-    tasks = tasks or max(1, min(-(-n * d // PARTITION_BYTES), 10 * train.sparkSession.sparkContext.defaultParallelism))
-    blocks = stored(_blocks(rows.repartition(tasks), edges), "bins").coalesce(tasks)
+    distinct = stored(_distinct(rows, edges), "distinct")
+    if not tasks:
+        size = distinct.count() * (d + ROW_BYTES)
+        most = 10 * train.sparkSession.sparkContext.defaultParallelism
+        tasks = 1 if size <= GROWN_BYTES else max(2, min(-(-size // PARTITION_BYTES), most))
+    blocks = stored(_blocks(distinct.repartition(tasks), d), "bins").coalesce(tasks)
     at_once = max(1, SUM_BYTES // (d * BINS * 24))
     limits = (min_rows, min_hessian)
     if tasks == 1:

@@ -1,6 +1,6 @@
 """Exact nearest neighbours by blocks.
 
-Queries and base rows are dealt by hash into blocks whose bytes are bounded, and every
+Queries and base rows are dealt by hash into blocks whose bytes and rows are bounded, and every
 block of queries meets every block of base rows once. A pair of blocks returns at
 most k rows per query, found by matrix multiplication; pairs of rows are never written
 out. The work is that of brute force: bound it by the base, whose rows are labelled.
@@ -22,8 +22,17 @@ to the smaller base id."""
 
 BLOCK_BYTES = 32 << 20
 """Bytes of vectors in a block of either side."""
-PRODUCT_CELLS = 4_000_000
+BLOCK_ROWS = 16_384
+"""Rows in a block of either side: short vectors are few bytes, but the work of a pair of blocks is the product of their rows."""
+PRODUCT_CELLS = 500_000
 """Distances held at once."""
+TASKS_PER_PAIR, TASKS_PER_CORE = 4, 64
+"""Tasks that pairs of blocks are dealt to by hash, so that most have one of their own, and the most of them for each core."""
+
+
+def block_rows(width: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """Rows of vectors of ``width`` values that make a block."""
+    return max(1, min(BLOCK_ROWS, block_bytes // (8 * max(1, width))))
 
 
 def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -44,15 +53,25 @@ def _nearest_in_block(k: int):
             # The expansion of the square can be off by rounding; what is within the slack is computed exactly.
             slack = 4 * 10.0**-DIGITS + 1e-12 * (q_sums.max() + b_sums.max())
             step = max(1, PRODUCT_CELLS // len(b))
+            doubled = -2 * b.T
             for at in range(0, len(q), step):
                 part = q[at : at + step]
-                rough = q_sums[at : at + step, None] + b_sums[None, :] - 2 * part @ b.T
+                rough = part @ doubled
+                rough += b_sums
+                rough += q_sums[at : at + step, None]
                 last = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
                 row, near = np.nonzero(rough <= last[:, None] + slack)
                 exact = np.empty(len(row))
-                for cut in range(0, len(row), step * 16):
-                    rows = slice(cut, cut + step * 16)
+                most = max(1, PRODUCT_CELLS // b.shape[1])
+                for cut in range(0, len(row), most):
+                    rows = slice(cut, cut + most)
                     exact[rows] = ((b[near[rows]] - part[row[rows]]) ** 2).sum(1).round(DIGITS)
+                if len(row) > 4 * k * len(part):  # many within the slack: only those up to the last distance are put in order
+                    rough[:] = np.inf
+                    rough[row, near] = exact
+                    last = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+                    row, near = np.nonzero(rough <= last[:, None])
+                    exact = rough[row, near]
                 order = np.lexsort((place[near], exact, row))
                 row, near, exact = row[order], near[order], exact[order]
                 first = np.searchsorted(row, np.arange(len(part)))
@@ -73,6 +92,14 @@ def _nearest_in_block(k: int):
     return search
 
 
+def nearest_in_pairs(q: DataFrame, b: DataFrame, key: tuple[str, ...], pairs: int, k: int, out: T.StructType) -> DataFrame:
+    """What every pair of blocks finds, each pair under its own ``key``. Pairs are few bytes and much work, so
+    they are dealt to tasks by number and not by size."""
+    tasks = max(1, min(TASKS_PER_PAIR * pairs, TASKS_PER_CORE * q.sparkSession.sparkContext.defaultParallelism))
+    q, b = (df.repartition(tasks, *key).groupBy(*key) for df in (q, b))
+    return q.cogroup(b).applyInArrow(_nearest_in_block(k), out)
+
+
 def nearest_neighbors(
     queries: DataFrame,
     base: DataFrame,
@@ -93,7 +120,7 @@ def nearest_neighbors(
     sizes = [df.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first() for df in (q, b)]
     if not sizes[1][0]:
         raise ValueError("no base rows")
-    rows = max(1, block_bytes // (8 * max(1, sizes[1][1])))
+    rows = block_rows(sizes[1][1], block_bytes)
     chunks, blocks = (max(1, math.ceil(n / rows)) for n, _ in sizes)
     own = F.xxhash64("id")
 
@@ -110,7 +137,7 @@ def nearest_neighbors(
             T.StructField("distance2", T.DoubleType()),
         ]
     )
-    candidates = q.groupBy("block", "chunk").cogroup(b.groupBy("block", "chunk")).applyInArrow(_nearest_in_block(k), out)
+    candidates = nearest_in_pairs(q, b, ("block", "chunk"), chunks * blocks, k, out)
     ranked = Window.partitionBy("query_id").orderBy("distance2", "base_id")
     return candidates.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 

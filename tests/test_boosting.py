@@ -115,3 +115,25 @@ def test_odd_rows(spark):
     assert [r.prediction for r in found.collect()] == [0.0, 3.0, 3.0]
     with pytest.raises(ValueError):
         boosting.fit_boosted(make([]))
+
+
+def test_equal_rows_are_held_once_and_many_rows_are_no_single_task(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    x = np.round(draw.normal(size=(4000, 2)) * 2) / 2
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    schema = "features array<double>, label int"
+    df = spark.createDataFrame([([float(v) for v in r], int(c)) for r, c in zip(x, y)], schema).withColumn("features", array_to_vector("features"))
+    grown = []
+    one_task = boosting._grown_in_task
+
+    def watched(blocks, d, *rest):
+        grown.append(sum(len(r.bins) // d for r in blocks.collect()))
+        return one_task(blocks, d, *rest)
+
+    monkeypatch.setattr(boosting, "_grown_in_task", watched)
+    model = boosting.fit_boosted(df, rounds=3, leaves=6)
+    want = by_hand(x, y, 2, 3, 6, 0.1, 20, 1e-3, model.edges)
+    scores = lambda m: boosting.scores_of(boosting.binned(x, m.edges), m.rounds, np.tile(m.start, (len(x), 1)))
+    assert np.allclose(scores(model), want) and grown == [len(np.unique(x, axis=0))]
+    monkeypatch.setattr(boosting, "GROWN_BYTES", 1000)
+    assert np.allclose(scores(boosting.fit_boosted(df, rounds=3, leaves=6)), want) and len(grown) == 1

@@ -49,3 +49,25 @@ def test_vote_tie_goes_to_the_smaller_label(spark):
     rows = [(1, 2), (1, 2), (1, 0), (1, 0), (1, 1), (2, 3)]
     votes = neighbors.vote(spark.createDataFrame(rows, "query_id int, label int"))
     assert {r.query_id: r.y_pred for r in votes.collect()} == {1: 0, 2: 3}
+
+
+def test_short_vectors_meet_in_blocks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(1)
+    q, b, labels = rng.normal(size=(250, 2)), rng.normal(size=(400, 2)), rng.integers(0, 3, 400)
+    seen = []
+    meet = neighbors.nearest_in_pairs
+
+    def watched(q, b, key, pairs, *rest):
+        found = meet(q, b, key, pairs, *rest)
+        seen.append((pairs, found.rdd.getNumPartitions(), b.groupBy(*key).count().agg({"count": "max"}).first()[0]))
+        return found
+
+    monkeypatch.setattr(neighbors, "nearest_in_pairs", watched)
+    near = neighbors.nearest_neighbors(*frames(spark, q, b, labels), 5, "id", "v", "y")
+    got = {}
+    for r in sorted(near.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.base_id, r.distance2, r.label))
+    assert got == brute(q, b, labels, 5)
+    pairs, tasks, largest = seen[0]
+    assert pairs == 12 and tasks >= pairs and largest < 150
