@@ -32,6 +32,8 @@ PROBE_ROWS = 256
 """Base rows on which recall is measured."""
 MOST_TABLES = 8
 MOST_BITS = 24
+PROBE_CELLS = 250_000
+"""Buckets that are put in order at once; vectors are taken up a few at a time for it."""
 
 
 @dataclass(frozen=True)
@@ -162,17 +164,23 @@ def fit_tables(
 
 def _in_buckets(df: DataFrame, tables: HashTables, probe: bool, *columns: str) -> DataFrame:
     """``df`` (id, ..., vec) with its buckets: one row per table, for queries one per table and probe."""
-    def find(vecs: pa.Array) -> pa.Array:
-        if not len(vecs):
-            return pa.array([], pa.list_(pa.int64()))
-        rows = np.array(vecs.flatten().to_numpy(zero_copy_only=False)).reshape(len(vecs), -1)
-        found = tables.looked_into(rows) if probe else tables.buckets(rows)[:, :, None]
-        keys = np.moveaxis(found + (np.arange(len(found))[:, None, None] << tables.bits), 0, 1).reshape(len(rows), -1)
-        offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
+    names = ["id", *columns, "vec"]
+    probes = tables.probes if probe else 1
+    step = max(1, PROBE_CELLS // (len(tables.directions) * min(2 * probes, 1 << tables.bits)))
 
-    keys = F.arrow_udf(find, T.ArrayType(T.LongType()))
-    return df.select("id", *columns, "vec", F.explode(keys("vec")).alias("bucket"))
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                rows = neighbors._matrix(part.column("vec"))
+                found = tables.looked_into(rows) if probe else tables.buckets(rows)[:, :, None]
+                keys = np.moveaxis(found + (np.arange(len(found))[:, None, None] << tables.bits), 0, 1).reshape(len(rows), -1)
+                offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=[*names, "buckets"])
+
+    df = df.select(names)
+    found = df.mapInArrow(find, T.StructType([*df.schema.fields, T.StructField("buckets", T.ArrayType(T.LongType()))]))
+    return found.select(*names, F.explode("buckets").alias("bucket"))
 
 
 def hashed_neighbors(
@@ -187,14 +195,29 @@ def hashed_neighbors(
 ) -> DataFrame:
     """The k nearest of the base rows that share a bucket with each query: query_id, base_id, label, distance2, rank.
 
-    A base row travels once per table, a query once per bucket it looks into. A bucket of more rows than a block
+    A base row travels once per table, a query once per bucket it looks into. Where queries look into every bucket, neighbouring
+    buckets are put together as far as a block holds their rows, and a query travels once to all of them. A bucket of more rows than a block
     holds, such as one of equal vectors, is cut into blocks on either side, and those meet in pairs. Rows with a null vector take no part.
     """
-    q = _in_buckets(_vectors(queries, id_col, vec), tables, True)
+    q = _vectors(queries, id_col, vec)
     b = _in_buckets(_vectors(base, id_col, vec, F.col(label).alias("label")), tables, False, "label")
-    block = max(1, block_bytes // (8 * tables.directions.shape[2]))
-    pieces = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    met = stored(pieces(q, "chunks").join(pieces(b, "blocks"), "bucket"), "buckets")
+    block = neighbors.block_rows(tables.directions.shape[2], block_bytes)
+    pieces = lambda rows, name: F.ceil(rows / block).cast("int").alias(name)
+    if tables.probes < 1 << tables.bits:
+        q = _in_buckets(q, tables, True)
+        counts = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        met = counts(q).select("bucket", pieces(F.col("n"), "chunks")).join(counts(b).select("bucket", pieces(F.col("n"), "blocks")), "bucket")
+    else:
+        held = stored(b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        n = held.agg(F.sum("n")).first()[0] or 0
+        mean = max(1, n // (len(tables.directions) << tables.bits))
+        together = min(tables.bits, max(0, (block // mean).bit_length() - 1))
+        joined = F.shiftright("bucket", together).alias("bucket")
+        b = b.withColumn("bucket", joined)
+        met = held.groupBy(joined).agg(pieces(F.sum("n"), "blocks")).withColumn("chunks", F.lit(max(1, -(-q.count() // block))))
+        q = q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit((len(tables.directions) << tables.bits >> together) - 1)).cast("array<long>")))
+    met = stored(met, "buckets")
+    pairs = met.agg(F.sum(F.col("chunks").cast("long") * F.col("blocks"))).first()[0] or 0
     met = broadcast_if_small(met)
     own = F.xxhash64("id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -209,7 +232,7 @@ def hashed_neighbors(
         ]
     )
     key = ("bucket", "block", "chunk")
-    found = q.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(neighbors._nearest_in_block(k), out)
+    found = neighbors.nearest_in_pairs(q, b, key, pairs, k, out)
     if len(tables.directions) > 1:
         found = found.groupBy("query_id", "base_id").agg(F.first("label").alias("label"), F.first("distance2").alias("distance2"))
     ranked = Window.partitionBy("query_id").orderBy("distance2", "base_id")

@@ -72,3 +72,34 @@ def test_odd_bases(spark):
     assert hashing.hashed_neighbors(same, same, hashing.fit_tables(same, bucket_rows=5)).count() == 250
     with pytest.raises(ValueError):
         hashing.fit_tables(one.where("false"))
+
+
+def test_a_query_that_looks_into_every_bucket_travels_once_per_block(clouds, monkeypatch):
+    queries, base = clouds
+    tables = hashing.fit_tables(base, bucket_rows=60, probe_rows=20)
+    assert tables.bits >= 6
+    met = []
+    meet = neighbors.nearest_in_pairs
+    monkeypatch.setattr(neighbors, "nearest_in_pairs", lambda q, b, *rest: met.append((q.count(), b.count())) or meet(q, b, *rest))
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 1000)
+    every = tables.first(1, 1 << tables.bits, None)
+    assert rows_of(hashing.hashed_neighbors(queries, base, every)) == rows_of(neighbors.nearest_neighbors(queries, base))
+    # 3,800 base rows and 200 queries: some eight groups of buckets, not one of them for each of 64 buckets.
+    assert met[0][0] <= 16 * 200 and met[0][1] == 3800
+
+
+def test_buckets_are_put_in_order_a_few_vectors_at_a_time(clouds, monkeypatch):
+    queries, base = clouds
+    tables = hashing.fit_tables(base, bucket_rows=60, tables=2, probe_rows=20).first(2, 9, None)
+    want = rows_of(hashing.hashed_neighbors(queries, base, tables))
+    order = hashing.HashTables.looked_into
+
+    def few(self, rows, *rest):
+        assert len(rows) <= 7
+        return order(self, rows, *rest)
+
+    monkeypatch.setattr(hashing, "PROBE_CELLS", 2 * 18 * 7)
+    monkeypatch.setattr(hashing.HashTables, "looked_into", few)
+    df = hashing._vectors(queries, "sample_id", "hidden_state_vector")
+    assert hashing._in_buckets(df, tables, True).groupBy("id").count().where("count != 18").isEmpty()
+    assert rows_of(hashing.hashed_neighbors(queries, base, tables)) == want
