@@ -221,6 +221,10 @@ def conv_features(
     return df.withColumn(out, F.expr(f"array({', '.join(responses)})"))
 
 
+CONV_CELLS = 1 << 20
+"""Windows and responses of a convolution that are held at once."""
+
+
 def conv_features_arrow(
     df: DataFrame, kernels: list[list[float]], vec: str = "hidden_state_vector", out: str = "conv", stride: int = 2
 ) -> DataFrame:
@@ -238,7 +242,8 @@ def conv_features_arrow(
         result = np.zeros((len(lengths), bank.shape[1]))
         for d in np.unique(lengths[lengths > 0]):
             which = np.flatnonzero(lengths == d)
-            for part in np.array_split(which, max(1, len(which) * d // (1 << 18))):
+            responses = -(-int(d) // stride) * max(size, bank.shape[1])
+            for part in np.array_split(which, max(1, -(-len(which) * responses // CONV_CELLS))):
                 rows = flat[starts[part][:, None] + np.arange(d)]
                 padded = np.pad(rows, ((0, 0), (size // 2, size // 2)))
                 windows = np.lib.stride_tricks.sliding_window_view(padded, size, axis=1)[:, ::stride]

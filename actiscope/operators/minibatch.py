@@ -30,6 +30,8 @@ TASK_BYTES = 128 << 20
 """Bytes of rows that one task trains on."""
 PART = 1 << 20
 """Weights that are averaged together."""
+HELD_CELLS = 1 << 20
+"""Values of all layers that are held at once where rows are scored."""
 LEAST_BATCHES = 16
 """Batches that an epoch has at least: a set of fewer than so many times ``batch_size`` rows is cut into smaller ones."""
 # Decay of the running means of gradients and their squares.
@@ -57,6 +59,13 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return raised / raised.sum(axis=1, keepdims=True)
 
 
+def class_chances(model: NetworkModel, rows: np.ndarray, kind: type = np.float32) -> np.ndarray:
+    """Chances of the classes (row, class), a few rows at a time: what the layers hold of a row can be many times the row."""
+    step = max(1, HELD_CELLS // sum(w.shape[0] for w in model.layers))
+    parts = [softmax(forward(model.layers, model.scaled(rows[at : at + step]))[-1].astype(kind)) for at in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(model.layers[-1])), kind)
+
+
 def losses(p: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12))
 
@@ -107,7 +116,7 @@ class NetworkModel:
     def transform(self, df: DataFrame) -> DataFrame:
         def score(v: pa.Array) -> pa.Array:
             k = len(self.layers[-1])
-            found = softmax(forward(self.layers, self.scaled(matrix(v)))[-1].astype(np.float64)) if len(v) else np.zeros((0, k))
+            found = class_chances(self, matrix(v) if len(v) else np.zeros((0, 0)), np.float64)
             return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, k, dtype=np.int32)), pa.array(found.ravel()))
 
         made = df.withColumn("_p", F.arrow_udf(score, T.ArrayType(T.DoubleType()))(vector_to_array(self.inp)))
@@ -201,7 +210,7 @@ def mean_loss(rows: DataFrame, model: NetworkModel) -> float:
         total, n = 0.0, 0
         for batch in batches:
             if batch.num_rows:
-                p = softmax(forward(model.layers, model.scaled(matrix(batch.column(0))))[-1])
+                p = class_chances(model, matrix(batch.column(0)))
                 total += float(losses(p, batch.column(1).to_numpy()).sum())
                 n += batch.num_rows
         yield pa.RecordBatch.from_pydict({"loss": [total], "n": [n]})

@@ -58,3 +58,21 @@ def test_conv_engines_agree_on_mixed_lengths(spark):
         a = ordered(features.conv_features(df, bank, "v", stride=stride), "conv")
         b = ordered(features.conv_features_arrow(df, bank, "v", stride=stride), "conv")
         np.testing.assert_allclose(a, b, atol=1e-12)
+
+
+def test_convolution_holds_a_bounded_number_of_responses(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(features.F, "arrow_udf", lambda f, kind: lambda column: made.append(f))
+    frame = type("Frame", (), {"withColumn": lambda self, name, column: self})()
+    monkeypatch.setattr(features.F, "col", lambda name: name)
+    features.conv_features_arrow(frame, features.kernel_bank(128, 15, 1), "v", "o")
+    vectors = pa.array(np.random.default_rng(0).normal(size=(4096, 64)).tolist())
+    tracemalloc.start()
+    out = made[0](vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 4096 and peak < 64 << 20

@@ -79,3 +79,14 @@ def test_odd_rows(rows):
         models.fit_widths(rows, "MLP_None")
     model = models.fit_widths(rows, "MLP_Tiny", val=rows.where("false"), epochs=2)
     assert model.training_log == [] and model.transform(rows.where("false")).count() == 0
+
+
+def test_scored_a_few_rows_at_a_time(monkeypatch):
+    draw = np.random.default_rng(3)
+    model = minibatch.NetworkModel(minibatch.first_weights([5, 40, 3], 1), np.zeros(5), np.ones(5), "v")
+    rows, sizes, forward = draw.normal(size=(100, 5)), [], minibatch.forward
+    want = minibatch.softmax(forward(model.layers, model.scaled(rows))[-1])
+    monkeypatch.setattr(minibatch, "HELD_CELLS", 43 * 7)
+    monkeypatch.setattr(minibatch, "forward", lambda layers, some: sizes.append(len(some)) or forward(layers, some))
+    assert np.allclose(minibatch.class_chances(model, rows), want, atol=1e-6) and max(sizes) == 7 and sum(sizes) == 100
+    assert minibatch.class_chances(model, rows[:0]).shape == (0, 3)
