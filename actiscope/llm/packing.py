@@ -31,6 +31,7 @@ CACHED_CHARS = 8_000_000
 # these classes are the same in every Unicode version.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 PLAIN_WORD = re.compile(f"[\\t\\n\\r!-~{LETTERS[6:]}]*")
+PLAIN_TEXT = re.compile(f"[\\t\\n\\r -~{LETTERS[6:]}]*")
 PRE_TOKENS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 
 
@@ -57,8 +58,9 @@ class Ids(dict):
 
 
 class WordCache:
-    """Token ids of texts, as little-endian 32-bit bytes, with each word encoded once.
+    """Token ids of texts, as little-endian 32-bit bytes, with each pre-token or word encoded once.
 
+    A text of common characters alone is cut into its pre-tokens. For others words are kept:
     Byte-level pre-tokenization never joins a space to what stands before it, and
     joins it to what follows unless that is white space. A text can so be cut before
     every space that has no white space on both sides, and the parts encoded alone. A new
@@ -73,13 +75,17 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*added, self.inside_run.pattern]))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([*map(re.escape, added), self.inside_run.pattern]))
+        self.added = added
         self.names = byte_names()
         self.pre_tokens, self.words = Ids(self._pre_token, CACHED_CHARS), Ids(self._word, CACHED_CHARS)
 
     def _pre_token(self, text: str) -> bytes:
-        named = text.encode().decode("latin-1").translate(self.names)
+        if text.isascii() and text[1:].isprintable() and " " not in text[1:] and text[0] >= " ":
+            named = self.names[32] + text[1:] if text[0] == " " else text
+        else:
+            named = text.encode().decode("latin-1").translate(self.names)
         return array.array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
 
     def _part(self, text: str) -> bytes:
@@ -94,6 +100,8 @@ class WordCache:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode_one(self, text: str) -> bytes:
+        if PLAIN_TEXT.fullmatch(text) and not any(map(text.__contains__, self.added)):
+            return b"".join(map(self.pre_tokens.__getitem__, PRE_TOKENS.findall(text)))
         if self.whole.search(text):
             return self._text(text)
         head, *rest = text.split(" ")

@@ -100,3 +100,15 @@ def test_groups_and_empty_table(odd_docs, no_docs):
     many = packing.pack(pieces, 64, group_pieces=20).collect()
     assert len(many) == pieces.count() and len({r.sequence_id >> 32 for r in many}) > 3
     assert packing.pack_documents(no_docs, PATH).count() == 0
+
+
+def test_texts_of_common_characters_are_cut_into_pre_tokens():
+    cache = packing.WordCache(PATH)
+    draw = np.random.default_rng(11)
+    signs = [" ", " ", "  ", "\n", "\t ", "\r\n", "'s", "'re", "'", "a", "Zé", "ɏ", "12", "7", ".", "--", "<|", "the", " par"]
+    texts = ["".join(signs[i] for i in draw.integers(len(signs), size=n)) for n in (1, 2, 3, 5, 9, 40, 400) for _ in range(30)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode(texts)] == [ids_of(t) for t in texts]
+    assert not cache.words
+    kept = cache.pre_tokens.copy()
+    assert np.frombuffer(cache.encode(["a <|endoftext|> b\x0b c"])[0], "<u4").tolist() == ids_of("a <|endoftext|> b\x0b c")
+    assert kept == cache.pre_tokens
