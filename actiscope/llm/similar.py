@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from actiscope.llm.common import release_memory, rows_of, shuffle_partitions, slices, trimmed
 from actiscope.llm.graph import components
 from actiscope.llm.substrings import Words, planes, run_hashes, unpack_planes
-from actiscope.session import broadcast_if_small, stored
+from actiscope.session import broadcast_if_small, new_work_dir, passing_tables, stored
 
 SLICE_CHARS = 2_000_000
 GROUP_SETS = 4_096
@@ -65,7 +65,7 @@ class Rule:
 
 def shingle_sets(texts: list[str], rule: Rule) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles: all its words for a text of fewer than one shingle's, none without words."""
-    w = Words([t.encode().lower().split() for t in texts])
+    w = Words(t.encode().lower().split() for t in texts)
     h = w.hashes[w.ids]
     runs = run_hashes(h, rule.shingle) if len(h) >= rule.shingle else np.empty(0, np.uint64)
     out = []
@@ -454,9 +454,12 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id") ->
     with them, not by their ids. Documents without words all stay.
     """
     row = "one_of_each_row"
+    spark = docs.sparkSession
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = stored(classes_of(numbered, rule, id_col, row=row).where("n_shingles > 0").select("row", "doc_id", "component"), "found")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = found.groupBy("component").agg(first.alias("first")).select("first.row")
-    drop = found.join(kept, "row", "left_anti").select(F.col("row").alias(row))
-    return numbered.join(broadcast_if_small(stored(drop, "copies")), row, "left_anti").select(*docs.columns)
+    copies = new_work_dir(spark, "copies")
+    with passing_tables(spark, "near-copies"):
+        found = stored(classes_of(numbered, rule, id_col, row=row).where("n_shingles > 0").select("row", "doc_id", "component"), "found")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+        kept = found.groupBy("component").agg(first.alias("first")).select("first.row")
+        drop = stored(found.join(kept, "row", "left_anti").select(F.col("row").alias(row)), "copies", copies)
+    return numbered.join(broadcast_if_small(drop), row, "left_anti").select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,20 +49,23 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Words:
-    """Documents of a slice as numbers of words, with each word's hash."""
+    """Documents of a slice as numbers of words, with each word's hash; read one at a time, so that no other document's words are held."""
 
-    def __init__(self, docs: list[list[bytes]]):
+    def __init__(self, docs: Iterable[list[bytes]]):
         number: dict[bytes, int] = {}
-        self.ids = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), np.int32)
+        own = [np.fromiter((number.setdefault(w, len(number)) for w in d), np.int32, len(d)) for d in docs]
+        self.ids = np.concatenate(own) if own else np.empty(0, np.int32)
         self.words = list(number)
-        self.lengths = np.array([len(d) for d in docs], np.int64)
+        self.lengths = np.array([len(d) for d in own], np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.hashes = word_hashes(self.words)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -73,10 +76,16 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
             if n & have:
                 rest = run[done:] if done else run
                 size = len(h) - done - have + 1
-                total = rest[:size] if total is None else total[:size] * np.uint64(pow(base, have, 1 << 64)) + rest[:size]
+                if total is None:
+                    total = rest[:size]
+                else:
+                    total = total[:size] * np.uint64(pow(base, have, 1 << 64))
+                    total += rest[:size]
                 done += have
             if done < n:
-                run = run[:-have] * np.uint64(pow(base, have, 1 << 64)) + run[have:]
+                longer = run[:-have] * np.uint64(pow(base, have, 1 << 64))
+                longer += run[have:]
+                run = longer
                 have *= 2
         return _mixed(total)
 
@@ -84,8 +93,10 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
 def window_starts(lengths: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Place and document of every window that lies within one document."""
     count = np.maximum(0, lengths - window + 1)
-    doc = np.repeat(np.arange(len(lengths)), count)
-    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + first[doc], doc
+    kind = np.int32 if int(lengths.sum()) < 1 << 31 else np.int64
+    places = np.repeat((first - np.cumsum(count) + count).astype(kind), count)
+    places += np.arange(len(places), dtype=kind)
+    return places, np.repeat(np.arange(len(lengths), dtype=kind), count)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -106,7 +117,9 @@ def repeated(ids: np.ndarray, places: np.ndarray, rank: tuple[np.ndarray, np.nda
         return np.zeros(0, bool), np.zeros(0, bool)
     order = np.lexsort((rank[1], rank[0], hashes))
     same = np.zeros(len(order), bool)
-    same[1:] = hashes[order[1:]] == hashes[order[:-1]]
+    by_hash = hashes[order]
+    same[1:] = by_hash[1:] == by_hash[:-1]
+    del by_hash
     row = np.flatnonzero(same)
     if len(row):
         a, b = places[order[row]], places[order[row - 1]]
@@ -118,10 +131,13 @@ def repeated(ids: np.ndarray, places: np.ndarray, rank: tuple[np.ndarray, np.nda
             order = np.lexsort((rank[1], rank[0], *columns))
             at = places[order]
             same[1:] = np.logical_and.reduce([ids[at[1:] + j] == ids[at[:-1] + j] for j in range(window)])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    least = order[head]
-    earlier = np.empty(len(order), bool)
-    earlier[order] = (rank[0][order] > rank[0][least]) | (rank[1][order] > rank[1][least])
+    # The first of a class has none before it; each other is compared with the first.
+    row = np.flatnonzero(same)
+    head = np.flatnonzero(~same)
+    own, least = order[row], order[head[np.searchsorted(head, row) - 1]]
+    earlier = np.zeros(len(order), bool)
+    earlier[own] = (rank[0][own] > rank[0][least]) | (rank[1][own] > rank[1][least])
+    del row, head, own, least
     stands = np.empty(len(order), bool)
     stands[order] = ~same
     return earlier, stands
@@ -167,23 +183,28 @@ def pack_super_kmers(w: Words, doc_ids: np.ndarray, keys: np.ndarray, window: in
     if not len(places):
         return [], []
     h = w.hashes[w.ids]
-    earlier, stands = repeated(w.ids, places, (doc_ids[doc], start), window, run_hashes(h, window)[places])
+    rank = np.unique(doc_ids, return_inverse=True)[1].astype(np.int32)[doc]
+    earlier, stands = repeated(w.ids, places, (rank, start), window, run_hashes(h, window)[places])
+    del rank
     settled = [(doc_ids[d], keys[d], runs) for d, runs in _runs(earlier, doc, start)]
+    del earlier
     least = sliding_min(run_hashes(h, gram), window - gram + 1)[places]
-    bucket = (least % np.uint64(buckets)).astype(np.int64)
+    del h
     joined = np.zeros(len(places), bool)
     joined[1:] = stands[1:] & stands[:-1] & (least[1:] == least[:-1]) & (doc[1:] == doc[:-1])
     head = np.flatnonzero(stands & ~joined)
-    group = np.cumsum(stands & ~joined) - 1
-    length = np.bincount(group[stands], minlength=len(head)) + window - 1
+    bucket = (least[head] % np.uint64(buckets)).astype(np.int64)
+    # A row's length: the windows that travel between its head and the next.
+    length = np.diff(np.append(np.cumsum(stands, dtype=np.int32)[head], int(stands.sum()) + 1)) + window - 1
+    del least, joined, stands
     code = np.fromiter((common.get(x, -1) for x in w.words), np.int64, len(w.words))
     blobs = []
-    order = np.argsort(bucket[head], kind="stable")
-    edge = np.flatnonzero(np.append(True, np.diff(bucket[head][order]) != 0)) if len(order) else []
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
     for i, j in zip(edge, np.append(edge[1:], len(order))) if len(order) else ():
         rows = order[i:j]
         begin, size = places[head[rows]], length[rows]
-        take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        take = np.arange(int(size.sum())) + np.repeat(begin - np.cumsum(size) + size, size)
         content = w.ids[take]
         coded = code[content]
         rare, place = np.unique(content[coded < 0], return_inverse=True)
@@ -191,7 +212,7 @@ def pack_super_kmers(w: Words, doc_ids: np.ndarray, keys: np.ndarray, window: in
         owner, which = np.unique(doc[head[rows]], return_inverse=True)
         parts = [doc_ids[owner], keys[owner], which, start[head[rows]], size, coded]
         raw = b"".join(map(planes, parts)) + b" ".join([w.words[k] for k in rare.tolist()])
-        blobs.append((int(bucket[head[rows[0]]]), zstandard.ZstdCompressor(level=3).compress(raw)))
+        blobs.append((int(bucket[rows[0]]), zstandard.ZstdCompressor(level=3).compress(raw)))
     return settled, blobs
 
 
@@ -263,8 +284,9 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
         common = {x: i for i, x in enumerate(shared.value)}
 
         for part in slices(rows_of(batches), lambda r: len(r[2]), SLICE_CHARS):
-            w = Words([words_of(r[2]) for r in part])
+            w = Words(words_of(r[2]) for r in part)
             doc_ids, keys = (np.array([r[i] for r in part], np.int64) for i in (0, 1))
+            part.clear()
             settled, blobs = pack_super_kmers(w, doc_ids, keys, window, gram, buckets, common)
             rows = [(int(d) % buckets, True, d, k, runs) for d, k, runs in settled] + [(b, False, None, None, blob) for b, blob in blobs]
             if rows:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ BROADCAST_ROWS = 1_000_000
 short id per row, so this is well under 100 MB."""
 
 _local_work_dirs: dict[str, str] = {}
+_passing: ContextVar[str | None] = ContextVar("passing", default=None)
 
 
 def build_session(master: str | None = None, app: str = "actiscope", shuffle_partitions: int | None = None, **conf) -> SparkSession:
@@ -58,13 +62,26 @@ def work_root(spark: SparkSession) -> str:
 
 def new_work_dir(spark: SparkSession, purpose: str) -> str:
     """A path under the work folder that no other run uses."""
-    return os.path.join(work_root(spark), f"{purpose}-{uuid.uuid4().hex}")
+    return os.path.join(_passing.get() or work_root(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a small intermediate table and read it back, which cuts its lineage."""
-    spark = df.sparkSession
+@contextmanager
+def passing_tables(spark: SparkSession, purpose: str) -> Iterator[None]:
+    """Tables that are stored inside, unless at a path made outside, are deleted at the end: nothing that outlives it may read them."""
     path = new_work_dir(spark, purpose)
+    token = _passing.set(path)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
+    """Write a small intermediate table, to a new folder unless ``path`` names one, and read it back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = path or new_work_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

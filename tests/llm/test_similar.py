@@ -130,3 +130,17 @@ def test_one_row_of_each_component_stays(make_docs):
     docs = make_docs([(3, t), (5, t), (5, u), (1, v), (1, v), (None, v), (None, w), (None, w), (9, None), (9, None)])
     kept = sorted(((r.doc_id, r.text) for r in similar.one_of_each(docs).collect()), key=repr)
     assert kept == sorted([(3, t), (5, u), (1, v), (None, w), (9, None), (9, None)], key=repr)
+
+
+def test_passing_tables_are_deleted(spark, make_docs):
+    """Only what the kept documents are read from stays in the work folder."""
+    import os
+
+    from actiscope.session import work_root
+
+    root = work_root(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    docs = make_docs([(i, f"one two three four five six seven eight {i % 3}") for i in range(9)])
+    kept = similar.one_of_each(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+    assert sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(root)) - before) == ["copies", "numbered"]

@@ -83,3 +83,24 @@ def test_query_on_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((d, n, m, hashlib.sha256(t.encode()).hexdigest()) for d, (n, m, t) in brute(rows, 20).items())
     assert sorted(map(tuple, op10(spark, sf_dir).collect())) == want
+
+
+def test_words_hold_one_document_at_a_time():
+    import weakref
+
+    class Words(list):
+        """A list that can be looked after."""
+
+    seen, held = [], []
+
+    def docs():
+        for i in range(6):
+            doc = Words([b"a", b"b%d" % i])
+            seen.append(weakref.ref(doc))
+            held.append(sum(r() is not None for r in seen))
+            yield doc
+            del doc
+
+    w = S.Words(docs())
+    assert w.lengths.tolist() == [2] * 6 and w.ids.tolist() == [0, 1, 0, 2, 0, 3, 0, 4, 0, 5, 0, 6]
+    assert max(held) <= 2
