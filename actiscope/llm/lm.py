@@ -36,6 +36,8 @@ LEAST_LANES, MOST_LANES = 16, 512
 STEPS = 256
 """Updates a training task should take: a small one reads in fewer lanes, and with smaller steps."""
 SCORE_LANES = 256
+SAFE_EXP = 60.0
+"""Powers of e up to this neither overflow, in sums too, nor vanish in single precision."""
 TRAIN_TOKENS = 4_000_000
 """Tokens a training task gets, about."""
 LEAST_ROUNDS = 4
@@ -173,43 +175,60 @@ class Network:
         return cls(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, cuts), like.parts())))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def advance(net: Network, h: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """One step of the gated recurrent unit, with what its gradient needs.
+
+    A column is a lane, so that each gate is one block of memory; ``given`` are the lanes' input rows.
+    """
+    own = net.recur.T @ h
+    gates = given[: 2 * HIDDEN] + own[: 2 * HIDDEN]
+    np.exp(np.negative(gates, out=gates), out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r = gates[:HIDDEN], gates[HIDDEN:]
+    new = r * own[2 * HIDDEN :]
+    new += given[2 * HIDDEN :]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= z
+    after += new
+    return after, (h, z, r, new, own[2 * HIDDEN :])
 
 
 def step(net: Network, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One step of the gated recurrent unit, with what its gradient needs."""
-    given, own = net.embed[x], h @ net.recur
-    gates = _sigmoid(given[:, : 2 * HIDDEN] + own[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    new = np.tanh(given[:, 2 * HIDDEN :] + r * own[:, 2 * HIDDEN :])
-    return new + z * (h - new), (h, z, r, new, own[:, 2 * HIDDEN :], x)
-
-
-def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of the chosen column of every row, and all probabilities."""
-    logits -= logits.max(axis=1, keepdims=True)
-    row = np.arange(len(at))
-    chosen = logits[row, at]
+    """``advance`` for states and inputs by rows."""
+    after, kept = advance(net, h.T, net.embed[x].T)
+    return after.T, kept
+
+
+def given_rows(net: Network, x: np.ndarray) -> np.ndarray:
+    """Input rows of a window, as (steps, 3H, lanes)."""
+    return np.ascontiguousarray(net.embed[x].transpose(0, 2, 1))
+
+
+def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of the chosen row of every column, and all probabilities as parts of a total."""
+    if not (logits.min() > -SAFE_EXP and logits.max() < SAFE_EXP):
+        logits -= logits.max(axis=0)
+    chosen = logits[at, np.arange(len(at))]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    chosen -= np.log(total[:, 0])
-    logits /= total
-    return chosen, logits
+    total = logits.sum(axis=0)
+    chosen -= np.log(total)
+    return chosen, logits, total
 
 
-def word_groups(v: Vocabulary, target: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-    """Rows whose target is a learned word, by class, with the class's run of words."""
+def word_groups(v: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Rows whose target is a learned word of a class with several, ordered by class; and for each class its run of these rows and of words."""
+    ends = np.append(v.starts, v.size)
     learned = np.flatnonzero(target < v.size)
     kind = v.class_of[target[learned]]
+    several = (np.diff(ends) > 1)[kind]
+    learned, kind = learned[several], kind[several]
     order = np.argsort(kind, kind="stable")
     rows, kind = learned[order], kind[order]
-    edge = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(rows) else []
-    ends = np.append(v.starts, v.size)
-    for i, j in zip(edge, np.append(edge[1:], len(rows))) if len(rows) else ():
-        c = kind[i]
-        if ends[c + 1] - ends[c] > 1:
-            yield rows[i:j], int(ends[c]), int(ends[c + 1])
+    edge = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(rows) else np.empty(0, np.int64)
+    c = kind[edge]
+    return rows, list(zip(edge.tolist(), np.append(edge[1:], len(rows)).tolist(), ends[c].tolist(), ends[c + 1].tolist()))
 
 
 def class_target(v: Vocabulary, target: np.ndarray) -> np.ndarray:
@@ -218,11 +237,26 @@ def class_target(v: Vocabulary, target: np.ndarray) -> np.ndarray:
     return known[target]
 
 
+def class_logits(net: Network, h: np.ndarray) -> np.ndarray:
+    """A column for each row of states."""
+    logits = net.class_out.T @ h.T
+    logits += net.class_bias[:, None]
+    return logits
+
+
+def word_logits(net: Network, h: np.ndarray, a: int, b: int) -> np.ndarray:
+    logits = net.word_out[a:b] @ h.T
+    logits += net.word_bias[a:b, None]
+    return logits
+
+
 def output_log_p(net: Network, v: Vocabulary, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    out, _ = log_softmax_at(h @ net.class_out + net.class_bias, class_target(v, target))
-    out = out.astype(np.float64)
-    for rows, a, b in word_groups(v, target):
-        out[rows] += log_softmax_at(h[rows] @ net.word_out[a:b].T + net.word_bias[a:b], target[rows] - a)[0]
+    out = log_softmax_at(class_logits(net, h), class_target(v, target))[0].astype(np.float64)
+    rows, runs = word_groups(v, target)
+    own_h, own_target, found = h[rows], target[rows], np.empty(len(rows))
+    for i, j, a, b in runs:
+        found[i:j] = log_softmax_at(word_logits(net, own_h[i:j], a, b), own_target[i:j] - a)[0]
+    out[rows] += found
     return out
 
 
@@ -267,68 +301,79 @@ def score_documents(net: Network, v: Vocabulary, docs: list[np.ndarray]) -> np.n
     """Natural log probability of each document's targets, the state carried to its end."""
     lengths = np.array([len(d) for d in docs], np.int64)
     out = np.zeros(int(lengths.sum()))
-    h = np.zeros((min(SCORE_LANES, len(docs)), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, min(SCORE_LANES, len(docs))), np.float32)
     for x, target, begins, place in windows(v, docs, SCORE_LANES, WINDOW):
-        h = h[: x.shape[1]]
-        states = np.empty((*x.shape, HIDDEN), np.float32)
+        h = h[:, : x.shape[1]]
+        given = given_rows(net, x)
+        states = np.empty((len(x), *h.shape), np.float32)
         for t in range(len(x)):
             if begins[t].any():
-                h = h * ~begins[t][:, None]
-            h, _ = step(net, h, x[t])
+                h = h * ~begins[t]
+            h, _ = advance(net, h, given[t])
             states[t] = h
         real = place >= 0
-        out[place[real]] = output_log_p(net, v, states[real], target[real])
+        out[place[real]] = output_log_p(net, v, states.transpose(0, 2, 1)[real], target[real])
     return np.add.reduceat(out, np.cumsum(lengths) - lengths)
 
 
 def window_gradient(net: Network, v: Vocabulary, h: np.ndarray, x: np.ndarray, target: np.ndarray, begins: np.ndarray, real: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Gradient of the mean loss over one window, back to its first step; the state after it; the loss."""
-    saved, states = [], []
+    given, h = given_rows(net, x), h.T
+    before, z, r, new, own, states = (np.empty((len(x), *h.shape), given.dtype) for _ in range(6))
     for t in range(len(x)):
-        h = h * ~begins[t][:, None]
-        h, kept = step(net, h, x[t])
-        saved.append(kept)
-        states.append(h)
-    all_h, n = np.stack(states), max(1, int(real.sum()))
-    hs, ts = all_h[real], target[real]
+        if begins[t].any():
+            h = h * ~begins[t]
+        h, (before[t], z[t], r[t], new[t], own[t]) = advance(net, h, given[t])
+        states[t] = h
+    n = max(1, int(real.sum()))
+    hs, ts = states.transpose(0, 2, 1)[real], target[real]
     grads = [np.zeros_like(p) for p in net.parts()]
     d_embed, d_recur, d_class, d_class_bias, d_word, d_word_bias = grads
     kinds = class_target(v, ts)
-    log_p, p = log_softmax_at(hs @ net.class_out + net.class_bias, kinds)
+    log_p, p, total = log_softmax_at(class_logits(net, hs), kinds)
     loss = -float(log_p.sum())
-    p[np.arange(len(ts)), kinds] -= 1
-    p /= n
-    d_class += hs.T @ p
-    d_class_bias += p.sum(axis=0)
-    dh_out = p @ net.class_out.T
-    for rows, a, b in word_groups(v, ts):
-        log_p, p = log_softmax_at(hs[rows] @ net.word_out[a:b].T + net.word_bias[a:b], ts[rows] - a)
+    p /= total * n
+    p[kinds, np.arange(len(ts))] -= 1 / n
+    d_class += (p @ hs).T
+    d_class_bias += p.sum(axis=1)
+    dh_out = p.T @ net.class_out.T
+    rows, runs = word_groups(v, ts)
+    own_h, own_target = hs[rows], ts[rows]
+    dh_own = np.empty_like(own_h)
+    for i, j, a, b in runs:
+        log_p, p, total = log_softmax_at(word_logits(net, own_h[i:j], a, b), own_target[i:j] - a)
         loss -= float(log_p.sum())
-        p[np.arange(len(rows)), ts[rows] - a] -= 1
-        p /= n
-        d_word[a:b] = p.T @ hs[rows]
-        d_word_bias[a:b] = p.sum(axis=0)
-        dh_out[rows] += p @ net.word_out[a:b]
-    d_all = np.zeros_like(all_h)
-    d_all[real] = dh_out
+        p /= total * n
+        p[own_target[i:j] - a, np.arange(j - i)] -= 1 / n
+        d_word[a:b] = p @ own_h[i:j]
+        d_word_bias[a:b] = p.sum(axis=1)
+        dh_own[i:j] = p.T @ net.word_out[a:b]
+    dh_out[rows] += dh_own
+    d_all = np.zeros_like(states)
+    d_all.transpose(0, 2, 1)[real] = dh_out
+    # What the gradients of the gates are multiples of, for all steps at once.
+    of_new, of_z, of_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), own * r * (1 - r)
+    into, inner = np.empty_like(given), np.empty_like(given)
     dh = np.zeros_like(h)
-    into = np.empty((*x.shape, 3 * HIDDEN), np.float32)
     for t in range(len(x) - 1, -1, -1):
-        dh = dh + d_all[t]
-        before, z, r, new, own, _ = saved[t]
-        d_new = dh * (1 - z) * (1 - new * new)
-        d_z = dh * (before - new) * z * (1 - z)
-        d_r = d_new * own * r * (1 - r)
-        into[t] = np.concatenate((d_z, d_r, d_new), axis=1)
-        inner = np.concatenate((d_z, d_r, d_new * r), axis=1)
-        d_recur += before.T @ inner
-        dh = (dh * z + inner @ net.recur.T) * ~begins[t][:, None]
+        dh += d_all[t]
+        d_new = np.multiply(dh, of_new[t], out=into[t, 2 * HIDDEN :])
+        np.multiply(dh, of_z[t], out=into[t, :HIDDEN])
+        np.multiply(d_new, of_r[t], out=into[t, HIDDEN : 2 * HIDDEN])
+        inner[t, : 2 * HIDDEN] = into[t, : 2 * HIDDEN]
+        np.multiply(d_new, r[t], out=inner[t, 2 * HIDDEN :])
+        dh *= z[t]
+        dh += net.recur @ inner[t]
+        if begins[t].any():
+            dh *= ~begins[t]
+    d_recur += np.matmul(before, inner.transpose(0, 2, 1)).sum(axis=0)
     # Gradients of one input row lie together after sorting and are added up as runs.
-    order = np.argsort(x, axis=None, kind="stable")
+    order = np.argsort(x.astype(np.uint16), axis=None, kind="stable")
     rows = x.ravel()[order]
     edge = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    d_embed[rows[edge]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], edge)
-    return grads, h, loss / n
+    by_gate = into.transpose(1, 0, 2).reshape(3 * HIDDEN, -1)
+    d_embed[rows[edge]] = np.add.reduceat(np.take(by_gate, order, axis=1), edge, axis=1).T
+    return grads, h.T, loss / n
 
 
 def train(net: Network, v: Vocabulary, docs: list[np.ndarray], rate: float | None = None) -> tuple[Network, list[float]]:
@@ -347,8 +392,15 @@ def train(net: Network, v: Vocabulary, docs: list[np.ndarray], rate: float | Non
             m *= 0.9
             m += 0.1 * g
             s *= 0.99
-            s += 0.01 * g * g
-            part -= share * (m / (1 - 0.9**n)) / (np.sqrt(s / (1 - 0.99**n)) + 1e-6)
+            g *= g
+            g *= 0.01
+            s += g
+            size = np.sqrt(s, out=g)
+            size *= 1 / math.sqrt(1 - 0.99**n)
+            size += 1e-6
+            change = np.divide(m, size, out=size)
+            change *= share / (1 - 0.9**n)
+            part -= change
     return net, log
 
 

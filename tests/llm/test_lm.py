@@ -132,3 +132,19 @@ def test_every_training_document_teaches(make_docs, monkeypatch, task_tokens):
     v, moved = seen["v"], np.abs(seen["net"].embed - lm.Network.initial(seen["v"]).embed).max(axis=1)
     at = {w: v.target[i] for i, w in enumerate(v.words)}
     assert len(at) == 50 and all(moved[at[f"own{i}".encode()]] > 0 for i in range(25))
+
+
+def test_gates_are_blocks_of_memory(small):
+    """A step works on whole blocks, whose rows are as long as there are lanes, not on slices of sixteen."""
+    v, net = small
+    h = np.random.default_rng(3).normal(size=(lm.HIDDEN, 7))
+    after, kept = lm.advance(net, h, lm.given_rows(net, np.arange(7)[None])[0])
+    assert all(x.flags.c_contiguous and x.shape == (lm.HIDDEN, 7) for x in (after, *kept))
+    assert lm.step(net, h.T, np.arange(7))[0].T == pytest.approx(after)
+
+
+def test_large_logits_neither_overflow_nor_vanish():
+    logits = np.array([[1000.0, -1000.0, 0.0], [999.0, -1001.0, 1.0]], np.float32)
+    chosen, parts, total = lm.log_softmax_at(logits.copy(), np.array([0, 1, 1]))
+    want = logits[[0, 1, 1], range(3)] - np.logaddexp(logits[0], logits[1])
+    assert chosen == pytest.approx(want, abs=1e-4) and (parts / total).sum(axis=0) == pytest.approx([1, 1, 1])
