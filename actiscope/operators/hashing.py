@@ -32,6 +32,8 @@ PROBE_ROWS = 256
 """Base rows on which recall is measured."""
 MOST_TABLES = 8
 MOST_BITS = 24
+SLOT_BITS = 8
+"""Buckets, as a power of two, that a query asks for at once where it looks into some only."""
 PROBE_CELLS = 250_000
 """Buckets that are put in order at once; vectors are taken up a few at a time for it."""
 
@@ -162,8 +164,26 @@ def fit_tables(
     return drawn.first(*best) if best else drawn.first(1, 1 << bits, 1.0)
 
 
-def _in_buckets(df: DataFrame, tables: HashTables, probe: bool, *columns: str) -> DataFrame:
-    """``df`` (id, ..., vec) with its buckets: one row per table, for queries one per table and probe."""
+def _by_group(keys: np.ndarray, together: int) -> pa.ListArray:
+    """Keys (row, key) as a list per row of (bucket, slots): the groups of 2^``together`` keys they lie in, and a bit for each."""
+    keys = np.sort(keys, axis=1)
+    group, slot = keys >> together, keys & ((1 << together) - 1)
+    new = np.ones(keys.shape, bool)
+    new[:, 1:] = group[:, 1:] != group[:, :-1]
+    width = max(1, (1 << together) >> 3)
+    bits = np.zeros((np.count_nonzero(new), width), np.uint8)
+    np.bitwise_or.at(bits, (new.ravel().cumsum() - 1, slot.ravel() >> 3), (1 << (slot.ravel() & 7)).astype(np.uint8))
+    ends = pa.py_buffer(np.arange(0, bits.size + 1, width, dtype=np.int32))
+    slots = pa.Array.from_buffers(pa.binary(), len(bits), [None, ends, pa.py_buffer(bits)])
+    offsets = np.concatenate(([0], new.sum(axis=1).cumsum())).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(group[new]), slots], names=["bucket", "slots"]))
+
+
+def _in_buckets(df: DataFrame, tables: HashTables, probe: bool, *columns: str, together: int | None = None) -> DataFrame:
+    """``df`` (id, ..., vec) with its buckets: one row per table, for queries one per table and probe.
+
+    With ``together``, one row, with the list of groups of 2^``together`` buckets and the bits of the buckets in each.
+    """
     names = ["id", *columns, "vec"]
     probes = tables.probes if probe else 1
     step = max(1, PROBE_CELLS // (len(tables.directions) * min(2 * probes, 1 << tables.bits)))
@@ -176,11 +196,13 @@ def _in_buckets(df: DataFrame, tables: HashTables, probe: bool, *columns: str) -
                 found = tables.looked_into(rows) if probe else tables.buckets(rows)[:, :, None]
                 keys = np.moveaxis(found + (np.arange(len(found))[:, None, None] << tables.bits), 0, 1).reshape(len(rows), -1)
                 offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=[*names, "buckets"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())) if together is None else _by_group(keys, together)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*names, "buckets"])
 
     df = df.select(names)
-    found = df.mapInArrow(find, T.StructType([*df.schema.fields, T.StructField("buckets", T.ArrayType(T.LongType()))]))
-    return found.select(*names, F.explode("buckets").alias("bucket"))
+    kind = T.LongType() if together is None else T.StructType([T.StructField("bucket", T.LongType()), T.StructField("slots", T.BinaryType())])
+    found = df.mapInArrow(find, T.StructType([*df.schema.fields, T.StructField("buckets", T.ArrayType(kind))]))
+    return found.select(*names, F.explode("buckets").alias("bucket")) if together is None else found
 
 
 def hashed_neighbors(
@@ -195,34 +217,40 @@ def hashed_neighbors(
 ) -> DataFrame:
     """The k nearest of the base rows that share a bucket with each query: query_id, base_id, label, distance2, rank.
 
-    A base row travels once per table, a query once per bucket it looks into. Where queries look into every bucket, neighbouring
-    buckets are put together as far as a block holds their rows, and a query travels once to all of them. A bucket of more rows than a block
+    Neighbouring buckets are put together as far as a block holds their rows. A base row travels once per table, a query once to each
+    group of buckets that has one it looks into, with a bit for each of these. A group of more rows than a block
     holds, such as one of equal vectors, is cut into blocks on either side, and those meet in pairs. Rows with a null vector take no part.
     """
     q = _vectors(queries, id_col, vec)
     b = _in_buckets(_vectors(base, id_col, vec, F.col(label).alias("label")), tables, False, "label")
-    block = neighbors.block_rows(tables.directions.shape[2], block_bytes)
+    n_tables, some = len(tables.directions), tables.probes < 1 << tables.bits
+    held = stored(b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    n, asked = held.agg(F.sum("n")).first()[0] or 0, q.count()
+    most = neighbors.PAIRS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
+    # Of a pair of blocks only what shares a bucket is looked at, so that blocks may hold more rows for the same work.
+    share = tables.probes / (1 << tables.bits)
+    larger = min(int(neighbors.BLOCK_ROWS / math.sqrt(share)), 2 * n // most) if some else math.isqrt(asked * (n // n_tables) // most)
+    block = neighbors.block_rows(tables.directions.shape[2], block_bytes, larger)
     pieces = lambda rows, name: F.ceil(rows / block).cast("int").alias(name)
-    if tables.probes < 1 << tables.bits:
-        q = _in_buckets(q, tables, True)
-        counts = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        met = counts(q).select("bucket", pieces(F.col("n"), "chunks")).join(counts(b).select("bucket", pieces(F.col("n"), "blocks")), "bucket")
+    mean = max(1, n // (n_tables << tables.bits))
+    together = min(tables.bits, max(0, (block // mean).bit_length() - 1), SLOT_BITS if some else MOST_BITS)
+    group = F.shiftright("bucket", together).alias("bucket")
+    met = held.groupBy(group).agg(pieces(F.sum("n"), "blocks"))
+    if some:
+        q = stored(_in_buckets(q, tables, True, together=together), "asked").select("id", "vec", F.inline("buckets"))
+        met = met.join(q.groupBy("bucket").agg(pieces(F.count(F.lit(1)), "chunks")), "bucket")
+        b = b.withColumn("slot", F.col("bucket").bitwiseAND((1 << together) - 1).cast("int"))
     else:
-        held = stored(b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        n = held.agg(F.sum("n")).first()[0] or 0
-        mean = max(1, n // (len(tables.directions) << tables.bits))
-        together = min(tables.bits, max(0, (block // mean).bit_length() - 1))
-        joined = F.shiftright("bucket", together).alias("bucket")
-        b = b.withColumn("bucket", joined)
-        met = held.groupBy(joined).agg(pieces(F.sum("n"), "blocks")).withColumn("chunks", F.lit(max(1, -(-q.count() // block))))
-        q = q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit((len(tables.directions) << tables.bits >> together) - 1)).cast("array<long>")))
+        met = met.withColumn("chunks", F.lit(max(1, -(-asked // block))))
+        q = q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit((n_tables << tables.bits >> together) - 1)).cast("array<long>")))
+    b = b.withColumn("bucket", group)
     met = stored(met, "buckets")
     pairs = met.agg(F.sum(F.col("chunks").cast("long") * F.col("blocks"))).first()[0] or 0
     met = broadcast_if_small(met)
     own = F.xxhash64("id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = q.join(met, "bucket").select("bucket", "id", "vec", F.pmod(own, "chunks").cast("int").alias("chunk"), every("blocks").alias("block"))
-    b = b.join(met, "bucket").select("bucket", "id", "label", "vec", F.pmod(own, "blocks").cast("int").alias("block"), every("chunks").alias("chunk"))
+    q = q.join(met, "bucket").select("bucket", "id", "vec", *["slots"] * some, F.pmod(own, "chunks").cast("int").alias("chunk"), every("blocks").alias("block"))
+    b = b.join(met, "bucket").select("bucket", "id", "label", "vec", *["slot"] * some, F.pmod(own, "blocks").cast("int").alias("block"), every("chunks").alias("chunk"))
     out = T.StructType(
         [
             T.StructField("query_id", queries.schema[id_col].dataType),
@@ -233,8 +261,8 @@ def hashed_neighbors(
     )
     key = ("bucket", "block", "chunk")
     found = neighbors.nearest_in_pairs(q, b, key, pairs, k, out)
-    if len(tables.directions) > 1:
-        found = found.groupBy("query_id", "base_id").agg(F.first("label").alias("label"), F.first("distance2").alias("distance2"))
+    if n_tables > 1:
+        found = found.repartition("query_id").groupBy("query_id", "base_id").agg(F.first("label").alias("label"), F.first("distance2").alias("distance2"))
     ranked = Window.partitionBy("query_id").orderBy("distance2", "base_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 

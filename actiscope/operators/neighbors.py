@@ -9,6 +9,7 @@ out. The work is that of brute force: bound it by the base, whose rows are label
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,19 @@ BLOCK_BYTES = 32 << 20
 """Bytes of vectors in a block of either side."""
 BLOCK_ROWS = 16_384
 """Rows in a block of either side: short vectors are few bytes, but the work of a pair of blocks is the product of their rows."""
+PAIRS_PER_CORE = 6
+"""Pairs of blocks for each core, from which on blocks hold more rows: every row travels once per block of the other side."""
 PRODUCT_CELLS = 500_000
 """Distances held at once."""
+SLICE_ROWS = 4_096
+"""Base rows of a block that are looked at together: later ones need be no further away than the k nearest so far."""
 TASKS_PER_PAIR, TASKS_PER_CORE = 4, 64
 """Tasks that pairs of blocks are dealt to by hash, so that most have one of their own, and the most of them for each core."""
 
 
-def block_rows(width: int, block_bytes: int = BLOCK_BYTES) -> int:
-    """Rows of vectors of ``width`` values that make a block."""
-    return max(1, min(BLOCK_ROWS, block_bytes // (8 * max(1, width))))
+def block_rows(width: int, block_bytes: int = BLOCK_BYTES, most: int = 0) -> int:
+    """Rows of vectors of ``width`` values that make a block: ``BLOCK_ROWS``, or ``most`` if that is more, as far as the bytes allow."""
+    return max(1, min(max(BLOCK_ROWS, most), block_bytes // (8 * max(1, width))))
 
 
 def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -43,49 +48,91 @@ def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
 
 
+def _meetings(asked: pa.ChunkedArray, slots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each slot the places of the queries whose bits in ``asked`` have it, and of its base rows."""
+    bits = np.frombuffer(b"".join(asked.to_pylist()), np.uint8).reshape(len(asked), -1)
+    order = np.argsort(slots, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(slots[order])) + 1):
+        slot = int(slots[rows[0]])
+        yield np.flatnonzero(bits[:, slot >> 3] >> (slot & 7) & 1), rows
+
+
+def _improve(found: np.ndarray, near: np.ndarray, q: np.ndarray, b: np.ndarray, sums: tuple[np.ndarray, np.ndarray], asks: np.ndarray, rows: np.ndarray) -> None:
+    """Look among the base ``rows`` for what is nearer to the queries ``asks`` than the k distances ``found`` so far, at the places ``near``."""
+    k = found.shape[1]
+    q_sums, b_sums = sums
+    # The expansion of the square can be off by rounding; what is within the slack is computed exactly.
+    slack = 4 * 10.0**-DIGITS + 1e-12 * (q_sums[asks].max() + b_sums[rows].max())
+    width = min(SLICE_ROWS, len(rows))
+    step = max(1, PRODUCT_CELLS // width)
+    room = np.empty(step * width)  # one for all products: fresh pages would cost as much as they do
+    for cut in range(0, len(rows), SLICE_ROWS):
+        mine = rows[cut : cut + SLICE_ROWS]
+        base, most = b[mine], min(k, len(mine)) - 1
+        doubled = np.vstack((-2 * base.T, b_sums[mine]))
+        for at in range(0, len(asks), step):
+            who = asks[at : at + step]
+            part = q[who]
+            rough = room[: len(who) * len(mine)].reshape(len(who), -1)
+            np.matmul(np.column_stack((part, np.ones(len(who)))), doubled, out=rough)  # squared distances, less the query's own sum
+            last = found[who, -1]
+            fewer = np.flatnonzero(last == np.inf)
+            if len(fewer):
+                last[fewer] = np.partition(rough[fewer], most, axis=1)[:, most] + q_sums[who[fewer]]
+            row, col = np.divmod(np.flatnonzero(rough <= (last + slack - q_sums[who])[:, None]), len(mine))
+            exact = np.empty(len(row))
+            cells = max(1, PRODUCT_CELLS // b.shape[1])
+            for c in range(0, len(row), cells):
+                some = slice(c, c + cells)
+                exact[some] = ((base[col[some]] - part[row[some]]) ** 2).sum(1).round(DIGITS)
+            if len(row) > 4 * k * len(part):  # many within the slack: only those up to the last distance are put in order
+                rough[:] = np.inf
+                rough[row, col] = exact
+                last = np.partition(rough, most, axis=1)[:, most]
+                row, col = np.nonzero((rough <= last[:, None]) & (rough < np.inf))
+                exact = rough[row, col]
+            if not len(row):
+                continue
+            order = np.lexsort((mine[col], exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            nth = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+            own = np.repeat(np.arange(len(first)), np.diff(first, append=len(row)))
+            keep = nth < k
+            better = who[row[first]]
+            distances, places = np.full((len(first), 2 * k), np.inf), np.full((len(first), 2 * k), len(b))
+            distances[:, :k], places[:, :k] = found[better], near[better]
+            distances[own[keep], k + nth[keep]], places[own[keep], k + nth[keep]] = exact[keep], mine[col[keep]]
+            order = np.lexsort((places, distances), axis=1)[:, :k]
+            found[better], near[better] = np.take_along_axis(distances, order, 1), np.take_along_axis(places, order, 1)
+
+
 def _nearest_in_block(k: int):
+    """The k nearest rows of a block for each query. Where base rows have a ``slot``, a query meets those whose bit is set in its ``slots``."""
+
     def search(queries: pa.Table, base: pa.Table) -> pa.Table:
         q, b = _matrix(queries["vec"]), _matrix(base["vec"])
-        take_q, take_b, found = ([np.zeros(0, kind)] for kind in (np.int64, np.int64, np.float64))
+        order = np.zeros(0, np.int64)
+        found, near = np.full((len(q), k), np.inf), np.full((len(q), k), len(b))
         if len(q) and len(b):
-            place = np.asarray(pa.compute.rank(base["id"].combine_chunks(), tiebreaker="first").to_numpy())
-            q_sums, b_sums = (q * q).sum(1), (b * b).sum(1)
-            # The expansion of the square can be off by rounding; what is within the slack is computed exactly.
-            slack = 4 * 10.0**-DIGITS + 1e-12 * (q_sums.max() + b_sums.max())
-            step = max(1, PRODUCT_CELLS // len(b))
-            doubled = -2 * b.T
-            for at in range(0, len(q), step):
-                part = q[at : at + step]
-                rough = part @ doubled
-                rough += b_sums
-                rough += q_sums[at : at + step, None]
-                last = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-                row, near = np.nonzero(rough <= last[:, None] + slack)
-                exact = np.empty(len(row))
-                most = max(1, PRODUCT_CELLS // b.shape[1])
-                for cut in range(0, len(row), most):
-                    rows = slice(cut, cut + most)
-                    exact[rows] = ((b[near[rows]] - part[row[rows]]) ** 2).sum(1).round(DIGITS)
-                if len(row) > 4 * k * len(part):  # many within the slack: only those up to the last distance are put in order
-                    rough[:] = np.inf
-                    rough[row, near] = exact
-                    last = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-                    row, near = np.nonzero(rough <= last[:, None])
-                    exact = rough[row, near]
-                order = np.lexsort((place[near], exact, row))
-                row, near, exact = row[order], near[order], exact[order]
-                first = np.searchsorted(row, np.arange(len(part)))
-                keep = np.arange(len(row)) - first[row] < k
-                take_q.append(row[keep] + at)
-                take_b.append(near[keep])
-                found.append(exact[keep])
-        pick_q, pick_b = pa.array(np.concatenate(take_q)), pa.array(np.concatenate(take_b))
+            order = np.argsort(np.asarray(pa.compute.rank(base["id"].combine_chunks(), tiebreaker="first").to_numpy()))
+            b = b[order]
+            sums = (q * q).sum(1), (b * b).sum(1)
+            if "slot" in base.column_names:
+                met = _meetings(queries["slots"], base["slot"].to_numpy()[order])
+            else:
+                met = [(np.arange(len(q)), np.arange(len(b)))]
+            for asks, rows in met:
+                if len(asks):
+                    _improve(found, near, q, b, sums, asks, rows)
+        row, nth = np.nonzero(near < len(b))
+        pick_q, pick_b = pa.array(row), pa.array(order[near[row, nth]])
         return pa.table(
             {
                 "query_id": queries["id"].take(pick_q),
                 "base_id": base["id"].take(pick_b),
                 "label": base["label"].take(pick_b),
-                "distance2": pa.array(np.concatenate(found)),
+                "distance2": pa.array(found[row, nth]),
             }
         )
 
@@ -120,7 +167,8 @@ def nearest_neighbors(
     sizes = [df.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first() for df in (q, b)]
     if not sizes[1][0]:
         raise ValueError("no base rows")
-    rows = block_rows(sizes[1][1], block_bytes)
+    most = PAIRS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
+    rows = block_rows(sizes[1][1], block_bytes, math.isqrt(sizes[0][0] * sizes[1][0] // most))
     chunks, blocks = (max(1, math.ceil(n / rows)) for n, _ in sizes)
     own = F.xxhash64("id")
 

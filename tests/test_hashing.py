@@ -103,3 +103,27 @@ def test_buckets_are_put_in_order_a_few_vectors_at_a_time(clouds, monkeypatch):
     df = hashing._vectors(queries, "sample_id", "hidden_state_vector")
     assert hashing._in_buckets(df, tables, True).groupBy("id").count().where("count != 18").isEmpty()
     assert rows_of(hashing.hashed_neighbors(queries, base, tables)) == want
+
+
+def test_a_query_that_looks_into_some_buckets_travels_once_per_group_of_them(clouds, monkeypatch):
+    queries, base = clouds
+    tables = hashing.fit_tables(base, bucket_rows=60, tables=2, probe_rows=20).first(2, 40, None)
+    assert tables.bits == 6 and len(tables.directions) == 2
+    vectors = lambda df, *more: hashing._vectors(df, "sample_id", "hidden_state_vector", *more)
+    asked = {(r.id, r.bucket): r.vec for r in hashing._in_buckets(vectors(queries), tables, True).collect()}
+    lies = {}
+    for r in hashing._in_buckets(vectors(base, "label"), tables, False, "label").collect():
+        lies.setdefault(r.bucket, []).append((r.id, r.label, r.vec))
+    near = {}
+    for (i, bucket), v in asked.items():
+        for j, label, w in lies.get(bucket, ()):
+            near.setdefault(i, {})[j] = (round(((np.array(v) - np.array(w)) ** 2).sum(), 9), j, label)
+    want = sorted((i, j, label, d, at) for i, all_of in near.items() for at, (d, j, label) in enumerate(sorted(all_of.values())[:5], 1))
+    met = []
+    meet = neighbors.nearest_in_pairs
+    monkeypatch.setattr(neighbors, "nearest_in_pairs", lambda q, b, *rest: met.append((q.count(), b.count())) or meet(q, b, *rest))
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 1000)
+    got = rows_of(hashing.hashed_neighbors(queries, base, tables))
+    assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-8)
+    # 80 of 128 buckets in the two tables: eight groups of 16, of which one or the other is cut in two, and not 80 copies.
+    assert met[0][0] <= 16 * 200 and met[0][1] == 2 * 3800
