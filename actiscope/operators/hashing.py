@@ -22,8 +22,6 @@ from actiscope.operators import neighbors
 from actiscope.schema import SEED
 from actiscope.session import broadcast_if_small, stored
 
-EXACT_ROWS = 200_000
-"""Base rows up to which every pair is compared."""
 BUCKET_ROWS = 4_096
 """Base rows a bucket holds on average."""
 FIT_ROWS = 8_192
@@ -268,10 +266,10 @@ def hashed_neighbors(
 
 
 def find_neighbors(
-    queries: DataFrame, base: DataFrame, k: int = 5, recall: float = 0.95, exact_rows: int = EXACT_ROWS, id_col: str = "sample_id", vec: str = "hidden_state_vector", label: str = "label"
+    queries: DataFrame, base: DataFrame, k: int = 5, recall: float = 0.95, exact_rows: int | None = None, id_col: str = "sample_id", vec: str = "hidden_state_vector", label: str = "label"
 ) -> DataFrame:
-    """Exact neighbours for a base of up to ``exact_rows`` rows, beyond that those that hash tables of the given recall find."""
-    if base.limit(exact_rows + 1).count() <= exact_rows:
+    """Exact neighbours, whatever the size of the base. Only a caller that names ``exact_rows`` gets, beyond so many base rows, what hash tables of the given recall find."""
+    if exact_rows is None or base.limit(exact_rows + 1).count() <= exact_rows:
         return neighbors.nearest_neighbors(queries, base, k, id_col, vec, label)
     return hashed_neighbors(queries, base, fit_tables(base, k, recall, id_col, vec), k, id_col, vec, label)
 

@@ -142,7 +142,7 @@ class FeatureModel:
 
 
 class NeighborModel:
-    """Scaled k-nearest-neighbour vote over a fitted base: exact up to ``hashing.EXACT_ROWS`` base rows, through hash tables beyond."""
+    """Scaled k-nearest-neighbour vote over a fitted base, exact for any number of base rows."""
 
     def __init__(self, scaler, base: DataFrame, inp: str, label: str, id_col: str, k: int):
         self.scaler, self.base, self.inp, self.label, self.id_col, self.k = scaler, base, inp, label, id_col, k

@@ -29,8 +29,8 @@ PAIRS_PER_CORE = 6
 """Pairs of blocks for each core, from which on blocks hold more rows: every row travels once per block of the other side."""
 PRODUCT_CELLS = 500_000
 """Distances held at once."""
-SLICE_ROWS = 4_096
-"""Base rows of a block that are looked at together: later ones need be no further away than the k nearest so far."""
+FIRST_ROWS, SLICE_ROWS = 256, 4_096
+"""Base rows of a block that are looked at together, at first and then: later ones need be no further away than the k nearest so far."""
 TASKS_PER_PAIR, TASKS_PER_CORE = 4, 64
 """Tasks that pairs of blocks are dealt to by hash, so that most have one of their own, and the most of them for each core."""
 
@@ -62,12 +62,11 @@ def _improve(found: np.ndarray, near: np.ndarray, q: np.ndarray, b: np.ndarray,
     k = found.shape[1]
     q_sums, b_sums = sums
     # The expansion of the square can be off by rounding; what is within the slack is computed exactly.
-    slack = 4 * 10.0**-DIGITS + 1e-12 * (q_sums[asks].max() + b_sums[rows].max())
+    slack, unit = 1e-12 * (q_sums[asks].max() + b_sums[rows].max()), 10.0**-DIGITS
     width = min(SLICE_ROWS, len(rows))
     step = max(1, PRODUCT_CELLS // width)
     room = np.empty(step * width)  # one for all products: fresh pages would cost as much as they do
-    for cut in range(0, len(rows), SLICE_ROWS):
-        mine = rows[cut : cut + SLICE_ROWS]
+    for mine in np.split(rows, range(FIRST_ROWS, len(rows), SLICE_ROWS)):
         base, most = b[mine], min(k, len(mine)) - 1
         doubled = np.vstack((-2 * base.T, b_sums[mine]))
         for at in range(0, len(asks), step):
@@ -79,12 +78,17 @@ def _improve(found: np.ndarray, near: np.ndarray, q: np.ndarray, b: np.ndarray,
             fewer = np.flatnonzero(last == np.inf)
             if len(fewer):
                 last[fewer] = np.partition(rough[fewer], most, axis=1)[:, most] + q_sums[who[fewer]]
-            row, col = np.divmod(np.flatnonzero(rough <= (last + slack - q_sums[who])[:, None]), len(mine))
+            # A found distance is rounded: what equals it is off by half a unit at most, what is less by more, and the equal counts where its place is less.
+            last += slack + np.where(near[who, -1] > mine[0], 0.6, -0.4) * unit
+            last[fewer] += 0.6 * unit
+            row, col = np.divmod(np.flatnonzero(rough <= (last - q_sums[who])[:, None]), len(mine))
             exact = np.empty(len(row))
             cells = max(1, PRODUCT_CELLS // b.shape[1])
             for c in range(0, len(row), cells):
                 some = slice(c, c + cells)
                 exact[some] = ((base[col[some]] - part[row[some]]) ** 2).sum(1).round(DIGITS)
+            nearer = (exact < found[who[row], -1]) | (exact == found[who[row], -1]) & (mine[col] < near[who[row], -1])
+            row, col, exact = row[nearer], col[nearer], exact[nearer]
             if len(row) > 4 * k * len(part):  # many within the slack: only those up to the last distance are put in order
                 rough[:] = np.inf
                 rough[row, col] = exact

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from actiscope.operators import hashing, neighbors
@@ -127,3 +128,18 @@ def test_a_query_that_looks_into_some_buckets_travels_once_per_group_of_them(clo
     assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-8)
     # 80 of 128 buckets in the two tables: eight groups of 16, of which one or the other is cut in two, and not 80 copies.
     assert met[0][0] <= 16 * 200 and met[0][1] == 2 * 3800
+
+
+def test_neighbours_are_exact_however_large_the_base(spark, monkeypatch):
+    def none(*rest):
+        raise AssertionError("tables were fitted")
+
+    monkeypatch.setattr(hashing, "fit_tables", none)
+    draw = np.random.default_rng(8)
+    b, q = draw.normal(size=(200_500, 2)).round(3), draw.normal(size=(6, 2)).round(3)
+    frame = lambda rows: spark.createDataFrame(pd.DataFrame({"sample_id": range(len(rows)), "label": 0, "hidden_state_vector": rows.tolist()})).repartition(4)
+    want = []
+    for i, x in enumerate(q):
+        d = ((b - x) ** 2).sum(1).round(9)
+        want += [(i, int(j), 0, float(d[j]), at) for at, j in enumerate(np.lexsort((np.arange(len(b)), d))[:5], 1)]
+    assert rows_of(hashing.find_neighbors(frame(q), frame(b))) == sorted(want)

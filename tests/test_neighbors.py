@@ -71,3 +71,16 @@ def test_short_vectors_meet_in_blocks_of_bounded_rows(spark, monkeypatch):
     assert got == brute(q, b, labels, 5)
     pairs, tasks, largest = seen[0]
     assert pairs == 12 and tasks >= pairs and largest < 150
+
+
+def test_equal_distances_go_to_the_smaller_ids_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "FIRST_ROWS", 7)
+    monkeypatch.setattr(neighbors, "SLICE_ROWS", 30)
+    rng = np.random.default_rng(3)
+    b, q = rng.integers(0, 3, (500, 2)) + rng.choice([0, 3e-5, 1e-6], (500, 2)), rng.integers(0, 3, (40, 2)) * 1.0
+    labels = rng.integers(0, 3, 500)
+    near = neighbors.nearest_neighbors(*frames(spark, q, b, labels), 5, "id", "v", "y")
+    got = {}
+    for r in sorted(near.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.base_id, r.distance2, r.label))
+    assert got == brute(q, b, labels, 5)
