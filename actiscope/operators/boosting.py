@@ -32,7 +32,7 @@ MIN_ROWS, MIN_HESSIAN = 20, 1e-3
 
 BINS = 64
 EDGE_BYTES = 64 << 20
-"""Bytes of sampled rows from which bin edges are taken."""
+"""Bytes of rows up to which the driver finds the bin edges; beyond, tasks find the same ones."""
 BLOCK_BYTES = 4 << 20
 """Bytes of bins in one stored block of rows."""
 SUM_BYTES = 256 << 20
@@ -93,7 +93,7 @@ def chances(scores: np.ndarray) -> np.ndarray:
 
 
 def bin_edges(rows: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
-    """Up to ``bins - 1`` rising edges per column, each halfway between two sampled values.
+    """Up to ``bins - 1`` rising edges per column, each halfway between two values.
 
     Sorted values are cut into runs of equal number and every run gives the middle of its widest gap, so that bins
     hold about as many values and a gap between groups of values is never inside one.
@@ -112,6 +112,54 @@ def bin_edges(rows: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
     return edges
 
 
+class Gaps:
+    """``bin_edges`` of one column whose finite values, ``n`` of them, come in order and in parts."""
+
+    def __init__(self, n: int, bins: int):
+        self.bins, self.starts = bins, np.linspace(0, n - 1, bins).astype(np.int64)[:-1]
+        self.last, self.at, self.more = np.zeros(0), 0, True
+        self.distinct = np.zeros(0)  # up to one more than there are bins
+        self.widest, self.edges = np.zeros(bins - 1), np.zeros(bins - 1)
+
+    def add(self, values: np.ndarray) -> None:
+        if len(self.distinct) <= self.bins:
+            self.distinct = np.unique(np.concatenate((self.distinct, values)))[: self.bins + 1]
+        held = np.concatenate((self.last, values))
+        gaps = np.diff(held)
+        runs = np.searchsorted(self.starts, self.at + np.arange(len(gaps)), "right") - 1
+        firsts = np.flatnonzero(np.diff(runs, prepend=-1))
+        for a, z in zip(firsts, np.append(firsts[1:], len(gaps))):
+            i = a + int(gaps[a:z].argmax())
+            if gaps[i] > self.widest[runs[a]]:
+                self.widest[runs[a]], self.edges[runs[a]] = gaps[i], (held[i] + held[i + 1]) / 2
+        self.last, self.at = held[-1:], self.at + len(gaps)
+
+    def found(self) -> np.ndarray:
+        if len(self.distinct) <= self.bins:
+            return (self.distinct[:-1] + self.distinct[1:]) / 2
+        return self.edges[self.widest > 0]
+
+
+def edges_in_tasks(rows: DataFrame, d: int, bins: int) -> list[np.ndarray]:
+    """``bin_edges`` of all rows (v): the values of each feature pass through one task in order, which holds a batch of them."""
+    values = rows.select(F.posexplode("v").alias("i", "x")).where(~F.isnan("x") & (F.abs("x") < float("inf")))
+    counts = {r.i: r.n for r in values.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Gaps] = {}
+        for batch in batches:
+            of, x = (batch.column(c).to_numpy() for c in (0, 1))
+            firsts = np.flatnonzero(np.diff(of, prepend=-1))
+            for a, z in zip(firsts, np.append(firsts[1:], len(of))):
+                i = int(of[a])
+                held.setdefault(i, Gaps(counts[i], bins)).add(x[a:z])
+        for i, gaps in held.items():
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "edges": pa.array([gaps.found()], pa.list_(pa.float64()))})
+
+    found = {r.i: np.array(r.edges, float) for r in values.repartition("i").sortWithinPartitions("i", "x").mapInArrow(run, "i int, edges array<double>").collect()}
+    return [found.get(i, np.zeros(0)) for i in range(d)]
+
+
 def binned(rows: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """Bin of each value: the edges below it. What is not a number lies above all edges."""
     return np.column_stack([np.searchsorted(e, rows[:, i], "left") for i, e in enumerate(edges)]).astype(np.uint8)
@@ -407,8 +455,7 @@ def fit_boosted(
     share = np.array([counts.get(c, 0) / n for c in range(k)])
     start = np.log(np.maximum(share, 1e-15))
     most = max(1, EDGE_BYTES // (8 * d))
-    picked = rows.select("v") if n <= most else rows.select("v").orderBy(F.xxhash64("v", F.lit(seed))).limit(most)
-    edges = bin_edges(np.array([r.v for r in picked.toLocalIterator()]), bins)
+    edges = bin_edges(np.array([r.v for r in rows.select("v").toLocalIterator()]), bins) if n <= most else edges_in_tasks(rows, d, bins)
     distinct = stored(_distinct(rows, edges), "distinct")
     if not tasks:
         size = distinct.count() * (d + ROW_BYTES)

@@ -86,17 +86,8 @@ def fit_logreg(train: DataFrame, inp: str = "features", label: str = "label", ma
     return PipelineModel([*scaler.stages, model])
 
 
-FOREST_ROWS = 50_000
-"""Rows that a forest is grown from; deep trees have about as many nodes as rows, and those are held on the driver."""
-
-
-def fit_forest(
-    train: DataFrame, inp: str = "features", label: str = "label", trees: int = TREES, depth: int = 30, seed: int = SEED, max_rows: int = FOREST_ROWS
-):
-    """Random forest of deep trees, from a random sample of about ``max_rows`` rows where there are more."""
-    n = train.count()
-    if n > max_rows:
-        train = train.sample(max_rows / n, seed)
+def fit_forest(train: DataFrame, inp: str = "features", label: str = "label", trees: int = TREES, depth: int = 30, seed: int = SEED):
+    """Random forest of deep trees, grown from all rows; the driver holds the trees."""
     return RandomForestClassifier(
         featuresCol=inp,
         labelCol=label,

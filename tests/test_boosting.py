@@ -137,3 +137,19 @@ def test_equal_rows_are_held_once_and_many_rows_are_no_single_task(spark, monkey
     assert np.allclose(scores(model), want) and grown == [len(np.unique(x, axis=0))]
     monkeypatch.setattr(boosting, "GROWN_BYTES", 1000)
     assert np.allclose(scores(boosting.fit_boosted(df, rounds=3, leaves=6)), want) and len(grown) == 1
+
+
+def test_edges_come_from_all_rows_however_many(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    rows = np.column_stack((draw.normal(size=5000), draw.integers(0, 9, 5000), draw.integers(0, 200, 5000), draw.normal(size=5000).round(1), np.full(5000, np.nan)))
+    rows[7, 0] = np.inf
+    df = spark.createDataFrame([(int(i % 2), r.tolist()) for i, r in enumerate(rows)], "label int, v array<double>").repartition(5)
+    df = df.select("label", array_to_vector("v").alias("features"))
+    monkeypatch.setattr(boosting, "EDGE_BYTES", 8 * 5 * 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        model = boosting.fit_boosted(df, rounds=1)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    for found, want in zip(model.edges, boosting.bin_edges(rows), strict=True):
+        assert found.tolist() == want.tolist()

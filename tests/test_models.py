@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from actiscope.operators import features, models
 from actiscope.plans.classify import run_classification
@@ -130,3 +132,9 @@ def test_saved_neighbor_model_scores_alike(spark, records, tmp_path):
     assert sorted(r[0:2] for r in model.transform(asked).select("sample_id", "prediction").collect()) == sorted(
         r[0:2] for r in back.transform(asked).select("sample_id", "prediction").collect()
     )
+
+
+def test_a_forest_is_grown_from_all_rows(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).cast("int").alias("label"), array_to_vector(F.array(F.col("id") % 3 + F.rand(1), F.rand(2))).alias("features"))
+    (tree,) = models.fit_forest(rows, trees=1, depth=2).trees
+    assert tree._call_java("rootNode").impurityStats().count() > 58_000  # of 60,000 drawn with replacement
