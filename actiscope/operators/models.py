@@ -195,6 +195,8 @@ def fit_svm(
         model = OneVsRest(classifier=margin, featuresCol="_made", labelCol=label, parallelism=4).fit(kept)
     finally:
         kept.unpersist()
+    for m in model.models:  # a summary holds the session, which can't travel to tasks once it has observed a query
+        m._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
     return FeatureModel(spec, model)
 
 

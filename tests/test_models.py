@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from actiscope.operators import features, models
@@ -138,3 +139,11 @@ def test_a_forest_is_grown_from_all_rows(spark):
     rows = spark.range(60_000).select((F.col("id") % 3).cast("int").alias("label"), array_to_vector(F.array(F.col("id") % 3 + F.rand(1), F.rand(2))).alias("features"))
     (tree,) = models.fit_forest(rows, trees=1, depth=2).trees
     assert tree._call_java("rootNode").impurityStats().count() > 58_000  # of 60,000 drawn with replacement
+
+
+def test_the_kernel_model_scores_after_a_query_was_observed(spark, records):
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    rows = features.stack_vectors(records).select("label", "features")
+    assert models.fit_svm(rows, count=8, max_iter=2).transform(rows).where("prediction is not null").count() == records.count()
